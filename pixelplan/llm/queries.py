@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, suffix_dedup
+from . import decontaminate, minhash, sentencepiece_bpe, sharding, suffix_dedup, tiff
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.find_classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -19,7 +24,19 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op6_decontaminate)}
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.stored_texts(tiff.texts_as_tiff(_table(spark, sf_dir, "documents")))
+
+
+def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.assign_shards(_table(spark, sf_dir, "documents")))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.digest(sentencepiece_bpe.encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+QUERIES = {f.__name__: f for f in (op4_minhash_dedup, op5_suffix_dedup, op6_decontaminate, op7_tiff, op8_feistel_shards, op10_sentencepiece)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut as cut_lineage
 from .text import SLICE_BYTES, Rolling, expand, mix, slices, utf8
 
 #: Bytes of the strings that are removed wherever they start twice.
@@ -206,7 +207,7 @@ def find_repeats(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, sp
         if waiting:
             yield from _ordered(pa.Table.from_batches(waiting), width, span)
 
-    made = settled.mapInArrow(construct, f"id {kind}, h int, spans array<long>, w1 long, w2 long, at long, n long").checkpoint()
+    made = cut_lineage(settled.mapInArrow(construct, f"id {kind}, h int, spans array<long>, w1 long, w2 long, at long, n long"))
     spans = made.where("w1 is null").select("id", "h", "spans")
     windows = made.where("w1 is not null").select("id", "h", "w1", "w2", "at", "n")
     across = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
