@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, sentencepiece_bpe, sharding, suffix_dedup, tiff
+from . import decontaminate, language, minhash, sentencepiece_bpe, sharding, suffix_dedup, tiff, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.find_classes(_table(spark, sf_dir, "documents"))
 
@@ -32,11 +36,15 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.assign_shards(_table(spark, sf_dir, "documents")))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digest(sentencepiece_bpe.encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_dedup, op5_suffix_dedup, op6_decontaminate, op7_tiff, op8_feistel_shards, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op3_language, op4_minhash_dedup, op5_suffix_dedup, op6_decontaminate, op7_tiff, op8_feistel_shards, op9_token_counts, op10_sentencepiece)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
