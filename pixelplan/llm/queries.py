@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, minhash, sentencepiece_bpe, sharding, suffix_dedup, tiff, token_counts
+from . import decontaminate, html, language, licenses, minhash, sentencepiece_bpe, sharding, suffix_dedup, tiff, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(_table(spark, sf_dir, "documents")))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digest(sentencepiece_bpe.encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_language, op4_minhash_dedup, op5_suffix_dedup, op6_decontaminate, op7_tiff, op8_feistel_shards, op9_token_counts, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_text, op3_language, op4_minhash_dedup, op5_suffix_dedup, op6_decontaminate, op7_tiff, op8_feistel_shards, op9_token_counts, op10_sentencepiece)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
