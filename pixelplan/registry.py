@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,11 +22,6 @@ def query(oracle: str | None = None):
     return add
 
 
-_CLASS = "case when l_quantity <= 4.9 then 'small' when l_quantity <= 15.9 then 'medium' else 'large' end"
-
-
-@query(f"select l_returnflag as site, {_CLASS} as size_class, count(*) as crowns, round(sum(cast(l_quantity as double)) / 10000, 4) as canopy_ha, median(cast(l_quantity as double)) as median_m2 from lineitem group by 1, 2")
-def crown_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crowns = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("site"), F.col("l_quantity").cast("double").alias("area_m2"))
-    size_class = F.when(F.col("area_m2") <= 4.9, "small").when(F.col("area_m2") <= 15.9, "medium").otherwise("large")
-    return crowns.groupBy("site", size_class.alias("size_class")).agg(F.count("*").alias("crowns"), F.round(F.sum("area_m2") / 10000, 4).alias("canopy_ha"), F.median("area_m2").alias("median_m2"))
+def load() -> None:
+    """Registers the queries of all modules of plans."""
+    from .plans import crowns, pixels  # noqa: F401
