@@ -31,7 +31,8 @@ def centroid(ring: Column) -> tuple[Column, Column]:
 
 
 def bounds(ring: Column) -> list[Column]:
-    return [f(F.transform(ring, lambda p, c=c: p[c])).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.array_min, "min"), (F.array_max, "max"))]
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return [f(v).alias(f"{n}_{c}") for v, c in ((xs, "x"), (ys, "y")) for f, n in ((F.array_min, "min"), (F.array_max, "max"))]
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
