@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut as cut_lineage
-from .text import SLICE_BYTES, Rolling, expand, mix, slices, utf8
+from .text import SLICE_BYTES, Rolling, expand, mix, packed, slices, unpacked, utf8
 
 #: Bytes of the strings that are removed wherever they start twice.
 WIDTH = 200
@@ -156,11 +157,12 @@ def find_repeats(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, sp
     shared = found.groupBy("key").agg(F.count("*").alias("n"), F.min("same").alias("a"), F.max("same").alias("b")).where("n > 1").select("key", F.when(F.col("a") == F.col("b"), F.lit(0)).otherwise(F.ceil(F.col("n") / group)).cast("int").alias("groups"))
     # One row for each run whose anchor stands elsewhere too; groups is 0 where all its runs are equal.
     joined = found.select("key", "id", "h", "where").join(shared, "key").groupBy("id", "h").agg(F.collect_list(F.struct("where", "groups", "key")).alias("runs"))
-    held = joined.join(rows, (joined["id"].eqNullSafe(rows["id"])) & (joined["h"] == rows["h"])).select(joined["id"], joined["h"], "runs", "text")
+    whole = packed(rows, "text")
+    held = joined.join(whole, (joined["id"].eqNullSafe(whole["id"])) & (joined["h"] == whole["h"])).select(joined["id"], joined["h"], "runs", "text")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Equal runs become spans at once; the others go on with their bytes."""
-        for batch in slices(batches, "text", SLICE_BYTES // 4):
+        for batch in unpacked(batches, "text"):
             data, first = utf8(batch["text"])
             lists = batch["runs"]
             flat, sizes = lists.flatten(), np.diff(np.asarray(lists.offsets))
@@ -274,14 +276,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     spans = find_repeats(docs, id_col, text, width, span, group).groupBy("id", "h").agg(F.collect_list("spans").alias("_spans"))
     rows = docs.drop("kept", "n_bytes", "n_removed", "n_spans").withColumn("_h", F.hash(text))
-    joined = _joined(rows, spans, id_col)
-    fields = [f for f in joined.schema.fields if f.name != "_spans"]
+    kinds = rows.drop("_h").schema
+    joined = _joined(packed(rows, text), spans, id_col)
+    fields = list(kinds.fields)
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "kept binary, n_bytes long, n_removed long, n_spans long"])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for whole, batch in _with_text(batches, text):
             kept, facts = [], []
-            for raw, found in zip(batch[text].cast(pa.binary()).to_pylist(), batch["_spans"].to_pylist(), strict=True):
+            for raw, found in zip(whole, batch["_spans"].to_pylist(), strict=True):
                 raw = raw or b""
                 if not found:
                     kept.append(raw)
@@ -293,16 +296,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)))
                 facts.append((len(raw), int((end - lo).sum()), len(lo)))
             n = np.array(facts, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in fields), pa.array(kept, pa.binary()), *(pa.array(n[:, k].copy()) for k in range(3))], [*(f.name for f in fields), "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(whole, pa.binary()).cast(pa.string()) if f.name == text else batch[f.name] for f in fields), pa.array(kept, pa.binary()), *(pa.array(n[:, k].copy()) for k in range(3))], [*(f.name for f in fields), "kept", "n_bytes", "n_removed", "n_spans"])
 
     return joined.mapInArrow(strip, out)
 
 
+def _with_text(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[list[bytes | None], pa.RecordBatch]]:
+    tool = zstandard.ZstdDecompressor()
+    for batch in slices(batches, text, SLICE_BYTES // 4):
+        yield [None if x is None else tool.decompress(x) for x in batch[text].to_pylist()], batch
+
+
 def _joined(rows: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
     spans = spans.select(F.col("id").alias("_id"), F.col("h").alias("_hh"), "_spans")
     return rows.join(spans, rows[id_col].eqNullSafe(spans["_id"]) & (rows["_h"] == spans["_hh"]), "left").drop("_id", "_hh", "_h")
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with what remove_repeats keeps as their text, and n_removed; halves of characters at an edge are left out. Null stays null."""
+    cleaned = remove_repeats(docs, id_col, text)
+    whole = F.col("kept").cast("string")
+    valid = F.when(F.is_valid_utf8(whole), whole).otherwise(F.translate(F.make_valid_utf8(whole), "\ufffd", ""))
+    return cleaned.withColumn(text, F.when(F.col(text).isNull() | (F.col("n_removed") == 0), F.col(text)).otherwise(valid)).drop("kept", "n_bytes", "n_spans")
+
+
 def digest(cleaned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The columns of the contract, from remove_repeats."""
     return cleaned.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

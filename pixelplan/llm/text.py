@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame
 
 #: Bytes of text that one slice holds (a single longer row is a slice of its own).
 SLICE_BYTES = 1 << 21
@@ -137,3 +139,24 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     which = np.repeat(np.arange(len(counts)), counts)
     within = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
     return which, starts[which] + within
+
+
+def packed(df: DataFrame, column: str) -> DataFrame:
+    """df with a column of strings as zstd frames of their UTF-8 bytes: they take two thirds of the room in a shuffle."""
+    kinds = ", ".join(f"`{f.name}` {'binary' if f.name == column else f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches, column):
+            frames = [None if x is None else tool.compress(x) for x in batch[column].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary()) if name == column else batch[name] for name in batch.schema.names], batch.schema.names)
+
+    return df.mapInArrow(pack, kinds)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same batches with that column as bytes again, some MB at a time. Null counts as empty."""
+    tool = zstandard.ZstdDecompressor()
+    for batch in slices(batches, column, SLICE_BYTES // 4):
+        texts = [b"" if x is None else tool.decompress(x) for x in batch[column].to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()) if name == column else batch[name] for name in batch.schema.names], batch.schema.names)
