@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import expand, shingles, slices, utf8, word_hashes
+from .text import expand, shingles, slices, utf8, word_hashes, word_spans
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
@@ -151,7 +151,7 @@ def _block(bench: DataFrame, item_id: str, text: str, block: int, blocks: int) -
     return [r[0] for r in rows], words, first
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: its id, n_words, n_hit, n_items, items (sorted ids of items of which a window stands in it).
 
     A window is 13 consecutive words of an item, or all words of a shorter one; a word of a text within any
@@ -161,21 +161,26 @@ def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
 
     Null and empty texts and items have no words and no windows; an item's null id reads as an empty
     string. Items with equal windows all count; repeated rows each get their own result. Other columns
-    of docs are not read, and names that clash do not matter. The items are handled in blocks of at most about block_bytes of text, so what a
+    of docs are read only if carry names them, and then come as they are in a struct `rest` beside `text`; so
+    rows can be kept or dropped without a join. Names that clash do not matter. The items are handled in blocks of at most about block_bytes of text, so what a
     task holds is bounded; a larger benchmark takes more passes within the same stage and no shuffle.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rest = F.struct(*carry) if carry else F.lit(None).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), rest.alias("rest"))
+    id_type, rest_type = (rows.schema[c].dataType.simpleString() for c in ("id", "rest"))
     size = bench.agg(F.sum(F.coalesce(F.octet_length(item_text), F.lit(0)).cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = rows.select("id", "text", F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    out = rows.select("*", F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     for k in range(blocks):
         ids, words, first = _block(bench, item_id, item_text, k, blocks)
         table, lengths, window, item = item_windows(words, first, ids)
         if len(table):
             frequency = document_frequencies(rows, "text", {s: np.unique(grid) for s, (_, grid) in window_shingles(table, lengths).items()})
             index = docs.sparkSession.sparkContext.broadcast(Index(table, lengths, window, item, ids, frequency))
-            out = out.mapInArrow(_finder(index), "id " + rows.schema["id"].dataType.simpleString() + ", text string, spans array<long>, items array<string>")
-    return out.mapInArrow(_counter, "id " + rows.schema["id"].dataType.simpleString() + ", n_words long, n_hit long, n_items long, items array<string>").withColumnRenamed("id", id_col)
+            out = out.mapInArrow(_finder(index), f"id {id_type}, text string, rest {rest_type}, spans array<long>, items array<string>")
+    kept = ("text", "rest") if carry else ()
+    kinds = f", text string, rest {rest_type}" if carry else ""
+    return out.mapInArrow(_counter(kept), f"id {id_type}, n_words long, n_hit long, n_items long, items array<string>{kinds}").withColumnRenamed("id", id_col)
 
 
 def _finder(index):
@@ -193,25 +198,29 @@ def _finder(index):
                 _, at = expand(x.item_first[w], x.item_first[w + 1] - x.item_first[w])
                 spans[r] = (spans[r] or []) + s.ravel().tolist()
                 items[r] = sorted({*(items[r] or []), *(x.ids[i] for i in np.unique(x.item_of[at]))})
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["text"], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["id", "text", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["text"], batch["rest"], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["id", "text", "rest", "spans", "items"])
 
     return find
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from .text import word_spans
-
-    for batch in slices(batches, "text"):
-        first = word_spans(*utf8(batch["text"]))[3]
-        n_words, n_hit = np.diff(first), np.zeros(batch.num_rows, np.int64)
-        items = [x or [] for x in batch["items"].to_pylist()]
-        for r in np.flatnonzero(np.array(batch["spans"].is_valid())):
-            s = np.array(batch["spans"][int(r)].as_py(), np.int64).reshape(-1, 2)
-            change = np.zeros(n_words[r] + 1, np.int64)
-            np.add.at(change, s[:, 0], 1)
-            np.add.at(change, s[:, 1], -1)
-            n_hit[r] = np.count_nonzero(np.cumsum(change[:-1]))
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "n_hit", "n_items", "items"])
+def _counter(kept: tuple[str, ...]):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            first = word_spans(*utf8(batch["text"]))[3]
+            n_words, n_hit = np.diff(first), np.zeros(batch.num_rows, np.int64)
+            items = [x or [] for x in batch["items"].to_pylist()]
+            for r in np.flatnonzero(np.array(batch["spans"].is_valid())):
+                s = np.array(batch["spans"][int(r)].as_py(), np.int64).reshape(-1, 2)
+                change = np.zeros(n_words[r] + 1, np.int64)
+                np.add.at(change, s[:, 0], 1)
+                np.add.at(change, s[:, 1], -1)
+                n_hit[r] = np.count_nonzero(np.cumsum(change[:-1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), *(batch[c] for c in kept)],
+                ["id", "n_words", "n_hit", "n_items", "items", *kept],
+            )
+
+    return count
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
 from .text import mix, slices
 
 #: Buckets that n-grams of 1 to 3 characters are hashed to.
@@ -114,8 +115,6 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label:
             names, places, numbers = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(places, pa.binary()), pa.array(numbers, pa.binary())], ["label", "at", "n"])
 
-    from .storage import cut
-
     counted = cut(drawn.select(F.col("label").cast("string").alias("label"), "text").mapInArrow(count, "label string, at binary, n binary"))
 
     def document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,13 +147,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label:
     return Model(names, idf, table, np.array([names.index(r["label"]) for r in found], np.int64), REJECT_SHARE * np.array([least[x] for x in names]))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: its id, lang_pred, score and rejected.
 
     lang_pred is the label of the nearest centroid, score the cosine to it. A text that is null or has no
     letter, and every text if nothing was learned, has `und` and 0 and is rejected. A text that is further from
     its centroid than the label's limit keeps its prediction but is rejected too. Of equally near labels the
-    first in order is taken; equal texts have equal results; other columns are not read.
+    first in order is taken; equal texts have equal results. Other columns are read only if carry names them,
+    and then come as they are in a struct `rest` beside `text`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -175,9 +175,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
                 for (k, _), b, s in zip(own, best.tolist(), likeness[np.arange(len(own)), best].tolist(), strict=True):
                     names[k], scores[k] = m.labels[m.owner[b]], min(1.0, max(0.0, s))
                     rejected[k] = s < m.least[m.owner[b]]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], ["id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(names, pa.string()), pa.array(scores), pa.array(rejected), *(batch[c] for c in kept)], ["id", "lang_pred", "score", "rejected", *kept])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    kept = ("text", "rest") if carry else ()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
+    kinds = f", text string, rest {rows.schema['rest'].dataType.simpleString()}" if carry else ""
+    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean{kinds}").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):
