@@ -1,12 +1,72 @@
-"""Cleans a table of documents in stages; each works on all that the stage before it kept."""
+"""Cleans a table of documents in stages; each works on all that the stage before it kept.
+
+All stages but the last return the columns of documents. The result has, for each document that is kept, its
+id, the number and digest of its token ids and the digest of the text that they decode to.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pixelplan.llm import decontaminate, language, minhash, sentencepiece_bpe, suffix_dedup
+from pixelplan.llm.storage import folder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+REST = ("lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts that are null, have no letter or are like no language that the labelled rows teach."""
+    model = language.fit(docs.where(~language.held_out()))
+    return language.predict(docs, model, carry=REST).where(~F.col("rejected")).select("doc_id", "text", "rest.*").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of near copies, once; rows without an id stay."""
+    classes = minhash.find_classes(docs)
+    others = classes.where("class_id <> doc_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(others, "doc_id", "left_anti")
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1")
+    return first.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated passages out of the texts; drops documents of which nothing but white space is left."""
+    left = suffix_dedup.without_repeats(docs)
+    left = left.where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which a twentieth or more are words of benchmark windows."""
+    found = decontaminate.digest(decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=REST))
+    return found.where(~F.col("contaminated")).select("doc_id", "text", "rest.*").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, as counts and digests."""
+    return sentencepiece_bpe.digest(sentencepiece_bpe.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("contamination", drop_contaminated),
+    ("sentencepiece", encode),
+]
 
-STAGES: list = []
+#: The stages have no SQL form (a fitted model, signatures, bytes); tests hold them against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Applies the stages to documents; each stage's rows are written to the shared folder and read by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    place = folder(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}_{name}")
+        docs = spark.read.parquet(f"{place}/{k}_{name}")
+    return docs
