@@ -1,0 +1 @@
+"""Operators on growing folders of files."""
