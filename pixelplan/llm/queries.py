@@ -57,6 +57,17 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_text, op3_language
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
+    "op4_minhash_dedup": f"""
+with recursive docs as (select doc_id, text, {_WORDS} w from documents),
+shingles as (select doc_id, unnest([w[i:i + 4] for i in range(1, len(w) - 3)]) s from docs where len(w) >= 5),
+bags as (select doc_id, s, count(*) c from shingles group by 1, 2),
+sizes as (select doc_id, sum(c) n from bags group by 1),
+common as (select a.doc_id x, b.doc_id y, sum(least(a.c, b.c)) i from bags a join bags b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where i >= 0.8 * (p.n + q.n - i) union select a.doc_id, b.doc_id from docs a join docs b on a.text = b.text and a.doc_id < b.doc_id),
+both_ as (select x, y from links union select y, x from links),
+reach as (select doc_id, doc_id root from docs union select both_.y, reach.root from reach join both_ on both_.x = reach.doc_id),
+classes as (select doc_id, min(root) class_id from reach group by 1)
+select doc_id, class_id, count(*) over (partition by class_id) class_size from classes""",
     "op6_decontaminate": f"""
 with items as (select cast(item_id as varchar) item, {_WORDS} w from benchmark),
 windows as (select distinct item, unnest([w[i:i + least(13, len(w)) - 1] for i in range(1, len(w) - least(13, len(w)) + 2)]) win from items where len(w) > 0),
