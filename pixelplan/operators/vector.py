@@ -45,3 +45,24 @@ def strip_layout(rows: DataFrame, tiles: int, batch: int = 20) -> DataFrame:
     spine = came.select("strip").distinct().select("strip", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("slot"))
     full = spine.join(came, ["strip", "slot"], "left")
     return full.select("strip", "slot", (F.col("slot") * 256).alias("x"), F.coalesce("got", F.lit(False)).alias("present"), F.expr(f"cast(slot div {batch} as int)").alias("batch"))
+
+
+def inspect(parts_: DataFrame) -> DataFrame:
+    """Number of parts, those that cross themselves, and the range and median of their areas."""
+    area = rings.area(F.col("ring"))
+    return parts_.agg(F.count("*").alias("parts"), F.count_if(rings.self_crossing(F.col("ring"))).alias("invalid"), F.min(area).alias("low"), F.median(area).alias("mid"), F.max(area).alias("high"))
+
+
+def cleaned(polygons: DataFrame, site: str, threshold: float) -> DataFrame:
+    """Polygons to crowns: parts as rows, empty and self-crossing ones and slivers left out, numbered within each site.
+
+    Numbers need an order within a site only, so each site is a group of its own; ids start at 0.
+    """
+    from pyspark.sql import Window
+
+    from ..functions.crowns import size_class
+
+    rows = polygons.select(site, "key", F.posexplode("parts").alias("part", "ring")).where(F.size("ring") > 0)
+    rows = rows.where(~rings.self_crossing(F.col("ring"))).withColumn("area_m2", rings.area(F.col("ring"))).where(F.col("area_m2") >= threshold)
+    number = F.row_number().over(Window.partitionBy(site).orderBy("key", "part")) - 1
+    return rows.select(F.concat(F.col(site), F.lit("_"), number.cast("string")).alias("crown_id"), F.col(site).alias("site"), "area_m2", size_class(F.col("area_m2")).alias("size_class"), "ring")
