@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .text import expand, mix, shingles, slices, utf8, word_hashes
+from .text import expand, mix, packed, shingles, slices, unpacked, utf8, word_hashes
 
 #: Words of a shingle, and the weighted Jaccard similarity from which two texts are linked.
 SHINGLE = 5
@@ -106,11 +106,11 @@ def _banded(batches: Iterator[pa.RecordBatch], n_bands: int, n_rows: int, size:
 
 
 def _bags(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Each text's multiset as a set: the k-th copy of a shingle is an element of its own."""
-    for batch in slices(batches, "text"):
+    """Each packed text's multiset as a set: the k-th copy of a shingle is an element of its own, of 32 bits."""
+    for batch in unpacked(batches, "text"):
         row, hashes, weight = multisets(*word_hashes(*utf8(batch["text"])), size)
         which, copy = expand(np.zeros(len(weight), np.int64), weight)
-        element = mix(hashes[which] + copy.astype(np.uint64) * _OCCURRENCE).view(np.int64)
+        element = (mix(hashes[which] + copy.astype(np.uint64) * _OCCURRENCE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         offsets = np.searchsorted(row[which], np.arange(batch.num_rows + 1))
         yield pa.RecordBatch.from_arrays([batch["node"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(element))], ["node", "bag"])
 
@@ -118,26 +118,32 @@ def _bags(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components of edges (a, b): node, root, the smallest node; nodes without an edge are left out.
 
-    Alternates two steps on the whole set of edges: every larger neighbour of a node is linked to the smallest
-    node around, then every smaller one is. Both are a minimum for each node and a join, so a node with many
-    edges is no task of its own. The edges end as a star around each root.
+    Alternates two steps on the whole set of edges (a above b): every larger neighbour of a node is linked to the
+    smallest node around, then every smaller one is, until each root has a star. Edges are kept dealt by their
+    larger node, which has few of them; the smaller one, which may have very many, is only looked up.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").repartition("a").distinct())
+    before = _sums(now)
     for _ in range(most):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = cut(small)
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        # The smallest node around b is its own smallest smaller neighbour, or b: a is linked to it instead of to b.
+        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        large = now.join(least.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).repartition("a").distinct()
+        # Then all smaller neighbours of a, and a, are linked to the smallest of them.
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        links = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        now = cut(small.select(F.explode(links).alias("e")).select("e.a", "e.b").where("a <> b").repartition("a").distinct())
+        sums = _sums(now)
         if sums == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = sums
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
+def _sums(edges: DataFrame) -> tuple:
+    """Tells whether two sets of edges are the same."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
 def _similar(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough."""
     a, b = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
@@ -145,6 +151,20 @@ def _similar(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both >= F.lit(similarity) * (F.size("bag_a") + F.size("bag_b") - both)).select("a", "b")
 
 
+def _prefixes(bags: DataFrame, similarity: float) -> DataFrame:
+    """The elements of each bag that two similar bags must have one of in common: node, n, key (element), at (its place).
+
+    Elements are ordered by how many of these bags have them, then by themselves; similar bags share one among
+    the first n - similarity * n + 1. Elements of one bag only come first and are needed for the places alone.
+    """
+    each = bags.select("node", F.size("bag").alias("n"), F.explode("bag").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    held = each.join(shared, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("own"))
+    placed = held.select("node", "n", (F.col("n") - F.size("own")).alias("before"), F.posexplode("own").alias("k", "e"))
+    placed = placed.select("node", "n", F.col("e.key").alias("key"), (F.col("before") + F.col("k")).alias("at"))
+    return placed.where(F.col("n") - F.col("at") >= F.lit(similarity) * F.col("n") - 1e-9)
+
+
 def find_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_bands: int = BANDS, n_rows: int = ROWS, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: its id, class_id (the smallest id of its class) and class_size (rows).
 
@@ -152,12 +172,13 @@ def find_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_
     least `similarity` (words: runs of letters, digits and non-ASCII characters, A-Z lower-cased); classes are
     what links connect. Equal texts are one class. A text of fewer words has no shingle and is linked with
     equal texts only. A row with a null id or a null text is a class of its own (class_id: its id). Repeated
-    rows share their class and are counted each.
+    rows share their class and are counted each; other columns are not read.
 
     Candidates are the texts that share a band. In each band's bucket all are compared with the bucket's
-    smallest; if that leaves unlinked parts, each part's smallest is compared with all of the other parts, and
-    then what is left between parts: so no pair that shares a band is lost, and within a linked part not all
-    pairs are made.
+    smallest. Where that leaves unlinked parts, the texts in them are joined by their rarest shingles, which
+    similar texts must share, with bounds on what can follow: each part's smallest is compared with the texts
+    of other parts, and then what is left between parts. So no pair that shares a band is lost, within a linked
+    part not all pairs are made, and between parts only those that may be similar.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     rows = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("b"), "text"))
@@ -171,8 +192,9 @@ def find_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_
     buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").drop("other")
     members = cut(banded.join(buckets, "key").distinct())
     inner = members.select("node").distinct()
-    bags = known.select(F.col("id").alias("node"), "h1", "h2", "text").join(texts, ["h1", "h2", "node"], "left_semi").join(inner, "node", "left_semi")
-    bags = cut(bags.select("node", "text").mapInArrow(lambda batches: _bags(batches, size), f"node {kind}, bag array<long>"))
+    needed = inner.join(texts, "node").select("node", "h1", "h2")
+    bags = packed(known.select(F.col("id").alias("node"), "h1", "h2", "text"), "text").join(needed, ["node", "h1", "h2"], "left_semi").dropDuplicates(["node", "h1", "h2"])
+    bags = cut(bags.select("node", "text").mapInArrow(lambda batches: _bags(batches, size), f"node {kind}, bag array<int>"))
 
     def near(x: str, y: str):
         return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
@@ -181,25 +203,29 @@ def find_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_
     tried = members.where("node <> leader").join(lengths, "leader").where(near("n", "n_leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     edges = cut(_similar(tried, bags, similarity))
     root = components(edges)
+    parts = members.select("key", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = parts.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
+    rest = parts.join(open_, "key", "left_semi").select("node").distinct()
+    prefixes = cut(_prefixes(bags.join(rest, "node", "left_semi"), similarity))
     for last in (False, True):
-        parts = members.drop("leader").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = prefixes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = parts.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
         parts = cut(parts.join(open_, "key", "left_semi"))
         if parts.isEmpty():
             break
         heads = parts.groupBy("key", "root").agg(F.min("node").alias("head"))
-        other = parts.join(heads, ["key", "root"]) if last else parts.join(heads.withColumnRenamed("head", "node"), ["key", "root", "node"], "left_semi")
-        ours = parts.join(heads, ["key", "root"]).where("node <> head") if last else parts
         if last:
-            other = other.where("node <> head")
-        pairs = ours.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a")).join(other.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b")), "key").where((F.col("r_a") != F.col("r_b")) & near("n_a", "n_b"))
-        pairs = pairs.where("a < b") if last else pairs
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = cut(_similar(pairs, bags, similarity))
-        if more.isEmpty() and last:
-            break
-        edges = edges.unionByName(more)
-        root = components(edges)
+            ours = other = parts.join(heads, ["key", "root"]).where("node <> head").drop("head")
+        else:
+            ours, other = parts, parts.join(heads.withColumnRenamed("head", "node"), ["key", "root", "node"], "left_semi")
+        a, b = (x.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "at"))) for x, s in ((ours, "a"), (other, "b")))
+        # At their first common element two bags have at most what is left of either in common.
+        enough = F.least(F.expr("n_a - at_a"), F.expr("n_b - at_b")) >= F.lit(similarity / (1 + similarity)) * F.expr("n_a + n_b") - 1e-9
+        pairs = a.join(b, "key").where((F.col("root_a") != F.col("root_b")) & enough)
+        more = cut(_similar(pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct(), bags, similarity))
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            root = components(edges)
 
     classes = texts.join(root, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("class_id"))
     out = rows.select("id", "h1", "h2", F.col("text").isNull().alias("bare")).join(classes, ["h1", "h2"], "left")
