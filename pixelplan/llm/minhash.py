@@ -188,7 +188,8 @@ def find_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_
 
     banded = known.select("id", "h1", "h2", "text").mapInArrow(lambda batches: _banded(batches, n_bands, n_rows, size), f"id {kind}, h1 long, h2 long, n long, keys array<long>")
     first = texts.withColumnRenamed("node", "id")
-    banded = banded.join(first, ["h1", "h2", "id"], "left_semi").select(F.col("id").alias("node"), "n", F.explode("keys").alias("key"))
+    signed = cut(banded.join(first, ["h1", "h2", "id"], "left_semi").select(F.col("id").alias("node"), "n", "keys"))
+    banded = signed.select("node", "n", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").drop("other")
     members = cut(banded.join(buckets, "key").distinct())
     inner = members.select("node").distinct()
