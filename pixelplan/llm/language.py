@@ -22,6 +22,8 @@ SAMPLE = 1500
 CENTROIDS = 4
 #: Characters of a text that are turned into n-grams at once; long texts are added up.
 BLOCK = 1 << 18
+#: Texts whose vectors are in memory at once when predicting.
+TEXTS = 256
 UNDETERMINED = "und"
 #: A text is rejected if it is less like its nearest centroid than this share of what the least like 1 in 1000
 #: of the texts that the language was learned from is.
@@ -68,8 +70,10 @@ class Model:
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.log1p(counts).astype(np.float32) * idf
-    return out / np.maximum(np.linalg.norm(out, axis=-1, keepdims=True), 1e-12)
+    out = np.log1p(counts, dtype=np.float32)
+    out *= idf
+    out /= np.maximum(np.sqrt(np.einsum("...j,...j->...", out, out))[..., None], 1e-12)
+    return out
 
 
 def cluster(points: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
@@ -83,9 +87,9 @@ def cluster(points: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     centres = points[chosen].copy()
     for _ in range(10):
         own = np.argmax(points @ centres.T, axis=1)
-        for c in range(len(centres)):
-            if (own == c).any():
-                centres[c] = points[own == c].mean(axis=0)
+        member = (own == np.arange(len(centres))[:, None]).astype(np.float32)
+        some = member.any(axis=1)
+        centres[some] = member[some] @ points
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     return centres
 
@@ -163,13 +167,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
         m = shared.value
         for batch in slices(batches, "text"):
             names, scores, rejected = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, np.bool_)
-            rows = []
-            for k, t in enumerate(batch["text"].to_pylist()):
-                counts = gram_counts(t) if t and m.labels else None
-                if counts is not None:
-                    rows.append((k, counts))
-            for part in range(0, len(rows), 256):
-                own = rows[part : part + 256]
+            for begin in range(0, batch.num_rows if m.labels else 0, TEXTS):
+                counted = ((k, gram_counts(t)) for k, t in enumerate(batch["text"].slice(begin, TEXTS).to_pylist(), begin) if t)
+                own = [(k, counts) for k, counts in counted if counts is not None]
+                if not own:
+                    continue
                 likeness = vectors(np.array([c for _, c in own]), m.idf) @ m.centroids.T
                 best = np.argmax(likeness, axis=1)
                 for (k, _), b, s in zip(own, best.tolist(), likeness[np.arange(len(own)), best].tolist(), strict=True):

@@ -6,6 +6,7 @@ the temporary arrays stay small however many rows Spark hands over at once.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,8 +81,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
+def release() -> None:
+    """Gives free memory back to the system: an executor keeps several workers alive between tasks, whose leftovers add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most this many bytes of text, at least one row each."""
+    """The same rows in batches of at most this many bytes of text, at least one row each; at the end free memory is released."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -92,6 +101,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             end = max(begin + 1, int(np.searchsorted(ends, had + most, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    batch = None
+    release()
 
 
 def word_spans(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
