@@ -42,11 +42,12 @@ def ground_resolution(spark, sf_dir):
     "with b as (select c_custkey as \"key\", (20 - c_custkey % 2)::integer zoom, -13620000.0::double + c_custkey * 10 l, 6070000.0::double + c_custkey * 5 t from customer where c_custkey < 200), "
     f"g as (select \"key\", zoom, floor((l + {_H}) / ({_W} / pow(2.0::double, zoom)))::integer col_min, floor((l + 3000 + {_H}) / ({_W} / pow(2.0::double, zoom)))::integer col_max, floor(({_H} - t) / ({_W} / pow(2.0::double, zoom)))::integer row_min, floor(({_H} - (t - 2000)) / ({_W} / pow(2.0::double, zoom)))::integer row_max from b) "
     "select \"key\", zoom, col_min, col_max, row_min, row_max, (col_max - col_min + 1)::bigint * (row_max - row_min + 1) tiles, (col_max - col_min + 1) * 256 width_px, (row_max - row_min + 1) * 256 height_px, "
-    f"round(col_min * ({_W} / pow(2.0::double, zoom)) - {_H}, 6) snap_left, round({_H} - row_min * ({_W} / pow(2.0::double, zoom)), 6) snap_top, round((col_max - col_min + 1)::double * (row_max - row_min + 1) * 256 * 256 * 3 / 1e9 * 0.15::double, 6) est_gb from g"
+    f"round(col_min * ({_W} / pow(2.0::double, zoom)) - {_H}, 6) snap_left, round({_H} - row_min * ({_W} / pow(2.0::double, zoom)), 6) snap_top, round((col_max - col_min + 1)::double * (row_max - row_min + 1) * 256 * 256 * 3 / 1e9 * 0.15::double, 6) est_gb from g",
+    cut="c_custkey < 200",
 )
-def tile_grid(spark, sf_dir):
+def tile_grid(spark, sf_dir, kept):
     key = F.col("c_custkey")
-    boxes = src.table(spark, sf_dir, "customer").where("c_custkey < 200").select(key.alias("key"), (F.lit(20) - key % 2).cast("int").alias("zoom"), (F.lit(-13620000.0) + key * 10).alias("left"), (F.lit(6070000.0) + key * 5).alias("top"))
+    boxes = src.table(spark, sf_dir, "customer").where(kept).select(key.alias("key"), (F.lit(20) - key % 2).cast("int").alias("zoom"), (F.lit(-13620000.0) + key * 10).alias("left"), (F.lit(6070000.0) + key * 5).alias("top"))
     boxes = boxes.withColumns({"right": F.col("left") + 3000, "bottom": F.col("top") - 2000})
     found = grids.tile_grid(boxes).withColumns({c: F.round(c, 6) for c in ("snap_left", "snap_top")})
     return found.select("key", "zoom", "col_min", "col_max", "row_min", "row_max", "tiles", "width_px", "height_px", "snap_left", "snap_top", "est_gb")
@@ -68,10 +69,11 @@ def download_report(spark, sf_dir):
 
 @query(
     f"with t as (select col, status from {DOWNLOADS} where id < 2000), s as (select (col // 10)::integer strip, col % 10 k, bool_or(status = 200) got from t group by 1, 2), m as (select distinct strip from s) "
-    "select strip, k::integer slot, (k * 256)::integer x, coalesce(got, false) present, (k // 4)::integer batch from m cross join (select unnest(range(10)) k) g left join s using (strip, k)"
+    "select strip, k::integer slot, (k * 256)::integer x, coalesce(got, false) present, (k // 4)::integer batch from m cross join (select unnest(range(10)) k) g left join s using (strip, k)",
+    cut="id < 2000",
 )
-def strip_layout(spark, sf_dir):
-    rows = src.downloads(spark, sf_dir).where("id < 2000").select(F.expr("cast(col div 10 as int)").alias("strip"), (F.col("col") % 10).cast("int").alias("slot"), (F.col("status") == 200).alias("got"))
+def strip_layout(spark, sf_dir, kept):
+    rows = src.downloads(spark, sf_dir).where(kept).select(F.expr("cast(col div 10 as int)").alias("strip"), (F.col("col") % 10).cast("int").alias("slot"), (F.col("status") == 200).alias("got"))
     return vector.strip_layout(rows, tiles=10, batch=4)
 
 
@@ -100,10 +102,11 @@ def total_bounds(spark, sf_dir):
 
 @query(
     f"select \"key\", part, py::integer r, px::integer c from (select *, unnest(range(floor(x0)::bigint, ceil(x0 + w)::bigint + 1)) px from (select *, unnest(range(floor(y0)::bigint, ceil(y0 + h)::bigint + 1)) py from {PARTS} where \"key\" < 300)) "
-    "where px + 0.5::double > x0 and px + 0.5::double < x0 + w and py + 0.5::double > y0 and py + 0.5::double < y0 + h"
+    "where px + 0.5::double > x0 and px + 0.5::double < x0 + w and py + 0.5::double > y0 and py + 0.5::double < y0 + h",
+    cut="key < 300",
 )
-def rasterize(spark, sf_dir):
-    return vector.rasterized(vector.parts(src.polygons(spark, sf_dir).where("key < 300"))).select("key", "part", "r", "c")
+def rasterize(spark, sf_dir, kept):
+    return vector.rasterized(vector.parts(src.polygons(spark, sf_dir).where(kept))).select("key", "part", "r", "c")
 
 
 @query("select c_custkey as \"key\", (3857 + c_custkey % 3)::integer epsg from customer")
@@ -136,10 +139,11 @@ def origin_grid(spark, sf_dir):
 
 @query(
     f"with e as (select h from {EXTENTS} where h < 3000), y as (select h, unnest(range(h)) y from e), k as (select h, y, unnest(range(0, (ceil(h / 2048.0::double))::bigint)) k from y) "
-    "select h, k::integer chunk, count(*) as \"rows\", min(y)::integer first_row, max(y)::integer last_row from k where y >= k * 2048 - 300 and y < (k + 1) * 2048 + 300 group by 1, 2"
+    "select h, k::integer chunk, count(*) as \"rows\", min(y)::integer first_row, max(y)::integer last_row from k where y >= k * 2048 - 300 and y < (k + 1) * 2048 + 300 group by 1, 2",
+    cut="h < 3000",
 )
-def halo_chunks(spark, sf_dir):
-    rows = extents(spark).where("h < 3000").select("h", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+def halo_chunks(spark, sf_dir, kept):
+    rows = extents(spark).where(kept).select("h", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
     sent = rows.select("h", "y", F.explode(grids.chunks_of(F.col("y"), F.col("h"), 2048, 300)).alias("chunk"))
     return sent.groupBy("h", "chunk").agg(F.count("*").alias("rows"), F.min("y").alias("first_row"), F.max("y").alias("last_row"))
 

@@ -38,10 +38,10 @@ def window_read(spark, sf_dir):
     return raster.window(src.pixels(spark, sf_dir), 2, 1, 4, 3).select("raster_id", "r", "c", "v")
 
 
-@query(f"select raster_id, r, c, band, round((v / 255.0::double - m) / s, 8) x from {PIXELS} join (values (0, 0.485::double, 0.229::double), (1, 0.456, 0.224), (2, 0.406, 0.225)) b(band, m, s) on raster_id % 3 = band where raster_id < 200")
-def normalise_pixels(spark, sf_dir):
+@query(f"select raster_id, r, c, band, round((v / 255.0::double - m) / s, 8) x from {PIXELS} join (values (0, 0.485::double, 0.229::double), (1, 0.456, 0.224), (2, 0.406, 0.225)) b(band, m, s) on raster_id % 3 = band where raster_id < 200", cut="raster_id < 200")
+def normalise_pixels(spark, sf_dir, kept):
     bands = spark.createDataFrame([(k, m, s) for k, (m, s) in enumerate(zip(_MEAN, _STD, strict=True))], "band int, m double, s double")
-    rows = src.pixels(spark, sf_dir).where("raster_id < 200").withColumn("band", (F.col("raster_id") % 3).cast("int"))
+    rows = src.pixels(spark, sf_dir).where(kept).withColumn("band", (F.col("raster_id") % 3).cast("int"))
     return rows.join(F.broadcast(bands), "band").select("raster_id", "r", "c", "band", F.round(raster.normalised(F.col("v"), F.col("m"), F.col("s")), 8).alias("x"))
 
 
@@ -126,10 +126,10 @@ def dtm_coverage(spark, sf_dir):
     return raster.coverage(raster.distance_transform(src.masks(spark, sf_dir), "raster_id", "label"), "raster_id", 64)
 
 
-@query(f"select raster_id, r, c, p.v rgb, round(coalesce(dtm, 0), 6) dtm from {PIXELS} p left join {_DTM} d using (raster_id, r, c) where raster_id < 100")
-def rgb_dtm_pair(spark, sf_dir):
-    rgb = src.pixels(spark, sf_dir).where("raster_id < 100")
-    dtm = raster.distance_transform(src.masks(spark, sf_dir).where("raster_id < 100"), "raster_id", "label").select("raster_id", "r", "c", "dtm")
+@query(f"select raster_id, r, c, p.v rgb, round(coalesce(dtm, 0), 6) dtm from {PIXELS} p left join {_DTM} d using (raster_id, r, c) where raster_id < 100", cut="raster_id < 100")
+def rgb_dtm_pair(spark, sf_dir, kept):
+    rgb = src.pixels(spark, sf_dir).where(kept)
+    dtm = raster.distance_transform(src.masks(spark, sf_dir).where(kept), "raster_id", "label").select("raster_id", "r", "c", "dtm")
     return rgb.join(dtm, ["raster_id", "r", "c"], "left").select("raster_id", "r", "c", F.col("v").alias("rgb"), F.round(F.coalesce("dtm", F.lit(0.0)), 6).alias("dtm"))
 
 
@@ -199,9 +199,9 @@ def f1_by_group(spark, sf_dir):
     return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query(f"select raster_id, r.r, c.c, v from (select unnest(range(-2, 10))::integer r) r, (select unnest(range(-2, 10))::integer c) c, (select raster_id, r pr, c pc, v from {PIXELS} where raster_id < 50) p where pr = case when r.r < 0 then -r.r when r.r >= 8 then 14 - r.r else r.r end and pc = case when c.c < 0 then -c.c when c.c >= 8 then 14 - c.c else c.c end")
-def reflect_pad(spark, sf_dir):
-    return raster.padded(src.pixels(spark, sf_dir).where("raster_id < 50"), "raster_id", 8, 2)
+@query(f"select raster_id, r.r, c.c, v from (select unnest(range(-2, 10))::integer r) r, (select unnest(range(-2, 10))::integer c) c, (select raster_id, r pr, c pc, v from {PIXELS} where raster_id < 50) p where pr = case when r.r < 0 then -r.r when r.r >= 8 then 14 - r.r else r.r end and pc = case when c.c < 0 then -c.c when c.c >= 8 then 14 - c.c else c.c end", cut="raster_id < 50")
+def reflect_pad(spark, sf_dir, kept):
+    return raster.padded(src.pixels(spark, sf_dir).where(kept), "raster_id", 8, 2)
 
 
 @query(f"select site_no, r, c, arg_max(v, raster_id) v from {PIXELS} group by 1, 2, 3")
@@ -219,10 +219,11 @@ def focal_max(spark, sf_dir):
 
 @query(
     f"with recursive m as (select raster_id, r, c, r * 8 + c id from {PIXELS} where v >= 120 and raster_id < 100), e as (select a.raster_id, a.id a, b.id b from m a join m b on a.raster_id = b.raster_id and abs(a.r - b.r) + abs(a.c - b.c) = 1), "
-    "w as (select raster_id, id, id root from m union select e.raster_id, e.b, w.root from w join e on w.raster_id = e.raster_id and w.id = e.a) select raster_id, (id // 8)::integer r, (id % 8)::integer c, min(root)::integer component from w group by raster_id, id"
+    "w as (select raster_id, id, id root from m union select e.raster_id, e.b, w.root from w join e on w.raster_id = e.raster_id and w.id = e.a) select raster_id, (id // 8)::integer r, (id % 8)::integer c, min(root)::integer component from w group by raster_id, id",
+    cut="raster_id < 100",
 )
-def components(spark, sf_dir):
-    found = segment.components(src.pixels(spark, sf_dir).where("v >= 120 and raster_id < 100"), "raster_id", 8)
+def components(spark, sf_dir, kept):
+    found = segment.components(src.pixels(spark, sf_dir).where("v >= 120").where(kept), "raster_id", 8)
     return found.select("raster_id", "r", "c", "component")
 
 

@@ -13,33 +13,36 @@ LOSSES = "(select (user_id % 5)::integer fold, row_number() over (partition by u
 _BEST = f"(select *, coalesce(val_mae < best_before, true) is_best from (select *, min(val_mae) over (partition by fold order by epoch rows between unbounded preceding and 1 preceding) best_before from {LOSSES}))"
 
 
-@query(f"select fold, epoch, val_mae, best_before, is_best from {_BEST}")
-def running_best(spark, sf_dir):
-    return training.running_best(src.losses(spark, sf_dir))
+@query(f"select fold, epoch, val_mae, best_before, is_best from {_BEST}", cut="event_id < 600")
+def running_best(spark, sf_dir, kept):
+    return training.running_best(src.losses(spark, sf_dir, kept))
 
 
 @query(
     f"with s as (select *, max(case when is_best then epoch end) over (partition by fold order by epoch) since from {_BEST}), t as (select fold, coalesce(min(epoch) filter (epoch - since >= 25), max(epoch)) stop_epoch from s group by 1) "
-    f"select t.fold, stop_epoch, min(val_mae) best from t join {LOSSES} l on l.fold = t.fold and epoch <= stop_epoch group by 1, 2"
+    f"select t.fold, stop_epoch, min(val_mae) best from t join {LOSSES} l on l.fold = t.fold and epoch <= stop_epoch group by 1, 2",
+    cut="event_id < 600",
 )
-def early_stop(spark, sf_dir):
-    return training.early_stop(src.losses(spark, sf_dir), DEFAULTS["early_stop_patience"])
+def early_stop(spark, sf_dir, kept):
+    return training.early_stop(src.losses(spark, sf_dir, kept), DEFAULTS["early_stop_patience"])
 
 
 @query(
     f"with f as (select fold, count(*) epochs, min(val_mae) best, (min({{'v': val_mae, 'e': epoch}})).e best_epoch from {LOSSES} group by 1) "
-    "select fold, epochs, best, best_epoch, mean_best, std_best, all_epochs from f, (select round(avg(best), 6) mean_best, round(stddev_pop(best), 6) std_best, sum(epochs)::bigint all_epochs from f)"
+    "select fold, epochs, best, best_epoch, mean_best, std_best, all_epochs from f, (select round(avg(best), 6) mean_best, round(stddev_pop(best), 6) std_best, sum(epochs)::bigint all_epochs from f)",
+    cut="event_id < 600",
 )
-def fold_summary(spark, sf_dir):
-    return training.fold_summary(src.losses(spark, sf_dir))
+def fold_summary(spark, sf_dir, kept):
+    return training.fold_summary(src.losses(spark, sf_dir, kept))
 
 
-@query(f"select fold, epoch, val_mae * 2 train_total, val_mae from {LOSSES}")
-def loss_unpivot(spark, sf_dir):
-    rows = src.losses(spark, sf_dir)
-    arrays = rows.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("epoch", "val_mae"))).alias("e"))
-    histories = arrays.select("fold", F.transform("e", lambda x: x["val_mae"] * 2).alias("train_total"), F.transform("e", lambda x: x["val_mae"]).alias("val_mae"))
-    return training.unpivoted(histories)
+@query(f"select fold, epoch, val_mae * 2 train_total, val_mae from {LOSSES}", cut="event_id < 600")
+def loss_unpivot(spark, sf_dir, kept):
+    rows = src.losses(spark, sf_dir, kept)
+    runs = rows.groupBy("fold", training.block().alias("run"))
+    arrays = runs.agg(F.min("epoch").alias("first"), F.array_sort(F.collect_list(F.struct("epoch", "val_mae"))).alias("e"))
+    histories = arrays.select("fold", "first", F.transform("e", lambda x: x["val_mae"] * 2).alias("train_total"), F.transform("e", lambda x: x["val_mae"]).alias("val_mae"))
+    return training.unpivoted(histories, "first")
 
 
 @query("select range::integer epoch, round(1e-4::double * case when range < 5 then (range + 1) / 5.0::double else 1 end, 12) lr from range(100)")

@@ -10,11 +10,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under its own name, with its SQL twin if there is one."""
+def query(oracle: str | None = None, cut: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its own name, with its SQL twin if there is one.
+
+    cut: the filter on ids that the twin has. The function then takes it as a third argument and is registered
+    twice: under its own name with the twin's filter, and as NAME_whole, without a twin, on whole tables.
+    """
 
     def add(function):
-        QUERIES[function.__name__] = function
+        if cut is None:
+            QUERIES[function.__name__] = function
+        else:
+            QUERIES[function.__name__] = lambda spark, sf_dir: function(spark, sf_dir, cut)
+            QUERIES[f"{function.__name__}_whole"] = lambda spark, sf_dir: function(spark, sf_dir, "true")
         if oracle:
             ORACLES[function.__name__] = oracle
         return function

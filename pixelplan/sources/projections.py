@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mercator
 from ..functions.crowns import size_class, tile_name
+from ..operators.tables import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +46,12 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("tile_name", tile_name(F.col("site"), F.col("row_off"), F.col("col_off")))
 
 
-def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fold, epoch (from 1), val_mae."""
-    rows = table(spark, sf_dir, "events").where("event_id < 600").select((F.col("user_id") % 5).cast("int").alias("fold"), "event_id", F.col("value").alias("val_mae"))
-    return rows.select("fold", F.row_number().over(Window.partitionBy("fold").orderBy("event_id")).alias("epoch"), "val_mae")
+def losses(spark: SparkSession, sf_dir: str, kept: str = "true") -> DataFrame:
+    """fold, epoch (from 1), val_mae: numbered over ranges of events, so that a fold is not one window."""
+    rows = table(spark, sf_dir, "events").where(kept).select((F.col("user_id") % 5).cast("int").alias("fold"), "event_id", F.col("value").alias("val_mae"))
+    placed = numbered(rows, "fold", "event_id")
+    starts = placed.groupBy(F.col("fold").alias("_fold")).agg((F.min("number") - 1).alias("_start"))
+    return placed.join(F.broadcast(starts), F.col("fold").eqNullSafe(F.col("_fold"))).select("fold", (F.col("number") - F.col("_start")).alias("epoch"), "val_mae")
 
 
 def photos(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
