@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import document_frequencies
-from .text import expand, slices, utf8, word_hashes
+from .text import expand, shingles, slices, utf8, word_hashes
 
 # The phrases that the contract names, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -32,9 +32,7 @@ TEMPLATES = [
     ("reserved", "all rights reserved", ["all rights reserved"]),
 ]
 
-#: The rarest words of a template that are posted in the index.
-POSTED = 4
-#: Words that a passage may have gained or lost on the way to a rare word.
+#: Words that a passage may have gained or lost on the way to a mandatory phrase.
 SLACK = 6
 #: Share of a template, weighted by rarity, that must stand at its place.
 COVER = 0.6
@@ -58,34 +56,49 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 
 class Index:
-    """Postings (word, template, place) of each template's rarest words, by inverse document frequency over the scanned texts."""
+    """Postings (word, template, place) of the rarest word of each mandatory phrase, by inverse document frequency over the scanned texts.
+
+    A template needs all its phrases, so no passage that has them is lost, whatever other words it lacks.
+    """
 
     def __init__(self, frequency: dict[int, int], rows: int):
         self.all = templates()
         self.words = [_hashes(t.words) for t in self.all]
         self.keys = [[_hashes(k) for k in t.keys] for t in self.all]
-        rarity = lambda h: np.log((1 + rows) / (1 + np.array([frequency.get(int(x), 0) for x in h.view(np.int64)]))) + 1e-3
-        self.rarity = [rarity(h) for h in self.words]
+        # A word of no text tells nothing about a passage: it weighs nothing in the cover.
+        count = lambda h: np.array([frequency.get(int(x), 0) for x in shingles(h, 1).view(np.int64)])
+        self.rarity = [np.where(count(h) > 0, np.log((1 + rows) / (1 + count(h))) + 1e-3, 0.0) for h in self.words]
         postings = []
         for t, h in enumerate(self.words):
-            order = np.lexsort((np.arange(len(h)), -self.rarity[t]))
-            postings += [(int(h[at]), t, int(at)) for at in order[: 1 if self.all[t].base else POSTED]]
+            df = count(h)
+            for key in self.keys[t]:
+                begin = next(k for k in range(len(h)) if (h[k : k + len(key)] == key[: len(h) - k]).all() and k + len(key) <= len(h))
+                at = begin + int(df[begin : begin + len(key)].argmin())
+                postings.append((int(h[at]), t, at, begin, len(key)))
         postings.sort()
         self.key = np.array([p[0] for p in postings], np.uint64)
         self.template = np.array([p[1] for p in postings])
         self.place = np.array([p[2] for p in postings])
-        self.posted = np.bincount(self.template, minlength=len(self.all))
+        self.phrases = [(begin, self.words[t][begin : begin + n]) for _, t, _, begin, n in postings]
         self.seen = np.zeros(1 << 16, np.bool_)
         self.seen[self.key & np.uint64(65535)] = True
 
     def candidates(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, template and start (word of the batch) of every posting that a rare word of a text meets."""
+        """Row, template and start (word of the batch) of every posting that a rare word of a text meets and whose phrase stands there."""
         at = np.flatnonzero(self.seen[words & np.uint64(65535)])
         lo, hi = np.searchsorted(self.key, words[at]), np.searchsorted(self.key, words[at], "right")
         which, posting = expand(lo, hi - lo)
         at = at[which]
         row = np.searchsorted(first, at, "right") - 1
-        return row, self.template[posting], at - self.place[posting]
+        start = at - self.place[posting]
+        good = np.zeros(len(at), np.bool_)
+        for p in np.unique(posting):
+            begin, phrase = self.phrases[p]
+            own = np.flatnonzero(posting == p)
+            s = start[own] + begin
+            own = own[(s >= first[row[own]]) & (s + len(phrase) <= first[row[own] + 1])]
+            good[own] = (words[(start[own] + begin)[:, None] + np.arange(len(phrase))] == phrase).all(axis=1)
+        return row[good], self.template[posting[good]], start[good]
 
     def scan(self, words: np.ndarray, first: np.ndarray) -> tuple[list[dict[str, float]], list[set[str]], np.ndarray, np.ndarray]:
         """For each row the labels with their scores and those of base phrases; row and first word of each place of a base phrase."""
@@ -114,8 +127,6 @@ class Index:
             if b == a:
                 continue
             r, t = int(row[a]), int(template[a])
-            if b - a < max(1, self.posted[t] // 2):
-                continue
             lo, hi = max(int(first[r]), int(start[a]) - SLACK), min(int(first[r + 1]), int(start[b - 1]) + len(self.words[t]) + SLACK)
             score = self._verify(words[lo:hi], t)
             if score >= COVER:
@@ -149,7 +160,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     have equal results of their own; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    vocabulary = np.unique(np.concatenate([_hashes(t.words) for t in templates()]))
+    vocabulary = np.unique(shingles(np.concatenate([_hashes(t.words) for t in templates()]), 1))
     frequency = document_frequencies(rows, "text", {1: vocabulary})[1]
     index = docs.sparkSession.sparkContext.broadcast(Index(frequency, docs.count()))
     kind = rows.schema["id"].dataType.simpleString()

@@ -42,3 +42,12 @@ def test_base_phrases_equal_brute_force(spark):
     assert got[n].base_labels == "" and got[n + 1].score < 1
     assert got[len(texts)][1:] == got[len(texts) - 1][1:]
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_one_variant_in_all_texts(spark):
+    whole = {label: t for label, t, _ in licenses.TEMPLATES}
+    mit = whole["mit"].replace(" and to permit persons to whom the software is furnished to do so", "")
+    isc = whole["isc"].removeprefix("permission to use copy modify ")
+    docs = spark.createDataFrame([(i, f"file {i} " + (isc if i % 2 else mit) if i < 20 else f"plain text {i}") for i in range(1000)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(docs)).collect()}
+    assert [got[i] for i in range(1000)] == ["mit", "isc"] * 10 + [""] * 980
