@@ -2,7 +2,7 @@
 
 An agenda holds the adjacent pairs of symbols that join to a piece of the vocabulary; the pair of the highest
 score (of equals the leftmost) is merged first, and its new neighbours join the agenda, until none is left.
-In every batch the sentencepiece library encodes and decodes a share of the rows too; if it differs in one of
+In every batch the sentencepiece library encodes and decodes the rows too, all unless told otherwise; if it differs in one of
 them, the whole batch is the library's and its rows that differ are marked.
 """
 
@@ -28,7 +28,7 @@ MERGED_TOGETHER = 48
 #: Bytes of text that are encoded at once.
 SLICE = 1 << 20
 #: One in so many rows is checked against the library, by the checksum of its text; 1 checks all.
-CHECK_EVERY = 16
+CHECK_EVERY = 1
 _NEVER = 1 << 62
 _LOW = (1 << 20) - 1
 

@@ -61,6 +61,11 @@ def test_digest(spark):
     assert sentencepiece_bpe.encode_texts(docs.limit(0), PATH).count() == 0
 
 
+def test_every_row_is_checked(spark):
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(200)], "doc_id long, text string")
+    assert {r.agrees for r in sentencepiece_bpe.encode_texts(docs, PATH).collect()} == {True}
+
+
 def test_library_wins_where_it_differs():
     with open(PATH, "rb") as file:
         wrong = sentencepiece_bpe.Vocabulary(file.read())
