@@ -50,6 +50,7 @@ class Node:
     tag: str
     parent: Node | None
     dropped: bool = False
+    named: bool = False  # by a word of its class or id only
     parts: list = field(default_factory=list)  # texts and nodes, in order
     chars: int = 0
     tags: int = 0
@@ -62,19 +63,20 @@ class Node:
         return (x for x in self.parts if isinstance(x, Node))
 
 
-def _marked(tag: str, raw: str, inside_article: bool) -> bool:
-    """Whether an element and all it holds is no part of an article, by its name and attributes."""
+def _marked(tag: str, raw: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element and all it holds is no part of an article, by its name and attributes, and whether only its class or id says so."""
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
+        return True, False
     if not raw or tag in KEPT:
-        return False
+        return False, False
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return True
+        return True, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
+        return True, False
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return not MARKS.isdisjoint(_BETWEEN.split(_CAMEL.sub(" ", names).lower()))
+    named = not MARKS.isdisjoint(_BETWEEN.split(_CAMEL.sub(" ", names).lower()))
+    return named, named
 
 
 def parse(page: str) -> Node:
@@ -130,18 +132,48 @@ def parse(page: str) -> Node:
                     node = node.parent
                 if last is not None:
                     close(last)
-        node = Node(tag, now, _marked(tag, m[3], articles > 0))
+        node = Node(tag, now, *_marked(tag, m[3], articles > 0))
         now.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
-            node.dropped = True
+            node.dropped, node.named = True, False
         elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCKS and tag != "hr":
             articles += tag in ("article", "main")
             now = node
+    _keep_wrappers(root)
     return root
 
 
+def _keep_wrappers(root: Node) -> None:
+    """Elements that only a class or id marks stay if they hold a main element, the article element with the most text, or most of the page's characters outside links.
+
+    What is dropped for another reason counts for nothing; a marked element within one that stays is judged alike.
+    """
+    order, stack = [], [(root, False)]
+    while stack:
+        node, link = stack.pop()
+        if node.dropped and not node.named:
+            continue
+        order.append((node, link))
+        stack.extend((x, link or x.tag == "a") for x in node.children())
+    if not any(node.named for node, _ in order):
+        return
+    plain: dict[int, int] = {}
+    for node, link in reversed(order):
+        n = 0 if link else sum(len("".join(html.unescape(x).split())) for x in node.parts if isinstance(x, str))
+        plain[id(node)] = n + sum(plain.get(id(x), 0) for x in node.children())
+    articles = [node for node, _ in order if node.tag == "article"]
+    holds: set[int] = set()
+    for node in [*(node for node, _ in order if node.tag == "main"), *([max(articles, key=lambda x: plain[id(x)])] if articles else [])]:
+        while node is not None and id(node) not in holds:
+            holds.add(id(node))
+            node = node.parent
+    for node, _ in order:
+        if node.named and (id(node) in holds or 2 * plain[id(node)] > plain[id(root)]):
+            node.dropped = False
+
+
 def measure(root: Node) -> None:
     """Characters, tags and densities of every node that is not dropped.
 

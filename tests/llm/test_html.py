@@ -21,6 +21,15 @@ def test_article_without_what_is_around(wrap):
     assert html.main_text(AROUND % (wrap % INNER)).split("\n") == ARTICLE
 
 
+@pytest.mark.parametrize("names", ["class='content-sidebar-wrap'", "class='layout has-sidebar'", "id='page-with-nav'", "class='related-work'"])
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", "<div>%s</div>"])
+def test_wrappers_named_after_what_they_hold_stay(names, wrap):
+    long = INNER + "<p>" + "More words of the article. " * 20 + "</p>"
+    want = [*ARTICLE, " ".join(["More words of the article."] * 20)]
+    page = f"<body><nav><a href=x>menu</a></nav><section {names}>{wrap % long}<div class='sidebar'><p>Read these too.</p></div></section></body>"
+    assert html.main_text(page).split("\n") == want
+
+
 def test_sections_stay_together():
     parts = ["".join(f"<p>{'words of section %d ' % k * (3 + 4 * k)}</p>" for _ in range(k + 1)) for k in range(3)]
     page = "<body><nav><a href=x>menu</a></nav><div>" + "".join(f"<section>{p}</section>" for p in parts) + "</div></body>"
