@@ -7,7 +7,7 @@ id, the number and digest of its token ids and the digest of the text that they
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelplan.llm import decontaminate, language, minhash, sentencepiece_bpe, suffix_dedup
@@ -24,12 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near copies, once; rows without an id stay."""
-    classes = minhash.find_classes(docs)
-    others = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(others, "doc_id", "left_anti")
-    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1")
-    return first.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Keeps one document of each class of near copies, that with the smallest id; null texts stay."""
+    return minhash.drop_copies(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,10 @@ SIMILARITY = 0.8
 #: 36 bands of 7 slots: texts of similarity 0.8 share a band with probability 0.9998, of 0.4 with 0.06.
 BANDS = 36
 ROWS = 7
+#: Bytes and rows of text that are signed at once, and parts that a node's lookups are dealt to in components.
+SIGNED_BYTES = 1 << 18
+SIGNED_ROWS = 1024
+SALT = 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OCCURRENCE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -92,17 +96,20 @@ def bands(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _banded(batches: Iterator[pa.RecordBatch], n_bands: int, n_rows: int, size: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 1 << 20):
-        row, hashes, weight = multisets(*word_hashes(*utf8(batch["text"])), size)
-        n = np.bincount(row, weights=weight, minlength=batch.num_rows).astype(np.int64)
+def _signed(batches: Iterator[pa.RecordBatch], n_bands: int, n_rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """For each row its text's number of shingles and its bands; null for all but the first of equal texts of a slice."""
+    for batch in slices(batches, "text", SIGNED_BYTES, SIGNED_ROWS):
+        names = np.column_stack([batch["h1"].to_numpy(), batch["h2"].to_numpy()])
+        fresh = np.sort(np.unique(names, axis=0, return_index=True)[1])
+        row, hashes, weight = multisets(*word_hashes(*utf8(batch["text"].take(pa.array(fresh)))), size)
         own = np.unique(row)
-        if not len(own):
-            continue
         keys = bands(signatures(np.searchsorted(own, row), hashes, weight, len(own), n_bands * n_rows), n_bands, n_rows)
-        at = pa.array(own)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, n_bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in ("id", "h1", "h2")), pa.array(n[own]), lists], ["id", "h1", "h2", "n", "keys"])
+        n, many = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        n[fresh] = np.bincount(row, weights=weight, minlength=len(fresh))
+        many[fresh[own]] = n_bands
+        offsets = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)), mask=pa.array(many == 0))
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "h1", "h2")), pa.array(n, mask=many == 0), lists], ["id", "h1", "h2", "n", "keys"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -120,14 +127,17 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Alternates two steps on the whole set of edges (a above b): every larger neighbour of a node is linked to the
     smallest node around, then every smaller one is, until each root has a star. Edges are kept dealt by their
-    larger node, which has few of them; the smaller one, which may have very many, is only looked up.
+    larger node, which has few of them; the smaller one, which may have very many, is only looked up, with a salt.
+    Raises if `most` rounds do not settle; the rounds number about the logarithm of the longest chain, and
+    nothing is dropped.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").repartition("a").distinct())
     before = _sums(now)
     for _ in range(most):
         # The smallest node around b is its own smallest smaller neighbour, or b: a is linked to it instead of to b.
         least = now.groupBy("a").agg(F.min("b").alias("m"))
-        large = now.join(least.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).repartition("a").distinct()
+        dealt = least.select(F.col("a").alias("b"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        large = now.withColumn("salt", F.pmod(F.hash("a"), F.lit(SALT))).join(dealt, ["b", "salt"], "left").select("a", F.coalesce("m", "b").alias("b")).repartition("a").distinct()
         # Then all smaller neighbours of a, and a, are linked to the smallest of them.
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         links = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -165,56 +175,34 @@ def _prefixes(bags: DataFrame, similarity: float) -> DataFrame:
     return placed.where(F.col("n") - F.col("at") >= F.lit(similarity) * F.col("n") - 1e-9)
 
 
-def find_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_bands: int = BANDS, n_rows: int = ROWS, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: its id, class_id (the smallest id of its class) and class_size (rows).
+def _classes(known: DataFrame, n_bands: int, n_rows: int, size: int, similarity: float) -> DataFrame:
+    """For each distinct text of known (id, h1, h2, text without nulls), by its hashes: class_id, class_size and first.
 
-    Texts are linked if the multisets of their runs of `size` words have a weighted Jaccard similarity of at
-    least `similarity` (words: runs of letters, digits and non-ASCII characters, A-Z lower-cased); classes are
-    what links connect. Equal texts are one class. A text of fewer words has no shingle and is linked with
-    equal texts only. A row with a null id or a null text is a class of its own (class_id: its id). Repeated
-    rows share their class and are counted each; other columns are not read.
-
-    Candidates are the texts that share a band. In each band's bucket all are compared with the bucket's
-    smallest. Where that leaves unlinked parts, the texts in them are joined by their rarest shingles, which
-    similar texts must share, with bounds on what can follow: each part's smallest is compared with the texts
-    of other parts, and then what is left between parts. So no pair that shares a band is lost, within a linked
-    part not all pairs are made, and between parts only those that may be similar.
+    A text is a node of its own whatever ids it stands under: nodes are numbers given to the distinct texts once.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    rows = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("b"), "text"))
-    known = rows.where("id is not null and text is not null")
-    texts = known.groupBy("h1", "h2").agg(F.min("id").alias("node"))
-    kind = rows.schema["id"].dataType.simpleString()
-
-    banded = known.select("id", "h1", "h2", "text").mapInArrow(lambda batches: _banded(batches, n_bands, n_rows, size), f"id {kind}, h1 long, h2 long, n long, keys array<long>")
-    first = texts.withColumnRenamed("node", "id")
-    signed = cut(banded.join(first, ["h1", "h2", "id"], "left_semi").select(F.col("id").alias("node"), "n", "keys"))
-    banded = signed.select("node", "n", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").drop("other")
-    members = cut(banded.join(buckets, "key").distinct())
-    inner = members.select("node").distinct()
-    needed = inner.join(texts, "node").select("node", "h1", "h2")
-    bags = packed(known.select(F.col("id").alias("node"), "h1", "h2", "text"), "text").join(needed, ["node", "h1", "h2"], "left_semi").dropDuplicates(["node", "h1", "h2"])
-    bags = cut(bags.select("node", "text").mapInArrow(lambda batches: _bags(batches, size), f"node {kind}, bag array<int>"))
-
-    def near(x: str, y: str):
-        return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-
-    lengths = members.groupBy("node").agg(F.max("n").alias("n_leader")).withColumnRenamed("node", "leader")
-    tried = members.where("node <> leader").join(lengths, "leader").where(near("n", "n_leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    kind = known.schema["id"].dataType.simpleString()
+    signed = known.mapInArrow(lambda batches: _signed(batches, n_bands, n_rows, size), f"id {kind}, h1 long, h2 long, n long, keys array<long>")
+    texts = signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n", True).alias("n"), F.first("keys", True).alias("keys"))
+    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
+    banded = texts.where("keys is not null").select("node", "n", F.explode("keys").alias("key"))
+    # Small sides are kept before a join: so each side is a shuffle of its own, of which Spark splits the hot partitions.
+    buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"), F.min_by("n", "node").alias("n_leader"))
+    members = cut(banded.join(cut(buckets.where("leader < other").drop("other")), "key"))
+    needed = members.select("node").distinct().join(texts.select("node", "h1", "h2"), "node")
+    once = packed(known.select("h1", "h2", "text"), "text").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    bags = cut(needed.join(once, ["h1", "h2"]).select("node", "text").mapInArrow(lambda batches: _bags(batches, size), "node long, bag array<int>"))
+
+    near = F.least("n", "n_leader") >= F.lit(similarity) * F.greatest("n", "n_leader")
+    tried = members.where("node <> leader").where(near).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     edges = cut(_similar(tried, bags, similarity))
     root = components(edges)
-    parts = members.select("key", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = parts.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
-    rest = parts.join(open_, "key", "left_semi").select("node").distinct()
+    rest = _open(members, root).select("node").distinct()
     prefixes = cut(_prefixes(bags.join(rest, "node", "left_semi"), similarity))
     for last in (False, True):
-        parts = prefixes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = parts.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
-        parts = cut(parts.join(open_, "key", "left_semi"))
+        parts = cut(_open(prefixes, root))
         if parts.isEmpty():
             break
-        heads = parts.groupBy("key", "root").agg(F.min("node").alias("head"))
+        heads = cut(parts.groupBy("key", "root").agg(F.min("node").alias("head")))
         if last:
             ours = other = parts.join(heads, ["key", "root"]).where("node <> head").drop("head")
         else:
@@ -228,9 +216,66 @@ def find_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_
             edges = edges.unionByName(more)
             root = components(edges)
 
-    classes = texts.join(root, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("class_id"))
-    out = rows.select("id", "h1", "h2", F.col("text").isNull().alias("bare")).join(classes, ["h1", "h2"], "left")
-    out = cut(out.select("id", F.when(F.col("bare") | F.col("id").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id")))
-    sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = out.join(sizes, "class_id", "left").select("id", "class_id", F.when(F.col("class_id").isNull(), F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
-    return out.withColumnRenamed("id", id_col)
+    linked = texts.select("node", "h1", "h2", "id", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    head = F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "h1", "h2")).alias("head")
+    classes = linked.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), head)
+    out = linked.join(classes, "root").select("h1", "h2", "class_id", "class_size", ((F.col("head.h1") == F.col("h1")) & (F.col("head.h2") == F.col("h2"))).alias("first"))
+    return cut(out)
+
+
+def _open(members: DataFrame, root: DataFrame) -> DataFrame:
+    """The rows of members (key, node) with their node's root, of keys whose nodes have several."""
+    parts = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = parts.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
+    return parts.join(cut(keys), "key", "left_semi")
+
+
+def _named(text: str):
+    """Two hashes that a text is known by."""
+    return F.xxhash64(text), F.xxhash64(F.lit("b"), text)
+
+
+def find_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_bands: int = BANDS, n_rows: int = ROWS, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each row of docs: its id, class_id (the smallest id of its class) and class_size (rows).
+
+    Texts are linked if the multisets of their runs of `size` words have a weighted Jaccard similarity of at
+    least `similarity` (words: runs of letters, digits and non-ASCII characters, A-Z lower-cased); classes are
+    what links connect. Equal texts are one class, whatever their ids; different texts under one id are not
+    linked by it. A text of fewer words has no shingle and is linked with equal texts only. Null ids are left
+    out of class_id, which is null if a class has no other; a null text is a class of its own (class_id: its
+    id). Repeated rows share their class and are counted each; other columns are not read, so names that clash
+    do not matter. An empty table gives none.
+
+    Candidates are the texts that share a band. In each band's bucket all are compared with the bucket's
+    smallest. Where that leaves unlinked parts, the texts in them are joined by their rarest shingles, which
+    similar texts must share, with bounds on what can follow: each part's smallest is compared with the texts
+    of other parts, and then what is left between parts. So no pair that shares a band is lost, within a linked
+    part not all pairs are made, and between parts only those that may be similar.
+    """
+    h1, h2 = _named("text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumns({"h1": h1, "h2": h2})
+    classes = _classes(rows.where("text is not null"), n_bands, n_rows, size, similarity)
+    out = rows.where("text is not null").select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "class_id", "class_size")
+    bare = rows.where("text is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return out.unionByName(bare).withColumnRenamed("id", id_col)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of docs, all columns as they are, but one of each class of find_classes: the one with the smallest id.
+
+    Rows are told apart by id and text, so different texts under one id are kept or dropped each for itself.
+    Of a class without ids, of several similar texts under its smallest id, and of repeated rows, one stays.
+    Rows with a null text stay. settings are those of find_classes. Columns may have any names.
+    """
+    columns = docs.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    h1, h2 = _named(f"row.`{text}`")
+    rows = docs.select(row.alias("row")).withColumns({"h1": h1, "h2": h2, "own": F.xxhash64(f"row.`{id_col}`")})
+    known = rows.where(F.col(f"row.`{text}`").isNotNull())
+    given = known.select(F.col(f"row.`{id_col}`").alias("id"), "h1", "h2", F.col(f"row.`{text}`").alias("text"))
+    classes = _classes(given, **({"n_bands": BANDS, "n_rows": ROWS, "size": SHINGLE, "similarity": SIMILARITY} | settings))
+    first = classes.where("first").select("h1", "h2", F.xxhash64("class_id").alias("own"))
+    # Repeated rows are one before the shuffle, and the rows of one text are dealt by their ids: no key is hot.
+    single = known.groupBy("h1", "h2", "own").agg(F.first("row").alias("row"))
+    kept = single.join(first, ["h1", "h2", "own"], "left_semi").select("row.*")
+    return kept.unionByName(rows.where(F.col(f"row.`{text}`").isNull()).select("row.*")).toDF(*columns)

@@ -1,6 +1,6 @@
 """Vectorised helpers on UTF-8 buffers, shared by the text operators.
 
-All of them work on Arrow batches inside Spark tasks; a batch is cut into slices of a few MB, so that
+All of them work on Arrow batches inside Spark tasks; a batch is cut into slices of half a MB, so that
 the temporary arrays stay small however many rows Spark hands over at once.
 """
 
@@ -15,8 +15,12 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-#: Bytes of text that one slice holds (a single longer row is a slice of its own).
-SLICE_BYTES = 1 << 21
+#: Bytes of text and rows that one slice holds (a single longer row is a slice of its own).
+SLICE_BYTES = 1 << 19
+SLICE_ROWS = 4096
+#: Bytes whose words are hashed at once, and powers that a worker keeps.
+HASHED_BYTES = 1 << 17
+POWERS_KEPT = 1 << 20
 
 #: Upper-case ASCII becomes lower-case; every ASCII byte that is no letter or digit becomes a blank.
 WORD_TABLE = np.full(256, 32, np.uint8)
@@ -41,14 +45,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and those of its inverse."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _powers[name] = np.multiply.accumulate(row)
-    return _powers["up"][:n], _powers["down"][:n]
+    """The first n powers of an odd base modulo 2**64, and those of its inverse; a worker keeps those for usual slices only."""
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"][:n], _powers["down"][:n]
+    made = {}
+    for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
+        row = np.full(1 << max(16, (n - 1).bit_length()) if n <= POWERS_KEPT else n, base, np.uint64)
+        row[0] = 1
+        made[name] = np.multiply.accumulate(row)
+    if n <= POWERS_KEPT:
+        _powers.update(made)
+    return made["up"][:n], made["down"][:n]
 
 
 class Rolling:
@@ -89,8 +96,8 @@ def release() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most this many bytes of text, at least one row each; at the end free memory is released."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most this many bytes of text and rows, at least one row each; at the end free memory is released."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -98,7 +105,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         ends, begin = np.cumsum(size), 0
         while begin < batch.num_rows:
             had = ends[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(ends, had + most, "right")))
+            end = min(max(begin + 1, int(np.searchsorted(ends, had + most, "right"))), begin + rows)
             yield batch.slice(begin, end - begin)
             begin = end
     batch = None
@@ -125,11 +132,9 @@ def word_spans(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def word_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and each row's first word (one more for the end)."""
     low, start, end, first = word_spans(data, rows)
-    if len(low) <= 2 * SLICE_BYTES:
-        return Rolling(low).spans(start, end), first
     out, k = np.empty(len(start), np.uint64), 0
-    while k < len(start):  # a very long row, some words at a time
-        stop = max(k + 1, int(np.searchsorted(end, start[k] + SLICE_BYTES, "right")))
+    while k < len(start):  # some words at a time, so that the sums stay small
+        stop = max(k + 1, int(np.searchsorted(end, start[k] + HASHED_BYTES, "right")))
         at = start[k]
         out[k:stop] = Rolling(low[at : end[stop - 1]]).spans(start[k:stop] - at, end[k:stop] - at)
         k = stop

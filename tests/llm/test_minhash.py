@@ -32,10 +32,13 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = rows[i], rows[j]
-            if None not in (*a, *b) and (a[1] == b[1] or similarity(bags[i], bags[j]) >= 0.8):
+            if None not in (a[1], b[1]) and (a[1] == b[1] or similarity(bags[i], bags[j]) >= 0.8):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return [rows[find(i)][0] for i in range(len(rows))]
+    ids = {}
+    for i, (name, _) in enumerate(rows):
+        ids.setdefault(find(i), []).append(name)
+    return [(min((x for x in ids[find(i)] if x is not None), default=None), len(ids[find(i)])) for i in range(len(rows))]
 
 
 def corpus():
@@ -53,7 +56,7 @@ def corpus():
         rows.append(" ".join(passage + r.choices(words, k=r.randint(18, 60))))
     for _ in range(30):
         rows.append(" ".join(r.choices(words, k=r.randint(1, 80))))
-    return [(i, t) for i, t in enumerate(rows)] + [(3, "one"), (None, "one")]
+    return [(i, t) for i, t in enumerate(rows)] + [(3, "one"), (None, "one"), (3, "two words"), (None, "other words"), (None, None), (None, None), (12, " ".join(base)), (12, "lone text under a used id")]
 
 
 def test_signatures_are_unbiased():
@@ -78,8 +81,45 @@ def test_bags_count_copies():
 def test_classes_equal_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, class_id string, n int").repartition(4)
-    got = Counter((r.doc_id, r.class_id) for r in minhash.find_classes(docs).collect())
-    assert got == Counter((r[0], c) for r, c in zip(rows, brute(rows), strict=True))
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in minhash.find_classes(docs).collect())
+    assert got == Counter((r[0], *c) for r, c in zip(rows, brute(rows), strict=True))
+
+
+def test_one_row_of_each_class_stays(spark):
+    rows = corpus() + [(5, "t1 alone"), (5, "t2 shared"), (3, "t2 shared"), (9, "t3"), (9, "t3"), (None, "n1"), (None, "n1"), (None, "n2")]
+    docs = spark.createDataFrame([(t, i, "h", k) for k, (i, t) in enumerate(rows)], "text string, doc_id long, h1 string, row int").repartition(4)
+    kept = minhash.drop_copies(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert all(rows[r.row] == (r.doc_id, r.text) for r in got)
+    root = brute(rows)
+    names = {}  # the classes, by what find_classes says of a text
+    for (i, t), (c, n) in zip(rows, root, strict=True):
+        if t is not None:
+            names.setdefault(t, (c, n))
+    assert sum(r.text is None for r in got) == sum(t is None for _, t in rows)
+    known = [r for r in got if r.text is not None]
+    assert all(r.doc_id == names[r.text][0] for r in known)
+    assert len(known) == len({*_classes_of(rows)})
+
+
+def _classes_of(rows):
+    """The classes of texts that are not null, each as its set of rows."""
+    root, bags = list(range(len(rows))), [bag(t) for _, t in rows]
+    find = lambda i: i if root[i] == i else find(root[i])
+    known = [i for i, (_, t) in enumerate(rows) if t is not None]
+    for i in known:
+        for j in known:
+            if j < i and (rows[i][1] == rows[j][1] or similarity(bags[i], bags[j]) >= 0.8):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {find(i) for i in known}
+
+
+def test_clashing_names_and_no_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 2, 3), (2, "a b c d e f", 2, 3)], "doc_id long, text string, own int, row int")
+    assert [tuple(r) for r in minhash.drop_copies(docs).collect()] == [(1, "a b c d e f", 2, 3)]
+    assert minhash.drop_copies(docs.limit(0)).count() == 0
 
 
 def test_no_rows(spark):
