@@ -35,11 +35,17 @@ ENDS = {
 #: Elements that never hold an article's text.
 DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video map nav aside footer form button select input textarea label fieldset dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
-#: Words of class and id names that mark what surrounds an article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adslot adsbygoogle banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended related reply respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Words of class and id names that mark what surrounds an article, alone or as a part of a name.
+MARKS = frozenset("ad ads advert adverts advertisement advertising adslot adsbygoogle breadcrumb breadcrumbs comments commentlist consent cookie cookies disqus gdpr masthead menu menus nav navbar navigation newsletter pager pagination paywall popup promo promoted sidebar sidebars signup sponsored subscribe toolbar".split())
+#: Words that mark so as a whole name; as a part of a name only with links or controls as evidence.
+UNSURE = frozenset("banner banners comment footer header modal notice notices notification promotion recommended related reply respond share sharing skip social sponsor widget widgets".split())
+#: Elements that a doubtful word can mark, and those that no class or id marks.
+CONTAINERS = frozenset("address center details div dl fieldset figure hgroup ol section table ul".split())
+CONTROLS = frozenset("form button input select textarea".split())
 KEPT = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BETWEEN = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -51,6 +57,7 @@ class Node:
     parent: Node | None
     dropped: bool = False
     named: bool = False  # by a word of its class or id only
+    doubtful: bool = False  # a part of its class or id speaks against it
     parts: list = field(default_factory=list)  # texts and nodes, in order
     chars: int = 0
     tags: int = 0
@@ -63,20 +70,25 @@ class Node:
         return (x for x in self.parts if isinstance(x, Node))
 
 
-def _marked(tag: str, raw: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element and all it holds is no part of an article, by its name and attributes, and whether only its class or id says so."""
+def _marked(tag: str, raw: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element and all it holds is no part of an article, by its name and attributes; whether only its class or id says so; whether they cast a doubt."""
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True, False
+        return True, False, False
     if not raw or tag in KEPT:
-        return False, False
+        return False, False, False
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return True, False
+        return True, False, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True, False
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    named = not MARKS.isdisjoint(_BETWEEN.split(_CAMEL.sub(" ", names).lower()))
-    return named, named
+        return True, False, False
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    whole = {x.lower() for x in names}
+    if tag not in CONTAINERS:
+        named = not MARKS.isdisjoint(whole)
+        return named, named, False
+    parts = {x for name in names for x in _BETWEEN.split(_CAMEL.sub(" ", name).lower())}
+    named = not MARKS.isdisjoint(parts) or not UNSURE.isdisjoint(whole)
+    return named, named, not named and not UNSURE.isdisjoint(parts)
 
 
 def parse(page: str) -> Node:
@@ -97,13 +109,13 @@ def parse(page: str) -> Node:
         m = _TAG.search(page, at)
         begin = m.start() if m else size
         if begin > at:
-            now.parts.append(page[at:begin])
+            now.parts.append(html.unescape(page[at:begin]))
         if not m:
             break
         at, name = m.end(), m[2]
         if not name:
             if m[0].startswith("<![CDATA["):
-                now.parts.append(html.escape(m[0][9:].removesuffix("]]>")))
+                now.parts.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = name.lower()
         if m[1]:
@@ -161,7 +173,7 @@ def _keep_wrappers(root: Node) -> None:
         return
     plain: dict[int, int] = {}
     for node, link in reversed(order):
-        n = 0 if link else sum(len("".join(html.unescape(x).split())) for x in node.parts if isinstance(x, str))
+        n = 0 if link else sum(len("".join(x.split())) for x in node.parts if isinstance(x, str))
         plain[id(node)] = n + sum(plain.get(id(x), 0) for x in node.children())
     articles = [node for node, _ in order if node.tag == "article"]
     holds: set[int] = set()
@@ -179,7 +191,8 @@ def measure(root: Node) -> None:
 
     A node's density is its characters per tag, adjusted by a logarithm whose argument grows with the characters
     and tags that are not in links, and whose base grows with the share of link characters; total is the sum of
-    its children's densities.
+    its children's densities. A doubtful node is dropped if half of its text or more is in links or it has
+    controls; else it stays but adds nothing to its parent's total.
     """
     order, stack = [], [(root, False)]
     while stack:
@@ -191,7 +204,7 @@ def measure(root: Node) -> None:
             if isinstance(x, Node):
                 stack.append((x, link or x.tag == "a"))
             else:
-                n = len("".join(html.unescape(x).split()))
+                n = len("".join(x.split()))
                 node.chars += n
                 node.link_chars += n * link
     for node, link in reversed(order):
@@ -201,21 +214,28 @@ def measure(root: Node) -> None:
                 node.tags += x.tags + 1
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags + (x.tag == "a" or link)
+        node.dropped = node.doubtful and (2 * node.link_chars >= node.chars or _controls(node))
     whole = next((x for x in root.children() if x.tag == "body"), root)
     share = whole.link_chars / max(1, whole.chars)
     for node, _ in reversed(order):
-        if node.chars:
+        if node.chars and not node.dropped:
             links, other, tags = max(1, node.link_chars), max(1, node.chars - node.link_chars), max(1, node.tags)
             base = math.log(node.chars / other * links + share * node.chars + math.e)  # above 1
             node.density = max(0.0, node.chars / tags * math.log(node.chars / links * tags / max(1, node.link_tags)) / math.log(base))
-        node.total = sum(x.density for x in node.children() if not x.dropped)
+        node.total = sum(x.density for x in node.children() if not x.dropped and not x.doubtful)
+
+
+def _controls(node: Node) -> bool:
+    """Whether there is a form or a control among an element's children or theirs."""
+    return any(x.tag in CONTROLS or any(y.tag in CONTROLS for y in x.children()) for x in node.children())
 
 
 def select(root: Node) -> tuple[Node | None, float]:
     """The subtree of the article and the threshold: the least density on the path from it to the body.
 
-    The node with the largest sum of its children's densities is the core; it grows to an ancestor as long as
-    that holds another part as dense as the threshold, or of the same kind and not mainly links, but not beyond the outermost article or main element.
+    The node with the largest sum of its children's densities is the core; it grows to the outermost ancestor
+    that holds another part as dense as the threshold, or of the same kind and not mainly links, or text or a
+    heading of its own. Names of elements such as article or main have no say.
     """
     whole = next((x for x in root.children() if x.tag == "body"), root)
     best, stack = None, [whole]
@@ -223,29 +243,19 @@ def select(root: Node) -> tuple[Node | None, float]:
         node = stack.pop()
         if node.chars and (best is None or (node.total, node.density) > (best.total, best.density)):
             best = node
-        stack.extend([x for x in reversed(node.parts) if isinstance(x, Node) and not x.dropped])
+        stack.extend([x for x in reversed(node.parts) if isinstance(x, Node) and not x.dropped and not x.doubtful])
     if best is None:
         return None, 0.0
     path = [best]
     while path[-1] is not whole:
         path.append(path[-1].parent)
     threshold = min(x.density for x in path)
-    outer = max((k for k, x in enumerate(path) if x.tag in ("article", "main")), default=None)
-    if outer is not None:
-        return path[outer], threshold
     for k in range(len(path) - 1, 0, -1):
-        others = [x for x in path[k].children() if x is not path[k - 1] and not x.dropped and x.chars]
-        alike = any(x.density >= threshold or x.tag == path[k - 1].tag and 2 * x.link_chars < x.chars for x in others)
+        others = [x for x in path[k].children() if x is not path[k - 1] and not x.dropped and not x.doubtful and x.chars]
+        alike = any(x.density >= threshold or x.tag in HEADINGS or x.tag == path[k - 1].tag and 2 * x.link_chars < x.chars for x in others)
         if alike or any(isinstance(x, str) and x.strip() for x in path[k].parts):
-            best = path[k]
-            break
-    inner = best
-    while (found := [x for x in inner.children() if not x.dropped and x.chars]) and inner.tag not in ("article", "main"):
-        dense = max(found, key=lambda x: x.chars)
-        if dense.tag not in BLOCKS or dense.chars < 0.5 * inner.chars:
-            break
-        inner = dense
-    return (inner if inner.tag in ("article", "main") else best), threshold
+            return path[k], threshold
+    return best, threshold
 
 
 def _menu(node: Node, threshold: float) -> bool:
@@ -259,7 +269,7 @@ def blocks(node: Node, threshold: float) -> list[str]:
     held: list[str] = []
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         held.clear()
         if text:
             out.append(text)

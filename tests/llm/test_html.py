@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 
 from pixelplan.llm import html
@@ -58,6 +61,88 @@ def test_densities():
     assert root.parts[0].total == first.density + second.density
 
 
+def plain_density(tree, share, linked=False):
+    """Characters, tags, link characters, link tags and density of a tree (tag, parts), from the definition."""
+    tag, parts = tree
+    linked = linked or tag == "a"
+    chars = sum(len(x) for x in parts if isinstance(x, str))
+    out = [chars, 0, chars * linked, 0]
+    for x in parts:
+        if not isinstance(x, str):
+            c, t, lc, lt, _ = plain_density(x, share, linked)
+            out = [out[0] + c, out[1] + t + 1, out[2] + lc, out[3] + lt + (linked or x[0] == "a")]
+    c, t, lc, lt = out
+    if not c:
+        return (*out, 0.0)
+    base = math.log(c / max(1, c - lc) * max(1, lc) + share * c + math.e)
+    return (*out, max(0.0, c / max(1, t) * math.log(c / max(1, lc) * max(1, t) / max(1, lt)) / math.log(base)))
+
+
+def test_densities_and_choice_equal_the_definition():
+    r = random.Random(4)
+
+    def grow(depth):
+        parts = [r.choice(["div", "section"])]
+        own = [("x" * r.randint(1, 40)) if r.random() < 0.5 or depth == 0 else grow(depth - 1) if r.random() < 0.7 else ("a", ["y" * r.randint(1, 20)]) for _ in range(r.randint(1, 4))]
+        return (parts[0], own)
+
+    def text(tree):
+        return f"<{tree[0]}>" + "".join(x if isinstance(x, str) else text(x) for x in tree[1]) + f"</{tree[0]}>"
+
+    def every(tree):
+        return [tree, *(y for x in tree[1] if not isinstance(x, str) for y in every(x))]
+
+    for _ in range(200):
+        tree = ("body", [grow(3), grow(2)])
+        c, _, lc, _, _ = plain_density(tree, 0)
+        share = lc / c
+        root = html.parse(text(tree))
+        html.measure(root)
+        nodes, stack = [], [root.parts[0]]
+        while stack:
+            node = stack.pop()
+            nodes.append(node)
+            stack.extend(reversed(list(node.children())))
+        links = []
+
+        def mark(t, linked=False):
+            links.append(linked)
+            for x in t[1]:
+                if not isinstance(x, str):
+                    mark(x, linked or t[0] == "a")
+
+        mark(tree)
+        want = [plain_density(t, share, inside) for t, inside in zip(every(tree), links, strict=True)]
+        assert [(n.chars, n.tags, n.link_chars, n.link_tags, n.density) for n in nodes] == want
+        sums = {id(t): sum(plain_density(x, share)[4] for x in t[1] if not isinstance(x, str)) for t in every(tree)}
+        assert [n.total for n in nodes if n.tag != "a"] == pytest.approx([sums[id(t)] for t in every(tree) if t[0] != "a"])
+        core = max(nodes, key=lambda n: (n.total, n.density))
+        found, threshold = html.select(root)
+        path = [core]
+        while path[-1] is not root.parts[0]:
+            path.append(path[-1].parent)
+        assert threshold == min(n.density for n in path) and found in path
+
+
+def test_names_inside_the_article_do_not_remove_it():
+    body = "".join(f"<p>{'words of paragraph %d ' % k * 6}</p>" for k in range(4))
+    page = f"<body><nav><a href=x>menu</a></nav><div><h2 class='header'>Heading</h2><p class='notice-period'>Three months.</p><div class='market-share'>A third of it.</div><p class='comment'>A remark.</p>{body}<div class='share-buttons'><a href=x>Share</a></div><div class='post-comments'><p>I think so too.</p></div></div><div class='cookie-bar'>Cookies here, yes?</div></body>"
+    lines = html.main_text(page).split("\n")
+    assert lines[:4] == ["Heading", "Three months.", "A third of it.", "A remark."] and len(lines) == 8
+
+
+def test_article_elements_have_no_say():
+    body = "".join(f"<p>{'words of paragraph %d ' % k * 9}</p>" for k in range(3))
+    assert html.main_text(f"<body><article><a href=x>Other</a> <a href=y>teasers</a></article><div><h1>T</h1>{body}</div></body>").startswith("T\nwords of paragraph 0")
+
+
+def test_references_end_with_their_text_and_quotes_with_their_tag():
+    assert html.main_text("<p>&not<b>in;</b> &am<i>p;</i></p>") == "\u00acin; &amp;"
+    assert html.main_text('<p class="x>bad') == "bad"
+    assert html.main_text("<p>one</p><p title='a>b' class=\"x>two</p><p>three</p>") == "one\ntwo\nthree"
+    assert html.main_text("<p>a <![CDATA[&amp;]]> b") == "a &amp; b"
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", AROUND % INNER, "t"), (2, None, None, "t"), (3, "u", "", "t"), (None, "u", "<p>x" + " long" * 50000, "t"), (1, "u", AROUND % INNER, "t")], "page_id long, url string, html string, text string")
     got = html.extract(pages).collect()
