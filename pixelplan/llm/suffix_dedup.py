@@ -8,7 +8,8 @@ each of them a pass over the corpus. Three things make that fit:
 * Each window of `width` bytes has an anchor, the smallest hash among its spans of `span` bytes (the leftmost
   of equals). Equal windows have equal anchors at equal offsets, so windows are compared only where their
   anchors' bytes are the same, and most of the corpus needs no construction at all.
-* Windows that share one anchor are a run of at most width + (width - span) bytes. Equal runs are settled by counting.
+* Windows that share one anchor are a run of at most width + (width - span) bytes. Where all runs of an anchor
+  are equal (by 64-bit hashes of the anchor and of the run) they are settled by counting, without an order.
 * The remaining runs are aligned at their anchors. Equal windows then start in the same column, so a round
   compares suffixes that start in one column, and the rounds number as many as an aligned run has columns.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut as cut_lineage
-from .text import SLICE_BYTES, Rolling, expand, mix, packed, slices, unpacked, utf8
+from .text import SLICE_BYTES, Rolling, expand, mix, packed, release, slices, unpacked, utf8
 
 #: Bytes of the strings that are removed wherever they start twice.
 WIDTH = 200
@@ -138,30 +139,32 @@ def repeats(strings: list[bytes], anchors: np.ndarray, width: int = WIDTH, span:
     return twice.T, leads.T
 
 
-def find_repeats(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, span: int = SPAN, group: int = GROUP) -> DataFrame:
-    """Spans (lo, hi: bytes from the text's start) of docs that repeated strings cover, by id and hash of the text.
+def find_repeats(docs: DataFrame, text: str, width: int = WIDTH, span: int = SPAN, group: int = GROUP) -> DataFrame:
+    """Spans (lo, hi: bytes from the text's start) that repeated strings cover, by the text's hashes h1 and h2.
 
-    A row for each group of neighbouring windows, unmerged: id, h, spans (array of lo, hi, lo, hi ...).
+    A row for each group of neighbouring windows of a distinct text, unmerged: h1, h2, spans (array of lo, hi, lo,
+    hi ...). A text that stands in several rows is worked on once; it is covered from end to end.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.hash(text).alias("h"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = docs.select(*_named(F.col(text)), F.col(text).alias("text")).where("text is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             r = runs(*utf8(batch["text"]), width, span)
             at = pa.array(r["row"])
             where = r["lo"] << 24 | (r["hi"] - r["lo"]) << 12 | r["anchor"] - r["lo"]
-            yield pa.RecordBatch.from_arrays([pa.array(r["key"]), pa.array(r["same"]), batch["id"].take(at), batch["h"].take(at), pa.array(where)], ["key", "same", "id", "h", "where"])
+            yield pa.RecordBatch.from_arrays([pa.array(r["key"]), pa.array(r["same"]), batch["h1"].take(at), batch["h2"].take(at), pa.array(where)], ["key", "same", "h1", "h2", "where"])
 
-    found = rows.mapInArrow(cut, f"key long, same long, id {kind}, h int, where long")
+    found = rows.mapInArrow(cut, "key long, same long, h1 long, h2 long, where long")
     shared = found.groupBy("key").agg(F.count("*").alias("n"), F.min("same").alias("a"), F.max("same").alias("b")).where("n > 1").select("key", F.when(F.col("a") == F.col("b"), F.lit(0)).otherwise(F.ceil(F.col("n") / group)).cast("int").alias("groups"))
-    # One row for each run whose anchor stands elsewhere too; groups is 0 where all its runs are equal.
-    joined = found.select("key", "id", "h", "where").join(shared, "key").groupBy("id", "h").agg(F.collect_list(F.struct("where", "groups", "key")).alias("runs"))
-    whole = packed(rows, "text")
-    held = joined.join(whole, (joined["id"].eqNullSafe(whole["id"])) & (joined["h"] == whole["h"])).select(joined["id"], joined["h"], "runs", "text")
+    # Kept first, so that it is a shuffle of its own and Spark splits the partition of an anchor that very many runs have.
+    shared = cut_lineage(shared)
+    # One entry for each run whose anchor stands elsewhere too, once for each text; groups is 0 where all its runs are equal.
+    joined = found.select("key", "h1", "h2", "where").join(shared, "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("where", "groups", "key")).alias("runs"))
+    once = packed(rows, "text").groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    held = joined.join(once, ["h1", "h2"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Equal runs become spans at once; the others go on with their bytes."""
+        """Equal runs and repeated texts become spans at once; the other runs go on with their bytes."""
         for batch in unpacked(batches, "text"):
             data, first = utf8(batch["text"])
             lists = batch["runs"]
@@ -171,22 +174,23 @@ def find_repeats(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, sp
             lo, n, anchor = where >> 24, where >> 12 & 4095, where & 4095
             end = lo + n + width
             done = groups == 0
-            spans = _by_row(row[done], lo[done], end[done], batch.num_rows)
-            full = np.array([x is not None for x in spans])
-            take = pa.array(np.flatnonzero(full))
+            size, again = np.diff(first), np.flatnonzero(batch["copies"].to_numpy() > 1)
+            again = again[size[again] >= width]
+            spans = _by_row(np.concatenate([row[done], again]), np.concatenate([lo[done], np.zeros(len(again), np.int64)]), np.concatenate([end[done], size[again]]), batch.num_rows)
+            take = pa.array([k for k, x in enumerate(spans) if x is not None], pa.int64())
             k = len(take)
             if k:
-                yield _records(batch["id"].take(take), batch["h"].take(take), pa.array([x for x in spans if x is not None], pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()))
+                yield _records(batch["h1"].take(take), batch["h2"].take(take), pa.array([x for x in spans if x is not None], pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()))
             rest = np.flatnonzero(~done)
             if len(rest):
                 take = pa.array(row[rest])
-                salt = mix((lo[rest] * 31 + row[rest]).astype(np.uint64) ^ np.asarray(batch["h"].take(take)).astype(np.int64).view(np.uint64)) % groups[rest].astype(np.uint64)
+                salt = mix((lo[rest] * 31).astype(np.uint64) ^ batch["h1"].take(take).to_numpy().view(np.uint64)) % groups[rest].astype(np.uint64)
                 begin, stop = first[row[rest]] + lo[rest], first[row[rest]] + end[rest]
                 raw = data.tobytes()
-                yield _records(batch["id"].take(take), batch["h"].take(take), pa.array(np.column_stack([lo[rest], anchor[rest], groups[rest].astype(np.int64)]).tolist(), pa.list_(pa.int64())), pa.array(key[rest]), pa.array(salt.view(np.int64)), pa.array([raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], pa.binary()))
+                yield _records(batch["h1"].take(take), batch["h2"].take(take), pa.array(np.column_stack([lo[rest], anchor[rest], groups[rest].astype(np.int64)]).tolist(), pa.list_(pa.int64())), pa.array(key[rest]), pa.array(salt.view(np.int64)), pa.array([raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], pa.binary()))
 
-    shape = f"id {kind}, h int, spans array<long>, key long, salt long, bytes binary"
-    settled = held.mapInArrow(settle, shape).repartition("key", "salt", F.when(F.col("key").isNull(), F.xxhash64("id", "h"))).sortWithinPartitions("key", "salt")
+    shape = "h1 long, h2 long, spans array<long>, key long, salt long, bytes binary"
+    settled = held.mapInArrow(settle, shape).repartition("key", "salt", F.when(F.col("key").isNull(), F.col("h1"))).sortWithinPartitions("key", "salt")
 
     def construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Passes on finished spans, orders the other runs, some whole groups at a time."""
@@ -194,7 +198,7 @@ def find_repeats(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, sp
         for batch in batches:
             free = batch.filter(pa.compute.is_null(batch["key"]))
             if free.num_rows:
-                yield pa.RecordBatch.from_arrays([free["id"], free["h"], free["spans"], *(pa.nulls(free.num_rows, pa.int64()) for _ in range(4))], _OUT)
+                yield pa.RecordBatch.from_arrays([free["h1"], free["h2"], free["spans"], *(pa.nulls(free.num_rows, pa.int64()) for _ in range(4))], _OUT)
             own = batch.filter(pa.compute.is_valid(batch["key"]))
             if not own.num_rows:
                 continue
@@ -208,20 +212,26 @@ def find_repeats(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, sp
                 waiting = table.slice(last).to_batches()
         if waiting:
             yield from _ordered(pa.Table.from_batches(waiting), width, span)
+        release()
 
-    made = cut_lineage(settled.mapInArrow(construct, f"id {kind}, h int, spans array<long>, w1 long, w2 long, at long, n long"))
-    spans = made.where("w1 is null").select("id", "h", "spans")
-    windows = made.where("w1 is not null").select("id", "h", "w1", "w2", "at", "n")
-    across = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
-    more = windows.where("n = 1").join(across, ["w1", "w2"]).select("id", "h", F.array("at", F.col("at") + width).alias("spans"))
+    made = cut_lineage(settled.mapInArrow(construct, "h1 long, h2 long, spans array<long>, w1 long, w2 long, at long, n long"))
+    spans = made.where("w1 is null").select("h1", "h2", "spans")
+    windows = made.where("w1 is not null").select("h1", "h2", "w1", "w2", "at", "n")
+    across = cut_lineage(windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1"))
+    more = windows.where("n = 1").join(across, ["w1", "w2"]).select("h1", "h2", F.array("at", F.col("at") + width).alias("spans"))
     return spans.unionByName(more)
 
 
-_OUT = ["id", "h", "spans", "w1", "w2", "at", "n"]
+def _named(text):
+    """Two hashes that a text is known by."""
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("b"), text).alias("h2")
+
+
+_OUT = ["h1", "h2", "spans", "w1", "w2", "at", "n"]
 
 
 def _records(*columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns), ["id", "h", "spans", "key", "salt", "bytes"])
+    return pa.RecordBatch.from_arrays(list(columns), ["h1", "h2", "spans", "key", "salt", "bytes"])
 
 
 def merged(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +264,7 @@ def _ordered(table: pa.Table, width: int, span: int) -> Iterator[pa.RecordBatch]
     start = lo[row] + column - left[row]
     spans = _by_row(row, start, start + width, len(strings))
     keep = pa.array([k for k, s in enumerate(spans) if s is not None], pa.int64())
-    ids, h = table["id"].combine_chunks(), table["h"].combine_chunks()
+    ids, h = table["h1"].combine_chunks(), table["h2"].combine_chunks()
     if len(keep):
         nulls = [pa.nulls(len(keep), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([ids.take(keep), h.take(keep), pa.array([s for s in spans if s is not None], pa.list_(pa.int64())), *nulls], _OUT)
@@ -266,25 +276,29 @@ def _ordered(table: pa.Table, width: int, span: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([ids.take(at), h.take(at), pa.nulls(len(r), pa.list_(pa.int64())), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(lo[r] + c - left[r]), pa.array(np.where(leads[r, c], 2, 1).astype(np.int64))], _OUT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, span: int = SPAN, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, span: int = SPAN, group: int = GROUP) -> DataFrame:
     """docs with columns kept (binary: the text's UTF-8 bytes without repeats), n_bytes, n_removed and n_spans.
 
     A byte goes if a string of `width` bytes covers it that also starts anywhere else in the table, in the
     same text or another. Null and empty texts and those of fewer than width bytes have no such string and
     are kept whole (null as no bytes). Repeated rows are documents of their own, so their strings start
-    twice. All columns of docs are returned, but for any that are called kept, n_bytes, n_removed or n_spans.
+    twice; rows are told apart by their texts only, so ids may be null or repeat. All columns of docs are
+    returned, whatever their names, but for any that are called kept, n_bytes, n_removed or n_spans. An empty
+    table gives none.
     """
-    spans = find_repeats(docs, id_col, text, width, span, group).groupBy("id", "h").agg(F.collect_list("spans").alias("_spans"))
-    rows = docs.drop("kept", "n_bytes", "n_removed", "n_spans").withColumn("_h", F.hash(text))
-    kinds = rows.drop("_h").schema
-    joined = _joined(packed(rows, text), spans, id_col)
-    fields = list(kinds.fields)
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "kept binary, n_bytes long, n_removed long, n_spans long"])
+    spans = find_repeats(docs, text, width, span, group).groupBy("h1", "h2").agg(F.collect_list("spans").alias("spans"))
+    others = [f for f in docs.schema.fields if f.name not in ("kept", "n_bytes", "n_removed", "n_spans", text)]
+    rest = F.struct(F.lit(True).alias("on"), *(F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(others)))
+    rows = docs.select(*_named(F.col(f"`{text}`")), F.col(f"`{text}`").alias("text"), rest.alias("rest"))
+    joined = packed(rows, "text").join(cut_lineage(spans), ["h1", "h2"], "left").select("rest", "text", "spans")
+    shape = f"rest {joined.schema['rest'].dataType.simpleString()}, text string, kept binary, n_bytes long, n_removed long, n_spans long"
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, batch in _with_text(batches, text):
+        tool = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "text", SLICE_BYTES // 4):
+            whole = [None if x is None else tool.decompress(x) for x in batch["text"].to_pylist()]
             kept, facts = [], []
-            for raw, found in zip(whole, batch["_spans"].to_pylist(), strict=True):
+            for raw, found in zip(whole, batch["spans"].to_pylist(), strict=True):
                 raw = raw or b""
                 if not found:
                     kept.append(raw)
@@ -296,25 +310,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)))
                 facts.append((len(raw), int((end - lo).sum()), len(lo)))
             n = np.array(facts, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(pa.array(whole, pa.binary()).cast(pa.string()) if f.name == text else batch[f.name] for f in fields), pa.array(kept, pa.binary()), *(pa.array(n[:, k].copy()) for k in range(3))], [*(f.name for f in fields), "kept", "n_bytes", "n_removed", "n_spans"])
-
-    return joined.mapInArrow(strip, out)
-
-
-def _with_text(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[list[bytes | None], pa.RecordBatch]]:
-    tool = zstandard.ZstdDecompressor()
-    for batch in slices(batches, text, SLICE_BYTES // 4):
-        yield [None if x is None else tool.decompress(x) for x in batch[text].to_pylist()], batch
-
+            yield pa.RecordBatch.from_arrays([batch["rest"], pa.array(whole, pa.binary()).cast(pa.string()), pa.array(kept, pa.binary()), *(pa.array(n[:, k].copy()) for k in range(3))], ["rest", "text", "kept", "n_bytes", "n_removed", "n_spans"])
 
-def _joined(rows: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
-    spans = spans.select(F.col("id").alias("_id"), F.col("h").alias("_hh"), "_spans")
-    return rows.join(spans, rows[id_col].eqNullSafe(spans["_id"]) & (rows["_h"] == spans["_hh"]), "left").drop("_id", "_hh", "_h")
+    out = joined.mapInArrow(strip, shape)
+    place = {f.name: F.col(f"rest.c{k}") for k, f in enumerate(others)} | {text: F.col("text")}
+    return out.select(*(place[c].alias(c) for c in docs.columns if c in place), "kept", "n_bytes", "n_removed", "n_spans")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with what remove_repeats keeps as their text, and n_removed; halves of characters at an edge are left out. Null stays null."""
-    cleaned = remove_repeats(docs, id_col, text)
+    cleaned = remove_repeats(docs, text)
     whole = F.col("kept").cast("string")
     valid = F.when(F.is_valid_utf8(whole), whole).otherwise(F.translate(F.make_valid_utf8(whole), "\ufffd", ""))
     return cleaned.withColumn(text, F.when(F.col(text).isNull() | (F.col("n_removed") == 0), F.col(text)).otherwise(valid)).drop("kept", "n_bytes", "n_spans")

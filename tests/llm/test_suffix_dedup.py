@@ -51,6 +51,19 @@ def test_equals_brute_force(spark, group, seed):
     assert sum(w[1] for w in want) > 10000
 
 
+def test_rows_that_share_ids(spark):
+    texts = corpus(3)
+    texts = [*texts, *[texts[40]] * 30, *[texts[41] + "!"] * 30, "tail of its own " * 3]
+    names = ("h1", "h2", "spans", "rest", "text", "_h", "_id", "on", "c0", "kept")
+    rows = [(None if i % 3 else 7, *["v"] * 4, t, *["v"] * 5, i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names).replace("h1 string", "doc_id long, h1 string", 1) + ", n int").repartition(3)
+    found = suffix_dedup.remove_repeats(docs)
+    assert found.columns == [c for c in docs.columns if c != "kept"] + ["kept", "n_bytes", "n_removed", "n_spans"]
+    got = {r.n: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found.collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 200)
+    assert {r.n: r.text for r in found.collect()} == dict(enumerate(texts))
+
+
 def test_long_row_in_pieces(monkeypatch):
     r = random.Random(5)
     text = "".join(r.choices("abcd", k=6000)).encode()
