@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .decontaminate import document_frequencies
-from .text import expand, shingles, slices, utf8, word_hashes
+from .text import expand, slices, utf8, word_hashes
 
 # The phrases that the contract names, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -27,15 +26,16 @@ TEMPLATES = [
     ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license"]),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["subject to the terms of the mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ["unencumbered software released into the public domain"]),
-    ("cc-by-nc", "licensed under cc by nc", ["cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa", ["cc by sa"]),
+    ("cc-by-nc", "licensed under cc by nc", ["licensed under cc by nc"]),
+    ("cc-by-sa", "licensed under cc by sa", ["licensed under cc by sa"]),
     ("reserved", "all rights reserved", ["all rights reserved"]),
 ]
 
 #: Words that a passage may have gained or lost on the way to a mandatory phrase.
 SLACK = 6
-#: Share of a template, weighted by rarity, that must stand at its place.
+#: Share of a template that must stand in order, in runs of so many words at least: by rarity and by mere words.
 COVER = 0.6
+RUN = 3
 
 
 @dataclass
@@ -66,7 +66,7 @@ class Index:
         self.words = [_hashes(t.words) for t in self.all]
         self.keys = [[_hashes(k) for k in t.keys] for t in self.all]
         # A word of no text tells nothing about a passage: it weighs nothing in the cover.
-        count = lambda h: np.array([frequency.get(int(x), 0) for x in shingles(h, 1).view(np.int64)])
+        count = lambda h: np.array([frequency.get(int(x), 0) for x in h.view(np.int64)])
         self.rarity = [np.where(count(h) > 0, np.log((1 + rows) / (1 + count(h))) + 1e-3, 0.0) for h in self.words]
         postings = []
         for t, h in enumerate(self.words):
@@ -118,15 +118,14 @@ class Index:
             for x in np.unique(r[good]).tolist():
                 labels[x][self.all[t].label] = 1.0
                 base_labels[x].add(self.all[t].label)
-        # The other templates: postings whose starts agree within the slack make one candidate.
+        # The other templates: postings whose starts lie within the slack of the first make one candidate.
         own = ~base[template]
         order = np.lexsort((start[own], template[own], row[own]))
         row, template, start = row[own][order], template[own][order], start[own][order]
-        cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(template) != 0) | (np.diff(start) > SLACK)) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(row)], strict=True):
-            if b == a:
-                continue
+        for a, b in self._groups(row, template, start):
             r, t = int(row[a]), int(template[a])
+            if labels[r].get(self.all[t].label, 0.0) >= 1.0:
+                continue
             lo, hi = max(int(first[r]), int(start[a]) - SLACK), min(int(first[r + 1]), int(start[b - 1]) + len(self.words[t]) + SLACK)
             score = self._verify(words[lo:hi], t)
             if score >= COVER:
@@ -134,20 +133,68 @@ class Index:
         none = np.zeros(0, np.int64)
         return labels, base_labels, np.concatenate([none, *base_row]), np.concatenate([none, *base_at])
 
+    @staticmethod
+    def _groups(row: np.ndarray, template: np.ndarray, start: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of sorted postings of one row and template; each posting begins one that reaches as far as the slack."""
+        edges = np.concatenate([np.flatnonzero((np.diff(row) != 0) | (np.diff(template) != 0)) + 1, [len(row)]])
+        out, a = [], 0
+        for stop in edges.tolist():
+            end = a
+            while a < stop:
+                reach = a + int(np.searchsorted(start[a:stop], start[a] + SLACK, "right"))
+                if reach > end:  # else it lies within the one before
+                    out.append((a, reach))
+                    end = reach
+                a += max(1, int(np.searchsorted(start[a:stop], start[a], "right")))
+            a = stop
+        return out
+
     def _verify(self, words: np.ndarray, t: int) -> float:
-        """0 if a mandatory phrase is missing, else the weighted share of the template's words that stand there."""
+        """0 if a mandatory phrase is missing, else the share of the template that stands there in order, in runs of RUN words or more.
+
+        The least of the share weighted by rarity and that of mere words: the heaviest common subsequence of the
+        template and the window whose steps lie in runs of equal words.
+        """
+        whole = self.words[t]
         for key in self.keys[t]:
             n = len(words) - len(key) + 1
             if n <= 0 or not np.all([words[k : k + n] == key[k] for k in range(len(key))], axis=0).any():
                 return 0.0
-        left, got = {}, 0.0
-        for w in words.tolist():
-            left[w] = left.get(w, 0) + 1
-        for w, weight in zip(self.words[t].tolist(), self.rarity[t].tolist(), strict=True):
-            if left.get(w, 0):
-                left[w] -= 1
-                got += weight
-        return min(1.0, got / float(self.rarity[t].sum()))
+        same = whole[:, None] == words[None, :]
+        run = np.zeros_like(same)
+        n = min(RUN, len(whole))
+        if len(words) >= n:
+            full = np.all([same[k : len(whole) - n + 1 + k, k : len(words) - n + 1 + k] for k in range(n)], axis=0)
+            for k in range(n):
+                run[k : len(whole) - n + 1 + k, k : len(words) - n + 1 + k] |= full
+        scores = []
+        for weight in (self.rarity[t], np.ones(len(whole))):
+            best = np.zeros(len(words) + 1)
+            for k in range(len(whole)):
+                best[1:] = np.maximum(best[1:], best[:-1] + weight[k] * run[k])
+                np.maximum.accumulate(best, out=best)
+            scores.append(min(1.0, best[-1] / weight.sum()) if weight.sum() > 0 else 1.0)
+        return float(min(scores))
+
+
+def _frequencies(rows: DataFrame) -> tuple[dict[int, int], int]:
+    """In how many texts each word of the templates stands, and the number of rows, counted in one pass."""
+    vocabulary = np.unique(np.concatenate([_hashes(t.words) for t in templates()]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(len(vocabulary), np.int64), 0
+        for batch in slices(batches, "text"):
+            seen += batch.num_rows
+            words, first = word_hashes(*utf8(batch["text"]))
+            at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+            held = np.flatnonzero(vocabulary[at] == words)
+            pairs = np.unique((np.searchsorted(first, held, "right") - 1) * len(vocabulary) + at[held])
+            total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
+        yield pa.RecordBatch.from_arrays([pa.array([*vocabulary.view(np.int64), None], pa.int64()), pa.array([*total, seen], pa.int64())], ["word", "n"])
+
+    found = rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    frequency = {r["word"]: r["n"] for r in found}
+    return frequency, frequency.pop(None, 0)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,14 +202,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
     n_base counts the places of base phrases, first_word and last_word are the smallest and largest of their
     starts (null if none), base_labels and labels sorted arrays of the base phrases' labels and of all that
-    were found; score is that of the surest label, 1 for a base phrase, 0 for none. Rarity is counted over all
-    of docs, for the words of the templates only. Null and empty texts have no words; equal and repeated rows
+    were found; score is that of the surest label, 1 for a base phrase, 0 for none. A template needs its phrases
+    and its words in order: words strewn or shuffled do not make it. Rarity is counted over all of docs, in one
+    pass and for the words of the templates only. Null and empty texts have no words; equal and repeated rows
     have equal results of their own; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    vocabulary = np.unique(shingles(np.concatenate([_hashes(t.words) for t in templates()]), 1))
-    frequency = document_frequencies(rows, "text", {1: vocabulary})[1]
-    index = docs.sparkSession.sparkContext.broadcast(Index(frequency, docs.count()))
+    index = docs.sparkSession.sparkContext.broadcast(Index(*_frequencies(rows)))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,3 +51,69 @@ def test_one_variant_in_all_texts(spark):
     docs = spark.createDataFrame([(i, f"file {i} " + (isc if i % 2 else mit) if i < 20 else f"plain text {i}") for i in range(1000)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(docs)).collect()}
     assert [got[i] for i in range(1000)] == ["mit", "isc"] * 10 + [""] * 980
+
+
+def labels_of(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.digest(licenses.scan(docs)).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_words_out_of_order_make_no_licence(spark):
+    r = random.Random(9)
+    texts, strewn = [], []
+    long = [x for x in licenses.TEMPLATES if len(x[1].split()) > 12]
+    for _, text, keys in long:
+        parts, rest = [k for k in keys], text
+        for k in keys:
+            assert k in text
+            rest = rest.replace(k, " ", 1)
+        for _ in range(20):
+            own = [*parts, *rest.split()]
+            r.shuffle(own)
+            texts.append(" ".join(own))
+        strewn.append(" ".join(w + " " + " ".join(f"w{r.randrange(500)}" for _ in range(60)) for w in text.split()))
+    assert len(long) == 9
+    found = labels_of(spark, texts)
+    assert [x[0] for x in found] == [brute(t)[4] for t in texts]
+    assert {x[0] for x in labels_of(spark, strewn)} == {""}
+    assert labels_of(spark, ["a cc by nc picture", "the end"]) == [("", 0.0), ("", 0.0)]
+
+
+def plain_share(text, template, keys):
+    """The share of a template that stands in order in runs of three, over the whole of a short text, all words equally rare."""
+    w, t = re.findall(r"[a-z0-9]+", text.lower()), template.split()
+    if not all(any(w[i : i + len(k.split())] == k.split() for i in range(len(w))) for k in keys):
+        return 0.0
+    run = {(i + d, j + d) for i in range(len(t) - 2) for j in range(len(w) - 2) if t[i : i + 3] == w[j : j + 3] for d in range(3)}
+    best = [[0] * (len(w) + 1) for _ in range(len(t) + 1)]
+    for i in range(len(t)):
+        for j in range(len(w)):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + ((i, j) in run))
+    return best[-1][-1] / len(t)
+
+
+def test_labels_equal_brute_force(spark):
+    r = random.Random(2)
+    texts = []
+    for _ in range(150):
+        words = r.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(r.randint(0, 1 + len(words) // 8)):
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice([[], ["odd"], [words[at]]])
+        texts.append(" ".join(words))
+    index = licenses.Index({}, 0)  # no weights: mere words count
+    for text in texts:
+        words, first = licenses.word_hashes(*licenses.utf8(licenses.pa.array([text])))
+        got = index.scan(words, first)[0][0]
+        want = {}
+        for label, template, keys in licenses.TEMPLATES:
+            share = plain_share(text, template, keys)
+            if share >= licenses.COVER:
+                want[label] = max(share, want.get(label, 0))
+        got = {k: v for k, v in got.items() if k not in PHRASES.values() or v < 1 or k in want}
+        for k in {*got, *want}:
+            if k in PHRASES.values() and k not in want:
+                assert brute(text)[1] > 0
+            elif got.get(k) != 1.0 or k not in PHRASES.values():
+                assert abs(got[k] - want[k]) < 1e-9, (text, k)
