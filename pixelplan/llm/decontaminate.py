@@ -1,4 +1,10 @@
-"""Benchmark decontamination by a prefix-filtered set join over item-sized windows."""
+"""Benchmark decontamination by a prefix-filtered set join over item-sized windows.
+
+A window holds all its shingles, so of its shingles in order of rarity the necessary prefix is the first: each
+window is joined by its rarest shingle alone, bounded by place and length, and then compared word by word. Both
+sides are tables: items become windows in tasks, rarity is counted in one pass over the texts, and only places
+whose shingle passes a bitmap of bounded size are shuffled.
+"""
 
 from __future__ import annotations
 
@@ -6,225 +12,231 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
 from .text import expand, shingles, slices, utf8, word_hashes, word_spans
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
 #: Words of the shingles that are ordered by rarity (fewer in a window of fewer words).
 SHINGLE = 3
-#: Bytes of benchmark text that one block of windows may hold: it bounds what each task gets.
-BLOCK_BYTES = 16 << 20
-_SLOTS = 1 << 20
-
-
-def item_windows(words: np.ndarray, first: np.ndarray, ids: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows as rows of word hashes (zero beyond their length), their lengths, and (window, item) pairs."""
-    rows, lengths, items = [], [], []
-    for k in range(len(ids)):
-        own = words[first[k] : first[k + 1]]
-        size = min(WINDOW, len(own))
-        if size:
-            found = np.lib.stride_tricks.sliding_window_view(own, size)
-            rows.append(np.pad(found, ((0, 0), (0, WINDOW - size))))
-            lengths.append(np.full(len(found), size))
-            items.append(np.full(len(found), k))
-    if not rows:
-        none = np.zeros(0, np.int64)
-        return np.zeros((0, WINDOW), np.uint64), none, none, none
-    table = np.column_stack([np.concatenate(rows), np.concatenate(lengths).astype(np.uint64)])
-    table, which = np.unique(table, axis=0, return_inverse=True)
-    pairs = np.unique(np.column_stack([which.ravel(), np.concatenate(items)]), axis=0)
-    return np.ascontiguousarray(table[:, :WINDOW]), table[:, WINDOW].astype(np.int64), pairs[:, 0], pairs[:, 1]
-
-
-class Lookup:
-    """Finds which of many hashes are in a small sorted set; most are turned away by one table access."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.seen = np.zeros(_SLOTS, np.bool_)
-        self.seen[self.keys & np.uint64(_SLOTS - 1)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in hashes that hold a key, and which key."""
-        at = np.flatnonzero(self.seen[hashes & np.uint64(_SLOTS - 1)])
-        if not len(self.keys) or not len(at):
-            return at[:0], at[:0]
-        key = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
-        good = self.keys[key] == hashes[at]
-        return at[good], key[good]
-
-
-def window_shingles(table: np.ndarray, lengths: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each size of shingle: the windows that are cut so, and the hashes of their shingles."""
-    out = {}
-    for size in range(1, SHINGLE + 1):
-        own = np.flatnonzero(lengths == size if size < SHINGLE else lengths >= size)
-        if len(own):
-            n = WINDOW - size + 1
-            grid = np.stack([shingles(np.ascontiguousarray(table[own, j : j + size]).ravel(), size)[::size] for j in range(n)], axis=1)
-            out[size] = own, grid
-    return out
-
-
-def _rows_of(shingle_at: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.searchsorted(first, shingle_at, "right") - 1
-
-
-def document_frequencies(docs: DataFrame, text: str, wanted: dict[int, np.ndarray]) -> dict[int, dict[int, int]]:
-    """In how many rows each wanted shingle stands. wanted: hashes by size of shingle; the result is as large at most."""
-    shared = docs.sparkSession.sparkContext.broadcast({s: Lookup(h) for s, h in wanted.items()})
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {s: np.zeros(len(look.keys), np.int64) for s, look in shared.value.items()}
-        for batch in slices(batches, text):
-            words, first = word_hashes(*utf8(batch[text]))
-            for size, look in shared.value.items():
-                at, key = look.find(shingles(words, size))
-                row = _rows_of(at, first)
-                inside = at + size <= first[row + 1]
-                seen = np.unique(row[inside] * np.int64(len(look.keys)) + key[inside])
-                total[size] += np.bincount(seen % max(1, len(look.keys)), minlength=len(look.keys))
-        for size, n in total.items():
-            k = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), size, np.int32)), pa.array(shared.value[size].keys[k].view(np.int64)), pa.array(n[k])], ["size", "hash", "n"])
-
-    found = docs.select(text).mapInArrow(count, "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n"))
-    out: dict[int, dict[int, int]] = {s: {} for s in wanted}
-    for row in found.toLocalIterator():
-        out[row["size"]][row["hash"]] = row["n"]
-    return out
-
-
-class Index:
-    """The windows of one block of items, each filed under its rarest shingle only.
-
-    A window counts only if all its shingles stand in the text one after another, so of its shingles in
-    order of rarity the necessary prefix is the first.
-    """
+#: Bits of the bitmap of shingles: so many for each, within these bounds; the largest is 16 MB.
+BITS_EACH = 256
+LEAST_BITS, MOST_BITS = 16, 27
+_PART_BITS = 16
+
+_BEFORE = WINDOW - SHINGLE
+_AROUND = _BEFORE + WINDOW
+
+
+def item_windows(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of each row: their row, where they begin and how many words they have."""
+    many = np.diff(first)
+    size = np.minimum(many, WINDOW)
+    row, start = expand(first[:-1], np.where(size > 0, many - size + 1, 0))
+    return row, start, size[row]
 
-    def __init__(self, table: np.ndarray, lengths: np.ndarray, window: np.ndarray, item: np.ndarray, ids: list[str], frequency: dict[int, dict[int, int]]):
-        self.table, self.lengths, self.ids = table, lengths, ids
-        self.item_of = item
-        self.item_first = np.searchsorted(window, np.arange(len(table) + 1))
-        self.by_size = {}
-        for size, (own, grid) in window_shingles(table, lengths).items():
-            valid = np.arange(grid.shape[1])[None, :] <= (lengths[own] - size)[:, None]
-            known = frequency.get(size, {})
-            keys, back = np.unique(grid, return_inverse=True)
-            n = np.array([known.get(int(k), 0) for k in keys.view(np.int64)], np.float64)[back].reshape(grid.shape)
-            offset = np.argmin(np.where(valid, n, np.inf), axis=1)
-            prefix = grid[np.arange(len(own)), offset]
-            order = np.argsort(prefix, kind="stable")
-            look = Lookup(prefix)
-            self.by_size[size] = look, np.searchsorted(prefix[order], look.keys), np.searchsorted(prefix[order], look.keys, "right"), own[order], offset[order]
-
-    def occurrences(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, first word and window of every place where a window stands."""
-        out = []
-        for size, (look, lo, hi, window, offset) in self.by_size.items():
-            at, key = look.find(shingles(words, size))
-            which, posting = expand(lo[key], (hi - lo)[key])
-            at, w = at[which], window[posting]
-            start, row = at - offset[posting], _rows_of(at, first)
-            fits = (start >= first[row]) & (start + self.lengths[w] <= first[row + 1])  # bounds on place and length
-            start, row, w = start[fits], row[fits], w[fits]
-            for part in range(0, len(start), 1 << 16):
-                s, v = start[part : part + (1 << 16)], w[part : part + (1 << 16)]
-                grid = np.arange(WINDOW)[None, :]
-                same = (words[np.minimum(s[:, None] + grid, len(words) - 1)] == self.table[v]) | (grid >= self.lengths[v][:, None])
-                good = same.all(axis=1)
-                out.append((row[part : part + (1 << 16)][good], s[good], v[good]))
-        if not out:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _block(bench: DataFrame, item_id: str, text: str, block: int, blocks: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64(F.col(item_id).cast("string"), text), F.lit(blocks)) == block)
-    rows = sorted((r[0] or "", r[1] or "") for r in part.select(F.col(item_id).cast("string"), text).collect())
-    words, first = word_hashes(*utf8(pa.array([r[1] for r in rows], pa.string())))
-    return [r[0] for r in rows], words, first
-
-
-def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 1 << 17):
+        words, first = word_hashes(*utf8(batch["text"]))
+        row, start, size = item_windows(words, first)
+        _, at = expand(start, size)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(words[at].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch["item"].take(pa.array(row)), lists], ["item", "words"])
+
+
+def window_shingles(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of windows: window, place in it, size and hash."""
+    many = np.diff(first)
+    parts = []
+    for size in range(1, SHINGLE + 1):
+        own = np.flatnonzero(many == size if size < SHINGLE else many >= size)
+        which, at = expand(first[:-1][own], many[own] - size + 1)
+        window = own[which]
+        parts.append((window, at - first[:-1][window], np.full(len(at), size), shingles(words, size)[at]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first = np.asarray(batch["words"].offsets).astype(np.int64)
+        words = batch["words"].values.to_numpy().view(np.uint64)
+        window, at, size, hashes = window_shingles(words, first)
+        take = pa.array(window)
+        yield pa.RecordBatch.from_arrays([batch["w1"].take(take), batch["w2"].take(take), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(hashes.view(np.int64))], ["w1", "w2", "place", "size", "shingle"])
+
+
+class Bitmap:
+    """Turns away nearly all hashes that are not in a set: each member has two bits of a map of bounded size."""
+
+    def __init__(self, power: int, bits: np.ndarray):
+        self.power, self.bits = power, bits
+
+    def at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return hashes >> np.uint64(64 - self.power), (hashes >> np.uint64(8)) & np.uint64((1 << self.power) - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes that may be members."""
+        one, two = self.at(hashes)
+        held = np.flatnonzero(self.bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1)
+        two = two[held]
+        return held[(self.bits[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1).astype(np.bool_)]
+
+
+def bitmap(members: DataFrame, column: str) -> Broadcast:
+    """The bitmap of a column of hashes. Parts of it are made in tasks; what comes to the driver is no larger than the map."""
+    count = members.count()
+    power = min(MOST_BITS, max(LEAST_BITS, int(max(1, count * BITS_EACH) - 1).bit_length()))
+    part = min(power, _PART_BITS)
+    h = F.col(column)
+    one, two = F.shiftrightunsigned(h, 64 - power), F.shiftright(h, 8).bitwiseAND(F.lit((1 << power) - 1))
+    slots = members.select(F.explode(F.array(one, two)).alias("slot")).distinct()
+    parts = slots.groupBy(F.shiftright("slot", part).alias("part")).agg(F.collect_list(F.col("slot").bitwiseAND(F.lit((1 << part) - 1)).cast("int")).alias("at"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for at in batch["at"]:
+                bits = np.zeros(1 << part, np.bool_)
+                bits[at.values.to_numpy()] = True
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch["part"], pa.array(out, pa.binary())], ["part", "bits"])
+
+    bits = np.zeros(1 << power >> 3, np.uint8)
+    for r in parts.mapInArrow(pack, "part long, bits binary").toLocalIterator():
+        begin = r["part"] << part >> 3
+        bits[begin : begin + (1 << part >> 3)] = np.frombuffer(r["bits"], np.uint8)
+    return members.sparkSession.sparkContext.broadcast(Bitmap(power, bits))
+
+
+def _standing(words: np.ndarray, first: np.ndarray, sizes: list[int], bits: Bitmap) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size of shingle the row, first word and hash of the places whose shingle may be a member."""
+    for size in sizes:
+        hashes = shingles(words, size)
+        at = bits.find(hashes)
+        row = np.searchsorted(first, at, "right") - 1
+        inside = at + size <= first[row + 1]
+        yield row[inside], at[inside], hashes[at[inside]]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], sizes: list[int], bits: Bitmap) -> Iterator[pa.RecordBatch]:
+    """In how many texts of a slice each shingle stands."""
+    for batch in slices(batches, "text"):
+        words, first = word_hashes(*utf8(batch["text"]))
+        for row, _, hashes in _standing(words, first, sizes, bits):
+            order = np.lexsort((row, hashes))
+            row, hashes = row[order], hashes[order]
+            fresh = np.ones(len(row), np.bool_)
+            fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+            own, n = np.unique(hashes[fresh], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+
+def _places(batches: Iterator[pa.RecordBatch], sizes: list[int], bits: Bitmap) -> Iterator[pa.RecordBatch]:
+    """The places where a window may stand, each with the words around it: zero outside of the text."""
+    for batch in slices(batches, "text"):
+        words, first = word_hashes(*utf8(batch["text"]))
+        padded = np.concatenate([np.zeros(_BEFORE, np.uint64), words, np.zeros(WINDOW, np.uint64)])
+        for row, at, hashes in _standing(words, first, sizes, bits):
+            for k in range(0, len(row), 1 << 13):
+                r, a = row[k : k + (1 << 13)], at[k : k + (1 << 13)]
+                around = padded[a[:, None] + np.arange(_AROUND)].view(np.int64).ravel()
+                take = pa.array(r)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(around) + 1, _AROUND, dtype=np.int32)), pa.array(around))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["h1"].take(take), batch["h2"].take(take), pa.array(first[r + 1] - first[r]), pa.array(a - first[r]), pa.array(hashes[k : k + (1 << 13)].view(np.int64)), lists],
+                    ["h1", "h2", "n_words", "at", "shingle", "around"],
+                )
+
+
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["h1"], batch["h2"], pa.array(np.diff(word_spans(*utf8(batch["text"]))[3]))], ["id", "h1", "h2", "n_words"])
+
+
+def rarest(held: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Of each window (w1, w2) the shingle that the fewest texts have, of equals the first; windows with a shingle of no text are left out."""
+    known = held.join(frequency, "shingle", "left").groupBy("w1", "w2").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "shingle")).alias("least"))
+    return known.where("least.n > 0").select("w1", "w2", "least.place", "least.shingle")
+
+
+def _hit_texts(known: DataFrame, bench: DataFrame, item_id: str, item_text: str) -> DataFrame | None:
+    """For each distinct text (h1, h2) of known in which a window stands: n_words, n_hit, n_items, items; None if there is no window."""
+    items = bench.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    every = items.mapInArrow(_windows, "item string, words array<long>").withColumns({"w1": F.xxhash64("words"), "w2": F.xxhash64(F.lit("b"), "words")})
+    windows = cut(every.groupBy("w1", "w2").agg(F.first("words").alias("words")))
+    held = cut(windows.mapInArrow(_shingled, "w1 long, w2 long, place int, size int, shingle long"))
+    sizes = sorted(r["size"] for r in held.select("size").distinct().collect())  # 1 to 3
+    if not sizes:
+        return None
+    bits = bitmap(held.select("shingle").distinct(), "shingle")
+    counted = known.select("text").mapInArrow(lambda batches: _counted(batches, sizes, bits.value), "shingle long, n long")
+    # Small sides are kept before a join: so each side is a shuffle of its own, of which Spark splits the hot partitions.
+    frequency = cut(counted.groupBy("shingle").agg(F.sum("n").alias("n")))
+    prefix = cut(rarest(held, frequency).join(windows, ["w1", "w2"]).withColumn("size", F.size("words")))
+    chosen = bitmap(prefix.select("shingle").distinct(), "shingle")
+    places = known.select("h1", "h2", "text").mapInArrow(lambda batches: _places(batches, sizes, chosen.value), "h1 long, h2 long, n_words long, at long, shingle long, around array<long>")
+    start = F.col("at") - F.col("place")
+    bounded = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    equal = F.slice("around", F.lit(_BEFORE + 1) - F.col("place"), F.col("size")) == F.col("words")
+    found = cut(places.join(prefix, "shingle").where(bounded & equal).select("h1", "h2", "n_words", start.alias("start"), "size", "w1", "w2").distinct())
+    spans = found.select("h1", "h2", "n_words", "start", "size").distinct()
+    words = spans.select("h1", "h2", "n_words", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("word")).distinct()
+    hit = words.groupBy("h1", "h2").agg(F.first("n_words").alias("n_words"), F.count("*").alias("n_hit"))
+    pairs = cut(every.select("w1", "w2", "item").distinct())
+    own = found.select("h1", "h2", "w1", "w2").distinct().join(pairs, ["w1", "w2"]).select("h1", "h2", "item").distinct()
+    own = own.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return cut(hit.join(own, ["h1", "h2"]).withColumn("n_items", F.size("items").cast("long")))
+
+
+def _named(text):
+    """Two hashes that a text is known by."""
+    return {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit("b"), text)}
+
+
+def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each row of docs: its id, n_words, n_hit, n_items, items (sorted ids of items of which a window stands in it).
 
     A window is 13 consecutive words of an item, or all words of a shorter one; a word of a text within any
-    occurrence of a window is hit. Shingles are ordered by the number of documents of all docs that have
-    them; each window is looked up by its rarest shingle alone, candidates are bounded by place and length
-    and then compared word by word.
+    occurrence of a window is hit. Shingles are ordered by the number of rows of docs that have them. Words are
+    told apart by 64-bit hashes, texts by 128 bits.
 
     Null and empty texts and items have no words and no windows; an item's null id reads as an empty
-    string. Items with equal windows all count; repeated rows each get their own result. Other columns
-    of docs are read only if carry names them, and then come as they are in a struct `rest` beside `text`; so
-    rows can be kept or dropped without a join. Names that clash do not matter. The items are handled in blocks of at most about block_bytes of text, so what a
-    task holds is bounded; a larger benchmark takes more passes within the same stage and no shuffle.
+    string. Items with equal windows all count; repeated rows each get their own result, whatever their ids. Other
+    columns are not read, so names that clash do not matter. Empty tables of either kind are no fault.
     """
-    rest = F.struct(*carry) if carry else F.lit(None).cast("int")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), rest.alias("rest"))
-    id_type, rest_type = (rows.schema[c].dataType.simpleString() for c in ("id", "rest"))
-    size = bench.agg(F.sum(F.coalesce(F.octet_length(item_text), F.lit(0)).cast("long"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    out = rows.select("*", F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    for k in range(blocks):
-        ids, words, first = _block(bench, item_id, item_text, k, blocks)
-        table, lengths, window, item = item_windows(words, first, ids)
-        if len(table):
-            frequency = document_frequencies(rows, "text", {s: np.unique(grid) for s, (_, grid) in window_shingles(table, lengths).items()})
-            index = docs.sparkSession.sparkContext.broadcast(Index(table, lengths, window, item, ids, frequency))
-            out = out.mapInArrow(_finder(index), f"id {id_type}, text string, rest {rest_type}, spans array<long>, items array<string>")
-    kept = ("text", "rest") if carry else ()
-    kinds = f", text string, rest {rest_type}" if carry else ""
-    return out.mapInArrow(_counter(kept), f"id {id_type}, n_words long, n_hit long, n_items long, items array<string>{kinds}").withColumnRenamed("id", id_col)
-
-
-def _finder(index):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = index.value
-        for batch in slices(batches, "text"):
-            words, first = word_hashes(*utf8(batch["text"]))
-            row, start, window = x.occurrences(words, first)
-            spans, items = batch["spans"].to_pylist(), batch["items"].to_pylist()
-            order = np.argsort(row, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(order) else []:
-                r = int(row[group[0]])
-                s = np.unique(np.column_stack([start[group] - first[r], start[group] - first[r] + x.lengths[window[group]]]), axis=0)
-                w = np.unique(window[group])
-                _, at = expand(x.item_first[w], x.item_first[w + 1] - x.item_first[w])
-                spans[r] = (spans[r] or []) + s.ravel().tolist()
-                items[r] = sorted({*(items[r] or []), *(x.ids[i] for i in np.unique(x.item_of[at]))})
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["text"], batch["rest"], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["id", "text", "rest", "spans", "items"])
-
-    return find
-
-
-def _counter(kept: tuple[str, ...]):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            first = word_spans(*utf8(batch["text"]))[3]
-            n_words, n_hit = np.diff(first), np.zeros(batch.num_rows, np.int64)
-            items = [x or [] for x in batch["items"].to_pylist()]
-            for r in np.flatnonzero(np.array(batch["spans"].is_valid())):
-                s = np.array(batch["spans"][int(r)].as_py(), np.int64).reshape(-1, 2)
-                change = np.zeros(n_words[r] + 1, np.int64)
-                np.add.at(change, s[:, 0], 1)
-                np.add.at(change, s[:, 1], -1)
-                n_hit[r] = np.count_nonzero(np.cumsum(change[:-1]))
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), *(batch[c] for c in kept)],
-                ["id", "n_words", "n_hit", "n_items", "items", *kept],
-            )
-
-    return count
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumns(_named(F.col("text")))
+    hit = _hit_texts(rows.where("text is not null"), bench, item_id, item_text)
+    sized = rows.mapInArrow(_counted_words, f"id {rows.schema['id'].dataType.simpleString()}, h1 long, h2 long, n_words long")
+    none = F.array().cast("array<string>")
+    if hit is None:
+        out = sized.select("id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items"))
+    else:
+        zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_hit", "n_items")}
+        out = sized.join(hit.drop("n_words"), ["h1", "h2"], "left").withColumns(zero | {"items": F.coalesce("items", none)}).select("id", "n_words", "n_hit", "n_items", "items")
+    return out.withColumnRenamed("id", id_col)
+
+
+def contaminated():
+    """By the contract's rule: a twentieth of the words or more are hit."""
+    return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text is not contaminated; null texts stay. Columns may have any names."""
+    columns = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")).withColumns(_named(F.col(f"row.`{text}`")))
+    known = rows.select("h1", "h2", F.col(f"row.`{text}`").alias("text")).where("text is not null")
+    hit = _hit_texts(known, bench, item_id, item_text)
+    if hit is None:
+        return docs
+    return rows.join(cut(hit.where(contaminated()).select("h1", "h2")), ["h1", "h2"], "left_anti").select("row.*").toDF(*columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the contract, from find_contamination."""
-    return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items").cast("binary"), 256)).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).drop("items")
-
-
+    return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items").cast("binary"), 256)).withColumn("contaminated", contaminated()).drop("items")

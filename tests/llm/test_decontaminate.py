@@ -50,12 +50,14 @@ def corpus():
     return [*texts, "and " * 60000 + items[0][1]], items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 300])
-def test_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("most_bits", [27, 10])
+def test_equals_brute_force(spark, most_bits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", min(most_bits, 16))
+    monkeypatch.setattr(decontaminate, "MOST_BITS", most_bits)  # few bits let many places through to the join
     texts, items = corpus()
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*texts, texts[9]])], "doc_id long, text string, n_hit int").repartition(3)
-    bench = spark.createDataFrame([(k, t, "q") for k, t in items], "item_id long, text string, rest string")
-    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(decontaminate.find_contamination(docs, bench, block_bytes=block_bytes)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*texts, texts[9]])], "doc_id long, text string, h1 int").repartition(3)
+    bench = spark.createDataFrame([(k, t, "q") for k, t in items], "item_id long, text string, words string")
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(decontaminate.find_contamination(docs, bench)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
     want = brute(texts, items)
     assert [got[i] for i in range(len(texts))] == want and got[len(texts)] == want[9]
     assert sum(w[4] for w in want) > 30
@@ -68,20 +70,33 @@ def test_no_items_and_no_rows(spark):
     assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
 
 
-def test_rows_are_carried(spark):
-    docs = spark.createDataFrame([(1, "a b c", "en", "s")], "doc_id long, text string, lang string, source string")
-    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
-    row = decontaminate.find_contamination(docs, bench, carry=("lang", "source")).first()
-    assert (row.text, row.rest.lang, row.rest.source, row["items"], row.n_hit) == ("a b c", "en", "s", ["1"], 2)
-
-
-def test_each_window_is_filed_under_its_rarest_shingle():
-    text = "a b c d e f g h i j k l m n"
-    hashes, first = word_hashes(*utf8(pa.array([text])))
-    table, lengths, window, item = decontaminate.item_windows(hashes, first, ["7"])
-    assert table.shape == (2, 13) and lengths.tolist() == [13, 13] and item.tolist() == [0, 0]
-    size, (own, grid) = next(iter(decontaminate.window_shingles(table, lengths).items()))
-    frequency = {int(k): 5 for k in grid.view(np.int64).ravel()}
-    frequency[int(grid.view(np.int64)[0, 4])] = 1
-    index = decontaminate.Index(table, lengths, window, item, ["7"], {size: frequency})
-    assert 4 in index.by_size[3][4].tolist() and len(own) == 2
+def test_clean_rows_stay_as_they_are(spark):
+    texts, items = corpus()
+    rows = [(None if i % 4 else 7, t, i, "x") for i, t in enumerate([*texts, texts[9], "clean words only"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 int, row string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    want = [i for i, w in enumerate(brute([t for _, t, *_ in rows], items)) if not w[4]]
+    assert sorted(r.h1 for r in kept.collect()) == want
+    assert all(rows[r.h1] == tuple(r) for r in kept.collect())
+    assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+    assert decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_each_window_is_filed_under_its_rarest_shingle(spark):
+    words, first = word_hashes(*utf8(pa.array(["a b c d e f g h i j k l m", "x y"])))
+    window, place, size, hashes = decontaminate.window_shingles(words, first)
+    assert size.tolist() == [2] + [3] * 11 and sorted(place[window == 0].tolist()) == [*range(11)]
+    held = spark.createDataFrame([(int(w), 0, int(p), int(z), int(h)) for w, p, z, h in zip(window, place, size, hashes.view(np.int64), strict=True)], "w1 long, w2 long, place int, size int, shingle long")
+    own = hashes.view(np.int64)[window == 0][np.argsort(place[window == 0])]
+    frequency = spark.createDataFrame([(int(h), 1 if k == 4 else 5) for k, h in enumerate(own)], "shingle long, n long")
+    assert [(r.w1, r.place, r.shingle) for r in decontaminate.rarest(held, frequency).collect()] == [(0, 4, int(own[4]))]
+
+
+def test_bitmap(spark):
+    r = np.random.default_rng(1)
+    members, others = (r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(3) for n in (3000, 100000))
+    found = decontaminate.bitmap(spark.createDataFrame([(int(x),) for x in members.view(np.int64)], "shingle long"), "shingle").value
+    assert found.find(members).tolist() == [*range(3000)] and len(found.find(others)) < 100
+    assert len(found.bits) <= 1 << decontaminate.MOST_BITS - 3
