@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .text import mix, slices
+from .text import mix, release, slices
 
 #: Buckets that n-grams of 1 to 3 characters are hashed to.
 BUCKETS = 1 << 13
@@ -23,7 +23,7 @@ CENTROIDS = 4
 #: Characters of a text that are turned into n-grams at once; long texts are added up.
 BLOCK = 1 << 18
 #: Texts whose vectors are in memory at once when predicting.
-TEXTS = 256
+TEXTS = 128
 UNDETERMINED = "und"
 #: A text is rejected if it is less like its nearest centroid than this share of what the least like 1 in 1000
 #: of the texts that the language was learned from is.
@@ -41,22 +41,34 @@ def letters() -> np.ndarray:
 
 
 def gram_counts(text: str) -> np.ndarray | None:
-    """How often each bucket's n-grams stand in a text, in lower case, with one blank for each run of other characters; None if it has no letter."""
-    total = None
-    for k in range(0, len(text), BLOCK):
-        points = np.frombuffer(text[k : k + BLOCK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    """How often each bucket's n-grams stand in a text, in lower case, with one blank for each run of other characters; None if it has no letter.
+
+    Long texts are counted piece by piece: a piece begins with the last characters of the one before, of which
+    no n-gram is counted twice, so the counts are those of the whole text.
+    """
+    text = text.lower()
+    total, carried = None, np.full(1, 32, np.uint32)  # one blank before the first letter
+    for k in range(0, len(text) + 1, BLOCK):
+        points = np.frombuffer(text[k : k + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = letters()[points]
-        if not letter.any():
-            continue
-        points = np.where(letter, points, 32)
-        points = points[letter | np.concatenate([[True], letter[:-1]])]
-        points = np.concatenate([[32], points, [32]]).astype(np.uint64)
+        points = np.where(letter, points, np.uint32(32))
+        if k + BLOCK > len(text):  # and one after the last
+            points, letter = np.append(points, np.uint32(32)), np.append(letter, False)
+        before = np.concatenate([carried[-1:] != 32, letter[:-1]])
+        points = np.concatenate([carried, points[letter | before]])
+        had = len(carried)
+        if total is None:
+            if not letter.any():
+                continue
+            total, had = np.zeros(BUCKETS, np.int64), 0
+        points = points.astype(np.uint64)
         for n in GRAMS:
-            code = np.full(max(0, len(points) - n + 1), n, np.uint64)
+            own = points[max(0, had - n + 1) :]
+            code = np.full(max(0, len(own) - n + 1), n, np.uint64)
             for j in range(n):
-                code = code * _STEP + points[j : j + len(code)]
-            found = np.bincount((mix(code) >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
-            total = found if total is None else total + found
+                code = code * _STEP + own[j : j + len(code)]
+            total += np.bincount((mix(code) >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+        carried = points[-(max(GRAMS) - 1) :].astype(np.uint32)
     return total
 
 
@@ -70,7 +82,8 @@ class Model:
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.log1p(counts, dtype=np.float32)
+    """Unit vectors, made in place of the counts (float32)."""
+    out = np.log1p(counts, out=counts)
     out *= idf
     out /= np.maximum(np.sqrt(np.einsum("...j,...j->...", out, out))[..., None], 1e-12)
     return out
@@ -142,6 +155,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label:
         points = vectors(counts, shared.value)
         found = cluster(points, centroids)
         least = float(np.quantile((points @ found.T).max(axis=1), 0.001))
+        counts = points = None
+        release()
         return pa.table({"label": [key[0].as_py()] * len(found), "centre": [c.tobytes() for c in found], "least": [least] * len(found)}, schema=pa.schema([("label", pa.string()), ("centre", pa.binary()), ("least", pa.float64())]))
 
     found = sorted(counted.groupBy("label").applyInArrow(centres, "label string, centre binary, least double").collect(), key=lambda r: (r["label"], r["centre"]))
@@ -172,7 +187,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
                 own = [(k, counts) for k, counts in counted if counts is not None]
                 if not own:
                     continue
-                likeness = vectors(np.array([c for _, c in own]), m.idf) @ m.centroids.T
+                counts = np.empty((len(own), BUCKETS), np.float32)
+                for row, (_, c) in enumerate(own):
+                    counts[row] = c
+                likeness = vectors(counts, m.idf) @ m.centroids.T
                 best = np.argmax(likeness, axis=1)
                 for (k, _), b, s in zip(own, best.tolist(), likeness[np.arange(len(own)), best].tolist(), strict=True):
                     names[k], scores[k] = m.labels[m.owner[b]], min(1.0, max(0.0, s))

@@ -1,7 +1,9 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
+import pytest
 
 from pixelplan.llm import language
 
@@ -42,9 +44,39 @@ def test_nothing_to_learn(spark):
     assert language.digest(docs.limit(0)).count() == 0
 
 
-def test_counts_of_parts_add_up(monkeypatch):
-    text = "Abc 1 dé\n" * 50
-    whole = language.gram_counts(text)
-    monkeypatch.setattr(language, "BLOCK", 9)
-    assert abs(int(whole.sum()) - int(language.gram_counts(text).sum())) < 300
-    assert language.gram_counts("  12") is None
+def plain_counts(text):
+    """Buckets of all n-grams of the text with one blank for each run of other characters."""
+    out = np.zeros(language.BUCKETS, np.int64)
+    flat = " ".join(["", *"".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split(), ""])
+    for n in language.GRAMS:
+        for i in range(len(flat) - n + 1):
+            code = n
+            for c in flat[i : i + n]:
+                code = (code * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+            out[int(language.mix(np.array([code], np.uint64))[0] >> np.uint64(40)) % language.BUCKETS] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 9, 1 << 18])
+def test_counts_of_parts_are_those_of_the_whole(monkeypatch, block):
+    monkeypatch.setattr(language, "BLOCK", block)
+    r = random.Random(3)
+    for text in ["Abc 1 dé\n" * 5, "a", "..a", "a..", " 12 ab", "ΑΣ ΣΑ ΑΣ", "12345678 x", *("".join(r.choices("aB é1.Σ", k=r.randint(1, 40))) for _ in range(40))]:
+        got = language.gram_counts(text)
+        if any(unicodedata.category(c)[0] == "L" for c in text):
+            assert (got == plain_counts(text)).all(), text
+        else:
+            assert got is None
+    assert language.gram_counts("  12") is None and language.gram_counts("") is None
+
+
+def test_predictions_equal_brute_force(spark):
+    data = [x for x in rows() if x[0] is not None and x[0] < 60]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, score string").repartition(2)
+    model = language.fit(docs.where(~language.held_out()))
+    got = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    for i, t, *_ in data:
+        v = np.log1p(plain_counts(t)) * model.idf
+        likeness = model.centroids @ (v / np.sqrt((v**2).sum()))
+        best = int(np.argmax(likeness))
+        assert got[i].lang_pred == model.labels[model.owner[best]] and abs(got[i].score - likeness[best]) < 1e-4
