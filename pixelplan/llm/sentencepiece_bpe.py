@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import expand, slices
+from .text import expand, release, slices
 
 SPACE = "▁"
 #: Words that a worker remembers the ids of before it starts anew; characters of words that are merged many at a time.
@@ -72,9 +72,9 @@ class Vocabulary:
         self.text = [" " + proto.trainer_spec.unk_surface.strip() + " " if p.type == kind.UNKNOWN else p.piece.replace(SPACE, " ") if p.type == kind.NORMAL else "" for p in proto.pieces]
         for b, k in self.bytes.items():
             self.text[k] = chr(b) if b < 128 else chr(0xDC00 + b)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """The words known so far, each with its number, and the ids of word number k: flat[starts[k]:starts[k + 1]]."""
         self.known: dict[str, int] = {}
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -89,7 +89,7 @@ class Vocabulary:
         words = [self.words.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
         every = list(itertools.chain.from_iterable(words))
         if len(self.known) > WORDS_KEPT:
-            self._forget()
+            self.forget()
         self._learn(list({*every}.difference(self.known)))
         number = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
         size = self.starts[number + 1] - self.starts[number]
@@ -123,8 +123,11 @@ class Vocabulary:
         self.flat = np.concatenate([self.flat, flat])
         ends = np.cumsum(counts)
         self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
-        ids = flat.tolist()
-        self.decoded += [self._text(ids[a:b]) for a, b in itertools.pairwise([0, *ends.tolist()])]
+        # Words merged in the table consist of ordinary pieces, whose texts joined are the word; others are read from their ids.
+        read = [w.replace(SPACE, " ") for w in words]
+        for k, ids in zip(rest.tolist(), long, strict=True):
+            read[k] = self._text(ids)
+        self.decoded += read
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -273,14 +276,14 @@ def checked(vocabulary: Vocabulary, texts: list[str], check_every: int) -> tuple
     agrees: list[bool | None] = [None] * len(texts)
     for every in (check_every, 1):
         rows = [k for k, t in enumerate(texts) if zlib.crc32(t.encode()) % every == 0]
-        right = vocabulary.library.encode([texts[k] for k in rows], out_type=int, add_eos=True, num_threads=1)
+        right = vocabulary.library.encode([texts[k] for k in rows], out_type="numpy", add_eos=True, num_threads=1) if rows else []
         read = vocabulary.library.decode(right, num_threads=1) if rows else []
         for k, ids, text in zip(rows, right, read, strict=True):
-            agrees[k] = flat[offsets[k] : offsets[k + 1]].tolist() == ids and decoded[k] == text
+            agrees[k] = decoded[k] == text and np.array_equal(flat[offsets[k] : offsets[k + 1]], ids)
         if False not in agrees:
             return flat, offsets, decoded, agrees
     offsets = np.cumsum([0, *map(len, right)])
-    return np.fromiter(itertools.chain.from_iterable(right), np.int32, int(offsets[-1])), offsets, read, agrees
+    return np.concatenate(right).astype(np.int32), offsets, read, agrees
 
 
 def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text: str = "text", check_every: int = CHECK_EVERY) -> DataFrame:
@@ -300,6 +303,8 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text:
             texts = [t or "" for t in batch["text"].to_pylist()]
             flat, offsets, decoded, agrees = checked(vocabulary, texts, check_every)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], ["id", "ids", "decoded", "agrees"])
+        vocabulary.forget()
+        release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string, agrees boolean").withColumnRenamed("id", id_col)
 
