@@ -43,8 +43,10 @@ def unpack_bits(raw: bytes) -> bytes:
 
 
 def pack_bits(raw: bytes) -> bytes:
+    """Runs of three equal bytes or more as such, all else as it is."""
     data = np.frombuffer(raw, np.uint8)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(data)) + 1, [len(data)]]) if len(data) else np.zeros(1, np.int64)
+    long = np.flatnonzero(np.diff(edges) >= 3)
     out, plain = bytearray(), 0
 
     def literal(a: int, b: int) -> None:
@@ -52,13 +54,12 @@ def pack_bits(raw: bytes) -> bytes:
             out.append(min(128, b - k) - 1)
             out.extend(raw[k : min(b, k + 128)])
 
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if b - a >= 3:
-            literal(plain, a)
-            for k in range(a, b, 128):
-                n = min(128, b - k)
-                out.extend((257 - n if n > 1 else 0, raw[k]))
-            plain = b
+    for a, b in zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True):
+        literal(plain, a)
+        for k in range(a, b, 128):
+            n = min(128, b - k)
+            out.extend((257 - n if n > 1 else 0, raw[k]))
+        plain = b
     literal(plain, len(raw))
     return bytes(out)
 
@@ -227,20 +228,22 @@ def write(images: list[np.ndarray], compression: int = DEFLATE, predictor: int =
     return bytes(out)
 
 
-def read_pages(images: DataFrame, id_col: str, content: str = "content") -> DataFrame:
-    """One row for each page: id, page (from 0), pages, width, height, bands, compression, mean, data (binary), error.
+def read_pages(images: DataFrame, id_col: str, content: str = "content", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each page, those of a file one after another: id, page (from 0), pages, width, height, bands, compression,
+    mean, data (binary), error, media_bytes, media_sha256, and the columns in carry.
 
     data holds the samples, row by row, pixel by pixel; samples of 16 bits keep the file's byte order undone
     to little-endian. A value that can't be read gives one row with its error and nulls; so does null, with
-    the error "null". Repeated rows give their pages each; other columns are not read.
+    the error "null". media_* are those of the file. Repeated rows give their pages each; other columns are not read.
     """
-    kind = images.schema[id_col].dataType.simpleString()
+    rows = images.select(F.col(id_col).alias("id"), F.col(content).alias("content"), F.struct(F.lit(True).alias("on"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))).alias("rest"))
+    kind, rest = (rows.schema[c].dataType.simpleString() for c in ("id", "rest"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "content"):
             rows = []
             for k, raw in enumerate(batch["content"].to_pylist()):
-                own = []
+                own, file = [], (None, None) if raw is None else (len(raw), hashlib.sha256(raw).hexdigest())
                 try:
                     if raw is None:
                         raise ValueError("null")
@@ -249,30 +252,37 @@ def read_pages(images: DataFrame, id_col: str, content: str = "content") -> Data
                         own.append((k, page, grid.shape[1], grid.shape[0], grid.shape[2], fields.get(COMPRESSION, (NONE,))[0], float(grid.mean()) if grid.size else None, grid.astype(grid.dtype.newbyteorder("<")).tobytes(), None))
                 except (ValueError, struct.error, zlib.error, KeyError, IndexError) as error:
                     own = [(k, None, None, None, None, None, None, None, str(error) or type(error).__name__)]
-                rows += [(*r, len(own)) for r in own]
-            which, page, width, height, band, compression, mean, data, error, n = zip(*rows, strict=True) if rows else [()] * 10
+                rows += [(*r, len(own), *file) for r in own]
+            which, page, width, height, band, compression, mean, data, error, n, size, digest = zip(*rows, strict=True) if rows else [()] * 12
+            take = pa.array(which, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["id"].take(pa.array(which, pa.int64())), pa.array(page, pa.int32()), pa.array(n, pa.int32()), *(pa.array(x, pa.int32()) for x in (width, height, band, compression)), pa.array(mean, pa.float64()), pa.array(data, pa.binary()), pa.array(error, pa.string())],
-                ["id", "page", "pages", "width", "height", "bands", "compression", "mean", "data", "error"],
+                [batch["id"].take(take), pa.array(page, pa.int32()), pa.array(n, pa.int32()), *(pa.array(x, pa.int32()) for x in (width, height, band, compression)), pa.array(mean, pa.float64()), pa.array(data, pa.binary()), pa.array(error, pa.string()), pa.array(size, pa.int64()), pa.array(digest, pa.string()), batch["rest"].take(take)],
+                ["id", "page", "pages", "width", "height", "bands", "compression", "mean", "data", "error", "media_bytes", "media_sha256", "rest"],
             )
 
-    shape = f"id {kind}, page int, pages int, width int, height int, bands int, compression int, mean double, data binary, error string"
-    return images.select(F.col(id_col).alias("id"), F.col(content).alias("content")).mapInArrow(decode, shape).withColumnRenamed("id", id_col)
+    shape = f"id {kind}, page int, pages int, width int, height int, bands int, compression int, mean double, data binary, error string, media_bytes long, media_sha256 string, rest {rest}"
+    out = rows.mapInArrow(decode, shape).withColumns({c: F.col(f"rest.c{k}") for k, c in enumerate(carry)}).drop("rest")
+    return out.withColumnRenamed("id", id_col)
 
 
 def layout(raw: bytes) -> bytes:
     """A text's bytes as a file: filled up with 255 to a multiple of 576, rows of 24 samples, pages of up to 1536 rows.
 
-    The first page's size decides how all are stored, so that each way of the format is used: one unit as
-    PackBits, two as LZW, more as deflate, in strips of up to 256 rows.
+    The content's checksum chooses how all pages are stored, whatever their size, so that each way of the format
+    is used alike: PackBits in strips of 64 rows, LZW or deflate with the predictor in strips of 256, or deflate
+    in tiles.
     """
-    grid = np.frombuffer(raw + b"\xff" * (-len(raw) % UNIT if raw else UNIT), np.uint8).reshape(-1, ROW)
+    payload = raw + b"\xff" * (-len(raw) % UNIT if raw else UNIT)
+    grid = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     images = [grid[k : k + PAGE_ROWS] for k in range(0, len(grid), PAGE_ROWS)]
-    if len(grid) <= 24:
-        return write(images, PACKBITS, 1)
-    if len(grid) <= 48:
-        return write(images, LZW, 2)
-    return write(images, DEFLATE, 2, strip_rows=256)
+    form = zlib.crc32(payload) % 4
+    if form == 0:
+        return write(images, PACKBITS, 1, strip_rows=64)
+    if form == 1:
+        return write(images, LZW, 2, strip_rows=256)
+    if form == 2:
+        return write(images, DEFLATE, 2, strip_rows=256)
+    return write(images, DEFLATE, 2, tile=32)
 
 
 def texts_as_tiff(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,33 +298,44 @@ def texts_as_tiff(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 
 def stored_texts(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads the files of texts_as_tiff back: the payload's and the file's digests, and a feature of the samples.
+    """Puts the pages of read_pages for the files of texts_as_tiff together again: the payload's and the file's digests, and a feature of the samples.
 
-    The pages of a file are read where the file is, so nothing is shuffled. feature: pages, compression, mean
-    and spread of the samples, and the share of the eight ranges of 32 values.
+    The pages of a file come one after another in one partition, so nothing is shuffled, and digests are taken
+    page by page. feature: pages, compression, mean and spread of the samples, and the share of the eight ranges
+    of 32 values. A file that is null or can't be read has nulls.
     """
-    kind = files.schema[id_col].dataType.simpleString()
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "content"):
-            rows = []
-            for raw in batch["content"].to_pylist():
-                grids = [(fields, samples(raw, fields)) for fields in pages(raw)]
-                payload = b"".join(g.tobytes() for _, g in grids)
-                flat = np.frombuffer(payload, np.uint8)
-                counts = np.bincount(flat, minlength=256)
-                n, values = len(flat), np.arange(256)
-                mean = float(counts @ values) / n
-                spread = max(0.0, float(counts @ values**2) / n - mean**2) ** 0.5
-                shares = ",".join(f"{x / n:.4f}" for x in counts.reshape(8, 32).sum(axis=1).tolist())
-                feature = f"pages={len(grids)};compression={grids[0][0][COMPRESSION][0]};mean={mean:.4f};spread={spread:.4f};shares={shares}"
-                rows.append((n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["n_bytes"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], _STORED)
+    read = read_pages(files, id_col, carry=("n_bytes",)).select(F.col(id_col).alias("id"), "n_bytes", "page", "pages", "compression", "data", "media_bytes", "media_sha256")
+    kind = read.schema["id"].dataType.simpleString()
+    values = np.arange(256)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, tail, counts = hashlib.sha256(), b"", np.zeros(256, np.int64)
+        for batch in slices(batches, "data"):
+            last, rows = [], []
+            for k, (page, n_pages, compression, data) in enumerate(zip(*(batch[c].to_pylist() for c in ("page", "pages", "compression", "data")), strict=True)):
+                if data is None:
+                    last.append(k)
+                    rows.append((None, None, None, None))
+                    continue
+                if page == 0:
+                    digest, tail, counts = hashlib.sha256(), b"", np.zeros(256, np.int64)
+                digest.update(data)
+                tail = (tail + data)[-32:]
+                counts += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+                if page == n_pages - 1:
+                    n = int(counts.sum())
+                    mean = float(counts @ values) / n
+                    spread = max(0.0, float(counts @ values**2) / n - mean**2) ** 0.5
+                    shares = ",".join(f"{x / n:.4f}" for x in counts.reshape(8, 32).sum(axis=1).tolist())
+                    last.append(k)
+                    rows.append((n, digest.hexdigest(), zlib.crc32(tail), f"pages={n_pages};compression={compression};mean={mean:.4f};spread={spread:.4f};shares={shares}"))
+            size, sha, crc, feature = zip(*rows, strict=True) if rows else [()] * 4
+            take = pa.array(last, pa.int64())
+            own = {c: batch[c].take(take) for c in ("id", "n_bytes", "media_bytes", "media_sha256")}
+            yield pa.RecordBatch.from_arrays(
+                [own["id"], own["n_bytes"], pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(crc, pa.int64()), own["media_bytes"], own["media_sha256"], pa.array(feature, pa.string())],
+                ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            )
 
     shape = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return files.select(F.col(id_col).alias("id"), "n_bytes", "content").mapInArrow(read, shape).withColumnRenamed("id", id_col)
-
-
-_STORED = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return read.mapInArrow(gather, shape).withColumnRenamed("id", id_col)

@@ -50,11 +50,43 @@ def test_big_endian_16_bit():
 def test_pages_as_rows(spark):
     raw = tiff.write([np.full((4, 5), 9, np.uint8), np.zeros((2, 3, 3), np.uint8)])
     images = spark.createDataFrame([(1, raw, "x"), (2, None, "x"), (3, b"II*\0", "x"), (4, b"", "x"), (1, raw, "x")], "k long, content binary, page string")
+    assert {(r.kept, r.media_bytes) for r in tiff.read_pages(images.withColumnRenamed("page", "kept"), "k", carry=("kept",)).where("k = 1").collect()} == {("x", len(raw))}
     got = sorted((r.k, r.page, r.pages, r.width, r.height, r.bands, r.mean, r.error is not None) for r in tiff.read_pages(images, "k").collect() if r.page is not None)
     assert got == [(1, 0, 2, 5, 4, 1, 9.0, False)] * 2 + [(1, 1, 2, 3, 2, 3, 0.0, False)] * 2
     assert sorted(r.k for r in tiff.read_pages(images, "k").where("error is not null").collect()) == [2, 3, 4]
 
 
+def plain_feature(payload, pages, compression):
+    n = len(payload)
+    mean = sum(payload) / n
+    spread = (sum(b * b for b in payload) / n - mean * mean) ** 0.5
+    shares = ",".join(f"{sum(b // 32 == k for b in payload) / n:.4f}" for k in range(8))
+    return f"pages={pages};compression={compression};mean={mean:.4f};spread={spread:.4f};shares={shares}"
+
+
+def test_features_and_forms(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choices("abc ü\n", k=r.choice([1, 500, 3000, 50000]))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    files = {x.doc_id: x.content for x in tiff.texts_as_tiff(docs).collect()}
+    forms = set()
+    for x in tiff.stored_texts(tiff.texts_as_tiff(docs)).collect():
+        raw = texts[x.doc_id].encode()
+        full = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        n = -(-len(full) // (24 * 1536))
+        form = (tiff.PACKBITS, tiff.LZW, tiff.DEFLATE, tiff.DEFLATE)[zlib.crc32(full) % 4]
+        assert x.feature == plain_feature(full, n, form)
+        assert (x.media_bytes, x.media_sha256) == (len(files[x.doc_id]), hashlib.sha256(files[x.doc_id]).hexdigest())
+        forms.add((form, len(raw) > 10000))
+    assert len(forms) == 6
+
+
+def test_files_that_cannot_be_read(spark):
+    files = spark.createDataFrame([(1, 3, None), (2, 3, b"no"), (3, 3, tiff.layout(b"abc"))], "doc_id long, n_bytes long, content binary")
+    got = {x.doc_id: x for x in tiff.stored_texts(files).collect()}
+    assert got[1].payload_bytes is None and got[1].media_bytes is None and got[2].media_bytes == 2 and got[3].payload_bytes == 576
+
+
 def test_texts(spark):
     r = random.Random(1)
     texts = [None, "", "é" * 10, "x" * 575, "x" * 576, "x" * 577, "".join(r.choices("abc ü", k=1100)), "".join(r.choices("abc ü", k=90000))]
