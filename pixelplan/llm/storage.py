@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _shared(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is made only if none is set, as in tests."""
+    """The session's checkpoint folder. Only a session on one machine, as in tests, may do without: it gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -25,3 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, so that a lost executor takes nothing of it along."""
     _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def opened(uri: str):
+    """The file system of a path of Spark's, as tasks can use it, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", uri) if ":" in uri else uri)

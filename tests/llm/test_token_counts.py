@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from pixelplan.llm import token_counts
 
@@ -19,7 +20,9 @@ def brute(ids, end):
     return out, n
 
 
-def test_blocks_are_stitched(spark):
+@pytest.mark.parametrize("scanned", [1, 3, 256])
+def test_blocks_are_stitched(spark, scanned, monkeypatch):
+    monkeypatch.setattr(token_counts, "SCANNED", scanned)
     r = random.Random(1)
     rows, want = [], []
     for file in range(12):
@@ -41,10 +44,22 @@ def test_flat_files(spark, tmp_path):
         np.array(ids, f"<u{width}").tofile(tmp_path / f"{name}.bin")
         done, rest = brute(ids, 3)
         want += [(name, k, n) for k, n in enumerate([*done, *[rest] * (rest > 0)])]
+    (tmp_path / "d.bin").touch()
     got = token_counts.count_tokens(token_counts.read_blocks(spark, str(tmp_path), block=16), end=3)
     assert sorted((x.file[-5], x.document, x.n_tokens) for x in got.collect()) == want
 
 
+def test_files_hold_ids_and_ends_only(spark, tmp_path):
+    texts = ["a b", None, "c d e", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    place = f"file:{tmp_path}/tokens"
+    (name,) = {(r.file, r.document, r.id) for r in token_counts.write_files(docs, RANKS, place).collect() if r.document == 3}
+    with open(RANKS, "rb") as file:
+        encoding = token_counts._encoding(file.read(), public_tokenizers.PATTERN)
+    want = [x for t in texts for x in (*encoding.encode_ordinary(t or ""), token_counts.END)]
+    assert name[2] == 3 and np.fromfile(f"{tmp_path}/tokens/{name[0]}", "<u2").tolist() == want
+
+
 def test_documents(spark):
     texts = [None, "", "a b", "naïve\n\nline", "<|endoftext|> is text", "word " * 4000, "word " * 4000]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "null id", 1)], "doc_id long, text string, file int").repartition(2)
