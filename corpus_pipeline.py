@@ -1,6 +1,7 @@
 """Cleans a table of documents in stages; each works on all that the stage before it kept.
 
-All stages but the last return the columns of documents. The result has, for each document that is kept, its
+All stages but the last return the columns of documents, which is all that they read: further columns do not
+matter, and an empty table gives an empty one. The result has, for each document that is kept, its
 id, the number and digest of its token ids and the digest of the text that they decode to.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelplan.llm import decontaminate, language, minhash, sentencepiece_bpe, suffix_dedup
-from pixelplan.llm.storage import folder
+from pixelplan.llm.storage import folder, remove
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = ("lang", "source", "n_chars")
@@ -29,19 +30,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages out of the texts; drops documents of which nothing but white space is left."""
-    left = suffix_dedup.without_repeats(docs)
+    """Takes repeated passages out of the texts; drops documents of which nothing but white space is left.
+
+    Null and empty texts stay as they are; n_chars follows the text where something was taken out.
+    """
+    left = suffix_dedup.without_repeats(docs.select(*COLUMNS))
     left = left.where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more are words of benchmark windows."""
+    """Drops documents of which a twentieth or more are words of benchmark windows; null texts stay."""
     return decontaminate.drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, as counts and digests."""
+    """Token ids of each text, as counts and digests; a null text counts as empty. Ids may be null or repeat."""
     return sentencepiece_bpe.digest(sentencepiece_bpe.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
@@ -58,10 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's rows are written to the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents; each stage's rows are written to the shared folder, read by the next and then removed."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     place = folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}_{name}")
-        docs = spark.read.parquet(f"{place}/{k}_{name}")
+        path = f"{place}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

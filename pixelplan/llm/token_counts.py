@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import cut, folder, opened
+from .storage import cut, folder, opened, remove
 from .text import slices
 
 #: Ids of a block, and the end-of-document id of the byte-level vocabulary of 50,256 ranks.
@@ -156,6 +156,5 @@ def digest(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text: str =
     if named.isEmpty():
         return named.select(F.col("id").alias(id_col), F.col("document").alias("n_tokens"))
     counted = cut(count_tokens(read_blocks(spark, place, block)).withColumn("file", F.element_at(F.split("file", "/"), -1)))
-    system, path = opened(place)
-    system.delete_dir(path)
+    remove(spark, place)
     return named.join(counted, ["file", "document"]).select(F.col("id").alias(id_col), "n_tokens")

@@ -61,3 +61,30 @@ def test_result(spark, sf_dir):
     whole = {i: t for i, t, *_ in rows}
     assert len(got) == 150 + 4 and all(r.agrees in (True, None) for r in got.values())
     assert all(got[i].n_tokens == len(library.encode(whole[i])) + 1 for i in (0, 3, 77, 1006))
+
+
+def test_repeated_ids_and_further_columns(spark, tmp_path):
+    r = random.Random(12)
+    t = [prose(r, "en", 80) for _ in range(6)]
+    rows = [(5, t[0]), (5, t[1]), (3, t[1]), (9, t[2]), (9, t[2]), (None, t[3]), (None, t[3]), (None, t[4]), (7, None), (8, "")] + [(100 + i, prose(r, "de", 60)) for i in range(20)]
+    place = str(tmp_path)
+    docs = spark.createDataFrame([(*x, "en", "s", 1, "h", 2, "r") for x in rows], "doc_id long, text string, lang string, source string, n_chars long, h1 string, spans int, row string")
+    docs.write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([(1, "no such words here")], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    left = spark.read.parquet(f"{place}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        left = stage(spark, left, place)
+        assert left.columns == list(corpus_pipeline.COLUMNS)
+    got = sorted(((x.doc_id, x.text) for x in left.collect() if (x.doc_id or 0) < 100), key=str)
+    assert got == sorted([(5, t[0]), (3, t[1]), (9, t[2]), (None, t[3]), (None, t[4])], key=str)
+    assert corpus_pipeline.run(spark, place).count() == len(got) + 20
+
+
+def test_no_rows(spark, tmp_path):
+    place = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    docs = spark.read.parquet(f"{place}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, place).count() == 0
+    assert corpus_pipeline.run(spark, place).count() == 0
