@@ -38,6 +38,10 @@ DEFAULTS = {
 }
 
 
+# Names and years that a user sets for their own images.
+DEFAULTS |= {"crown_id_format": "CROWN_%07d", "year_file_format": "city_%d_image.tif", "fine_since": 2013}
+
+
 def merged(user: dict | None = None) -> dict:
     """The defaults with the user's keys over them: whole values are replaced, null overrides, unknown keys pass through."""
     return {**DEFAULTS, **(user or {})}

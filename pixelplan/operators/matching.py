@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def iou_pairs(predicted: DataFrame, true: DataFrame, tile: str = "tile") -> DataFrame:
-    """Every pair of crowns of one tile that share a pixel: tile, gt, pred, inter, uni, iou.
+def overlaps(predicted: DataFrame, true: DataFrame, tile: str = "tile") -> DataFrame:
+    """tile, gt, pred, n: how many pixels have these labels; null where no crown of that side is.
 
-    An equi-join on pixels; a label's pixels are disjoint, so counting the joined rows is the intersection.
+    One pass over both sides' pixels, which meet by one grouping; all else follows from this small table.
     """
-    p = predicted.select(tile, "r", "c", F.col("label").alias("pred"))
-    g = true.select(tile, "r", "c", F.col("label").alias("gt"))
-    inter = p.join(g, [tile, "r", "c"]).groupBy(tile, "gt", "pred").agg(F.count("*").alias("inter"))
-    n_p, n_g = p.groupBy(tile, "pred").agg(F.count("*").alias("n_p")), g.groupBy(tile, "gt").agg(F.count("*").alias("n_g"))
-    both = inter.join(n_p, [tile, "pred"]).join(n_g, [tile, "gt"]).withColumn("uni", F.col("n_p") + F.col("n_g") - F.col("inter"))
+    none = F.lit(None).cast("int")
+    both = predicted.select(tile, "r", "c", F.col("label").alias("pred"), none.alias("gt")).unionByName(true.select(tile, "r", "c", none.alias("pred"), F.col("label").alias("gt")))
+    return both.groupBy(tile, "r", "c").agg(F.max("pred").alias("pred"), F.max("gt").alias("gt")).groupBy(tile, "gt", "pred").agg(F.count("*").alias("n"))
+
+
+def areas(found: DataFrame, side: str, tile: str = "tile") -> DataFrame:
+    """tile, label (named after its side) and area, from overlaps."""
+    return found.where(F.col(side).isNotNull()).groupBy(tile, side).agg(F.sum("n").alias("area"))
+
+
+def pairs_of(found: DataFrame, tile: str = "tile") -> DataFrame:
+    """Every pair of crowns of one tile that share a pixel: tile, gt, pred, inter, uni, iou; from overlaps."""
+    n_p, n_g = (areas(found, side, tile).withColumnRenamed("area", f"n_{side}") for side in ("pred", "gt"))
+    both = found.where("gt is not null and pred is not null").withColumnRenamed("n", "inter").join(n_p, [tile, "pred"]).join(n_g, [tile, "gt"])
+    both = both.withColumn("uni", F.col("n_pred") + F.col("n_gt") - F.col("inter"))
     return both.select(tile, "gt", "pred", "inter", "uni", F.coalesce(F.try_divide(F.col("inter").cast("double"), F.col("uni").cast("double")), F.lit(0.0)).alias("iou"))
 
 
+def iou_pairs(predicted: DataFrame, true: DataFrame, tile: str = "tile") -> DataFrame:
+    """Every pair of crowns of one tile that share a pixel: tile, gt, pred, inter, uni, iou. A side's labels are disjoint."""
+    return pairs_of(overlaps(predicted, true, tile), tile)
+
+
 def bbox_pairs(a: DataFrame, b: DataFrame, tile: str = "tile", cell: int = 64) -> DataFrame:
     """Pairs of boxes of one tile that overlap, touching sides included.
 
@@ -47,29 +63,33 @@ def greedy_matches(pairs: DataFrame, threshold: float, tile: str = "tile") -> Da
     """One-to-one matches: true crowns in order of label, each takes the free prediction of the largest IoU (the
     smallest label of equals) if that is no less than the threshold; a prediction not taken stays free.
 
-    Sequential within a tile, so tiles are groups; only pairs that reach the threshold go in, which changes
-    nothing, as a smaller IoU is never accepted.
+    Where no two true crowns of a tile want the same prediction each has its best, which needs no order. Only the
+    other tiles are groups that are gone through in turn. Pairs below the threshold are left out at once, which
+    changes nothing, as a smaller IoU is never accepted.
     """
+    good = pairs.where(F.col("iou") >= threshold).select(tile, "gt", "pred", "iou")
+    best = best_match(good, tile)
+    torn = best.groupBy(tile, "pred").agg(F.count("*").alias("n")).where("n > 1").select(tile).distinct()
 
     def match(table: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for gt, own in table.sort_values(["gt", "pred"], kind="stable").groupby("gt", sort=True):
-            free = own[~own["pred"].isin(taken)]
-            if len(free):
-                best = free.loc[free["iou"].idxmax()]
-                taken.add(best["pred"])
-                rows.append((table[tile].iloc[0], int(gt), int(best["pred"]), float(best["iou"])))
-        return pd.DataFrame(rows, columns=[tile, "gt", "pred", "iou"])
+        order = np.lexsort((table["pred"], -table["iou"], table["gt"]))
+        taken, served, rows = set(), None, []
+        for gt, pred, iou in zip(*(table[c].to_numpy()[order].tolist() for c in ("gt", "pred", "iou")), strict=True):
+            if gt != served and pred not in taken:
+                taken.add(pred)
+                served = gt
+                rows.append((gt, pred, iou))
+        gt, pred, iou = zip(*rows, strict=True)
+        return pd.DataFrame({tile: [table[tile].iloc[0]] * len(rows), "gt": gt, "pred": pred, "iou": iou})
 
     kind = pairs.schema[tile].dataType.simpleString()
-    return pairs.where(F.col("iou") >= threshold).select(tile, "gt", "pred", "iou").groupBy(tile).applyInPandas(match, f"{tile} {kind}, gt int, pred int, iou double")
+    settled = best.join(torn, tile, "left_anti").select(tile, F.col("gt").cast("int").alias("gt"), F.col("pred").cast("int").alias("pred"), "iou")
+    return settled.unionByName(good.join(torn, tile, "left_semi").groupBy(tile).applyInPandas(match, f"{tile} {kind}, gt int, pred int, iou double"))
 
 
-def outcomes(predicted: DataFrame, true: DataFrame, matches: DataFrame, tile: str = "tile") -> DataFrame:
-    """kind (tp, fp, fn), tile and area: of true crowns for tp and fn, of predictions for fp."""
-    area = lambda df, name: df.groupBy(tile, F.col("label").alias(name)).agg(F.count("*").alias("area"))
-    g, p = area(true, "gt"), area(predicted, "pred")
-    tp = g.join(matches.select(tile, "gt"), [tile, "gt"], "left_semi").select(F.lit("tp").alias("kind"), tile, "area")
-    fn = g.join(matches.select(tile, "gt"), [tile, "gt"], "left_anti").select(F.lit("fn").alias("kind"), tile, "area")
-    fp = p.join(matches.select(tile, "pred"), [tile, "pred"], "left_anti").select(F.lit("fp").alias("kind"), tile, "area")
-    return tp.unionByName(fn).unionByName(fp)
+def outcomes(found: DataFrame, matches: DataFrame, tile: str = "tile") -> DataFrame:
+    """kind (tp, fp, fn), tile and area: of true crowns for tp and fn, of predictions for fp; from overlaps and matches."""
+    flag = lambda side: matches.select(tile, side, F.lit(True).alias("met"))
+    true = areas(found, "gt", tile).join(flag("gt"), [tile, "gt"], "left").select(F.when(F.col("met"), "tp").otherwise("fn").alias("kind"), tile, "area")
+    false = areas(found, "pred", tile).join(flag("pred"), [tile, "pred"], "left_anti").select(F.lit("fp").alias("kind"), tile, "area")
+    return true.unionByName(false)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 
 def band_stats(pixels: DataFrame, key: str, value: str = "v", nodata: int | None = None) -> DataFrame:
     """Least, mean and largest value of each raster; nodata values are left out as nulls."""
@@ -54,8 +56,20 @@ def match_table(source: DataFrame, reference: DataFrame, key: str, value: str =
     return joined.groupBy(key, value).agg(F.coalesce(F.min("_r"), F.lit(bins - 1)).cast("int").alias("lut"))
 
 
+#: Rows of lookup tables that are sent to all executors; more meet the pixels by a shuffle with a salt.
+SENT_ROWS = 1 << 20
+SALT = 16
+
+
 def apply_table(pixels: DataFrame, luts: DataFrame, key: str, value: str = "v") -> DataFrame:
-    return pixels.join(luts, [key, value]).withColumn("matched", F.col("lut")).drop("lut")
+    """matched: the table's entry for the pixel's key and value. The tables are kept, and their size decides how they reach the pixels."""
+    luts = kept(luts.select(key, value, "lut"))
+    if luts.count() <= SENT_ROWS:
+        found = pixels.join(F.broadcast(luts), [key, value])
+    else:  # a key's pixels of one value may be very many
+        dealt = luts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        found = pixels.withColumn("_salt", F.pmod(F.hash("r", "c"), F.lit(SALT))).join(dealt, [key, value, "_salt"]).drop("_salt")
+    return found.withColumn("matched", F.col("lut")).drop("lut")
 
 
 def zonal_stats(masks: DataFrame, *keys: str, pixel_area: float = 1.0) -> DataFrame:
@@ -86,10 +100,19 @@ def coverage(dtm: DataFrame, key: str, pixels: int) -> DataFrame:
     return positive.withColumn("coverage_pct", F.round(F.col("crown_pixels") * F.lit(100.0) / pixels, 6))
 
 
-def tile_stats(pixels: DataFrame, key: str, tile: int, height: int, width: int) -> DataFrame:
-    """crown_frac, dtm_mean and dtm_max of each whole tile; partial tiles at the edges are left out. Value column: v, crown where v > 0."""
-    t_r, t_c = F.expr(f"r div {tile}").cast("int"), F.expr(f"c div {tile}").cast("int")
-    whole = pixels.withColumns({"tile_r": t_r, "tile_c": t_c}).where(((F.col("tile_r") + 1) * tile <= height) & ((F.col("tile_c") + 1) * tile <= width))
+def tile_stats(pixels: DataFrame, key: str, tile: int, height: int, width: int, stride: int | None = None) -> DataFrame:
+    """crown_frac, dtm_mean and dtm_max of each whole tile; partial tiles at the edges are left out. Value column: v, crown where v > 0.
+
+    tile_r and tile_c count tiles, which begin every `stride` pixels (the tile's size if not given); a pixel is sent
+    to all tiles that hold it.
+    """
+    stride = stride or tile
+
+    def held(at: str, extent: int) -> Column:
+        low, high = F.ceil((F.col(at) - (tile - 1)) / F.lit(stride)), F.floor(F.col(at) / F.lit(stride))
+        return F.filter(F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.greatest(high, F.lit(0)).cast("int")), lambda t: (t * stride <= F.col(at)) & (F.col(at) < t * stride + tile) & (t * stride + tile <= extent))
+
+    whole = pixels.withColumn("tile_r", F.explode(held("r", height))).withColumn("tile_c", F.explode(held("c", width)))
     crown = F.col("v") > 0
     return whole.groupBy(key, "tile_r", "tile_c").agg(
         F.round(F.count_if(crown) / F.lit(float(tile * tile)), 4).alias("crown_frac"), F.coalesce(F.round(F.avg(F.when(crown, F.col("v"))), 2), F.lit(0.0)).alias("dtm_mean"), F.coalesce(F.max(F.when(crown, F.col("v"))), F.lit(0)).alias("dtm_max"))

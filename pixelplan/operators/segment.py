@@ -6,6 +6,7 @@ Chips, or chunks with a border, are the groups: each has a bounded number of pix
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -36,33 +37,88 @@ def components(pixels: DataFrame, key: str, width: int) -> DataFrame:
     return pixels.select(key, "r", "c").groupBy(key).applyInPandas(label, f"{key} {kind}, r int, c int, component int")
 
 
-def _grid(table: pd.DataFrame) -> tuple[np.ndarray, int, int]:
-    r0, c0 = int(table["r"].min()), int(table["c"].min())
-    grid = np.full((int(table["r"].max()) - r0 + 1, int(table["c"].max()) - c0 + 1), -np.inf)
-    grid[table["r"] - r0, table["c"] - c0] = table["v"]
+def chip(edge: int) -> Callable:
+    """The extent of chips that all have this edge."""
+    return lambda key: (0, edge, 0, edge)
+
+
+def _grid(table: pd.DataFrame, extent: Callable | None) -> tuple[np.ndarray, int, int]:
+    """The values of a group over its extent (first row, end of rows, first column, end of columns), or over the box of its pixels."""
+    r, c = table["r"].to_numpy(), table["c"].to_numpy()
+    r0, r1, c0, c1 = extent(table.iloc[0, 0]) if extent else (int(r.min()), int(r.max()) + 1, int(c.min()), int(c.max()) + 1)
+    grid = np.full((r1 - r0, c1 - c0), -np.inf)
+    grid[r - r0, c - c0] = table["v"]
     return grid, r0, c0
 
 
-def peaks(grid: np.ndarray, mask: np.ndarray, min_distance: int) -> list[tuple[int, int]]:
-    """Pixels of the mask that none within min_distance exceeds; of those closer than that the higher, then the first, stays."""
-    found = []
-    for r, c in np.argwhere(mask):
-        around = grid[max(0, r - min_distance) : r + min_distance + 1, max(0, c - min_distance) : c + min_distance + 1]
-        if grid[r, c] >= around.max():
-            found.append((-grid[r, c], int(r), int(c)))
-    kept: list[tuple[int, int]] = []
-    for _, r, c in sorted(found):
-        if all(max(abs(r - y), abs(c - x)) > min_distance for y, x in kept):
-            kept.append((r, c))
+def _square_max(grid: np.ndarray, radius: int) -> np.ndarray:
+    """The largest value of the square around each place, rows first and then columns."""
+    for axis in (0, 1):
+        wide = np.pad(grid, [(radius, radius) if k == axis else (0, 0) for k in (0, 1)], constant_values=-np.inf)
+        grid = np.lib.stride_tricks.sliding_window_view(wide, 2 * radius + 1, axis=axis).max(axis=-1)
+    return grid
+
+
+def _opened(mask: np.ndarray) -> np.ndarray:
+    """The crosses of five places that fit into a mask."""
+    wide = np.pad(mask, 1)
+    cross = lambda m: (m[1:-1, 1:-1], m[:-2, 1:-1], m[2:, 1:-1], m[1:-1, :-2], m[1:-1, 2:])
+    return np.logical_or.reduce(cross(np.pad(np.logical_and.reduce(cross(wide)), 1)))
+
+
+def peaks(grid: np.ndarray, mask: np.ndarray, min_distance: int, threshold: float) -> list[tuple[int, int]]:
+    """Local maxima of the mask that are above the threshold, as image libraries find them within one region.
+
+    Places nearer to the extent's edge than min_distance do not count, nor does what lies outside of the box of
+    the others. A maximum is no less than all of the square around it; of those nearer to each other than
+    min_distance the higher, then the first, stays. In a region of one height only places that no cross of five
+    covers are maxima.
+    """
+    d = min_distance
+    inner = np.zeros_like(mask)
+    inner[d : mask.shape[0] - d, d : mask.shape[1] - d] = mask[d : mask.shape[0] - d, d : mask.shape[1] - d]
+    if not inner.any():
+        return []
+    rows, columns = np.flatnonzero(inner.any(axis=1)), np.flatnonzero(inner.any(axis=0))
+    r0, c0 = int(rows[0]), int(columns[0])
+    own = mask[r0 : rows[-1] + 1, c0 : columns[-1] + 1]
+    part = np.where(own, grid[r0 : rows[-1] + 1, c0 : columns[-1] + 1], -np.inf)
+    top = part == _square_max(part, d)
+    if part.size > 1 and top[own].all():
+        top = own ^ _opened(own)
+    found = np.argwhere(top & own & (part > threshold))
+    found = found[np.argsort(-part[tuple(found.T)], kind="stable")]
+    kept, taken = [], np.zeros(own.shape, np.bool_)
+    for r, c in found.tolist():
+        if not taken[r, c]:
+            kept.append((r + r0, c + c0))
+            taken[max(0, r - d + 1) : r + d, max(0, c - d + 1) : c + d] = True
     return sorted(kept)
 
 
+def markers(shape: tuple[int, int], seeds: list[tuple[int, int]]) -> np.ndarray:
+    """Labels 1, 2 ... of seeds in order of rows and columns; seeds side by side share one."""
+    out, left, label = np.zeros(shape, np.int32), set(seeds), 0
+    for seed in seeds:
+        if seed in left:
+            label += 1
+            stack = [seed]
+            left.discard(seed)
+            while stack:
+                r, c = stack.pop()
+                out[r, c] = label
+                for near in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
+                    if near in left:
+                        left.discard(near)
+                        stack.append(near)
+    return out
+
+
 def flood(grid: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, int]]) -> np.ndarray:
-    """Labels 1, 2 ... of the mask's pixels that 4-neighbours connect to a seed: the highest pixel first, of equals the one reached first."""
-    labels = np.zeros(grid.shape, np.int32)
+    """Labels of the mask's pixels that 4-neighbours connect to a seed: the highest pixel first, of equals the one reached first."""
+    labels = markers(grid.shape, seeds)
     queue, age = [], 0
-    for k, (r, c) in enumerate(seeds, 1):
-        labels[r, c] = k
+    for r, c in seeds:
         heapq.heappush(queue, (-grid[r, c], age, r, c))
         age += 1
     while queue:
@@ -75,13 +131,17 @@ def flood(grid: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, int]]) -> n
     return labels
 
 
-def watershed(pixels: DataFrame, key: str, threshold: float, min_distance: int) -> DataFrame:
-    """label of each pixel v >= threshold that a peak's basin reaches, numbered within a chip by the peaks' rows and columns."""
+def watershed(pixels: DataFrame, key: str, threshold: float, min_distance: int, extent: Callable | None = None) -> DataFrame:
+    """label of each pixel v >= threshold that a peak's basin reaches, numbered within a chip by the peaks' rows and columns.
+
+    A group is one chip or bordered chunk; extent tells its rows and columns by its key, without which the box of its
+    pixels counts.
+    """
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        grid, r0, c0 = _grid(table)
+        grid, r0, c0 = _grid(table, extent)
         mask = grid >= threshold
-        labels = flood(grid, mask, peaks(grid, mask, min_distance))
+        labels = flood(grid, mask, peaks(grid, mask, min_distance, threshold))
         r, c = np.nonzero(labels)
         return pd.DataFrame({key: table[key].iloc[0], "label": labels[r, c], "r": (r + r0).astype(np.int32), "c": (c + c0).astype(np.int32)})
 
@@ -89,11 +149,11 @@ def watershed(pixels: DataFrame, key: str, threshold: float, min_distance: int)
     return pixels.where(F.col("v") >= threshold).select(key, "r", "c", "v").groupBy(key).applyInPandas(run, f"{key} {kind}, label int, r int, c int")
 
 
-def crowns_from_dtm(dtm: DataFrame, key: str, threshold: float, min_distance: int, pixel_area: float, min_area: float) -> DataFrame:
+def crowns_from_dtm(dtm: DataFrame, key: str, threshold: float, min_distance: int, pixel_area: float, min_area: float, extent: Callable | None = None) -> DataFrame:
     """Crowns of a distance transform: watershed, then areas and boxes, small ones left out."""
     from .raster import zonal_stats
 
-    labelled = watershed(dtm, key, threshold, min_distance)
+    labelled = watershed(dtm, key, threshold, min_distance, extent)
     return zonal_stats(labelled, key, "label", pixel_area=pixel_area).where(F.col("area_m2") >= min_area)
 
 
@@ -102,9 +162,13 @@ def chunked_crowns(dtm: DataFrame, height: int, width: int, chunk: int, border:
     segmented alone, and a crown is kept by the chunk that its centre lies in, so each is kept once."""
     from .grids import chunks_of, owner
 
+    def window(key: str) -> tuple[int, int, int, int]:
+        k_r, k_c = map(int, key.split(","))
+        return max(0, k_r * chunk - border), min(height, (k_r + 1) * chunk + border), max(0, k_c * chunk - border), min(width, (k_c + 1) * chunk + border)
+
     sent = dtm.where(F.col("v") >= threshold).withColumn("k_r", F.explode(chunks_of(F.col("r"), F.lit(height), chunk, border)))
     sent = sent.withColumn("k_c", F.explode(chunks_of(F.col("c"), F.lit(width), chunk, border))).withColumn("chunk", F.concat_ws(",", "k_r", "k_c"))
-    found = crowns_from_dtm(sent, "chunk", threshold, min_distance, pixel_area, min_area)
+    found = crowns_from_dtm(sent, "chunk", threshold, min_distance, pixel_area, min_area, window)
     return found.where(F.col("chunk") == F.concat_ws(",", owner(F.col("centre_r"), chunk), owner(F.col("centre_c"), chunk)))
 
 

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def crown_summary(crowns: DataFrame, *keys: str) -> DataFrame:
     area = F.col("area_m2")
-    return crowns.groupBy(*keys).agg(F.count("*").alias("crowns"), F.round(F.sum(area) / 10000, 4).alias("canopy_ha"), F.median(area).alias("median_m2"), F.min(area).alias("min_m2"), F.max(area).alias("max_m2"), F.round(F.avg(area), 4).alias("mean_m2"))
+    found = crowns.groupBy(*keys).agg(F.count("*").alias("crowns"), F.round(F.sum(area) / 10000, 4).alias("canopy_ha"), F.min(area).alias("min_m2"), F.max(area).alias("max_m2"), F.round(F.avg(area), 4).alias("mean_m2"))
+    return with_median(found, crowns, "area_m2", *keys).select(*keys, "crowns", "canopy_ha", "median_m2", "min_m2", "max_m2", "mean_m2")
+
+
+def with_median(found: DataFrame, rows: DataFrame, value: str, *keys: str, name: str = "median_m2") -> DataFrame:
+    """found, which has one row for each key of rows, with the exact median; null for a key without values."""
+    middle = tables.median(rows, value, *keys)
+    middle = middle.select(*(F.col(key).alias(f"_k{k}") for k, key in enumerate(keys)), F.col("median").alias(name))
+    same = F.lit(True)
+    for k, key in enumerate(keys):
+        same = same & F.col(key).eqNullSafe(F.col(f"_k{k}"))
+    return found.join(middle, same, "left").drop(*(f"_k{k}" for k in range(len(keys))))
 
 
 def class_percent(crowns: DataFrame) -> DataFrame:
@@ -22,7 +35,9 @@ def totals(crowns: DataFrame) -> DataFrame:
     """One row of totals; zeros for no crowns."""
     area, zero = F.col("area_m2"), F.lit(0.0)
     classes = [F.count_if(F.col("size_class") == c).cast("double").alias(c) for c in ("small", "medium", "large")]
-    return crowns.agg(F.count("*").cast("double").alias("total_crowns"), F.coalesce(F.round(F.sum(area) / 1e4, 4), zero).alias("canopy_ha"), F.coalesce(F.median(area), zero).alias("median_m2"), F.coalesce(F.round(F.avg(area), 4), zero).alias("mean_m2"), *classes)
+    found = crowns.agg(F.count("*").cast("double").alias("total_crowns"), F.coalesce(F.round(F.sum(area) / 1e4, 4), zero).alias("canopy_ha"), F.coalesce(F.round(F.avg(area), 4), zero).alias("mean_m2"), *classes)
+    found = with_median(found, crowns, "area_m2")
+    return found.select("total_crowns", "canopy_ha", F.coalesce("median_m2", zero).alias("median_m2"), "mean_m2", "small", "medium", "large")
 
 
 def as_metrics(row: DataFrame) -> DataFrame:
@@ -30,10 +45,16 @@ def as_metrics(row: DataFrame) -> DataFrame:
     return row.unpivot([], row.columns, "metric", "value")
 
 
-def image_stats(extents: DataFrame, types: DataFrame, pixel_m: float = 0.075, bands: int = 3) -> DataFrame:
+def image_stats(extents: DataFrame, types: DataFrame, pixel_m: float = 0.075, bands: int = 3, file_gb: Column | None = None) -> DataFrame:
+    """Pixels, extent and sizes of images; with file_gb also the compression ratio, 0 for an empty file, and both as text."""
     pixels = F.col("h").cast("long") * F.col("w")
     size = lambda width: F.round(pixels * bands * width / F.lit(1e9), 6)
-    return extents.crossJoin(F.broadcast(types)).select("h", "w", "dtype", pixels.alias("pixels"), F.round(F.col("w") * F.lit(pixel_m) / 1000, 6).alias("width_km"), size(F.col("bytes")).alias("raw_gb"), size(F.lit(4)).alias("float32_gb"))
+    out = extents.crossJoin(F.broadcast(types)).select("h", "w", "dtype", pixels.alias("pixels"), F.round(F.col("w") * F.lit(pixel_m) / 1000, 6).alias("width_km"), size(F.col("bytes")).alias("raw_gb"), size(F.lit(4)).alias("float32_gb"))
+    if file_gb is None:
+        return out
+    ratio = F.when(file_gb > 0, F.col("raw_gb") / file_gb).otherwise(0.0)
+    extent = F.format_string("%.4f x %.4f km", F.col("width_km"), F.col("h") * F.lit(pixel_m) / 1000)
+    return out.withColumns({"extent": extent, "ratio": F.round(ratio, 6), "ratio_text": F.format_string("%.1fx", ratio)})
 
 
 def canopy_cover(crowns: DataFrame, key: str, area_m2: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 
 def draw(key: str) -> Column:
     """A fixed number of 0 to 1000002 for each key, in place of a random draw."""
@@ -18,28 +20,73 @@ def discover_sites(photos: DataFrame, crowns: DataFrame) -> DataFrame:
     return photos.join(counts, "site", "left").select("site", n.alias("crowns"), (n == 0).alias("true_negative"))
 
 
+_PLACE_BITS = 33
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with number, from 1, in this order over the whole table: a range's offset plus the place within the range.
 
-    Rows are dealt by ranges and numbered there; only the ranges' sizes are added up in one place. Two passes
-    over the ranges must agree, so they are written once, to the shared checkpoint folder.
+    Rows are dealt by ranges, sorted there and kept with their places; only the ranges' sizes are added up in one
+    place. Rows equal in all of the order are numbered in any way.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = kept(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", _PLACE_BITS))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", _before("_n", Window.orderBy("_part")).alias("_start"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return placed.join(F.broadcast(starts), "_part").withColumn("number", F.col("_start") + within + 1).drop("_part", "_start", "_at")
+
+
+def _before(n: str, order: Window) -> Column:
+    return F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _same(keys: list[str]) -> Column:
+    """Whether keys equal those of a table that has them as _k0, _k1 ...; null is a key like others."""
+    out = F.lit(True)
+    for k, key in enumerate(keys):
+        out = out & F.col(key).eqNullSafe(F.col(f"_k{k}"))
+    return out
+
+
+def _keyed(keys: list[str]) -> list[Column]:
+    return [F.col(key).alias(f"_k{k}") for k, key in enumerate(keys)]
+
+
+def numbered_within(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """rows with number, from 1, in this order within each key, and size, the key's rows.
+
+    Numbers of the whole table less those of the keys before, so a key with a third of all rows is no large task.
+    """
+    placed = numbered(rows, *keys, *order)
+    starts = kept(placed.groupBy(*_keyed(keys)).agg((F.min("number") - 1).alias("_start"), F.count("*").alias("size")))
+    return placed.join(starts, _same(keys)).withColumn("number", F.col("number") - F.col("_start")).drop("_start", *(f"_k{k}" for k in range(len(keys))))
+
+
+def median(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """The exact median of each key's values that are not null: keys, median; keys without a value have no row. Without keys there is one row.
+
+    Equal values are counted first. The counts are summed up over ranges of (keys, value), which are bounded, and
+    the values at the two middle ranks are picked; so neither a large key nor a frequent value is a large task.
     """
-    part = F.spark_partition_id()
-    dealt = rows.repartitionByRange(*order).withColumn("_part", part)
-    if rows.sparkSession.sparkContext.getCheckpointDir():
-        dealt = dealt.checkpoint()
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.join(F.broadcast(starts), "_part").withColumn("number", F.col("_start") + within).drop("_part", "_start")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    dealt = kept(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.sum("_n").alias("_s"))
+    starts = sums.select("_part", _before("_s", Window.orderBy("_part")).alias("_start"))
+    own = Window.partitionBy("_part").orderBy(*keys, "_v")
+    placed = dealt.join(F.broadcast(starts), "_part").withColumn("_from", F.col("_start") + _before("_n", own))
+    first = placed.groupBy(*_keyed(list(keys))).agg(F.min("_from").alias("_first"), F.sum("_n").alias("_all"))
+    both = placed.join(first, _same(list(keys))) if keys else placed.crossJoin(F.broadcast(first))
+    at = F.col("_from") - F.col("_first")
+    low, high = F.expr("(_all - 1) div 2"), F.expr("_all div 2")
+    picked = [F.max(F.when((at <= k) & (k < at + F.col("_n")), F.col("_v"))) for k in (low, high)]
+    return both.groupBy(*keys).agg(((picked[0] + picked[1]) / 2).alias("median"))
 
 
 def stratified_split(tiles: DataFrame, site: str, key: str, test_frac: float) -> DataFrame:
     """split: test for exactly round(n * test_frac) tiles of each site, train for the others."""
-    own = Window.partitionBy(site)
-    ranked = tiles.withColumn("_rn", F.row_number().over(own.orderBy(draw(key), key))).withColumn("_n", F.count("*").over(own))
-    return ranked.withColumn("split", F.when(F.col("_rn") <= F.round(F.col("_n") * F.lit(test_frac)), "test").otherwise("train")).drop("_rn", "_n")
+    ranked = numbered_within(tiles.withColumn("_draw", draw(key)), [site], "_draw", key)
+    return ranked.withColumn("split", F.when(F.col("number") <= F.round(F.col("size") * F.lit(test_frac)), "test").otherwise("train")).drop("_draw", "number", "size")
 
 
 def folds(tiles: DataFrame, key: str, k: int) -> DataFrame:
@@ -59,13 +106,18 @@ def site_weights(tiles: DataFrame, site: str = "site") -> DataFrame:
     return tiles.join(counts, site).withColumn("weight", F.lit(1.0) / F.col("_n")).drop("_n")
 
 
-def draw_sites(weighted: DataFrame, draws: DataFrame) -> DataFrame:
-    """The site of each draw u in [0, 1): sites stand one after another with the sums of their weights, a range join."""
-    sums = weighted.groupBy("site").agg(F.round(F.sum("weight"), 6).alias("w"))
-    order = Window.orderBy("site")
-    upto = F.sum("w").over(order)
-    placed = sums.select("site", (upto - F.col("w")).alias("lo"), upto.alias("hi"), F.sum("w").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
-    return draws.join(F.broadcast(placed), (F.col("u") * F.col("all") >= F.col("lo")) & (F.col("u") * F.col("all") < F.col("hi"))).select("draw", "site")
+def draw_tiles(tiles: DataFrame, draws: DataFrame, key: str, site: str = "site") -> DataFrame:
+    """The tile of each draw u in [0, 1), with replacement, each tile weighing one over the tiles of its site.
+
+    Tiles stand one after another by site and key with their weights, so a site's weights add up to one: the whole
+    part of u times the number of sites tells the site, the rest the place within it. Both sides meet by equality.
+    """
+    placed = numbered_within(tiles.select(site, key), [site], key)
+    sites = numbered(placed.select(site, "size").distinct(), site).select(F.col(site).alias("_site"), (F.col("number") - 1).alias("_i"), "size")
+    at = F.col("u") * F.col("_m")
+    drawn = draws.crossJoin(F.broadcast(sites.agg(F.count("*").alias("_m")))).withColumns({"_i": F.floor(at), "_rest": at - F.floor(at)})
+    drawn = drawn.join(sites, "_i").select("draw", "_site", (F.floor(F.col("_rest") * F.col("size")) + 1).alias("_k"))
+    return drawn.join(placed, F.col("_site").eqNullSafe(F.col(site)) & (F.col("_k") == F.col("number"))).select("draw", site, key)
 
 
 def accept_tiles(tiles: DataFrame, key: str, min_frac: float, keep_rate: float) -> DataFrame:
@@ -73,6 +125,14 @@ def accept_tiles(tiles: DataFrame, key: str, min_frac: float, keep_rate: float)
     return tiles.where((F.col("crown_frac") >= min_frac) | (F.col("crown_frac") == 0) & (draw(key) / F.lit(1000003.0) < keep_rate))
 
 
+def year_dimension(years: DataFrame, fine_since: int, service: str = "Imagery_%d", fine: int = 20, coarse: int = 19) -> DataFrame:
+    """yr, service, zoom (finer from a year on) and ground_cm of a table of years."""
+    from ..functions.mercator import ground_resolution_cm
+
+    placed = years.select("yr", F.format_string(service, "yr").alias("service"), F.when(F.col("yr") >= fine_since, fine).otherwise(coarse).alias("zoom"))
+    return placed.withColumn("ground_cm", F.round(ground_resolution_cm(F.col("zoom")), 2))
+
+
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is wanted and not in the manifest."""
     return wanted.join(done, key, "left_anti")

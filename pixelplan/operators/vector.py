@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rings
+from .stats import with_median
+from .tables import numbered_within
 
 
 def parts(polygons: DataFrame) -> DataFrame:
@@ -18,12 +20,24 @@ def total_bounds(parts_: DataFrame) -> DataFrame:
     return boxed.agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"), F.round(F.sum("_area"), 4).alias("area"), F.coalesce(F.bool_or(F.col("part") > 0), F.lit(False)).alias("multi"))
 
 
-def rasterized(parts_: DataFrame) -> DataFrame:
-    """key, part, r, c of the pixels of unit size whose centre lies in a ring: those of its box are tried."""
+def rasterized(parts_: DataFrame, cell: int = 256) -> DataFrame:
+    """key, part, r, c of the pixels of unit size whose centre lies in a ring: those of its box are tried.
+
+    Boxes are first cut to cells of a fixed size, which are dealt anew, so a city's outline is many tasks.
+    """
     low = lambda a: F.floor(F.array_min(F.transform("ring", lambda p: p[a]))).cast("int")
     high = lambda a: F.ceil(F.array_max(F.transform("ring", lambda p: p[a]))).cast("int")
-    rows = parts_.select("key", "part", "ring", F.explode(F.sequence(low("y"), high("y"))).alias("r"))
-    return rows.select("*", F.explode(F.sequence(low("x"), high("x"))).alias("c")).where(rings.contains(F.col("ring"), F.col("c") + F.lit(0.5), F.col("r") + F.lit(0.5))).drop("ring")
+    boxes = parts_.select("key", "part", "ring", *(f(a).alias(f"_{n}{a}") for a in ("x", "y") for f, n in ((low, "lo"), (high, "hi"))))
+    cells = lambda a: F.explode(F.sequence(F.floor(F.col(f"_lo{a}") / cell).cast("int"), F.floor(F.col(f"_hi{a}") / cell).cast("int")))
+    cut = boxes.withColumn("_i", cells("y")).withColumn("_j", cells("x")).repartition("key", "part", "_i", "_j")
+    own = lambda a, k: F.explode(F.sequence(F.greatest(f"_lo{a}", F.col(k) * cell), F.least(f"_hi{a}", F.col(k) * cell + (cell - 1))))
+    rows = cut.withColumn("r", own("y", "_i")).withColumn("c", own("x", "_j"))
+    return rows.where(rings.contains(F.col("ring"), F.col("c") + F.lit(0.5), F.col("r") + F.lit(0.5))).select("key", "part", "r", "c")
+
+
+def union_area(parts_: DataFrame) -> DataFrame:
+    """area: of what parts cover together, in pixels of unit size, each counted once; exact for rings on whole numbers."""
+    return rasterized(parts_).select("r", "c").distinct().agg(F.count("*").alias("area"))
 
 
 def painted(pixels: DataFrame, order: str) -> DataFrame:
@@ -39,6 +53,30 @@ def download_report(downloads: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("status", "outcome", "tiles", F.round(F.coalesce(F.try_divide(F.lit(100.0) * F.col("tiles"), F.col("total")), F.lit(0.0)), 6).alias("percent"))
 
 
+def attempts(tries: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """What became of each tile: its tries in order until one is final, `most` at most.
+
+    tries: key, attempt (from 0), status (null: an exception), image. 200 with an image is a tile; 429 waits
+    2 ** attempt seconds and an exception 1 second, and both try again; all else ends without a tile, and so do tries
+    that are used up. Returns key, outcome (tile or missing), tries (made), waited (seconds).
+    """
+    again = F.col("status").isNull() | (F.col("status") == 429)
+    rows = tries.where(F.col("attempt") < most)
+    last = rows.groupBy(key).agg(F.coalesce(F.min(F.when(~again, F.col("attempt"))), F.lit(most - 1)).alias("_last"))
+    got = F.bool_or((F.col("attempt") == F.col("_last")) & (F.coalesce("status", F.lit(0)) == 200) & F.col("image"))
+    made = rows.join(last, key).where("attempt <= _last")
+    wait = F.sum(F.when(F.col("status").isNull(), F.lit(1)).when(F.col("status") == 429, F.pow(F.lit(2), "attempt").cast("long")).otherwise(0))
+    return made.groupBy(key).agg(F.when(got, "tile").otherwise("missing").alias("outcome"), F.count("*").alias("tries"), wait.cast("long").alias("waited"))
+
+
+def mosaic(pixels: DataFrame, tiles: int, edge: int) -> DataFrame:
+    """strip, y, x, v: the pixels of tiles (strip, slot, r, c, v) side by side; what is beyond a tile's edge is cut off and what no tile has is 0."""
+    placed = pixels.where((F.col("r") < edge) & (F.col("c") < edge)).select("strip", F.col("r").alias("y"), (F.col("slot") * edge + F.col("c")).cast("int").alias("x"), "v")
+    line = pixels.select("strip").distinct().select("strip", F.explode(F.sequence(F.lit(0), F.lit(edge - 1))).alias("y"))
+    spine = line.select("strip", "y", F.explode(F.sequence(F.lit(0), F.lit(tiles * edge - 1))).alias("x"))
+    return spine.join(placed, ["strip", "y", "x"], "left").select("strip", "y", "x", F.coalesce("v", F.lit(0)).alias("v"))
+
+
 def strip_layout(rows: DataFrame, tiles: int, batch: int = 20) -> DataFrame:
     """Every slot of every strip: its left edge, whether a tile came, and the batch it is fetched in."""
     came = rows.groupBy("strip", "slot").agg(F.bool_or("got").alias("got"))
@@ -49,20 +87,16 @@ def strip_layout(rows: DataFrame, tiles: int, batch: int = 20) -> DataFrame:
 
 def inspect(parts_: DataFrame) -> DataFrame:
     """Number of parts, those that cross themselves, and the range and median of their areas."""
-    area = rings.area(F.col("ring"))
-    return parts_.agg(F.count("*").alias("parts"), F.count_if(rings.self_crossing(F.col("ring"))).alias("invalid"), F.min(area).alias("low"), F.median(area).alias("mid"), F.max(area).alias("high"))
+    rows = parts_.select(rings.self_crossing(F.col("ring")).alias("_bad"), rings.area(F.col("ring")).alias("_area"))
+    found = rows.agg(F.count("*").alias("parts"), F.count_if("_bad").alias("invalid"), F.min("_area").alias("low"), F.max("_area").alias("high"))
+    return with_median(found, rows, "_area", name="mid").select("parts", "invalid", "low", "mid", "high")
 
 
 def cleaned(polygons: DataFrame, site: str, threshold: float) -> DataFrame:
-    """Polygons to crowns: parts as rows, empty and self-crossing ones and slivers left out, numbered within each site.
-
-    Numbers need an order within a site only, so each site is a group of its own; ids start at 0.
-    """
-    from pyspark.sql import Window
-
+    """Polygons to crowns: parts as rows, empty and self-crossing ones and slivers left out, numbered within each site from 0."""
     from ..functions.crowns import size_class
 
     rows = polygons.select(site, "key", F.posexplode("parts").alias("part", "ring")).where(F.size("ring") > 0)
     rows = rows.where(~rings.self_crossing(F.col("ring"))).withColumn("area_m2", rings.area(F.col("ring"))).where(F.col("area_m2") >= threshold)
-    number = F.row_number().over(Window.partitionBy(site).orderBy("key", "part")) - 1
-    return rows.select(F.concat(F.col(site), F.lit("_"), number.cast("string")).alias("crown_id"), F.col(site).alias("site"), "area_m2", size_class(F.col("area_m2")).alias("size_class"), "ring")
+    number = F.col("number") - 1
+    return numbered_within(rows, [site], "key", "part").select(F.concat(F.col(site), F.lit("_"), number.cast("string")).alias("crown_id"), F.col(site).alias("site"), "area_m2", size_class(F.col("area_m2")).alias("size_class"), "ring")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, overlay
@@ -60,12 +59,12 @@ def site_counts_filled(spark, sf_dir):
 @query(f"select site || '_' || (row_number() over (partition by site order by crown_id) - 1)::varchar site_crown_id, crown_id from {CROWNS} where area_m2 >= 0.5")
 def crown_ids(spark, sf_dir):
     kept = src.crowns(spark, sf_dir).where(F.col("area_m2") >= DEFAULTS["small_area_threshold_m2"])
-    return kept.select(F.concat("site", F.lit("_"), (F.row_number().over(Window.partitionBy("site").orderBy("crown_id")) - 1).cast("string")).alias("site_crown_id"), "crown_id")
+    return tables.numbered_within(kept, ["site"], "crown_id").select(F.concat("site", F.lit("_"), (F.col("number") - 1).cast("string")).alias("site_crown_id"), "crown_id")
 
 
-@query(f"select printf('EDM_%07d', row_number() over (order by site, crown_id)) global_id, crown_id from {CROWNS}")
+@query(f"select printf('CROWN_%07d', row_number() over (order by site, crown_id)) global_id, crown_id from {CROWNS}")
 def global_crown_ids(spark, sf_dir):
-    return tables.numbered(src.crowns(spark, sf_dir), "site", "crown_id").select(F.format_string("EDM_%07d", "number").alias("global_id"), "crown_id")
+    return tables.numbered(src.crowns(spark, sf_dir), "site", "crown_id").select(F.format_string(DEFAULTS["crown_id_format"], "number").alias("global_id"), "crown_id")
 
 
 @query(f"select tile_name, site, row_off, col_off, crown_frac from {TILES}")
@@ -104,14 +103,14 @@ def site_weights(spark, sf_dir):
 
 
 @query(
-    f"with w as (select *, 1.0::double / count(*) over (partition by site) weight from {TILES}), s as (select site, min(\"key\") k, count(*) n from {TILES} group by 1), "
-    "c as (select site, k, n, row_number() over (order by site) - 1 i, count(*) over () m from s), draws as (select range d, ((range * 2654435761) % 1000003) / 1000003.0::double u from range(1000)) "
-    "select d::bigint draw, site from draws join c on floor(u * m) = i"
+    f"with t as (select site, \"key\", row_number() over (partition by site order by \"key\") - 1 k from {TILES}), s as (select site, count(*) n, row_number() over (order by site) - 1 i, count(*) over () m from {TILES} group by 1), "
+    "draws as (select range d, ((range * 2654435761) % 1000003) / 1000003.0::double u from range(1000)) "
+    "select d::bigint draw, t.site, \"key\" from draws join s on floor(u * m) = i join t on t.site = s.site and k = floor((u * m - floor(u * m)) * n)"
 )
 def weighted_draws(spark, sf_dir):
-    """With replacement: each site is equally likely, as its tiles' weights add up to one."""
+    """Tiles with replacement, each weighing one over the tiles of its site."""
     draws = spark.range(1000).select(F.col("id").alias("draw"), (((F.col("id") * 2654435761) % 1000003) / F.lit(1000003.0)).alias("u"))
-    return tables.draw_sites(tables.site_weights(src.tiles(spark, sf_dir)), draws)
+    return tables.draw_tiles(src.tiles(spark, sf_dir), draws, "key")
 
 
 @query(f"select tile_name from {TILES} where crown_frac >= 0.1 or (crown_frac = 0 and ((\"key\" * 2654435761) % 1000003) / 1000003.0::double < 0.15)")
@@ -121,15 +120,17 @@ def tile_accept(spark, sf_dir):
 
 @query("select yr, count(*) crowns, round(sum(area_m2) / 10000, 4) canopy_ha, round(100 * sum(area_m2) / 1e6, 4) cover_pct, median(area_m2) median_m2 from (select year(o_orderdate)::integer yr, o_totalprice / 10000 area_m2 from orders) group by 1")
 def temporal_summary(spark, sf_dir):
+    """In order of years."""
     rows = src.yearly(spark, sf_dir)
-    return rows.groupBy("yr").agg(F.count("*").alias("crowns"), F.round(F.sum("area_m2") / 10000, 4).alias("canopy_ha"), F.round(F.sum("area_m2") * 100 / 1e6, 4).alias("cover_pct"), F.median("area_m2").alias("median_m2"))
+    found = rows.groupBy("yr").agg(F.count("*").alias("crowns"), F.round(F.sum("area_m2") / 10000, 4).alias("canopy_ha"), F.round(F.sum("area_m2") * 100 / 1e6, 4).alias("cover_pct"))
+    return stats.with_median(found, rows, "area_m2", "yr").orderBy("yr")
 
 
-@query("select y::integer yr, printf('edmonds_%d_image.tif', y) file from (select unnest(range(1995, 2004)) y) where y not in (select year(o_orderdate) from orders where o_orderstatus = 'F' and o_totalprice > 499900)")
+@query("select y::integer yr, printf('city_%d_image.tif', y) file from (select unnest(range(1995, 2004)) y) where y not in (select year(o_orderdate) from orders where o_orderstatus = 'F' and o_totalprice > 499900)")
 def pending_years(spark, sf_dir):
     wanted = spark.range(1995, 2004).select(F.col("id").cast("int").alias("yr"))
     done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_totalprice > 499900").select(F.year("o_orderdate").alias("yr"))
-    return tables.pending(wanted, done, "yr").select("yr", F.format_string("edmonds_%d_image.tif", "yr").alias("file"))
+    return tables.pending(wanted, done, "yr").select("yr", F.format_string(DEFAULTS["year_file_format"], "yr").alias("file"))
 
 
 @query("select n_regionkey region, arg_min(n_name, n_nationkey) picked from nation where n_nationkey % 3 <> 0 group by 1")
@@ -152,10 +153,12 @@ def stats_document(spark, sf_dir):
 
 @query(
     "with e as (select * from (values (26000, 35000), (2200, 2200), (2348, 2348), (2349, 2349), (512, 512), (300, 300)) t(h, w)), d as (select * from (values ('uint8', 1), ('uint16', 2), ('float32', 4)) t(dtype, bytes)) "
-    "select h, w, dtype, h::bigint * w pixels, round(w * 0.075::double / 1000, 6) width_km, round(h::bigint * w * 3 * bytes / 1e9, 6) raw_gb, round(h::bigint * w * 3 * 4 / 1e9, 6) float32_gb from e, d"
+    "select h, w, dtype, pixels, width_km, raw_gb, float32_gb, printf('%.4f x %.4f km', width_km, h * 0.075::double / 1000) extent, round(ratio_, 6) ratio, printf('%.1fx', ratio_) ratio_text from (select *, case when h > 500 then raw_gb / (h / 1000.0::double) else 0.0::double end ratio_ from ("
+    "select h, w, dtype, h::bigint * w pixels, round(w * 0.075::double / 1000, 6) width_km, round(h::bigint * w * 3 * bytes / 1e9, 6) raw_gb, round(h::bigint * w * 3 * 4 / 1e9, 6) float32_gb from e, d))"
 )
 def image_stats(spark, sf_dir):
-    return stats.image_stats(extents(spark), spark.createDataFrame([("uint8", 1), ("uint16", 2), ("float32", 4)], "dtype string, bytes int"))
+    types = spark.createDataFrame([("uint8", 1), ("uint16", 2), ("float32", 4)], "dtype string, bytes int")
+    return stats.image_stats(extents(spark), types, file_gb=F.when(F.col("h") > 500, F.col("h") / F.lit(1000.0)).otherwise(0.0))
 
 
 @query(f"select site, round(100 * sum(area_m2) / 1e7, 6) cover_pct, round(sum(area_m2) / 1e4, 6) canopy_ha, round(sum(area_m2) / 2.59e6, 8) canopy_sq_mi from {CROWNS} group by 1")
@@ -165,3 +168,17 @@ def canopy_cover(spark, sf_dir):
 
 def extents(spark):
     return spark.createDataFrame([(26000, 35000), (2200, 2200), (2348, 2348), (2349, 2349), (512, 512), (300, 300)], "h int, w int")
+
+
+@query(f"select site, format('{{:,}}', count(*)) crowns, upper(site[1]) || lower(site[2:]) title from {CROWNS} group by 1")
+def display_labels(spark, sf_dir):
+    """Counts with thousands separators and capitalised names, in order of sites."""
+    counts = src.crowns(spark, sf_dir).groupBy("site").agg(F.count("*").alias("n"))
+    return counts.orderBy("site").select("site", F.format_number("n", 0).alias("crowns"), F.initcap("site").alias("title"))
+
+
+@query("select y::integer yr, 'Imagery_' || y::varchar service, case when y >= 2013 then 20 else 19 end zoom, round(15654303.0::double * cos(radians(47.81::double)) / pow(2.0::double, case when y >= 2013 then 20 else 19 end), 2) ground_cm from (select distinct year(o_orderdate) y from orders)")
+def year_dimension(spark, sf_dir):
+    """Service, largest zoom and ground resolution of each year that there are crowns of."""
+    years = src.yearly(spark, sf_dir).select("yr").distinct()
+    return tables.year_dimension(years, DEFAULTS["fine_since"]).orderBy("yr")

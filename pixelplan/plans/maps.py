@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import mercator, rings
+from ..functions import geo, mercator, rings
 from ..operators import grids, vector
 from ..registry import query
+from ..sources import files
 from ..sources import projections as src
 from .crowns import extents
+from .pixels import PIXELS
 
 _W = "40075016.685578488::double"
 _H = "20037508.342789244::double"
@@ -39,15 +41,14 @@ def ground_resolution(spark, sf_dir):
 
 
 @query(
-    "with b as (select c_custkey as \"key\", (20 - c_custkey % 2)::integer zoom, -13620000.0::double + c_custkey * 10 l, 6070000.0::double + c_custkey * 5 t from customer where c_custkey < 200), "
+    "with b as (select c_custkey as \"key\", (20 - c_custkey % 2)::integer zoom, -13620000.0::double + c_custkey * 10 l, 6070000.0::double + c_custkey * 5 t from customer), "
     f"g as (select \"key\", zoom, floor((l + {_H}) / ({_W} / pow(2.0::double, zoom)))::integer col_min, floor((l + 3000 + {_H}) / ({_W} / pow(2.0::double, zoom)))::integer col_max, floor(({_H} - t) / ({_W} / pow(2.0::double, zoom)))::integer row_min, floor(({_H} - (t - 2000)) / ({_W} / pow(2.0::double, zoom)))::integer row_max from b) "
     "select \"key\", zoom, col_min, col_max, row_min, row_max, (col_max - col_min + 1)::bigint * (row_max - row_min + 1) tiles, (col_max - col_min + 1) * 256 width_px, (row_max - row_min + 1) * 256 height_px, "
     f"round(col_min * ({_W} / pow(2.0::double, zoom)) - {_H}, 6) snap_left, round({_H} - row_min * ({_W} / pow(2.0::double, zoom)), 6) snap_top, round((col_max - col_min + 1)::double * (row_max - row_min + 1) * 256 * 256 * 3 / 1e9 * 0.15::double, 6) est_gb from g",
-    cut="c_custkey < 200",
 )
-def tile_grid(spark, sf_dir, kept):
+def tile_grid(spark, sf_dir):
     key = F.col("c_custkey")
-    boxes = src.table(spark, sf_dir, "customer").where(kept).select(key.alias("key"), (F.lit(20) - key % 2).cast("int").alias("zoom"), (F.lit(-13620000.0) + key * 10).alias("left"), (F.lit(6070000.0) + key * 5).alias("top"))
+    boxes = src.table(spark, sf_dir, "customer").select(key.alias("key"), (F.lit(20) - key % 2).cast("int").alias("zoom"), (F.lit(-13620000.0) + key * 10).alias("left"), (F.lit(6070000.0) + key * 5).alias("top"))
     boxes = boxes.withColumns({"right": F.col("left") + 3000, "bottom": F.col("top") - 2000})
     found = grids.tile_grid(boxes).withColumns({c: F.round(c, 6) for c in ("snap_left", "snap_top")})
     return found.select("key", "zoom", "col_min", "col_max", "row_min", "row_max", "tiles", "width_px", "height_px", "snap_left", "snap_top", "est_gb")
@@ -68,12 +69,11 @@ def download_report(spark, sf_dir):
 
 
 @query(
-    f"with t as (select col, status from {DOWNLOADS} where id < 2000), s as (select (col // 10)::integer strip, col % 10 k, bool_or(status = 200) got from t group by 1, 2), m as (select distinct strip from s) "
+    f"with t as (select col, status from {DOWNLOADS}), s as (select (col // 10)::integer strip, col % 10 k, bool_or(status = 200) got from t group by 1, 2), m as (select distinct strip from s) "
     "select strip, k::integer slot, (k * 256)::integer x, coalesce(got, false) present, (k // 4)::integer batch from m cross join (select unnest(range(10)) k) g left join s using (strip, k)",
-    cut="id < 2000",
 )
-def strip_layout(spark, sf_dir, kept):
-    rows = src.downloads(spark, sf_dir).where(kept).select(F.expr("cast(col div 10 as int)").alias("strip"), (F.col("col") % 10).cast("int").alias("slot"), (F.col("status") == 200).alias("got"))
+def strip_layout(spark, sf_dir):
+    rows = src.downloads(spark, sf_dir).select(F.expr("cast(col div 10 as int)").alias("strip"), (F.col("col") % 10).cast("int").alias("slot"), (F.col("status") == 200).alias("got"))
     return vector.strip_layout(rows, tiles=10, batch=4)
 
 
@@ -101,12 +101,11 @@ def total_bounds(spark, sf_dir):
 
 
 @query(
-    f"select \"key\", part, py::integer r, px::integer c from (select *, unnest(range(floor(x0)::bigint, ceil(x0 + w)::bigint + 1)) px from (select *, unnest(range(floor(y0)::bigint, ceil(y0 + h)::bigint + 1)) py from {PARTS} where \"key\" < 300)) "
+    f"select \"key\", part, py::integer r, px::integer c from (select *, unnest(range(floor(x0)::bigint, ceil(x0 + w)::bigint + 1)) px from (select *, unnest(range(floor(y0)::bigint, ceil(y0 + h)::bigint + 1)) py from {PARTS})) "
     "where px + 0.5::double > x0 and px + 0.5::double < x0 + w and py + 0.5::double > y0 and py + 0.5::double < y0 + h",
-    cut="key < 300",
 )
-def rasterize(spark, sf_dir, kept):
-    return vector.rasterized(vector.parts(src.polygons(spark, sf_dir).where(kept))).select("key", "part", "r", "c")
+def rasterize(spark, sf_dir):
+    return vector.rasterized(vector.parts(src.polygons(spark, sf_dir))).select("key", "part", "r", "c")
 
 
 @query("select c_custkey as \"key\", (3857 + c_custkey % 3)::integer epsg from customer")
@@ -138,12 +137,11 @@ def origin_grid(spark, sf_dir):
 
 
 @query(
-    f"with e as (select h from {EXTENTS} where h < 3000), y as (select h, unnest(range(h)) y from e), k as (select h, y, unnest(range(0, (ceil(h / 2048.0::double))::bigint)) k from y) "
+    f"with e as (select h from {EXTENTS}), y as (select h, unnest(range(h)) y from e), k as (select h, y, unnest(range(0, (ceil(h / 2048.0::double))::bigint)) k from y) "
     "select h, k::integer chunk, count(*) as \"rows\", min(y)::integer first_row, max(y)::integer last_row from k where y >= k * 2048 - 300 and y < (k + 1) * 2048 + 300 group by 1, 2",
-    cut="h < 3000",
 )
-def halo_chunks(spark, sf_dir, kept):
-    rows = extents(spark).where(kept).select("h", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+def halo_chunks(spark, sf_dir):
+    rows = extents(spark).select("h", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
     sent = rows.select("h", "y", F.explode(grids.chunks_of(F.col("y"), F.col("h"), 2048, 300)).alias("chunk"))
     return sent.groupBy("h", "chunk").agg(F.count("*").alias("rows"), F.min("y").alias("first_row"), F.max("y").alias("last_row"))
 
@@ -159,3 +157,68 @@ def owner_rows(spark, sf_dir):
     sent = rows.select("h", "y", F.explode(grids.chunks_of(F.col("y"), F.col("h"), 2048, 300)).alias("k")).where(F.col("k") == grids.owner(F.col("y"), 2048))
     new = sent.groupBy("h").agg((F.count("*") - F.first("h")).alias("twice_by_owner"))
     return old.join(new, "h").select("h", F.col("twice").cast("long").alias("twice"), "twice_by_owner")
+
+
+@query(f"select \"key\", least(999, greatest(0, round_even((20000000 - my) / 40000.0::double, 0)))::integer r, least(999, greatest(0, round_even((mx + 20000000) / 40000.0::double, 0)))::integer c from {POINTS}")
+def map_to_pixel(spark, sf_dir):
+    """Points of the map as pixels of an image of 1000 x 1000."""
+    r, c = geo.to_pixel(F.col("mx"), F.col("my"), F.lit(-20000000.0), F.lit(20000000.0), F.lit(40000.0), F.lit(1000), F.lit(1000))
+    return src.points(spark, sf_dir).select("key", r.alias("r"), c.alias("c"))
+
+
+@query(
+    f"with t as (select id // 4 tile, id % 4 attempt, case when status = 500 then null else status end status, id % 5 <> 0 image from {DOWNLOADS} where id % 4 < 3), l as (select tile, coalesce(min(attempt) filter (status is not null and status <> 429), 2) k from t group by 1) "
+    "select tile, case when bool_or(attempt = k and coalesce(status, 0) = 200 and image) then 'tile' else 'missing' end outcome, count(*) tries, sum(case when status is null then 1 when status = 429 then pow(2, attempt) else 0 end)::bigint waited from t join l using (tile) where attempt <= k group by 1"
+)
+def download_attempts(spark, sf_dir):
+    """Four events in a row stand for the tries of a tile, a status of 500 for an exception."""
+    status = F.when(F.col("status") != 500, F.col("status"))
+    tries = src.downloads(spark, sf_dir).select(F.expr("id div 4").alias("tile"), (F.col("id") % 4).alias("attempt"), status.alias("status"), (F.col("id") % 5 != 0).alias("image"))
+    return vector.attempts(tries, "tile", most=3)
+
+
+@query(
+    f"with p as (select raster_id // 10 strip, raster_id % 10 slot, r, c, v from {PIXELS} where raster_id % 7 <> 0), s as (select distinct strip from p) "
+    "select s.strip, y::integer y, x::integer x, coalesce(v, 0) v from s cross join (select unnest(range(6)) y) cross join (select unnest(range(60)) x) left join p on p.strip = s.strip and p.r = y and p.c < 6 and p.slot * 6 + p.c = x"
+)
+def mosaic_strips(spark, sf_dir):
+    """Chips as tiles of 6 x 6, ten to a strip; each seventh did not come."""
+    rows = src.pixels(spark, sf_dir).where("raster_id % 7 <> 0").select(F.expr("raster_id div 10").alias("strip"), (F.col("raster_id") % 10).alias("slot"), "r", "c", "v")
+    return vector.mosaic(rows, tiles=10, edge=6)
+
+
+@query(
+    f"select count(*) area from (select distinct py, px from (select *, unnest(range(floor(x0)::bigint, ceil(x0 + w)::bigint + 1)) px from (select *, unnest(range(floor(y0)::bigint, ceil(y0 + h)::bigint + 1)) py from (select x0 % 40 x0, y0 % 40 y0, w, h from {PARTS}))) "
+    "where px + 0.5::double > x0 and px + 0.5::double < x0 + w and py + 0.5::double > y0 and py + 0.5::double < y0 + h)"
+)
+def union_area(spark, sf_dir):
+    """Polygons moved on top of each other: what they cover together."""
+    moved = F.transform("ring", lambda p: F.struct((p["x"] - F.col("dx")).alias("x"), (p["y"] - F.col("dy")).alias("y")))
+    low = lambda a: F.array_min(F.transform("ring", lambda p: p[a]))
+    parts_ = vector.parts(src.polygons(spark, sf_dir)).withColumns({"dx": low("x") - low("x") % 40, "dy": low("y") - low("y") % 40})
+    return vector.union_area(parts_.select("key", "part", moved.alias("ring")))
+
+
+@query(
+    f"with e as {EXTENTS}, r as (select h, w, unnest(range(0, h, 256)) r from e), g as (select h, w, r, unnest(range(0, w, 256)) c from r union select h, w, h - 512, unnest(range(0, w, 256)) from e union select h, w, r, w - 512 from r union select h, w, h - 512, w - 512 from e) "
+    "select h, w, r::integer r, c::integer c from g where r >= 0 and c >= 0 and h < 3000"
+)
+def inner_origins(spark, sf_dir):
+    """The origins within the smaller extents, in order of rows and columns."""
+    return grids.origins(extents(spark).where("h < 3000"), inside=True).orderBy("h", "w", "r", "c")
+
+
+@query(f"select py::integer r, px::integer c, max(\"key\") as \"key\" from (select *, unnest(range(floor(x0)::bigint, ceil(x0 + w)::bigint + 1)) px from (select *, unnest(range(floor(y0)::bigint, ceil(y0 + h)::bigint + 1)) py from (select \"key\", x0 % 40 x0, y0 % 40 y0, w, h from {PARTS}))) where px + 0.5::double > x0 and px + 0.5::double < x0 + w and py + 0.5::double > y0 and py + 0.5::double < y0 + h group by 1, 2")
+def painted_pixels(spark, sf_dir):
+    """Polygons moved on top of each other: the later one paints a pixel."""
+    moved = F.transform("ring", lambda p: F.struct((p["x"] - F.col("dx")).alias("x"), (p["y"] - F.col("dy")).alias("y")))
+    low = lambda a: F.array_min(F.transform("ring", lambda p: p[a]))
+    parts_ = vector.parts(src.polygons(spark, sf_dir)).withColumns({"dx": low("x") - low("x") % 40, "dy": low("y") - low("y") % 40})
+    return vector.painted(vector.rasterized(parts_.select("key", "part", moved.alias("ring"))), "key")
+
+
+@query(f"select \"key\", count(*) parts, round(sum(w * h), 6) area from {PARTS} group by 1")
+def wkb_round_trip(spark, sf_dir):
+    """Polygons written as well-known binary and read back."""
+    rows = src.polygons(spark, sf_dir).select("key", files.from_wkb(files.to_wkb(F.col("parts"))).alias("parts"))
+    return vector.parts(rows).groupBy("key").agg(F.count("*").alias("parts"), F.round(F.sum(rings.area(F.col("ring"))), 6).alias("area"))

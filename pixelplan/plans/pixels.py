@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geo, rings
 from ..functions.crowns import size_class
 from ..operators import matching, raster, segment, tables
 from ..registry import query
+from ..storage import kept
 from ..sources import projections as src
 
 PIXELS = "(select vec_id raster_id, label site_no, (pos // 8)::integer r, (pos % 8)::integer c, floor(least(255.0::double, greatest(0.0::double, (p::double + 0.5) * 256)))::integer v from (select vec_id, label, unnest(range(64)) pos, unnest(embedding) p from embeddings))"
@@ -35,19 +37,19 @@ def nodata_stats(spark, sf_dir):
 
 @query(f"select raster_id, r, c, v from {PIXELS} where r between 2 and 5 and c between 1 and 3")
 def window_read(spark, sf_dir):
-    return raster.window(src.pixels(spark, sf_dir), 2, 1, 4, 3).select("raster_id", "r", "c", "v")
+    return src.pixels_of(spark, sf_dir, 2, 1, 4, 3).select("raster_id", "r", "c", "v")
 
 
-@query(f"select raster_id, r, c, band, round((v / 255.0::double - m) / s, 8) x from {PIXELS} join (values (0, 0.485::double, 0.229::double), (1, 0.456, 0.224), (2, 0.406, 0.225)) b(band, m, s) on raster_id % 3 = band where raster_id < 200", cut="raster_id < 200")
-def normalise_pixels(spark, sf_dir, kept):
+@query(f"select raster_id, r, c, band, round((v / 255.0::double - m) / s, 8) x from {PIXELS} join (values (0, 0.485::double, 0.229::double), (1, 0.456, 0.224), (2, 0.406, 0.225)) b(band, m, s) on raster_id % 3 = band ")
+def normalise_pixels(spark, sf_dir):
     bands = spark.createDataFrame([(k, m, s) for k, (m, s) in enumerate(zip(_MEAN, _STD, strict=True))], "band int, m double, s double")
-    rows = src.pixels(spark, sf_dir).where(kept).withColumn("band", (F.col("raster_id") % 3).cast("int"))
+    rows = src.pixels(spark, sf_dir).withColumn("band", (F.col("raster_id") % 3).cast("int"))
     return rows.join(F.broadcast(bands), "band").select("raster_id", "r", "c", "band", F.round(raster.normalised(F.col("v"), F.col("m"), F.col("s")), 8).alias("x"))
 
 
 @query(f"select raster_id, round(avg(v), 6) mean from {PIXELS} where r between 2 and 5 and c between 2 and 5 group by 1 having avg(v) > 10")
 def centre_validation(spark, sf_dir):
-    centre = raster.window(src.pixels(spark, sf_dir), 2, 2, 4, 4).groupBy("raster_id").agg(F.avg("v").alias("m"))
+    centre = src.pixels_of(spark, sf_dir, 2, 2, 4, 4).groupBy("raster_id").agg(F.avg("v").alias("m"))
     return centre.where("m > 10").select("raster_id", F.round("m", 6).alias("mean"))
 
 
@@ -126,10 +128,10 @@ def dtm_coverage(spark, sf_dir):
     return raster.coverage(raster.distance_transform(src.masks(spark, sf_dir), "raster_id", "label"), "raster_id", 64)
 
 
-@query(f"select raster_id, r, c, p.v rgb, round(coalesce(dtm, 0), 6) dtm from {PIXELS} p left join {_DTM} d using (raster_id, r, c) where raster_id < 100", cut="raster_id < 100")
-def rgb_dtm_pair(spark, sf_dir, kept):
-    rgb = src.pixels(spark, sf_dir).where(kept)
-    dtm = raster.distance_transform(src.masks(spark, sf_dir).where(kept), "raster_id", "label").select("raster_id", "r", "c", "dtm")
+@query(f"select raster_id, r, c, p.v rgb, round(coalesce(dtm, 0), 6) dtm from {PIXELS} p left join {_DTM} d using (raster_id, r, c)")
+def rgb_dtm_pair(spark, sf_dir):
+    rgb = src.pixels(spark, sf_dir)
+    dtm = raster.distance_transform(src.masks(spark, sf_dir), "raster_id", "label").select("raster_id", "r", "c", "dtm")
     return rgb.join(dtm, ["raster_id", "r", "c"], "left").select("raster_id", "r", "c", F.col("v").alias("rgb"), F.round(F.coalesce("dtm", F.lit(0.0)), 6).alias("dtm"))
 
 
@@ -139,6 +141,24 @@ def tile_stats(spark, sf_dir):
     return raster.tile_stats(rows, "raster_id", 3, 8, 8)
 
 
+@query(
+    f"select raster_id, (tr)::integer tile_r, (tc)::integer tile_c, round(count(*) filter (x > 0) / 16.0::double, 4) crown_frac, coalesce(round(avg(x) filter (x > 0), 2), 0.0::double) dtm_mean, coalesce(max(x) filter (x > 0), 0) dtm_max "
+    f"from (select *, case when v >= 120 then v else 0 end x from {PIXELS}), (select unnest(range(3)) tr), (select unnest(range(3)) tc) where r >= tr * 2 and r < tr * 2 + 4 and c >= tc * 2 and c < tc * 2 + 4 group by 1, 2, 3"
+)
+def tile_stats_stride(spark, sf_dir):
+    """Tiles of 4 x 4 that begin every 2 pixels."""
+    rows = src.pixels(spark, sf_dir).withColumn("v", F.when(F.col("v") >= 120, F.col("v")).otherwise(0))
+    return raster.tile_stats(rows, "raster_id", 4, 8, 8, stride=2)
+
+
+@query(f"select raster_id, \"label\", round(1000 + min(c) * 0.5::double, 6) \"left\", round(2000 - (max(r) + 1) * 0.5::double, 6) bottom, round(1000 + (max(c) + 1) * 0.5::double, 6) \"right\", round(2000 - min(r) * 0.5::double, 6) top from {MASKS} group by 1, 2")
+def crown_bounds(spark, sf_dir):
+    """The boxes of crowns on the map."""
+    found = raster.zonal_stats(src.masks(spark, sf_dir), "raster_id", "label")
+    sides = geo.to_bounds(*(F.col(c) for c in ("min_r", "max_r", "min_c", "max_c")), F.lit(1000.0), F.lit(2000.0), F.lit(0.5))
+    return found.select("raster_id", "label", *(F.round(x, 6).alias(n) for x, n in zip(sides, ("left", "bottom", "right", "top"), strict=True)))
+
+
 @query(f"select tile, gt, pred, inter, uni, round(iou, 6) iou from {PAIRS}")
 def iou_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("iou", F.round("iou", 6))
@@ -175,7 +195,24 @@ def match_gt_half(spark, sf_dir):
 
 @query(f"select tile, gt, pred, round(iou, 6) iou from {PAIRS} where iou >= 0.5")
 def match_greedy(spark, sf_dir):
-    return matching.greedy_matches(_pairs(spark, sf_dir), 0.5).withColumn("iou", F.round("iou", 6))
+    return matching.greedy_matches(kept(_pairs(spark, sf_dir)), 0.5).withColumn("iou", F.round("iou", 6))
+
+
+_TORN = "(select l_orderkey tile, l_linenumber::integer gt, (l_partkey % 3)::integer pred, max(round(0.45 + l_quantity / 100.0::double, 2)) iou from lineitem group by 1, 2, 3)"
+
+
+@query(
+    f"with recursive p as materialized (select * from {_TORN} where iou >= 0.5), k as (select tile, gt, row_number() over (partition by tile order by gt) n from (select distinct tile, gt from p)), q as materialized (select p.*, n from p join k using (tile, gt)), "
+    "w as (select tile, 0::bigint n, []::integer[] taken, null::integer gt, null::integer pred, null::double iou from (select distinct tile from p) union all "
+    "select tile, n, case when pick is null then taken else list_append(taken, pick.pred) end, gt, pick.pred, pick.iou from (select w.tile, w.n + 1 n, w.taken, any_value(q.gt) gt, "
+    "arg_max({'pred': q.pred, 'iou': q.iou}, q.iou * 1000 - q.pred) filter (not list_contains(w.taken, q.pred)) pick from w join q on q.tile = w.tile and q.n = w.n + 1 group by w.tile, w.n, w.taken)) "
+    "select tile, gt, pred, iou from w where pred is not null"
+)
+def match_greedy_torn(spark, sf_dir):
+    """Greedy matches where several true crowns want one prediction: lines of orders stand for crowns, parts modulo 3 for predictions."""
+    iou = F.max(F.round(F.lit(0.45) + F.col("l_quantity") / F.lit(100.0), 2)).alias("iou")
+    pairs = src.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tile"), F.col("l_linenumber").cast("int").alias("gt"), (F.col("l_partkey") % 3).cast("int").alias("pred")).agg(iou)
+    return matching.greedy_matches(kept(pairs), 0.5)
 
 
 _KINDS = (
@@ -193,15 +230,16 @@ _KINDS = (
 )
 def f1_by_group(spark, sf_dir):
     predicted, true = src.predicted_and_true(spark, sf_dir)
-    kinds = matching.outcomes(predicted, true, matching.greedy_matches(matching.iou_pairs(predicted, true), 0.5))
+    found = kept(matching.overlaps(predicted, true))
+    kinds = matching.outcomes(found, kept(matching.greedy_matches(matching.pairs_of(found), 0.5)))
     rows = kinds.select("kind", (F.col("tile") % 3).cast("int").alias("site"), size_class(F.col("area")).alias("size_class"))
-    found = tables.f1_by_group(rows, ["small", "medium", "large"])
+    found = tables.f1_by_group(rows, ["small", "medium", "large"]).orderBy("grouping", "label")
     return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query(f"select raster_id, r.r, c.c, v from (select unnest(range(-2, 10))::integer r) r, (select unnest(range(-2, 10))::integer c) c, (select raster_id, r pr, c pc, v from {PIXELS} where raster_id < 50) p where pr = case when r.r < 0 then -r.r when r.r >= 8 then 14 - r.r else r.r end and pc = case when c.c < 0 then -c.c when c.c >= 8 then 14 - c.c else c.c end", cut="raster_id < 50")
-def reflect_pad(spark, sf_dir, kept):
-    return raster.padded(src.pixels(spark, sf_dir).where(kept), "raster_id", 8, 2)
+@query(f"select raster_id, r.r, c.c, v from (select unnest(range(-2, 10))::integer r) r, (select unnest(range(-2, 10))::integer c) c, (select raster_id, r pr, c pc, v from {PIXELS}) p where pr = case when r.r < 0 then -r.r when r.r >= 8 then 14 - r.r else r.r end and pc = case when c.c < 0 then -c.c when c.c >= 8 then 14 - c.c else c.c end")
+def reflect_pad(spark, sf_dir):
+    return raster.padded(src.pixels(spark, sf_dir), "raster_id", 8, 2)
 
 
 @query(f"select site_no, r, c, arg_max(v, raster_id) v from {PIXELS} group by 1, 2, 3")
@@ -218,24 +256,31 @@ def focal_max(spark, sf_dir):
 
 
 @query(
-    f"with recursive m as (select raster_id, r, c, r * 8 + c id from {PIXELS} where v >= 120 and raster_id < 100), e as (select a.raster_id, a.id a, b.id b from m a join m b on a.raster_id = b.raster_id and abs(a.r - b.r) + abs(a.c - b.c) = 1), "
+    f"with recursive m as (select raster_id, r, c, r * 8 + c id from {PIXELS} where v >= 120), e as (select a.raster_id, a.id a, b.id b from m a join m b on a.raster_id = b.raster_id and abs(a.r - b.r) + abs(a.c - b.c) = 1), "
     "w as (select raster_id, id, id root from m union select e.raster_id, e.b, w.root from w join e on w.raster_id = e.raster_id and w.id = e.a) select raster_id, (id // 8)::integer r, (id % 8)::integer c, min(root)::integer component from w group by raster_id, id",
-    cut="raster_id < 100",
 )
-def components(spark, sf_dir, kept):
-    found = segment.components(src.pixels(spark, sf_dir).where("v >= 120").where(kept), "raster_id", 8)
+def components(spark, sf_dir):
+    found = segment.components(src.pixels(spark, sf_dir).where("v >= 120"), "raster_id", 8)
     return found.select("raster_id", "r", "c", "component")
 
 
 @query()
 def watershed(spark, sf_dir):
-    return segment.watershed(src.pixels(spark, sf_dir), "raster_id", threshold=120, min_distance=1)
+    return segment.watershed(src.pixels(spark, sf_dir), "raster_id", threshold=120, min_distance=1, extent=segment.chip(8))
+
+
+@query()
+def chunked_crowns(spark, sf_dir):
+    """All chips side by side as one raster, cut to chunks of 64 x 64 with borders of 8: each crown is found by the chunk that its centre is in."""
+    rows = src.pixels(spark, sf_dir).select((F.expr("raster_id div 64") * 8 + F.col("r")).cast("int").alias("r"), ((F.col("raster_id") % 64) * 8 + F.col("c")).cast("int").alias("c"), "v")
+    height = src.table(spark, sf_dir, "embeddings").agg(F.coalesce((F.expr("max(vec_id) div 64 + 1") * 8).cast("int"), F.lit(0))).first()[0]
+    return segment.chunked_crowns(rows, height, 512, chunk=64, border=8, threshold=120, min_distance=1, pixel_area=0.5, min_area=2.0)
 
 
 @query()
 def crowns_from_dtm(spark, sf_dir):
     dtm = raster.distance_transform(src.masks(spark, sf_dir), "raster_id", "label").select("raster_id", "r", "c", F.col("dtm").alias("v"))
-    return segment.crowns_from_dtm(dtm, "raster_id", threshold=10.0, min_distance=1, pixel_area=0.5, min_area=2.0)
+    return segment.crowns_from_dtm(dtm, "raster_id", threshold=10.0, min_distance=1, pixel_area=0.5, min_area=2.0, extent=segment.chip(8))
 
 
 @query(f"select a.raster_id, a.\"label\", a.r, a.c, side from {MASKS} a, (values ('top', -1, 0), ('bottom', 1, 0), ('left', 0, -1), ('right', 0, 1)) s(side, dr, dc) where not exists (select 1 from {MASKS} b where b.raster_id = a.raster_id and b.\"label\" = a.\"label\" and b.r = a.r + dr and b.c = a.c + dc)")
@@ -243,12 +288,19 @@ def label_edges(spark, sf_dir):
     return raster.label_edges(src.masks(spark, sf_dir), "raster_id")
 
 
+@query(f"select raster_id, \"label\", count(*)::double area, min(c)::double min_x, max(c) + 1.0::double max_x, min(r)::double min_y, max(r) + 1.0::double max_y from {MASKS} group by 1, 2")
+def label_ring_area(spark, sf_dir):
+    """The rings of a label, holes taken off, have the area and the box of its pixels."""
+    rings_ = segment.rings(raster.label_edges(src.masks(spark, sf_dir), "raster_id"), "raster_id").select("raster_id", "label", rings.signed_area(F.col("points")).alias("a"), *rings.bounds(F.col("points")))
+    return rings_.groupBy("raster_id", "label").agg(F.abs(F.sum("a")).alias("area"), *((F.min if c.startswith("min") else F.max)(c).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")))
+
+
 @query()
 def label_rings(spark, sf_dir):
     return segment.rings(raster.label_edges(src.masks(spark, sf_dir), "raster_id"), "raster_id")
 
 
-@query()
+@query("select * from (select vec_id raster_id, (pos // 8)::integer r, (pos % 8)::integer c, round(greatest(0::float, least(100::float, (p::float + 0.5::float) * 100::float))::double, 4) v from (select vec_id, unnest(range(64)) pos, unnest(embedding) p from embeddings)) where r between 2 and 5 and c between 2 and 5")
 def predict_tiles(spark, sf_dir):
     from ..operators.predict import predict_chips
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mercator
 from ..functions.crowns import size_class, tile_name
-from ..operators.tables import numbered
+from ..operators.tables import numbered_within
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,19 @@ def crowns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raster_id, site_no, r, c, v: chips of 8 x 8."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("raster_id"), F.col("label").alias("site_no"), F.posexplode("embedding").alias("pos", "p"))
-    v = F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.col("p").cast("double") + 0.5) * 256))).cast("int")
-    return rows.select("raster_id", "site_no", F.expr("pos div 8").cast("int").alias("r"), (F.col("pos") % 8).alias("c"), v.alias("v"))
+    return rows.select("raster_id", "site_no", F.expr("pos div 8").cast("int").alias("r"), (F.col("pos") % 8).alias("c"), grey(F.col("p")).alias("v"))
+
+
+def pixels_of(spark: SparkSession, sf_dir: str, row_off: int, col_off: int, height: int, width: int) -> DataFrame:
+    """The pixels of a window of each chip: only their places are taken from the arrays."""
+    at = F.array(*(F.lit(r * 8 + c) for r in range(row_off, row_off + height) for c in range(col_off, col_off + width)))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("raster_id"), F.col("label").alias("site_no"), "embedding", F.explode(at).alias("pos"))
+    return rows.select("raster_id", "site_no", F.expr("pos div 8").cast("int").alias("r"), (F.col("pos") % 8).alias("c"), grey(F.get("embedding", "pos")).alias("v"))
+
+
+def grey(value: Column) -> Column:
+    """An embedding's number as a grey value of 0 to 255."""
+    return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (value.cast("double") + 0.5) * 256))).cast("int")
 
 
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +57,10 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("tile_name", tile_name(F.col("site"), F.col("row_off"), F.col("col_off")))
 
 
-def losses(spark: SparkSession, sf_dir: str, kept: str = "true") -> DataFrame:
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fold, epoch (from 1), val_mae: numbered over ranges of events, so that a fold is not one window."""
-    rows = table(spark, sf_dir, "events").where(kept).select((F.col("user_id") % 5).cast("int").alias("fold"), "event_id", F.col("value").alias("val_mae"))
-    placed = numbered(rows, "fold", "event_id")
-    starts = placed.groupBy(F.col("fold").alias("_fold")).agg((F.min("number") - 1).alias("_start"))
-    return placed.join(F.broadcast(starts), F.col("fold").eqNullSafe(F.col("_fold"))).select("fold", (F.col("number") - F.col("_start")).alias("epoch"), "val_mae")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).cast("int").alias("fold"), "event_id", F.col("value").alias("val_mae"))
+    return numbered_within(rows, ["fold"], "event_id").select("fold", F.col("number").alias("epoch"), "val_mae")
 
 
 def photos(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

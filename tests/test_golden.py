@@ -118,8 +118,8 @@ def test_greedy_matching_equals_the_loop_and_collisions(spark):
 def test_outcomes_add_up(spark):
     mask = lambda seed: spark.createDataFrame([(t, 1 + (y // 4) * 2 + x // 4, y, x) for t in range(6) for y in range(8) for x in range(8) if random.Random(seed * 1000 + t * 64 + y * 8 + x).random() < 0.7], "tile long, label int, r int, c int")
     predicted, true = mask(1), mask(2)
-    pairs = matching.iou_pairs(predicted, true)
-    kinds = {x.kind: x["count"] for x in matching.outcomes(predicted, true, matching.greedy_matches(pairs, 0.5)).groupBy("kind").count().collect()}
+    found = matching.overlaps(predicted, true)
+    kinds = {x.kind: x["count"] for x in matching.outcomes(found, matching.greedy_matches(matching.pairs_of(found), 0.5)).groupBy("kind").count().collect()}
     n_true, n_pred = (x.select("tile", "label").distinct().count() for x in (true, predicted))
     assert kinds.get("tp", 0) + kinds.get("fn", 0) == n_true and kinds.get("tp", 0) + kinds.get("fp", 0) == n_pred
 
@@ -190,19 +190,54 @@ def test_later_polygon_stays(spark):
 def test_flood_fills_what_is_connected():
     grid = np.array([[9, 5, 1, 5, 9], [8, 4, 1, 4, 8], [1, 1, 1, 1, 1], [7, 1, 1, 1, 1]], float)
     mask = grid >= 4
-    seeds = segment.peaks(grid, mask, 1)
-    assert seeds == [(0, 0), (0, 4), (3, 0)]
+    seeds = [(0, 0), (0, 4), (3, 0)]
     assert segment.flood(grid, mask, seeds).tolist() == [[1, 1, 0, 2, 2], [1, 1, 0, 2, 2], [0] * 5, [3, 0, 0, 0, 0]]
     assert segment.flood(grid, mask, seeds[:1])[0].tolist() == [1, 1, 0, 0, 0]  # unreachable pixels have no label
 
 
+def plain_peaks(grid, mask, d, threshold):
+    """The definition, place by place."""
+    h, w = grid.shape
+    inside = [(r, c) for r in range(d, h - d) for c in range(d, w - d) if mask[r, c]]
+    if not inside:
+        return []
+    (r0, r1), (c0, c1) = ((min(x), max(x)) for x in zip(*inside, strict=True))
+    own = {(r, c) for r in range(r0, r1 + 1) for c in range(c0, c1 + 1) if mask[r, c]}
+    highest = {p: max(grid[q] for q in own if max(abs(p[0] - q[0]), abs(p[1] - q[1])) <= d) for p in own}
+    found = [p for p in own if grid[p] == highest[p]]
+    if len(found) == len(own) and (r1 - r0 + 1) * (c1 - c0 + 1) > 1:
+        cross = lambda p: {p, (p[0] - 1, p[1]), (p[0] + 1, p[1]), (p[0], p[1] - 1), (p[0], p[1] + 1)}
+        covered = {q for p in own if cross(p) <= own for q in cross(p)}
+        found = [p for p in own if p not in covered]
+    kept = []
+    for p in sorted((p for p in found if grid[p] > threshold), key=lambda p: (-grid[p], p)):
+        if all(max(abs(p[0] - q[0]), abs(p[1] - q[1])) >= d for q in kept):
+            kept.append(p)
+    return sorted(kept)
+
+
+def test_peaks_equal_the_definition():
+    r = np.random.default_rng(7)
+    for k in range(300):
+        grid = r.integers(0, (2, 4, 60)[k % 3], (int(r.integers(3, 14)), int(r.integers(3, 14)))).astype(float)
+        d, threshold = int(r.integers(1, 4)), float(r.integers(0, 3))
+        mask = grid >= threshold
+        assert segment.peaks(grid, mask, d, threshold) == plain_peaks(grid, mask, d, threshold)
+    flat = np.full((9, 9), 5.0)
+    assert segment.peaks(flat, flat > 1, 1, 1.0) == [(1, 1), (1, 7), (7, 1), (7, 7)]  # one height: only what no cross covers
+    edge = np.zeros((9, 9))
+    edge[0, 4] = edge[4, 4] = 9
+    assert segment.peaks(edge, edge > 1, 2, 1.0) == [(4, 4)]  # the edge is left out
+    assert segment.markers((1, 4), [(0, 0), (0, 1), (0, 3)]).tolist() == [[1, 1, 0, 2]]
+
+
 def test_chunked_crowns_equal_whole(spark):
     size = 48
     blobs = [(6, 7), (15, 16), (16, 33), (31, 31), (40, 12), (33, 44)]
     rows = [(r, c, max(0.0, 100 - 22 * math.hypot(r - y, c - x))) for y, x in blobs for r in range(size) for c in range(size) if math.hypot(r - y, c - x) < 4]
     dtm = spark.createDataFrame(rows, "r int, c int, v double").groupBy("r", "c").agg(F.max("v").alias("v"))
     facts = ("area_m2", "min_r", "max_r", "min_c", "max_c")
-    whole = segment.crowns_from_dtm(dtm.withColumn("k", F.lit(0)), "k", 10.0, 2, 1.0, 2.0)
+    whole = segment.crowns_from_dtm(dtm.withColumn("k", F.lit(0)), "k", 10.0, 2, 1.0, 2.0, lambda key: (0, size, 0, size))
     parts = segment.chunked_crowns(dtm, size, size, 16, 8, 10.0, 2, 1.0, 2.0)
     assert sorted(tuple(x[f] for f in facts) for x in whole.collect()) == sorted(tuple(x[f] for f in facts) for x in parts.collect())
     assert whole.count() == len(blobs)
@@ -224,3 +259,32 @@ def test_plans_have_no_python_and_no_cartesian_product(spark, name):
     registry.load()
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+
+
+def test_numbers_and_medians_of_any_keys(spark):
+    r = random.Random(8)
+    rows = [(r.choice(["a", None, "b", "hot", "hot", "hot"]), r.choice([None, 1.0, 1.0, 1.0, r.random() * 9]), k) for k in range(900)] + [("none", None, 901)]
+    table = spark.createDataFrame(rows, "site string, v double, k int").repartition(5)
+    placed = tables.numbered_within(table, ["site"], "k").collect()
+    for site in {x[0] for x in rows}:
+        own = sorted(k for s, _, k in rows if s == site)
+        assert {x.k: (x.number, x["size"]) for x in placed if x.site == site} == {k: (i + 1, len(own)) for i, k in enumerate(own)}
+    values = {site: [v for s, v, _ in rows if s == site and v is not None] for site in {x[0] for x in rows}}
+    assert {x.site: x.median for x in tables.median(table, "v", "site").collect()} == {s: float(np.median(v)) for s, v in values.items() if v}
+    assert tables.median(table, "v").first()["median"] == float(np.median([v for _, v, _ in rows if v is not None]))
+    assert [x["median"] for x in tables.median(table.where("k > 900"), "v").collect()] == [None] and tables.median(table.where("k > 900"), "v", "site").count() == 0
+    assert tables.numbered_within(table.where("k > 999"), ["site"], "k").count() == 0
+
+
+def test_tries_of_a_tile(spark):
+    cases = {"ok": [(200, True)], "no image": [(200, False), (200, True)], "gone": [(404, False), (200, True)], "slow": [(429, False), (None, False), (200, True)], "never": [(429, False)] * 5}
+    rows = [(key, k, status, image) for key, own in cases.items() for k, (status, image) in enumerate(own)]
+    got = {x.key: tuple(x)[1:] for x in vector.attempts(spark.createDataFrame(rows, "key string, attempt int, status int, image boolean"), "key").collect()}
+    assert got == {"ok": ("tile", 1, 0), "no image": ("missing", 1, 0), "gone": ("missing", 1, 0), "slow": ("tile", 3, 2), "never": ("missing", 3, 7)}
+
+
+def test_large_tables_reach_pixels_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(raster, "SENT_ROWS", 3)
+    pixels = spark.createDataFrame([(k % 2, k, k % 5, k % 4) for k in range(40)], "site int, r int, c int, v int")
+    luts = spark.createDataFrame([(s, v, 10 * s + v) for s in range(2) for v in range(4)], "site int, v int, lut int")
+    assert sorted((x.r, x.matched) for x in raster.apply_table(pixels, luts, "site").collect()) == [(k, 10 * (k % 2) + k % 4) for k in range(40)]
