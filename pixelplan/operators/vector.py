@@ -85,10 +85,37 @@ def strip_layout(rows: DataFrame, tiles: int, batch: int = 20) -> DataFrame:
     return full.select("strip", "slot", (F.col("slot") * 256).alias("x"), F.coalesce("got", F.lit(False)).alias("present"), F.expr(f"cast(slot div {batch} as int)").alias("batch"))
 
 
+#: Points of a ring whose pairs of edges are all looked at within its row; longer rings meet themselves strip by strip.
+FEW_POINTS = 64
+
+
+def crossing(parts_: DataFrame, *keys: str) -> DataFrame:
+    """keys of the rings of which two edges that are no neighbours cross properly.
+
+    Edges of long rings are sent to as many strips of the ring's height as it has eighths of points, and only those
+    of one strip whose boxes overlap are compared.
+    """
+    few = parts_.where(F.size("ring") <= FEW_POINTS).where(rings.self_crossing(F.col("ring"))).select(*keys)
+    box = {"lo": F.array_min(F.transform("ring", lambda p: p["y"])), "hi": F.array_max(F.transform("ring", lambda p: p["y"])), "n": F.size("ring") - 1}
+    many = parts_.where(F.size("ring") > FEW_POINTS).withColumns(box)
+    ends = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.alias("i"), F.element_at("ring", i.cast("int")).alias("p"), F.element_at("ring", (i + 1).cast("int")).alias("q")))
+    strip = lambda y: F.floor(F.coalesce(F.try_divide((y - F.col("lo")) * (F.col("n") / 8), F.col("hi") - F.col("lo")), F.lit(0.0))).cast("int")
+    edges = many.select(*keys, "lo", "hi", "n", F.explode(ends).alias("e"))
+    low, high = strip(F.least("e.p.y", "e.q.y")), strip(F.greatest("e.p.y", "e.q.y"))
+    sent = edges.select(*keys, "e", F.explode(F.sequence(low, high)).alias("strip"))
+    a, b = (sent.select(*keys, "strip", F.col("e").alias(n)) for n in ("a", "b"))
+    turn = lambda p, q, x: f"signum(({q}.x - {p}.x) * ({x}.y - {p}.y) - ({q}.y - {p}.y) * ({x}.x - {p}.x))"
+    apart = F.expr(f"{turn('a.p', 'a.q', 'b.p')} * {turn('a.p', 'a.q', 'b.q')} < 0 and {turn('b.p', 'b.q', 'a.p')} * {turn('b.p', 'b.q', 'a.q')} < 0")
+    near = F.expr("a.i < b.i and least(a.p.x, a.q.x) <= greatest(b.p.x, b.q.x) and least(b.p.x, b.q.x) <= greatest(a.p.x, a.q.x)")
+    met = a.join(b, [*keys, "strip"]).where(near & apart).select(*keys)
+    return few.unionByName(met).distinct()
+
+
 def inspect(parts_: DataFrame) -> DataFrame:
     """Number of parts, those that cross themselves, and the range and median of their areas."""
-    rows = parts_.select(rings.self_crossing(F.col("ring")).alias("_bad"), rings.area(F.col("ring")).alias("_area"))
-    found = rows.agg(F.count("*").alias("parts"), F.count_if("_bad").alias("invalid"), F.min("_area").alias("low"), F.max("_area").alias("high"))
+    rows = parts_.select(rings.area(F.col("ring")).alias("_area"))
+    found = rows.agg(F.count("*").alias("parts"), F.min("_area").alias("low"), F.max("_area").alias("high"))
+    found = found.crossJoin(F.broadcast(crossing(parts_, "key", "part").agg(F.count("*").alias("invalid"))))
     return with_median(found, rows, "_area", name="mid").select("parts", "invalid", "low", "mid", "high")
 
 
@@ -97,6 +124,6 @@ def cleaned(polygons: DataFrame, site: str, threshold: float) -> DataFrame:
     from ..functions.crowns import size_class
 
     rows = polygons.select(site, "key", F.posexplode("parts").alias("part", "ring")).where(F.size("ring") > 0)
-    rows = rows.where(~rings.self_crossing(F.col("ring"))).withColumn("area_m2", rings.area(F.col("ring"))).where(F.col("area_m2") >= threshold)
+    rows = rows.join(crossing(rows, "key", "part"), ["key", "part"], "left_anti").withColumn("area_m2", rings.area(F.col("ring"))).where(F.col("area_m2") >= threshold)
     number = F.col("number") - 1
     return numbered_within(rows, [site], "key", "part").select(F.concat(F.col(site), F.lit("_"), number.cast("string")).alias("crown_id"), F.col(site).alias("site"), "area_m2", size_class(F.col("area_m2")).alias("size_class"), "ring")

@@ -288,3 +288,15 @@ def test_large_tables_reach_pixels_by_a_shuffle(spark, monkeypatch):
     pixels = spark.createDataFrame([(k % 2, k, k % 5, k % 4) for k in range(40)], "site int, r int, c int, v int")
     luts = spark.createDataFrame([(s, v, 10 * s + v) for s in range(2) for v in range(4)], "site int, v int, lut int")
     assert sorted((x.r, x.matched) for x in raster.apply_table(pixels, luts, "site").collect()) == [(k, 10 * (k % 2) + k % 4) for k in range(40)]
+
+
+def test_long_rings_that_cross_themselves(spark, monkeypatch):
+    turn = [(10 * math.cos(k / 50 * math.pi), 10 * math.sin(k / 50 * math.pi)) for k in range(100)]
+    bent = [*turn[:30], turn[60], *turn[31:60], turn[30], *turn[61:]]
+    knot = [(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0)]
+    shapes = {"circle": turn, "bent": bent, "knot": knot, "square": [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)]}
+    rows = [(name, 0, [{"x": x, "y": y} for x, y in [*points, points[0]]]) for name, points in shapes.items()]
+    parts_ = spark.createDataFrame(rows, "key string, part int, ring array<struct<x: double, y: double>>")
+    for few in (64, 3, 1000):
+        monkeypatch.setattr(vector, "FEW_POINTS", few)
+        assert {x.key for x in vector.crossing(parts_, "key", "part").collect()} == {"bent", "knot"}
