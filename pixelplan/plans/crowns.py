@@ -145,7 +145,11 @@ def config_merge(spark, sf_dir):
     return rows.select(F.explode(overlay(F.col("base"), F.col("user"))).alias("key", "value"))
 
 
-@query()
+@query(
+    f"with t as (select count(*)::double total_crowns, round(sum(area_m2) / 1e4, 4) canopy_ha, median(area_m2) median_m2, round(avg(area_m2), 4) mean_m2, count(*) filter (size_class = 'small')::double small, count(*) filter (size_class = 'medium')::double medium, count(*) filter (size_class = 'large')::double large from {CROWNS}), "
+    f"c as (select size_class, count(*) crowns, round(100.0::double * count(*) / (select count(*) from lineitem), 4) percent from {CROWNS} group by 1), s as (select site, count(*) tiles from {TILES} group by 1) "
+    "select to_json({'crowns': (select t from t), 'classes': (select map_from_entries(list((size_class, {'crowns': crowns, 'percent': percent}) order by size_class)) from c), 'tiles': (select map_from_entries(list((site, tiles) order by site)) from s)})::varchar as document"
+)
 def stats_document(spark, sf_dir):
     """All summaries as one JSON document."""
     return stats.document(src.crowns(spark, sf_dir), src.tiles(spark, sf_dir))
