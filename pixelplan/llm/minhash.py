@@ -188,18 +188,24 @@ def _classes(known: DataFrame, n_bands: int, n_rows: int, size: int, similarity:
     texts = cut(texts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
     banded = texts.where("keys is not null").select("node", "n", F.explode("keys").alias("key"))
     # Small sides are kept before a join: so each side is a shuffle of its own, of which Spark splits the hot partitions.
-    buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"), F.min_by("n", "node").alias("n_leader"), F.max_by("n", "node").alias("n_other"))
-    members = cut(banded.join(cut(buckets.where("leader < other")), "key"))
+    buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"), F.min_by("n", "node").alias("n_leader"))
+    members = cut(banded.join(cut(buckets.where("leader < other").drop("other")), "key"))
     needed = members.select("node").distinct().join(texts.select("node", "h1", "h2"), "node")
     once = packed(known.select("h1", "h2", "text"), "text").groupBy("h1", "h2").agg(F.first("text").alias("text"))
     bags = cut(needed.join(once, ["h1", "h2"]).select("node", "text").mapInArrow(lambda batches: _bags(batches, size), "node long, bag array<int>"))
 
-    ends = F.array(*(F.struct(F.col(c).alias("b"), F.col(f"n_{c}").alias("n_b")) for c in ("leader", "other")))
-    tried = members.select("node", "n", F.explode(ends).alias("e")).select(F.col("node").alias("a"), "n", "e.*")
-    near = F.least("n", "n_b") >= F.lit(similarity) * F.greatest("n", "n_b")
-    tried = tried.where(near).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near = F.least("n", "n_leader") >= F.lit(similarity) * F.greatest("n", "n_leader")
+    led = lambda rows: rows.where(near).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    tried = led(members)
     edges = cut(_similar(tried, bags, similarity))
     root = components(edges)
+    # What a bucket's first text does not reach is compared with the first text of that.
+    parts = cut(_open(members.select("key", "node", "n"), root))
+    if not parts.isEmpty():
+        left = parts.join(cut(parts.groupBy("key").agg(F.min_by("root", "node").alias("reached"))), "key").where("root <> reached")
+        second = left.groupBy("key").agg(F.min("node").alias("leader"), F.min_by("n", "node").alias("n_leader"), F.min_by("root", "node").alias("led"))
+        edges = edges.unionByName(cut(_similar(led(left.join(cut(second), "key").where("root <> led")), bags, similarity)))
+        root = components(edges)
     rest = _open(members, root).select("node").distinct()
     prefixes = cut(_prefixes(bags.join(rest, "node", "left_semi"), similarity))
     for last in (False, True):
@@ -251,7 +257,7 @@ def find_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_
     do not matter. An empty table gives none.
 
     Candidates are the texts that share a band. In each band's bucket all are compared with the bucket's
-    first and last. Where that leaves unlinked parts, the texts in them are joined by their rarest shingles, which
+    first, and what that does not reach with the first of it. Where that leaves unlinked parts, the texts in them are joined by their rarest shingles, which
     similar texts must share, with bounds on what can follow: each part's smallest is compared with the texts
     of other parts, and then what is left between parts. So no pair that shares a band is lost, within a linked
     part not all pairs are made, and between parts only those that may be similar.
