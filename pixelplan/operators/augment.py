@@ -1,10 +1,13 @@
-"""Augmentation of square chips: places are mapped, values are expressions; nothing is shuffled."""
+"""Augmentation of square chips: places are mapped and values are expressions; only smoothing shuffles."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rings
+from . import raster
+
 TURNS = ("same", "flip_h", "flip_v", "transpose", "rot90", "rot180", "rot270")
 
 
@@ -23,3 +26,52 @@ def brightened(value: Column, factor: float, gamma: float) -> Column:
     """A value of 0 to 255 with its brightness and gamma changed, cut off at both ends."""
     x = F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value / F.lit(255.0) * factor)), F.lit(gamma))
     return F.floor(x * 255 + F.lit(0.5)).cast("int")
+
+
+def contrasted(value: Column, contrast: float, offset: float) -> Column:
+    """A value of 0 to 255 stretched around the middle and shifted, cut off at both ends."""
+    return F.greatest(F.lit(0), F.least(F.lit(255), F.floor((value - 127.5) * contrast + F.lit(127.5 + offset) + F.lit(0.5)).cast("int")))
+
+
+def fogged(value: Column, share: float) -> Column:
+    """A value of 0 to 255 of which a share is replaced by white."""
+    return F.floor(value * F.lit(1 - share) + F.lit(255 * share) + F.lit(0.5)).cast("int")
+
+
+def punched(value: Column, holes: list[tuple[int, int, int, int]], fill: int = 0) -> Column:
+    """The fill value inside of holes: first row, end of rows, first column, end of columns."""
+    inside = F.lit(False)
+    for r0, r1, c0, c1 in holes:
+        inside = inside | F.col("r").between(r0, r1 - 1) & F.col("c").between(c0, c1 - 1)
+    return F.when(inside, F.lit(fill)).otherwise(value)
+
+
+def shaded(value: Column, ring: Column, factor: float) -> Column:
+    """Values whose pixel's centre lies in a ring, darker by a factor."""
+    return F.when(rings.contains(ring, F.col("c") + F.lit(0.5), F.col("r") + F.lit(0.5)), F.floor(value * factor).cast("int")).otherwise(value)
+
+
+def blurred(pixels: DataFrame, key: str, n: int, weights: tuple[int, ...] = (1, 2, 1)) -> DataFrame:
+    """Chips of n x n smoothed by a separable kernel with mirrored borders: each value is sent to the places around it, weighted, and sums combine before the shuffle."""
+    half, total = len(weights) // 2, sum(weights)
+    near = F.explode(F.array(*(F.struct(F.lit(d - half).alias("d"), F.lit(w).alias("w")) for d, w in enumerate(weights))))
+    wide = raster.padded(pixels.select(key, "r", "c", "v"), key, n, half)
+    rows = wide.select(key, "r", "c", "v", near.alias("a")).groupBy(key, F.col("r"), (F.col("c") + F.col("a.d")).alias("c")).agg(F.sum(F.col("v") * F.col("a.w")).alias("v"))
+    both = rows.where(F.col("c").between(0, n - 1)).select(key, "r", "c", "v", near.alias("a")).groupBy(key, (F.col("r") + F.col("a.d")).alias("r"), "c").agg(F.sum(F.col("v") * F.col("a.w")).alias("v"))
+    return both.where(F.col("r").between(0, n - 1)).select(key, "r", "c", F.floor(F.col("v") / F.lit(total * total) + F.lit(0.5)).cast("int").alias("v"))
+
+
+def moved(pixels: DataFrame, key: str, n: int, degrees: float = 0.0, scale: float = 1.0, down: float = 0.0, right: float = 0.0) -> DataFrame:
+    """Chips turned about their middle, scaled and shifted: each place takes the nearest pixel of the place it comes from; places without one are left out.
+
+    Where each of the n x n places comes from is the same for all chips: a table of that size, which is sent to all.
+    """
+    spark, middle = pixels.sparkSession, F.lit((n - 1) / 2)
+    cos, sin = F.cos(F.radians(F.lit(degrees))), F.sin(F.radians(F.lit(degrees)))
+    places = spark.range(n * n).select(F.expr(f"cast(id div {n} as int)").alias("r"), (F.col("id") % n).cast("int").alias("c"))
+    y, x = F.col("r") - middle - F.lit(down), F.col("c") - middle - F.lit(right)
+    source = lambda a: F.floor(a / F.lit(scale) + middle + F.lit(0.5)).cast("int")
+    places = places.select("r", "c", source(y * cos - x * sin).alias("_r"), source(y * sin + x * cos).alias("_c"))
+    values = [c for c in pixels.columns if c not in ("r", "c")]
+    from_ = pixels.select(*values, F.col("r").alias("_r"), F.col("c").alias("_c"))
+    return from_.join(F.broadcast(places), ["_r", "_c"]).select(*values, "r", "c")

@@ -22,6 +22,34 @@ def augment_chips(spark, sf_dir):
     return augment.turned(rows, "raster_id", 8, "v").withColumn("bright", augment.brightened(F.col("v"), 1.2, 0.8))
 
 
+@query(
+    f"with k as (select unnest([-1, 0, 1]) d, unnest([1, 2, 1]) w), p as {PIXELS}, s as (select p.raster_id, p.r, p.c, a.w * b.w w, case when p.r + a.d < 0 then 1 when p.r + a.d > 7 then 6 else p.r + a.d end sr, case when p.c + b.d < 0 then 1 when p.c + b.d > 7 then 6 else p.c + b.d end sc from p, k a, k b) "
+    "select s.raster_id, s.r, s.c, floor(sum(q.v * s.w) / 16.0::double + 0.5::double)::integer v from s join p q on q.raster_id = s.raster_id and q.r = sr and q.c = sc group by 1, 2, 3"
+)
+def augment_blur(spark, sf_dir):
+    return augment.blurred(src.pixels(spark, sf_dir), "raster_id", 8)
+
+
+@query(
+    f"select raster_id, r, c, greatest(0, least(255, floor((v - 127.5::double) * 1.3::double + 137.5::double + 0.5::double)::integer)) contrast, floor(v * 0.9::double + 25.5::double + 0.5::double)::integer fog, "
+    f"case when r between 1 and 2 and c between 3 and 6 then 0 else v end punched, case when r < 4 and c < 4 then floor(v * 0.5::double)::integer else v end shade from {PIXELS}"
+)
+def augment_values(spark, sf_dir):
+    v = F.col("v")
+    square = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0))))
+    rows = src.pixels(spark, sf_dir)
+    return rows.select("raster_id", "r", "c", augment.contrasted(v, 1.3, 10.0).alias("contrast"), augment.fogged(v, 0.1).alias("fog"), augment.punched(v, [(1, 3, 3, 7)]).alias("punched"), augment.shaded(v, square, 0.5).alias("shade"))
+
+
+@query(
+    "with g as (select (i // 8)::integer r, (i % 8)::integer c from (select unnest(range(64)) i)), m as (select r, c, floor(((r - 4.5::double) * cos(radians(30.0::double)) - (c - 2.5::double) * sin(radians(30.0::double))) / 1.1::double + 3.5::double + 0.5::double)::integer sr, "
+    f"floor(((r - 4.5::double) * sin(radians(30.0::double)) + (c - 2.5::double) * cos(radians(30.0::double))) / 1.1::double + 3.5::double + 0.5::double)::integer sc from g) select raster_id, site_no, v, m.r, m.c from {PIXELS} p join m on p.r = sr and p.c = sc"
+)
+def augment_affine(spark, sf_dir):
+    """Turned by 30 degrees, a tenth larger, one pixel down and one to the left."""
+    return augment.moved(src.pixels(spark, sf_dir), "raster_id", 8, degrees=30.0, scale=1.1, down=1.0, right=-1.0)
+
+
 @query(f"select site_no, raster_id, r, c, v from (select *, row_number() over (partition by site_no order by ((raster_id * 64 + r * 8 + c) * 2654435761) % 1000003, raster_id, r, c) rn from {PIXELS}) where rn <= 50")
 def pixel_subsample(spark, sf_dir):
     """Of each site the 50 pixels of the lowest draws, as a histogram profile samples them."""
