@@ -37,3 +37,42 @@ def test_no_rows_and_one(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert sharding.assign_shards(docs.limit(0)).count() == 0
     assert [(r.shard, r.slot) for r in sharding.assign_shards(docs).collect()] == [(0, 0)]
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_permute(x, n, key, rounds):
+    """One number through the rounds, again and again until it lands below n."""
+    half = max(1, -(-max(1, (n - 1).bit_length()) // 2))
+    while True:
+        left, right = x >> half, x % 2**half
+        for k in range(1, rounds + 1):
+            left, right = right, left ^ plain_mix((right + plain_mix((k * 0x9E3779B97F4A7C15 + key) % 2**64)) % 2**64) % 2**half
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_permutation_equals_the_plain_rounds():
+    for n in (1, 2, 3, 16, 17, 1000, 4097):
+        got = sharding.permute(np.arange(n), n, 77, 5).tolist()
+        assert got == [plain_permute(x, n, 77, 5) for x in range(n)] and sorted(got) == list(range(n))
+
+
+def test_result_equals_brute_force(spark):
+    texts = [None, "", "a", "é" * 3, *(f"text {k % 9}" for k in range(40))]
+    rows = [(k if k % 5 else None, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    facts = sorted((i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for i, t in rows)
+    want = []
+    for number, (known, i, crc, size) in enumerate(facts):
+        place = plain_permute(number, len(rows), sharding.KEY, sharding.ROUNDS)
+        want.append((i if known else None, size, crc, place % 24, place // 24))
+    got = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.digest(sharding.assign_shards(docs)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
