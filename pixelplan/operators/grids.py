@@ -63,6 +63,7 @@ def tile_grid(boxes: DataFrame) -> DataFrame:
 
 def batches(rows: DataFrame, order: str, size: int, key: str) -> DataFrame:
     """batch: groups of so many rows in order within each key."""
-    from pyspark.sql import Window
+    from .tables import numbered_within
 
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / F.lit(size)).cast("int"))
+    placed = numbered_within(rows, [key], order).drop("size")
+    return placed.withColumn("batch", F.floor((F.col("number") - 1) / F.lit(size)).cast("int")).drop("number")
