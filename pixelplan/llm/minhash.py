@@ -199,12 +199,13 @@ def _classes(known: DataFrame, n_bands: int, n_rows: int, size: int, similarity:
     tried = led(members)
     edges = cut(_similar(tried, bags, similarity))
     root = components(edges)
-    # What a bucket's first text does not reach is compared with the first text of that.
+    # What a bucket's first text does not reach is compared with the first text of that, once for all its buckets.
     parts = cut(_open(members.select("key", "node", "n"), root))
     if not parts.isEmpty():
         left = parts.join(cut(parts.groupBy("key").agg(F.min_by("root", "node").alias("reached"))), "key").where("root <> reached")
         second = left.groupBy("key").agg(F.min("node").alias("leader"), F.min_by("n", "node").alias("n_leader"), F.min_by("root", "node").alias("led"))
-        edges = edges.unionByName(cut(_similar(led(left.join(cut(second), "key").where("root <> led")), bags, similarity)))
+        again = led(left.join(cut(second), "key").where("root <> led")).groupBy("a").agg(F.min("b").alias("b"))
+        edges = edges.unionByName(cut(_similar(again, bags, similarity)))
         root = components(edges)
     rest = _open(members, root).select("node").distinct()
     prefixes = cut(_prefixes(bags.join(rest, "node", "left_semi"), similarity))
