@@ -195,18 +195,9 @@ def _classes(known: DataFrame, n_bands: int, n_rows: int, size: int, similarity:
     bags = cut(needed.join(once, ["h1", "h2"]).select("node", "text").mapInArrow(lambda batches: _bags(batches, size), "node long, bag array<int>"))
 
     near = F.least("n", "n_leader") >= F.lit(similarity) * F.greatest("n", "n_leader")
-    led = lambda rows: rows.where(near).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    tried = led(members)
+    tried = members.where(near).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     edges = cut(_similar(tried, bags, similarity))
     root = components(edges)
-    # What a bucket's first text does not reach is compared with the first text of that, once for all its buckets.
-    parts = cut(_open(members.select("key", "node", "n"), root))
-    if not parts.isEmpty():
-        left = parts.join(cut(parts.groupBy("key").agg(F.min_by("root", "node").alias("reached"))), "key").where("root <> reached")
-        second = left.groupBy("key").agg(F.min("node").alias("leader"), F.min_by("n", "node").alias("n_leader"), F.min_by("root", "node").alias("led"))
-        again = led(left.join(cut(second), "key").where("root <> led")).groupBy("a").agg(F.min("b").alias("b"))
-        edges = edges.unionByName(cut(_similar(again, bags, similarity)))
-        root = components(edges)
     rest = _open(members, root).select("node").distinct()
     prefixes = cut(_prefixes(bags.join(rest, "node", "left_semi"), similarity))
     for last in (False, True):
@@ -258,7 +249,7 @@ def find_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_
     do not matter. An empty table gives none.
 
     Candidates are the texts that share a band. In each band's bucket all are compared with the bucket's
-    first, and what that does not reach with the first of it. Where that leaves unlinked parts, the texts in them are joined by their rarest shingles, which
+    first. Where that leaves unlinked parts, the texts in them are joined by their rarest shingles, which
     similar texts must share, with bounds on what can follow: each part's smallest is compared with the texts
     of other parts, and then what is left between parts. So no pair that shares a band is lost, within a linked
     part not all pairs are made, and between parts only those that may be similar.
