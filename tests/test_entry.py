@@ -9,6 +9,7 @@ def test_entry_works_without_the_text_operators():
 
 
 def test_library_does_not_import_the_text_operators():
+    import ast
     import pathlib
 
     import pixelplan
@@ -16,4 +17,6 @@ def test_library_does_not_import_the_text_operators():
     root = pathlib.Path(pixelplan.__file__).parent
     for file in root.rglob("*.py"):
         if "llm" not in file.relative_to(root).parts:
-            assert "llm" not in file.read_text(), file
+            for node in ast.walk(ast.parse(file.read_text())):
+                names = [node.module or "", *(x.name for x in node.names)] if isinstance(node, ast.ImportFrom) else [x.name for x in node.names] if isinstance(node, ast.Import) else []
+                assert not any("llm" in name.split(".") or name == "corpus_pipeline" for name in names), file
