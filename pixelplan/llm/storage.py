@@ -42,3 +42,19 @@ def opened(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", uri) if ":" in uri else uri)
+
+
+class Scratch:
+    """Tables of one job as Parquet in a folder of its own in the shared folder; each can be removed once nothing reads it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.place = spark, folder(spark, name)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """df written once and read from there, so that a lost executor takes nothing of it along."""
+        df.write.parquet(f"{self.place}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.place}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, f"{self.place}/{name}")
