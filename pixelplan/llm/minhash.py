@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import Scratch
 from .text import expand, mix, packed, shingles, slices, unpacked, utf8, word_hashes
 
 #: Words of a shingle, and the weighted Jaccard similarity from which two texts are linked.
@@ -122,18 +122,19 @@ def _bags(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch["node"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(element))], ["node", "bag"])
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None, name: str = "components", most: int = 60) -> DataFrame:
     """Connected components of edges (a, b): node, root, the smallest node; nodes without an edge are left out.
 
     Alternates two steps on the whole set of edges (a above b): every larger neighbour of a node is linked to the
     smallest node around, then every smaller one is, until each root has a star. Edges are kept dealt by their
     larger node, which has few of them; the smaller one, which may have very many, is only looked up, with a salt.
-    Raises if `most` rounds do not settle; the rounds number about the logarithm of the longest chain, and
-    nothing is dropped.
+    A round's edges are removed once those of the next are written. Raises if `most` rounds do not settle; the
+    rounds number about the logarithm of the longest chain, and nothing is dropped.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").repartition("a").distinct())
+    scratch = scratch or Scratch(edges.sparkSession, name)
+    now = scratch.keep(f"{name}0", edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").repartition("a").distinct())
     before = _sums(now)
-    for _ in range(most):
+    for k in range(1, most + 1):
         # The smallest node around b is its own smallest smaller neighbour, or b: a is linked to it instead of to b.
         least = now.groupBy("a").agg(F.min("b").alias("m"))
         dealt = least.select(F.col("a").alias("b"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
@@ -141,7 +142,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # Then all smaller neighbours of a, and a, are linked to the smallest of them.
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         links = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = cut(small.select(F.explode(links).alias("e")).select("e.a", "e.b").where("a <> b").repartition("a").distinct())
+        now = scratch.keep(f"{name}{k}", small.select(F.explode(links).alias("e")).select("e.a", "e.b").where("a <> b").repartition("a").distinct())
+        scratch.drop(f"{name}{k - 1}")
         sums = _sums(now)
         if sums == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -178,58 +180,83 @@ def _prefixes(bags: DataFrame, similarity: float) -> DataFrame:
 def _classes(known: DataFrame, n_bands: int, n_rows: int, size: int, similarity: float) -> DataFrame:
     """For each distinct text of known (id, h1, h2, text without nulls), by its hashes: class_id, class_size and first.
 
-    A text is a node of its own whatever ids it stands under: nodes are numbers given to the distinct texts once.
+    A text is a node of its own whatever ids it stands under: nodes are numbers given to the distinct texts once. Tables
+    of a step are removed when the steps that read them are done.
     """
+    scratch = Scratch(known.sparkSession, "minhash")
     kind = known.schema["id"].dataType.simpleString()
     signed = known.mapInArrow(lambda batches: _signed(batches, n_bands, n_rows, size), f"id {kind}, h1 long, h2 long, n long, keys array<long>")
     texts = signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n", True).alias("n"), F.first("keys", True).alias("keys"))
     # Nodes follow the ids, so that the text that came first leads its copies.
     order = [F.col("id").asc_nulls_last(), "h1", "h2"]
-    texts = cut(texts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
-    banded = texts.where("keys is not null").select("node", "n", F.explode("keys").alias("key"))
+    signs = scratch.keep("signs", texts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
+    texts = scratch.keep("texts", signs.select("node", "h1", "h2", "id", "copies"))
+    banded = signs.where("keys is not null").select("node", "n", F.explode("keys").alias("key"))
     # Small sides are kept before a join: so each side is a shuffle of its own, of which Spark splits the hot partitions.
-    buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"), F.min_by("n", "node").alias("n_leader"))
-    members = cut(banded.join(cut(buckets.where("leader < other").drop("other")), "key"))
+    buckets = scratch.keep("buckets", banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"), F.min_by("n", "node").alias("n_leader")).where("leader < other").drop("other"))
+    members = scratch.keep("members", banded.join(buckets, "key"))
+    scratch.drop("signs", "buckets")
     needed = members.select("node").distinct().join(texts.select("node", "h1", "h2"), "node")
     once = packed(known.select("h1", "h2", "text"), "text").groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    bags = cut(needed.join(once, ["h1", "h2"]).select("node", "text").mapInArrow(lambda batches: _bags(batches, size), "node long, bag array<int>"))
+    bags = scratch.keep("bags", needed.join(once, ["h1", "h2"]).select("node", "text").mapInArrow(lambda batches: _bags(batches, size), "node long, bag array<int>"))
 
     near = F.least("n", "n_leader") >= F.lit(similarity) * F.greatest("n", "n_leader")
     tried = members.where(near).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    edges = cut(_similar(tried, bags, similarity))
-    root = components(edges)
-    rest = _open(members, root).select("node").distinct()
-    prefixes = cut(_prefixes(bags.join(rest, "node", "left_semi"), similarity))
-    for last in (False, True):
-        parts = cut(_open(prefixes, root))
+    edges = scratch.keep("edges", _similar(tried, bags, similarity))
+    root = components(edges, scratch)
+    rest = _open(members, root, scratch, "torn").select("node").distinct()
+    prefixes = scratch.keep("prefixes", _prefixes(bags.join(rest, "node", "left_semi"), similarity))
+    scratch.drop("members", "torn")
+    for step in ("heads", "all"):
+        parts = scratch.keep(f"parts_{step}", _open(prefixes, root, scratch, f"torn_{step}"))
+        scratch.drop(f"torn_{step}")
         if parts.isEmpty():
             break
-        heads = cut(parts.groupBy("key", "root").agg(F.min("node").alias("head")))
-        if last:
+        heads = scratch.keep(f"first_{step}", parts.groupBy("key", "root").agg(F.min("node").alias("head")))
+        if step == "all":
             ours = other = parts.join(heads, ["key", "root"]).where("node <> head").drop("head")
         else:
             ours, other = parts, parts.join(heads.withColumnRenamed("head", "node"), ["key", "root", "node"], "left_semi")
-        a, b = (x.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "at"))) for x, s in ((ours, "a"), (other, "b")))
-        # At their first common element two bags have at most what is left of either in common.
-        enough = F.least(F.expr("n_a - at_a"), F.expr("n_b - at_b")) >= F.lit(similarity / (1 + similarity)) * F.expr("n_a + n_b") - 1e-9
-        pairs = a.join(b, "key").where((F.col("root_a") != F.col("root_b")) & enough)
-        more = cut(_similar(pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct(), bags, similarity))
+        more = scratch.keep(f"edges_{step}", _similar(_candidates(ours, other, similarity), bags, similarity))
+        scratch.drop(f"parts_{step}", f"first_{step}")
         if not more.isEmpty():
             edges = edges.unionByName(more)
-            root = components(edges)
+            root = components(edges, scratch, f"components_{step}_")
+    scratch.drop("bags", "prefixes")
 
-    linked = texts.select("node", "h1", "h2", "id", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = texts.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     head = F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "h1", "h2")).alias("head")
-    classes = linked.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), head)
+    classes = scratch.keep("classes", linked.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), head))
     out = linked.join(classes, "root").select("h1", "h2", "class_id", "class_size", ((F.col("head.h1") == F.col("h1")) & (F.col("head.h2") == F.col("h2"))).alias("first"))
-    return cut(out)
+    return scratch.keep("out", out)
 
 
-def _open(members: DataFrame, root: DataFrame) -> DataFrame:
-    """The rows of members (key, node) with their node's root, of keys whose nodes have several."""
+def _candidates(ours: DataFrame, other: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different roots that share an element from which on enough may be in common.
+
+    At their first common element two bags have at most what is left of either in common. That bounds the size of a
+    partner from both sides, and sizes go by steps of a twentieth: a row is sent to the steps that its partners may have and
+    both steps are keys, so of the many texts that share a passage only those meet that may be similar.
+    """
+    step = lambda n: F.floor(F.log(1.05, n)).cast("int")
+    share = similarity / (1 + similarity)
+
+    def sent(rows: DataFrame, mine: str, theirs: str, s: str) -> DataFrame:
+        left = F.col("n") - F.col("at")
+        low, high = F.ceil(F.lit(similarity) * F.col("n") - 1e-6), F.floor(F.least(left / F.lit(share) - F.col("n"), F.col("n") / F.lit(similarity)) + 1e-6)
+        steps = F.when(high >= low, F.sequence(step(low), step(high))).otherwise(F.array().cast("array<int>"))
+        return rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "at")), step(F.col("n")).alias(mine), F.explode(steps).alias(theirs))
+
+    enough = F.least(F.expr("n_a - at_a"), F.expr("n_b - at_b")) >= F.lit(share) * F.expr("n_a + n_b") - 1e-9
+    pairs = sent(ours, "step_a", "step_b", "a").join(sent(other, "step_b", "step_a", "b"), ["key", "step_a", "step_b"]).where((F.col("root_a") != F.col("root_b")) & enough)
+    return pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+
+
+def _open(members: DataFrame, root: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows of members (key, node) with their node's root, of keys whose nodes have several; those keys are kept under name."""
     parts = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keys = parts.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
-    return parts.join(cut(keys), "key", "left_semi")
+    keys = scratch.keep(name, parts.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key"))
+    return parts.join(keys, "key", "left_semi")
 
 
 def _named(text: str):

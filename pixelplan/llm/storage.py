@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def _shared(spark: SparkSession) -> str:
     """The session's checkpoint folder. Only a session on one machine, as in tests, may do without: it gets a temporary one."""
@@ -51,8 +53,16 @@ class Scratch:
         self.spark, self.place = spark, folder(spark, name)
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        """df written once and read from there, so that a lost executor takes nothing of it along."""
-        df.write.parquet(f"{self.place}/{name}")
+        """df written once and read from there, so that a lost executor takes nothing of it along.
+
+        The shuffle files of the write are removed with its end, as nothing reads them again.
+        """
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.place}/{name}")
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.place}/{name}")
 
     def drop(self, *names: str) -> None:
