@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 
 def components(pixels: DataFrame, key: str, width: int) -> DataFrame:
     """component: the smallest r * width + c among the pixels that 4-neighbours connect within a chip."""
@@ -37,6 +40,106 @@ def components(pixels: DataFrame, key: str, width: int) -> DataFrame:
     return pixels.select(key, "r", "c").groupBy(key).applyInPandas(label, f"{key} {kind}, r int, c int, component int")
 
 
+def _runs(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pixels sorted by rows and columns: the run of neighbours in a row that each is of, and pairs of runs that touch."""
+    fresh = np.concatenate([[True], (np.diff(r) != 0) | (np.diff(c) != 1)])
+    run = np.cumsum(fresh) - 1
+    place = r.astype(np.int64) * (1 << 32) + c
+    below = np.searchsorted(place, place + (1 << 32))
+    touch = below < len(place)
+    touch[touch] = place[below[touch]] == place[touch] + (1 << 32)
+    pairs = np.unique(np.column_stack([run[touch], run[below[touch]]]), axis=0)
+    return run, pairs[:, 0], pairs[:, 1]
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the things 0 to n - 1 that each is connected with by pairs (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def components_across(pixels: DataFrame, width: int, chunk: int) -> DataFrame:
+    """component: the smallest r * width + c among the pixels (r, c) of one raster that 4-neighbours connect, of any size.
+
+    Each chunk labels its own pixels. Pixels at its lower and right edges meet their neighbours in the next chunks; these
+    contacts are the links of a small graph of labels, whose components rename the labels. So no task holds
+    more than a chunk, however far a component reaches. Repeated pixels are one.
+    """
+    from .graph import connected
+
+    def label(table: pd.DataFrame) -> pd.DataFrame:
+        rows = table[["r", "c"]].drop_duplicates().sort_values(["r", "c"])
+        r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
+        run, a, b = _runs(r, c)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(run) != 0]))
+        root = joined(len(first), a, b)[run]
+        return pd.DataFrame({"r": r, "c": c, "own": r[first[root]].astype(np.int64) * width + c[first[root]]})
+
+    chunks = [F.floor(F.col(x) / F.lit(chunk)).cast("int").alias(f"k_{x}") for x in ("r", "c")]
+    own = kept(pixels.select("r", "c", *chunks).groupBy("k_r", "k_c").applyInPandas(label, "r int, c int, own long"))
+    edge = lambda at: F.pmod(F.col(at), F.lit(chunk)) == chunk - 1
+    ahead = own.where(edge("r")).select((F.col("r") + 1).alias("r"), "c", F.col("own").alias("a")).unionByName(own.where(edge("c")).select("r", (F.col("c") + 1).alias("c"), F.col("own").alias("a")))
+    first = own.where((F.pmod("r", F.lit(chunk)) == 0) | (F.pmod("c", F.lit(chunk)) == 0)).select("r", "c", F.col("own").alias("b"))
+    root = connected(ahead.join(first, ["r", "c"]).select("a", "b").distinct())
+    return own.join(root.withColumnRenamed("node", "own"), "own", "left").select("r", "c", F.coalesce("root", "own").alias("component"))
+
+
+def _square_best(rows: DataFrame, key: str, reach: int) -> DataFrame:
+    """rank of the best (least) rank within reach of each pixel (key, r, c, rank): along rows, then along columns."""
+    around = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_d")
+    wide = rows.select(key, "r", "c", "rank", around).groupBy(key, "r", (F.col("c") + F.col("_d")).alias("c")).agg(F.min("rank").alias("rank"))
+    return wide.select(key, "r", "c", "rank", around).groupBy(key, (F.col("r") + F.col("_d")).alias("r"), "c").agg(F.min("rank").alias("best"))
+
+
+def _flat(inner: DataFrame, top: DataFrame, key: str) -> DataFrame:
+    """Maxima where a raster is all of one height: only pixels that no cross of five covers, in place of all."""
+    box = F.max("r") - F.min("r") + F.max("c") - F.min("c")
+    flat = inner.groupBy(key).agg(F.count("*").alias("_n"), box.alias("_box")).join(top.groupBy(key).agg(F.count("*").alias("_tops")), key).where("_n = _tops and _box > 0").select(key)
+    flat = kept(flat)
+    own = inner.join(flat, key, "left_semi")
+    cross = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))))).alias("_s")
+    reach = lambda rows: rows.select(key, "r", "c", cross).select(key, (F.col("r") + F.col("_s.y")).alias("r"), (F.col("c") + F.col("_s.x")).alias("c"))
+    centres = reach(own).groupBy(key, "r", "c").count().where("count = 5").drop("count")
+    return top.join(flat, key, "left_anti").unionByName(own.join(reach(centres).distinct(), [key, "r", "c"], "left_anti"))
+
+
+def spaced_peaks(pixels: DataFrame, key: str, height: int, width: int, threshold: float, min_distance: int) -> DataFrame:
+    """The peaks (key, r, c, v) of rasters of this extent, as peaks() finds them, without a group for a raster.
+
+    Maxima come from a separable neighbourhood maximum. Of maxima nearer than min_distance the higher, then the first by
+    row and column, stays: in rounds, one stays if it is the best of those left around it, and what is too near to it goes.
+    A round looks at what is left only; one can only wait for a better one nearby, so rounds end.
+    """
+    from .raster import focal_max
+
+    d = min_distance
+    inner = kept(pixels.where(F.col("v") >= threshold).where(F.col("r").between(d, height - d - 1) & F.col("c").between(d, width - d - 1)).select(key, "r", "c", "v"))
+    left = kept(_flat(inner, kept(focal_max(inner, key, d)), key).where(F.col("v") > threshold))
+    if d == 1:
+        return left
+    done = []
+    while not left.isEmpty():
+        ranked = left.withColumn("rank", F.struct((-F.col("v")).alias("v"), "r", "c"))
+        best = kept(ranked.join(_square_best(ranked, key, d - 1), [key, "r", "c"]).where(F.col("rank") == F.col("best")).select(key, "r", "c", "v"))
+        done.append(best)
+        # A peak that stays is sent to its cell of edge d and those around; they are few, as they lie d apart.
+        cell = lambda at: F.floor(F.col(at) / F.lit(d))
+        side = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+        sent = best.select(key, F.col("r").alias("_r"), F.col("c").alias("_c"), side.alias("_y")).select("*", side.alias("_x"))
+        sent = sent.select(key, "_r", "_c", (cell("_r") + F.col("_y")).alias("_i"), (cell("_c") + F.col("_x")).alias("_j"))
+        near = (F.abs(F.col("r") - F.col("_r")) < d) & (F.abs(F.col("c") - F.col("_c")) < d)
+        gone = left.withColumns({"_i": cell("r"), "_j": cell("c")}).join(sent, [key, "_i", "_j"]).where(near).select(key, "r", "c").distinct()
+        left = kept(left.join(gone, [key, "r", "c"], "left_anti"))
+    return reduce(DataFrame.unionByName, done, left)
+
+
 def chip(edge: int) -> Callable:
     """The extent of chips that all have this edge."""
     return lambda key: (0, edge, 0, edge)

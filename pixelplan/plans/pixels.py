@@ -264,20 +264,91 @@ def components(spark, sf_dir):
     return found.select("raster_id", "r", "c", "component")
 
 
-@query()
+_SIDE = f"(select ((raster_id // 64) * 8 + r)::integer r, ((raster_id % 64) * 8 + c)::integer c, v from {PIXELS})"
+
+
+def _side_by_side(spark, sf_dir):
+    """All chips as one raster, 64 in a row."""
+    return src.pixels(spark, sf_dir).select((F.expr("raster_id div 64") * 8 + F.col("r")).cast("int").alias("r"), ((F.col("raster_id") % 64) * 8 + F.col("c")).cast("int").alias("c"), "v")
+
+
+def _height(spark, sf_dir):
+    return src.table(spark, sf_dir, "embeddings").agg(F.coalesce((F.expr("max(vec_id) div 64 + 1") * 8).cast("int"), F.lit(0))).first()[0]
+
+
+@query(
+    f"with recursive m as materialized (select r, c, r::bigint * 512 + c id from {_SIDE} where v >= 128), e as materialized (select a.id a, b.id b from m a join m b on (a.r = b.r and abs(a.c - b.c) <= 1) or (a.c = b.c and abs(a.r - b.r) = 1)), "
+    "w as (select id, id root, true moved, 0 step from m union all select id, root, bool_or(moved) over () moved, step + 1 from (select w.id, min(o.root) root, min(o.root) < any_value(w.root) moved, any_value(w.step) step from w join e on e.a = w.id join w o on o.id = e.b where w.moved group by w.id)) "
+    "select m.r, m.c, root component from m join (select id, min(root) root from w group by 1) using (id)"
+)
+def components_across(spark, sf_dir):
+    """Components of all chips side by side as one raster, in chunks of 16 x 16."""
+    return segment.components_across(_side_by_side(spark, sf_dir).where("v >= 128"), 512, 16)
+
+
+@query(
+    f"with recursive i as materialized (select r, c, v from {_SIDE} where v >= 120 and c between 3 and 508 and r between 3 and (select max(r) - 3 from {_SIDE})), "
+    "t as materialized (select a.r, a.c, any_value(a.v) v from i a join i b on b.r between a.r - 3 and a.r + 3 and b.c between a.c - 3 and a.c + 3 group by a.r, a.c having max(b.v) <= any_value(a.v) and any_value(a.v) > 120), "
+    "p as materialized (select row_number() over (order by v desc, r, c) k, r, c, v from t), x as materialized (select a.k, b.k worse from p a join p b on a.k < b.k and abs(a.r - b.r) < 3 and abs(a.c - b.c) < 3), "
+    "w as (select 0::bigint k, []::bigint[] gone union all select w.k + 1, list_concat(gone, case when list_contains(gone, w.k + 1) then [] else coalesce((select list(worse) from x where x.k = w.k + 1), []) end) from w where w.k < (select max(k) from p)) "
+    "select r, c, v from p where not list_contains((select arg_max(gone, k) from w), p.k)"
+)
+def spaced_peaks(spark, sf_dir):
+    """Peaks at least 3 apart of all chips side by side as one raster."""
+    rows = _side_by_side(spark, sf_dir).withColumn("raster", F.lit(0))
+    return segment.spaced_peaks(rows, "raster", _height(spark, sf_dir), 512, threshold=120, min_distance=3).select("r", "c", "v")
+
+
+def _flooded(pixels: str, threshold: str, height: str = "8", width: str = "8") -> str:
+    """SQL for labels of the priority flood of chips (k, cell, r, c, v; cell = r * width + c): peaks of distance 1, markers, then one pixel a step."""
+    return (
+        f"(with recursive px as materialized ({pixels}), dim as materialized (select k, {height}::bigint h, {width}::bigint w from px group by k), m as materialized (select px.*, h, w from px join dim using (k) where v >= {threshold}), "
+        "inn as materialized (select * from m where r between 1 and h - 2 and c between 1 and w - 2), "
+        "tops as materialized (select a.k, a.cell, any_value(a.r) r, any_value(a.c) c, any_value(a.v) v from inn a join inn b on a.k = b.k and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1 group by a.k, a.cell having max(b.v) <= any_value(a.v)), "
+        "flat as materialized (select k from (select k, count(*) n, max(r) - min(r) + max(c) - min(c) box from inn group by k) join (select k, count(*) t from tops group by k) using (k) where n = t and box > 0), "
+        "s5 as (select 0 y, 0 x union all values (-1, 0), (1, 0), (0, -1), (0, 1)), "
+        "mid as (select k, r + y r, c + x c from inn join flat using (k), s5 group by all having count(*) = 5), covered as (select distinct k, r + y r, c + x c from mid, s5), "
+        f"seeds as materialized (select k, cell, r, c from tops where k not in (select k from flat) and v > {threshold} union all select k, cell, r, c from inn where k in (select k from flat) and v > {threshold} and (k, r, c) not in (select k, r, c from covered)), "
+        "tied as (select k, cell, cell root from seeds union select a.k, a.cell, b.root from seeds a join tied b on a.k = b.k join seeds o on o.k = b.k and o.cell = b.cell and abs(a.r - o.r) + abs(a.c - o.c) = 1), "
+        "marked as materialized (select k, cell, dense_rank() over (partition by k order by root)::integer l, row_number() over (partition by k order by cell) - 1 age from (select k, cell, min(root) root from tied group by 1, 2)), "
+        "ranked as materialized (select m.*, dense_rank() over (partition by m.k order by v desc) rk from m), "
+        "cells as (select k, h, w, unnest(range(h * w)) cell from dim), "
+        "grids as materialized (select k, any_value(c.h) h, any_value(c.w) w, list(coalesce(rk, 0) order by cell) g from cells c left join ranked using (k, cell) group by k), "
+        "flood as (select k, any_value(labels) labels, list((rk * 16777216 + age) * 16777216 + cell) todo, max(age) + 1 age from marked join ranked using (k, cell) join (select k, list(coalesce(l, 0) order by cell) labels from cells left join marked using (k, cell) group by k) using (k) group by k "
+        "union all select k, case when len(near) = 0 then labels else list_transform(labels, lambda l, i: case when list_contains(near, i - 1) then labels[pos + 1] else l end) end, list_concat(list_filter(todo, lambda q: q <> pop), list_transform(near, lambda x, i: (g[x + 1] * 16777216 + age + i - 1) * 16777216 + x)), age + len(near) "
+        "from (select *, list_filter([case when pos >= w then pos - w end, case when pos % w > 0 then pos - 1 end, case when pos % w < w - 1 then pos + 1 end, case when pos < (h - 1) * w then pos + w end], lambda x: x is not null and g[x + 1] > 0 and labels[x + 1] = 0) near "
+        "from (select f.k, labels, todo, age, list_min(todo) pop, list_min(todo) % 16777216 pos, g, h, w from flood f join grids using (k) where len(todo) > 0))) "
+        "select k, cell, l \"label\" from (select k, unnest(range(len(labels))) cell, unnest(labels) l from flood where len(todo) = 0) where l > 0)"
+    )
+
+
+@query(f"select k raster_id, \"label\", (cell // 8)::integer r, (cell % 8)::integer c from {_flooded(f'select raster_id k, (r * 8 + c)::bigint cell, r, c, v from {PIXELS}', '120')}")
 def watershed(spark, sf_dir):
     return segment.watershed(src.pixels(spark, sf_dir), "raster_id", threshold=120, min_distance=1, extent=segment.chip(8))
 
 
-@query()
+_EXTENT = "(select (max(vec_id) // 64 + 1) * 8 from embeddings)"
+_TOP, _LEFT = "greatest(0, split_part(k, ',', 1)::bigint * 32 - 8)", "greatest(0, split_part(k, ',', 2)::bigint * 32 - 8)"
+_HIGH, _WIDE = f"least({_EXTENT}, (split_part(k, ',', 1)::bigint + 1) * 32 + 8) - {_TOP}", f"least(512, (split_part(k, ',', 2)::bigint + 1) * 32 + 8) - {_LEFT}"
+_WINDOW = (
+    f"select k, (r - {_TOP}) * ({_WIDE}) + c - {_LEFT} cell, r - {_TOP} r, c - {_LEFT} c, v from (select kr || ',' || kc k, r, c, v from {_SIDE}, (select unnest(range({_EXTENT} // 32 + 1)) kr), (select unnest(range(16)) kc) "
+    "where v >= 120 and r >= kr * 32 - 8 and r < (kr + 1) * 32 + 8 and c >= kc * 32 - 8 and c < (kc + 1) * 32 + 8 and kr * 32 < " + _EXTENT + ")"
+)
+
+
+@query(
+    f"select * from (select k chunk, \"label\", count(*) pixels, count(*) * 0.5::double area_m2, min(r)::integer min_r, max(r)::integer max_r, min(c)::integer min_c, max(c)::integer max_c, trunc(avg(r))::integer centre_r, trunc(avg(c))::integer centre_c "
+    f"from (select k, \"label\", cell // w + top r, cell % w + lft c from (select *, {_WIDE} w, {_TOP} top, {_LEFT} lft from {_flooded(_WINDOW, '120', _HIGH, _WIDE)})) group by 1, 2) where area_m2 >= 2 and chunk = (centre_r // 32) || ',' || (centre_c // 32)"
+)
 def chunked_crowns(spark, sf_dir):
-    """All chips side by side as one raster, cut to chunks of 64 x 64 with borders of 8: each crown is found by the chunk that its centre is in."""
-    rows = src.pixels(spark, sf_dir).select((F.expr("raster_id div 64") * 8 + F.col("r")).cast("int").alias("r"), ((F.col("raster_id") % 64) * 8 + F.col("c")).cast("int").alias("c"), "v")
-    height = src.table(spark, sf_dir, "embeddings").agg(F.coalesce((F.expr("max(vec_id) div 64 + 1") * 8).cast("int"), F.lit(0))).first()[0]
-    return segment.chunked_crowns(rows, height, 512, chunk=64, border=8, threshold=120, min_distance=1, pixel_area=0.5, min_area=2.0)
+    """All chips side by side as one raster, cut to chunks of 32 x 32 with borders of 8: each crown is found by the chunk that its centre is in."""
+    return segment.chunked_crowns(_side_by_side(spark, sf_dir), _height(spark, sf_dir), 512, chunk=32, border=8, threshold=120, min_distance=1, pixel_area=0.5, min_area=2.0)
 
 
-@query()
+@query(
+    f"select k raster_id, \"label\", count(*) pixels, count(*) * 0.5::double area_m2, min(cell // 8)::integer min_r, max(cell // 8)::integer max_r, min(cell % 8)::integer min_c, max(cell % 8)::integer max_c, trunc(avg(cell // 8))::integer centre_r, trunc(avg(cell % 8))::integer centre_c "
+    f"from {_flooded(f'select raster_id k, (r * 8 + c)::bigint cell, r, c, dtm v from {_DTM}', '10.0')} group by 1, 2 having count(*) * 0.5 >= 2"
+)
 def crowns_from_dtm(spark, sf_dir):
     dtm = raster.distance_transform(src.masks(spark, sf_dir), "raster_id", "label").select("raster_id", "r", "c", F.col("dtm").alias("v"))
     return segment.crowns_from_dtm(dtm, "raster_id", threshold=10.0, min_distance=1, pixel_area=0.5, min_area=2.0, extent=segment.chip(8))
