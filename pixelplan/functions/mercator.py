@@ -74,3 +74,18 @@ def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
         east = east + F.lit(c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + F.lit(c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return F.lit(500000.0) + F.lit(0.9996 * big) * east, F.lit(0.9996 * big) * north
+
+
+def reprojected(x: Column, y: Column, crs: Column, target: int) -> tuple[Column, Column]:
+    """Places of a coordinate system (EPSG:4326 or EPSG:3857) in another: 4326, 3857 or 32601 to 32660 (zones of the north).
+
+    Equal systems leave places as they are. A null or other system raises when a row is read.
+    """
+    code = F.coalesce(epsg(crs), F.raise_error(F.lit("a place has no coordinate system")))
+    lon, lat = to_degrees(x, y)
+    lon, lat = F.when(code == 3857, lon).when(code == 4326, x), F.when(code == 3857, lat).when(code == 4326, y)
+    there = (lon, lat) if target == 4326 else to_mercator(lon, lat) if target == 3857 else utm(lon, lat, target - 32600) if 32601 <= target <= 32660 else None
+    if there is None:
+        raise ValueError(f"EPSG:{target} is not known")
+    known = lambda there_, here: F.when(code == target, here).otherwise(F.coalesce(there_, F.when(code.isin(3857, 4326), F.lit(None).cast("double")).otherwise(F.raise_error(F.concat(F.lit("unknown coordinate system "), crs)).cast("double"))))
+    return known(there[0], x), known(there[1], y)

@@ -94,12 +94,25 @@ def distance_transform(masks: DataFrame, *keys: str) -> DataFrame:
     return placed.join(far, list(keys)).withColumn("dtm", dtm).drop("_r", "_c", "_d", "_far")
 
 
-def coverage(dtm: DataFrame, key: str, pixels: int) -> DataFrame:
-    """Share of a raster of so many pixels that is crown, and the range of its positive values."""
+def coverage(dtm: DataFrame, key: str, pixels: int, rasters: DataFrame | None = None) -> DataFrame:
+    """Share of a raster of so many pixels that is crown, and the range of its positive values.
+
+    Of rasters (a row each), those without a crown have 0 pixels and 0.0 percent, and no range.
+    """
     positive = dtm.where("dtm > 0").groupBy(key).agg(F.count("*").alias("crown_pixels"), F.round(F.min("dtm"), 6).alias("low"), F.round(F.max("dtm"), 6).alias("high"))
+    if rasters is not None:
+        positive = rasters.select(key).distinct().join(positive, key, "left").withColumn("crown_pixels", F.coalesce("crown_pixels", F.lit(0)).cast("long"))
     return positive.withColumn("coverage_pct", F.round(F.col("crown_pixels") * F.lit(100.0) / pixels, 6))
 
 
+def same_extent(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Heights and widths (key, h, w) of rasters that two tables describe; raises when a row is read whose sizes differ."""
+    other = b.select(key, F.col("h").alias("_h"), F.col("w").alias("_w"))
+    told = F.concat_ws(" ", F.lit("sizes differ:"), F.col(key).cast("string"), *(F.col(c).cast("string") for c in ("h", "w", "_h", "_w")))
+    equal = (F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w"))
+    return a.join(other, key).withColumn("h", F.when(equal, F.col("h")).otherwise(F.raise_error(told))).select(key, "h", "w")
+
+
 def tile_stats(pixels: DataFrame, key: str, tile: int, height: int, width: int, stride: int | None = None) -> DataFrame:
     """crown_frac, dtm_mean and dtm_max of each whole tile; partial tiles at the edges are left out. Value column: v, crown where v > 0.
 
@@ -125,7 +138,11 @@ def reflect(i: Column, n: int) -> Column:
 
 def padded(pixels: DataFrame, key: str, n: int, pad: int) -> DataFrame:
     """Rasters of n x n with a mirrored border: each pixel is sent to the places that show it, so there is no join by range."""
-    shown = lambda c: F.filter(F.sequence(F.lit(-pad), F.lit(n - 1 + pad)), lambda i: reflect(i, n) == F.col(c))
+    def shown(c: str) -> Column:
+        """A place and its mirror images at both ends, as far as the border reaches."""
+        at = F.col(c)
+        return F.filter(F.array(at, F.when(at > 0, -at), F.when(at < n - 1, 2 * (n - 1) - at)), lambda i: i.isNotNull() & (i >= -pad) & (i <= n - 1 + pad))
+
     return pixels.select(key, F.explode(shown("r")).alias("r"), "c", "v").select(key, "r", F.explode(shown("c")).alias("c"), "v")
 
 

@@ -63,8 +63,9 @@ def warmup(epoch: Column, lr: float, epochs: int) -> Column:
 def plateau_rates(losses: DataFrame, lr: float, factor: float, patience: int, least: float = 1e-6, threshold: float = 1e-4) -> DataFrame:
     """lr after each epoch: multiplied by factor when more than `patience` epochs in a row are no relative improvement by the threshold.
 
-    Epochs count from 1 without gaps. Which epochs improve depends on the ones before, so a fold is read in order, as
-    a stream of which only the best loss is held; how often the rate has been cut follows from the last of them.
+    Epochs count from 1 without gaps, losses are not negative. An improvement is also a new least loss, and those are few
+    and found block by block; only they are read in order, to tell which of them improve by the threshold. How often
+    the rate has been cut follows from the last of them.
     """
 
     def improvements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,8 @@ def plateau_rates(losses: DataFrame, lr: float, factor: float, patience: int, le
     while (after := max(rates[-1] * factor, least)) != rates[-1]:
         rates.append(after)
     rows = losses.select(F.col("fold").cast("int").alias("fold"), F.col("epoch").cast("long").alias("epoch"), F.col("val_mae").cast("double").alias("val_mae"))
-    found = rows.repartition("fold").sortWithinPartitions("fold", "epoch").mapInArrow(improvements, "_f int, _improved long, _cuts long")
+    least_so_far = running_best(rows).where(F.col("is_best") & F.col("val_mae").isNotNull()).select("fold", "epoch", "val_mae")
+    found = least_so_far.repartition("fold").sortWithinPartitions("fold", "epoch").mapInArrow(improvements, "_f int, _improved long, _cuts long")
     marked = rows.join(found, F.col("fold").eqNullSafe(F.col("_f")) & (F.col("epoch") == F.col("_improved")), "left")
     marked = _running(marked.drop("_f"), "_last", F.when(F.col("_improved").isNotNull(), F.struct("_improved", "_cuts")), F.max, F.greatest, 0)
     at, cuts = F.coalesce("_last._improved", F.lit(0)), F.coalesce("_last._cuts", F.lit(0))

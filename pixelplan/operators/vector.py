@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rings
+from ..storage import kept
 from .stats import with_median
 from .tables import numbered_within
 
@@ -20,24 +21,84 @@ def total_bounds(parts_: DataFrame) -> DataFrame:
     return boxed.agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"), F.round(F.sum("_area"), 4).alias("area"), F.coalesce(F.bool_or(F.col("part") > 0), F.lit(False)).alias("multi"))
 
 
-def rasterized(parts_: DataFrame, cell: int = 256) -> DataFrame:
-    """key, part, r, c of the pixels of unit size whose centre lies in a ring: those of its box are tried.
+def spans(parts_: DataFrame) -> DataFrame:
+    """key, part, r, c0, c1: the runs of pixels of unit size in each row whose centre lies in a ring, by its crossings with the row's middle.
 
-    Boxes are first cut to cells of a fixed size, which are dealt anew, so a city's outline is many tasks.
+    An edge gives one crossing for each row that it spans; a ring's crossings of a row are put in order, and every second
+    gap between them is inside. Rings of any length are so many tasks' work as they have edges; repeated rings stay apart.
     """
-    low = lambda a: F.floor(F.array_min(F.transform("ring", lambda p: p[a]))).cast("int")
-    high = lambda a: F.ceil(F.array_max(F.transform("ring", lambda p: p[a]))).cast("int")
-    boxes = parts_.select("key", "part", "ring", *(f(a).alias(f"_{n}{a}") for a in ("x", "y") for f, n in ((low, "lo"), (high, "hi"))))
-    cells = lambda a: F.explode(F.sequence(F.floor(F.col(f"_lo{a}") / cell).cast("int"), F.floor(F.col(f"_hi{a}") / cell).cast("int")))
-    cut = boxes.withColumn("_i", cells("y")).withColumn("_j", cells("x")).repartition("key", "part", "_i", "_j")
-    own = lambda a, k: F.explode(F.sequence(F.greatest(f"_lo{a}", F.col(k) * cell), F.least(f"_hi{a}", F.col(k) * cell + (cell - 1))))
-    rows = cut.withColumn("r", own("y", "_i")).withColumn("c", own("x", "_j"))
-    return rows.where(rings.contains(F.col("ring"), F.col("c") + F.lit(0.5), F.col("r") + F.lit(0.5))).select("key", "part", "r", "c")
+    n = F.greatest(F.size("ring") - 1, F.lit(0))
+    edges = F.zip_with(F.slice("ring", 1, n), F.slice("ring", 2, n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    each = parts_.withColumn("_id", F.monotonically_increasing_id()).select("_id", "key", "part", F.explode(edges).alias("e")).where("e.p.y <> e.q.y")
+    low, high = F.ceil(F.least("e.p.y", "e.q.y") - 0.5), F.ceil(F.greatest("e.p.y", "e.q.y") - 0.5) - 1
+    crossed = each.where(low <= high).select("_id", "key", "part", "e", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("r"))
+    x = F.expr("(e.q.x - e.p.x) * (r + 0.5D - e.p.y) / (e.q.y - e.p.y) + e.p.x")
+    rows = crossed.groupBy("_id", "key", "part", "r").agg(F.array_sort(F.collect_list(x)).alias("xs"))
+    gaps = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda k: F.struct(F.ceil(F.get("xs", k) - 0.5).cast("int").alias("c0"), (F.ceil(F.get("xs", k + 1) - 0.5) - 1).cast("int").alias("c1")))
+    return rows.select("key", "part", "r", F.explode(gaps).alias("g")).select("key", "part", "r", "g.c0", "g.c1").where("c0 <= c1")
+
+
+def rasterized(parts_: DataFrame) -> DataFrame:
+    """key, part, r, c of the pixels of unit size whose centre lies in a ring."""
+    return spans(parts_).select("key", "part", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
 
 
 def union_area(parts_: DataFrame) -> DataFrame:
-    """area: of what parts cover together, in pixels of unit size, each counted once; exact for rings on whole numbers."""
-    return rasterized(parts_).select("r", "c").distinct().agg(F.count("*").alias("area"))
+    """area: of what parts cover together, in pixels of unit size, each counted once; exact for rings on whole numbers.
+
+    Runs of one row are put in order and only what reaches beyond those before counts; no pixel is made.
+    """
+    before = F.max("c1").over(Window.partitionBy("r", "_k").orderBy("c0").rowsBetween(Window.unboundedPreceding, -1))
+    width = 1024  # columns of a group, so that a long row is many
+    lo, hi = F.greatest("c0", F.col("_k") * width), F.least("c1", F.col("_k") * width + (width - 1))
+    cut = spans(parts_).select("r", "c0", "c1", F.explode(F.sequence(F.floor(F.col("c0") / F.lit(width)), F.floor(F.col("c1") / F.lit(width)))).alias("_k"))
+    cut = cut.select("r", "_k", lo.alias("c0"), hi.alias("c1")).groupBy("r", "_k", "c0").agg(F.max("c1").alias("c1"))
+    fresh = F.greatest(F.lit(0), F.col("c1") - F.greatest(F.col("c0"), F.coalesce(before + 1, "c0")) + 1)
+    return cut.select(fresh.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("area"))
+
+
+def covered_area(parts_: DataFrame, *keys: str, cell: float = 64.0) -> DataFrame:
+    """area that the rings of equal keys cover together, for rings anywhere: each place counts once, however many cover it.
+
+    A sweep in cells of the plane. In a cell a ring's edges are cut to it; what lies to its left is moved to its left side,
+    which leaves as they are the turns of the ring around places inside, and equal pieces are added up. The pieces' ends
+    and crossings cut the cell to strips in which no two pieces cross; from left to right the turns are summed up, and
+    what lies between two pieces with turns is a trapezoid. Rings must not cross themselves (repair them first).
+    """
+    n, turn = F.greatest(F.size("ring") - 1, F.lit(0)), F.when(rings.signed_area(F.col("ring")) < 0, -1).otherwise(1)
+    ends = F.zip_with(F.slice("ring", 1, n), F.slice("ring", 2, n), lambda p, q: F.struct(F.when(p["y"] < q["y"], p).otherwise(q).alias("a"), F.when(p["y"] < q["y"], q).otherwise(p).alias("b"), F.when(p["y"] < q["y"], F.lit(1)).otherwise(-1).alias("way")))
+    at = lambda x: F.floor(x / F.lit(cell)).cast("int")
+    each = parts_.select(*keys, turn.alias("turn"), at(F.array_max(F.transform("ring", lambda p: p["x"]))).alias("last"), F.explode(ends).alias("e")).where("e.a.y < e.b.y")
+    sent = each.select(*keys, "e", (F.col("e.way") * F.col("turn")).cast("int").alias("way"), F.explode(F.sequence(at(F.least("e.a.x", "e.b.x")), "last")).alias("i"), "last").select("*", F.explode(F.sequence(at(F.col("e.a.y")), at(F.col("e.b.y")))).alias("j"))
+    x0, x1 = F.col("i") * F.lit(cell), (F.col("i") + 1) * F.lit(cell)
+    lo, hi = F.greatest(F.col("e.a.y"), F.col("j") * F.lit(cell)), F.least(F.col("e.b.y"), (F.col("j") + 1) * F.lit(cell))
+    rows = sent.select(*keys, "i", "j", "way", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"), lo.alias("lo"), hi.alias("hi"), x0.alias("x0"), x1.alias("x1"))
+    y_at = lambda x: F.expr(f"ay + ({x} - ax) * (by - ay) / nullif(bx - ax, 0)")
+    rows = rows.withColumns({"y0": y_at("x0"), "y1": y_at("x1")})
+    x_at = lambda y: f"ax + ({y} - ay) * (bx - ax) / (by - ay)"
+    left_lo = F.expr("case when ax = bx then case when ax < x0 then lo else hi end when bx > ax then lo else greatest(lo, y0) end")
+    left_hi = F.expr("case when ax = bx then hi when bx > ax then least(hi, y0) else hi end")
+    mid_lo = F.expr("case when ax = bx then case when ax >= x0 and ax < x1 then lo else hi end when bx > ax then greatest(lo, y0) else greatest(lo, y1) end")
+    mid_hi = F.expr("case when ax = bx then hi when bx > ax then least(hi, y1) else least(hi, y0) end")
+    cut = rows.withColumns({"ll": left_lo, "lh": left_hi, "ml": mid_lo, "mh": mid_hi})
+    piece = lambda a, b, u, v: F.struct(a.alias("lo"), b.alias("hi"), u.alias("u"), v.alias("v"))
+    made = F.array(piece(F.col("ll"), F.col("lh"), F.col("x0"), F.col("x0")), piece(F.col("ml"), F.col("mh"), F.expr(x_at("ml")), F.expr(x_at("mh"))))
+    own = [*keys, "i", "j"]
+    pieces = cut.select(*own, "way", F.explode(F.filter(made, lambda p: p["lo"] < p["hi"])).alias("p")).groupBy(*own, "p.lo", "p.hi", "p.u", "p.v").agg(F.sum("way").alias("way")).where("way <> 0")
+    pieces = kept(pieces.toDF(*own, "lo", "hi", "u", "v", "way"))
+    # Crossings: over the heights that two pieces share, the one that is left at the bottom is right at the top.
+    a, b = (pieces.select(*own, *(F.col(c).alias(f"{c}_{s}") for c in ("lo", "hi", "u", "v"))) for s in ("a", "b"))
+    both = a.join(b, own).where("lo_a < hi_b and lo_b < hi_a and least(u_a, v_a) <= greatest(u_b, v_b) and least(u_b, v_b) <= greatest(u_a, v_a) and struct(lo_a, hi_a, u_a, v_a) < struct(lo_b, hi_b, u_b, v_b)")
+    both = both.withColumns({"l": F.greatest("lo_a", "lo_b"), "h": F.least("hi_a", "hi_b")})
+    gap = lambda y: f"(u_a + ({y} - lo_a) * (v_a - u_a) / (hi_a - lo_a)) - (u_b + ({y} - lo_b) * (v_b - u_b) / (hi_b - lo_b))"
+    met = both.withColumns({"g": F.expr(gap("l")), "k": F.expr(gap("h"))}).where("g * k < 0").select(*own, F.expr("l + g / (g - k) * (h - l)").alias("y"))
+    heights = pieces.select(*own, F.explode(F.array("lo", "hi")).alias("y")).unionByName(met).groupBy(*own).agg(F.array_sort(F.collect_set("y")).alias("ys"))
+    steps = F.filter(F.arrays_zip(F.slice("ys", 1, F.size("ys") - 1).alias("s"), F.slice("ys", 2, F.size("ys") - 1).alias("t")), lambda z: (z["s"] >= F.col("lo")) & (z["t"] <= F.col("hi")))
+    strips = pieces.join(heights, own).select(*own, "lo", "hi", "u", "v", "way", F.explode(steps).alias("z"))
+    placed = strips.select(*own, F.col("z.s").alias("s"), (F.col("z.t") - F.col("z.s")).alias("t"), "way", F.expr("u + ((z.s + z.t) / 2 - lo) * (v - u) / (hi - lo)").alias("x"))
+    line = Window.partitionBy(*own, "s").orderBy("x")
+    open_ = placed.withColumns({"turns": F.sum("way").over(line.rowsBetween(Window.unboundedPreceding, 0)), "next": F.coalesce(F.lead("x").over(line), (F.col("i") + 1) * F.lit(cell))})
+    return open_.where("turns <> 0").groupBy(*keys).agg(F.sum((F.col("next") - F.col("x")) * F.col("t")).alias("area"))
 
 
 def painted(pixels: DataFrame, order: str) -> DataFrame:

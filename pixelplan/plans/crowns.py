@@ -12,6 +12,7 @@ from ..sources import projections as src
 from ..sources.projections import table
 
 CROWNS = "(select concat_ws('_', l_orderkey::varchar, l_partkey::varchar, l_suppkey::varchar, l_linenumber::varchar) crown_id, l_returnflag site, l_quantity::double area_m2, case when l_quantity <= 4.9 then 'small' when l_quantity <= 15.9 then 'medium' else 'large' end size_class from lineitem)"
+EXTENTS = "(select distinct (s_suppkey * 7919 % 1500 * 4 + 200)::integer h, (s_suppkey * 104729 % 1500 * 4 + 200)::integer w from supplier)"
 TILES = "(select p_type site, ((p_partkey // 50) * 512)::integer row_off, ((p_partkey % 50) * 512)::integer col_off, round((p_size - 1) / 49.0::double, 4) crown_frac, p_partkey as \"key\", printf('%s_r%05d_c%05d.tif', lower(p_type), ((p_partkey // 50) * 512)::integer, ((p_partkey % 50) * 512)::integer) tile_name from part)"
 
 
@@ -139,10 +140,18 @@ def pick_candidate(spark, sf_dir):
     return tables.first_present(files, "region").withColumnRenamed("path", "picked")
 
 
-@query("select * from (values ('epochs', '7'), ('extra', 'x'), ('k_folds', '5'), ('lr', NULL)) t(\"key\", value)")
+@query(
+    "select n_nationkey site, \"key\", value from (select n_nationkey, unnest(['epochs', 'extra', 'k_folds', 'lr']) \"key\", unnest([(50 + n_nationkey)::varchar, n_name, '5', case when n_nationkey % 3 = 0 then null when n_nationkey % 3 = 1 then '0.01' else '1e-4' end]) value from nation where n_nationkey % 5 > 0 "
+    "union all select n_nationkey, unnest(['epochs', 'k_folds', 'lr']), unnest(['100', '5', '1e-4']) from nation where n_nationkey % 5 = 0)"
+)
 def config_merge(spark, sf_dir):
-    rows = spark.sql("select map('epochs', '100', 'k_folds', '5', 'lr', '1e-4') as base, map('epochs', '7', 'lr', cast(null as string), 'extra', 'x') as user")
-    return rows.select(F.explode(overlay(F.col("base"), F.col("user"))).alias("key", "value"))
+    """Each nation's own settings over the defaults; each fifth has none."""
+    base = F.create_map(*(F.lit(x) for x in ("epochs", "100", "k_folds", "5", "lr", "1e-4")))
+    key = F.col("n_nationkey")
+    given = F.create_map(F.lit("epochs"), (key + 50).cast("string"), F.lit("extra"), F.col("n_name"))
+    rate = F.create_map(F.lit("lr"), F.when(key % 3 == 1, "0.01"))
+    user = F.when(key % 5 > 0, F.when(key % 3 == 2, given).otherwise(F.map_concat(given, rate)))
+    return table(spark, sf_dir, "nation").select(key.alias("site"), F.explode(overlay(base, user)).alias("key", "value"))
 
 
 @query(
@@ -156,13 +165,13 @@ def stats_document(spark, sf_dir):
 
 
 @query(
-    "with e as (select * from (values (26000, 35000), (2200, 2200), (2348, 2348), (2349, 2349), (512, 512), (300, 300)) t(h, w)), d as (select * from (values ('uint8', 1), ('uint16', 2), ('float32', 4)) t(dtype, bytes)) "
+    f"with e as {EXTENTS}, d as (select * from (values ('uint8', 1), ('uint16', 2), ('float32', 4)) t(dtype, bytes)) "
     "select h, w, dtype, pixels, width_km, raw_gb, float32_gb, printf('%.4f x %.4f km', width_km, h * 0.075::double / 1000) extent, round(ratio_, 6) ratio, printf('%.1fx', ratio_) ratio_text from (select *, case when h > 500 then raw_gb / (h / 1000.0::double) else 0.0::double end ratio_ from ("
     "select h, w, dtype, h::bigint * w pixels, round(w * 0.075::double / 1000, 6) width_km, round(h::bigint * w * 3 * bytes / 1e9, 6) raw_gb, round(h::bigint * w * 3 * 4 / 1e9, 6) float32_gb from e, d))"
 )
 def image_stats(spark, sf_dir):
     types = spark.createDataFrame([("uint8", 1), ("uint16", 2), ("float32", 4)], "dtype string, bytes int")
-    return stats.image_stats(extents(spark), types, file_gb=F.when(F.col("h") > 500, F.col("h") / F.lit(1000.0)).otherwise(0.0))
+    return stats.image_stats(extents(spark, sf_dir), types, file_gb=F.when(F.col("h") > 500, F.col("h") / F.lit(1000.0)).otherwise(0.0))
 
 
 @query(f"select site, round(100 * sum(area_m2) / 1e7, 6) cover_pct, round(sum(area_m2) / 1e4, 6) canopy_ha, round(sum(area_m2) / 2.59e6, 8) canopy_sq_mi from {CROWNS} group by 1")
@@ -170,8 +179,10 @@ def canopy_cover(spark, sf_dir):
     return stats.canopy_cover(src.crowns(spark, sf_dir), "site", 1e7)
 
 
-def extents(spark):
-    return spark.createDataFrame([(26000, 35000), (2200, 2200), (2348, 2348), (2349, 2349), (512, 512), (300, 300)], "h int, w int")
+def extents(spark, sf_dir):
+    """Heights and widths of images: one for each supplier, of 200 to about 6,200 rows and columns."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select((key * 7919 % 1500 * 4 + 200).cast("int").alias("h"), (key * 104729 % 1500 * 4 + 200).cast("int").alias("w")).distinct()
 
 
 @query(f"select site, format('{{:,}}', count(*)) crowns, upper(site[1]) || lower(site[2:]) title from {CROWNS} group by 1")

@@ -76,7 +76,9 @@ def download_batches(spark, sf_dir):
     return grids.batches(src.downloads(spark, sf_dir), "id", 20, "col").select("id", "col", "batch")
 
 
-@query("select * from (values ('conv', 9408::bigint), ('fc', 1000::bigint)) t(tensor, numel)")
+@query("select p_type \"group\", count(*) tensors, sum((p_size * (p_size % 7 + 1) * 49)::bigint)::bigint numel from part group by 1")
 def parameter_count(spark, sf_dir):
-    shapes = spark.createDataFrame([("conv", [64, 3, 7, 7]), ("fc", [1000])], "tensor string, shape array<int>")
-    return shapes.select("tensor", F.aggregate("shape", F.lit(1).cast("long"), lambda n, x: n * x).alias("numel"))
+    """Parts stand for tensors, of a shape each, and types for the layers that hold them."""
+    shape = F.array(F.col("p_size").cast("int"), (F.col("p_size") % 7 + 1).cast("int"), F.lit(7), F.lit(7))
+    rows = src.table(spark, sf_dir, "part").select(F.col("p_type").alias("group"), F.aggregate(shape, F.lit(1).cast("long"), lambda n, x: n * x).alias("numel"))
+    return rows.groupBy("group").agg(F.count("*").alias("tensors"), F.sum("numel").alias("numel"))

@@ -9,7 +9,7 @@ from ..operators import grids, vector
 from ..registry import query
 from ..sources import files
 from ..sources import projections as src
-from .crowns import extents
+from .crowns import EXTENTS, extents
 from .pixels import PIXELS
 
 _W = "40075016.685578488::double"
@@ -20,7 +20,6 @@ POINTS = (
 )
 DOWNLOADS = "(select event_id id, user_id col, case event_type when 'error' then 404 when 'signup' then 429 when 'purchase' then 500 else 200 end::integer status from events)"
 PARTS = "(select p_partkey as \"key\", part, ((p_partkey % 100) * 120 + part * 60)::double x0, ((p_partkey // 100) * 120)::double y0, p_size::double w, (p_size % 7 + 1)::double h from part, (select unnest(range(2))::integer part) where part = 0 or p_size % 5 = 0)"
-EXTENTS = "(select * from (values (26000, 35000), (2200, 2200), (2348, 2348), (2349, 2349), (512, 512), (300, 300)) t(h, w))"
 
 
 @query(f"select \"key\", zoom, col, \"row\" from {POINTS}")
@@ -34,10 +33,14 @@ def tile_bounds(spark, sf_dir):
     return rows.select("key", F.round(mercator.tile_left(F.col("col"), F.col("zoom")), 6).alias("left"), F.round(mercator.tile_top(F.col("row"), F.col("zoom")), 6).alias("top"))
 
 
-@query(f"select z::integer zoom, round({_W} / (256.0::double * pow(2.0::double, z)), 8) resolution_m, round(15654303.0::double * cos(radians(47.81::double)) / pow(2.0::double, z), 2) ground_cm from (select unnest(range(10, 22)) z)")
+_ZOOM = "(10 + c_custkey % 12)::integer"
+
+
+@query(f"select {_ZOOM} zoom, count(*) points, round({_W} / (256.0::double * pow(2.0::double, {_ZOOM})), 8) resolution_m, round(15654303.0::double * cos(radians(47.81::double)) / pow(2.0::double, {_ZOOM}), 2) ground_cm from customer group by {_ZOOM}")
 def ground_resolution(spark, sf_dir):
-    zooms = spark.range(10, 22).select(F.col("id").cast("int").alias("zoom"))
-    return zooms.select("zoom", F.round(mercator.resolution(F.col("zoom")), 8).alias("resolution_m"), F.round(mercator.ground_resolution_cm(F.col("zoom")), 2).alias("ground_cm"))
+    """Resolutions of the zooms that points are asked at."""
+    zooms = src.table(spark, sf_dir, "customer").groupBy((F.lit(10) + F.col("c_custkey") % 12).cast("int").alias("zoom")).agg(F.count("*").alias("points"))
+    return zooms.select("zoom", "points", F.round(mercator.resolution(F.col("zoom")), 8).alias("resolution_m"), F.round(mercator.ground_resolution_cm(F.col("zoom")), 2).alias("ground_cm"))
 
 
 @query(
@@ -127,21 +130,40 @@ def reproject_4326_3857(spark, sf_dir):
     return there.select("key", F.round("mx", 4).alias("mx"), F.round("my", 4).alias("my"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
+_F = "(1 / 298.257223563::double)"
+_N = f"({_F} / (2 - {_F}))"
+_BIG = f"(0.9996::double * 6378137.0::double / (1 + {_N}) * (1 + {_N} ** 2 / 4 + {_N} ** 4 / 64))"
+_SERIES = (f"({_N} / 2 - 2 * {_N} ** 2 / 3 + 5 * {_N} ** 3 / 16)", f"(13 * {_N} ** 2 / 48 - 3 * {_N} ** 3 / 5)", f"(61 * {_N} ** 3 / 240)")
+
+
+@query(
+    f"with p as (select c_custkey as \"key\", -126.0::double + (c_custkey * 7919 % 600) / 100.0::double lon, (c_custkey * 104729 % 8000) / 100.0::double lat, 2 * sqrt({_N}) / (1 + {_N}) k from customer), "
+    "t as (select *, sinh(atanh(sin(radians(lat))) - k * atanh(k * sin(radians(lat)))) t, radians(lon + 123) d from p), x as (select *, atan2(t, cos(d)) xi, atanh(sin(d) / sqrt(1 + t * t)) eta from t) "
+    f"select \"key\", round(500000 + {_BIG} * (eta + " + " + ".join(f"{c} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(_SERIES, 1)) + f"), 3) east, round({_BIG} * (xi + " + " + ".join(f"{c} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(_SERIES, 1)) + "), 3) north from x"
+)
+def reproject_utm(spark, sf_dir):
+    """Points of zone 10 north, from degrees; a point without a coordinate system would raise."""
+    key = F.col("c_custkey")
+    rows = src.table(spark, sf_dir, "customer").select(key.alias("key"), (F.lit(-126.0) + key * 7919 % 600 / F.lit(100.0)).alias("lon"), (key * 104729 % 8000 / F.lit(100.0)).alias("lat"), F.lit("EPSG:4326").alias("crs"))
+    east, north = mercator.reprojected(F.col("lon"), F.col("lat"), F.col("crs"), 32610)
+    return rows.select("key", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+
+
 @query(
     f"with e as {EXTENTS}, r as (select h, w, unnest(range(0, h, 256)) r from e), g as (select h, w, r, unnest(range(0, w, 256)) c from r union select h, w, h - 512, unnest(range(0, w, 256)) from e union select h, w, r, w - 512 from r union select h, w, h - 512, w - 512 from e) "
     "select h, w, count(*) origins, count(*) filter (r < 0 or c < 0) negative, min(r)::integer min_r, max(c)::integer max_c, sum(r * 31 + c)::bigint checksum from g group by 1, 2"
 )
 def origin_grid(spark, sf_dir):
-    found = grids.origins(extents(spark))
+    found = grids.origins(extents(spark, sf_dir))
     return found.groupBy("h", "w").agg(F.count("*").alias("origins"), F.count_if((F.col("r") < 0) | (F.col("c") < 0)).alias("negative"), F.min("r").alias("min_r"), F.max("c").alias("max_c"), F.sum((F.col("r") * 31 + F.col("c")).cast("long")).alias("checksum"))
 
 
 @query(
-    f"with e as (select h from {EXTENTS}), y as (select h, unnest(range(h)) y from e), k as (select h, y, unnest(range(0, (ceil(h / 2048.0::double))::bigint)) k from y) "
+    f"with e as (select distinct h from {EXTENTS}), y as (select h, unnest(range(h)) y from e), k as (select h, y, unnest(range(0, (ceil(h / 2048.0::double))::bigint)) k from y) "
     "select h, k::integer chunk, count(*) as \"rows\", min(y)::integer first_row, max(y)::integer last_row from k where y >= k * 2048 - 300 and y < (k + 1) * 2048 + 300 group by 1, 2",
 )
 def halo_chunks(spark, sf_dir):
-    rows = extents(spark).select("h", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    rows = extents(spark, sf_dir).select("h").distinct().select("h", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
     sent = rows.select("h", "y", F.explode(grids.chunks_of(F.col("y"), F.col("h"), 2048, 300)).alias("chunk"))
     return sent.groupBy("h", "chunk").agg(F.count("*").alias("rows"), F.min("y").alias("first_row"), F.max("y").alias("last_row"))
 
@@ -151,7 +173,7 @@ def halo_chunks(spark, sf_dir):
     "select h, (sum(n) - h)::bigint twice, 0::bigint twice_by_owner from s group by h"
 )
 def owner_rows(spark, sf_dir):
-    heights = extents(spark).select("h").distinct()
+    heights = extents(spark, sf_dir).select("h").distinct()
     old = grids.rows_owned_twice(heights, 2048, 300)
     rows = heights.select("h", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
     sent = rows.select("h", "y", F.explode(grids.chunks_of(F.col("y"), F.col("h"), 2048, 300)).alias("k")).where(F.col("k") == grids.owner(F.col("y"), 2048))
@@ -199,13 +221,31 @@ def union_area(spark, sf_dir):
     return vector.union_area(parts_.select("key", "part", moved.alias("ring")))
 
 
+@query(
+    "with t as materialized (select p_partkey \"key\", p_partkey % 97 site, (p_partkey * 7919 % 400) / 10.0::double x, (p_partkey * 104729 % 400) / 10.0::double y, p_size / 3.0::double w, (p_size % 7 + 1) / 1.7::double h from part), "
+    "e as materialized (select site, ax, ay, ux, uy, way from (select site, unnest([x, x + w, x]) ax, unnest([y, y + h / 3, y]) ay, unnest([x + w, x + w / 2, x + w / 2]) ux, unnest([y + h / 3, y + h, y + h]) uy, unnest([1, 1, -1]) way from t)), "
+    "cut as (select a.site, a.ay + (b.ax - a.ax + (a.ay - b.ay) * (b.ux - b.ax) / (b.uy - b.ay)) / ((a.ux - a.ax) / (a.uy - a.ay) - (b.ux - b.ax) / (b.uy - b.ay)) yy, greatest(a.ay, b.ay) l, least(a.uy, b.uy) hh from e a join e b on a.site = b.site and a.ay < b.uy and b.ay < a.uy and (a.ux - a.ax) / (a.uy - a.ay) <> (b.ux - b.ax) / (b.uy - b.ay)), "
+    "ys as (select site, ay yy from e union select site, uy from e union select site, yy from cut where yy > l and yy < hh), st as materialized (select site, yy s, lead(yy) over (partition by site order by yy) t from ys), "
+    "z as (select site, s, t, way, ax + ((s + t) / 2 - ay) * (ux - ax) / (uy - ay) x from st join e using (site) where ay <= s and uy >= t and t is not null), "
+    "o as (select *, sum(way) over w turns, lead(x) over (partition by site, s order by x) nx from z window w as (partition by site, s order by x rows unbounded preceding)) "
+    "select site, round(sum((nx - x) * (t - s)), 6) area from o where turns <> 0 and nx is not null group by site"
+)
+def covered_area(spark, sf_dir):
+    """What the triangles of a site cover together, wherever their corners lie."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    rows = src.table(spark, sf_dir, "part").select((key % 97).alias("site"), (key * 7919 % 400 / F.lit(10.0)).alias("x"), (key * 104729 % 400 / F.lit(10.0)).alias("y"), (size / F.lit(3.0)).alias("w"), ((size % 7 + 1) / F.lit(1.7)).alias("h"))
+    corner = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    ring = F.array(corner("x", "y"), corner("x + w", "y + h / 3"), corner("x + w / 2", "y + h"), corner("x", "y"))
+    return vector.covered_area(rows.select("site", ring.alias("ring")), "site", cell=16.0).select("site", F.round("area", 6).alias("area"))
+
+
 @query(
     f"with e as {EXTENTS}, r as (select h, w, unnest(range(0, h, 256)) r from e), g as (select h, w, r, unnest(range(0, w, 256)) c from r union select h, w, h - 512, unnest(range(0, w, 256)) from e union select h, w, r, w - 512 from r union select h, w, h - 512, w - 512 from e) "
     "select h, w, r::integer r, c::integer c from g where r >= 0 and c >= 0 and h < 3000"
 )
 def inner_origins(spark, sf_dir):
     """The origins within the smaller extents, in order of rows and columns."""
-    return grids.origins(extents(spark).where("h < 3000"), inside=True).orderBy("h", "w", "r", "c")
+    return grids.origins(extents(spark, sf_dir).where("h < 3000"), inside=True).orderBy("h", "w", "r", "c")
 
 
 @query(f"select py::integer r, px::integer c, max(\"key\") as \"key\" from (select *, unnest(range(floor(x0)::bigint, ceil(x0 + w)::bigint + 1)) px from (select *, unnest(range(floor(y0)::bigint, ceil(y0 + h)::bigint + 1)) py from (select \"key\", x0 % 40 x0, y0 % 40 y0, w, h from {PARTS}))) where px + 0.5::double > x0 and px + 0.5::double < x0 + w and py + 0.5::double > y0 and py + 0.5::double < y0 + h group by 1, 2")

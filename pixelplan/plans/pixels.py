@@ -123,16 +123,24 @@ def distance_transform(spark, sf_dir):
     return raster.distance_transform(src.masks(spark, sf_dir), "raster_id", "label").select("raster_id", "label", "r", "c", F.round("dtm", 6).alias("dtm"))
 
 
-@query(f"select raster_id, count(*) crown_pixels, round(min(dtm), 6) low, round(max(dtm), 6) high, round(count(*) * 100.0::double / 64, 6) coverage_pct from {_DTM} group by 1")
+@query(
+    f"select raster_id, coalesce(n, 0)::bigint crown_pixels, low, high, round(coalesce(n, 0) * 100.0::double / 64, 6) coverage_pct from (select distinct vec_id raster_id from embeddings) left join (select raster_id, count(*) n, round(min(dtm), 6) low, round(max(dtm), 6) high from {_DTM} where raster_id % 3 > 0 group by 1) using (raster_id)"
+)
 def dtm_coverage(spark, sf_dir):
-    return raster.coverage(raster.distance_transform(src.masks(spark, sf_dir), "raster_id", "label"), "raster_id", 64)
+    """Each third raster has no crown at all."""
+    masks = src.masks(spark, sf_dir).where("raster_id % 3 > 0")
+    every = src.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("raster_id"))
+    return raster.coverage(raster.distance_transform(masks, "raster_id", "label"), "raster_id", 64, every)
 
 
 @query(f"select raster_id, r, c, p.v rgb, round(coalesce(dtm, 0), 6) dtm from {PIXELS} p left join {_DTM} d using (raster_id, r, c)")
 def rgb_dtm_pair(spark, sf_dir):
+    """Images and their transforms pixel by pixel; images of another size than their transform's would raise."""
     rgb = src.pixels(spark, sf_dir)
     dtm = raster.distance_transform(src.masks(spark, sf_dir), "raster_id", "label").select("raster_id", "r", "c", "dtm")
-    return rgb.join(dtm, ["raster_id", "r", "c"], "left").select("raster_id", "r", "c", F.col("v").alias("rgb"), F.round(F.coalesce("dtm", F.lit(0.0)), 6).alias("dtm"))
+    sizes = src.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("raster_id"), F.expr("size(embedding) div 8").alias("h"), F.lit(8).alias("w"))
+    checked = raster.same_extent(sizes, sizes, "raster_id").where("h > 0").select("raster_id")
+    return rgb.join(checked, "raster_id", "left_semi").join(dtm, ["raster_id", "r", "c"], "left").select("raster_id", "r", "c", F.col("v").alias("rgb"), F.round(F.coalesce("dtm", F.lit(0.0)), 6).alias("dtm"))
 
 
 @query(f"select raster_id, (r // 3)::integer tile_r, (c // 3)::integer tile_c, round(count(*) filter (x > 0) / 9.0::double, 4) crown_frac, coalesce(round(avg(x) filter (x > 0), 2), 0.0::double) dtm_mean, coalesce(max(x) filter (x > 0), 0) dtm_max from (select *, case when v >= 120 then v else 0 end x from {PIXELS}) where r < 6 and c < 6 group by 1, 2, 3")

@@ -43,10 +43,10 @@ def loss_unpivot(spark, sf_dir):
     return training.unpivoted(histories, "first")
 
 
-@query("select range::integer epoch, round(1e-4::double * case when range < 5 then (range + 1) / 5.0::double else 1 end, 12) lr from range(100)")
+@query(f"select fold, epoch, round(1e-4::double * case when epoch <= 5 then epoch / 5.0::double else 1 end, 12) lr from {LOSSES}")
 def warmup_lr(spark, sf_dir):
-    epochs = spark.range(DEFAULTS["epochs"]).select(F.col("id").cast("int").alias("epoch"))
-    return epochs.select("epoch", F.round(training.warmup(F.col("epoch"), DEFAULTS["lr"], DEFAULTS["warmup_epochs"]), 12).alias("lr"))
+    """The rate of each epoch of each fold before any cut; histories count epochs from 1."""
+    return src.losses(spark, sf_dir).select("fold", "epoch", F.round(training.warmup(F.col("epoch") - 1, DEFAULTS["lr"], DEFAULTS["warmup_epochs"]), 12).alias("lr"))
 
 
 @query(
