@@ -173,18 +173,21 @@ def crossing(parts_: DataFrame, *keys: str) -> DataFrame:
 
 
 def inspect(parts_: DataFrame) -> DataFrame:
-    """Number of parts, those that cross themselves, and the range and median of their areas."""
+    """Number of parts, those that cross or touch themselves, and the range and median of their areas."""
+    from .repair import invalid
+
     rows = parts_.select(rings.area(F.col("ring")).alias("_area"))
     found = rows.agg(F.count("*").alias("parts"), F.min("_area").alias("low"), F.max("_area").alias("high"))
-    found = found.crossJoin(F.broadcast(crossing(parts_, "key", "part").agg(F.count("*").alias("invalid"))))
+    found = found.crossJoin(F.broadcast(invalid(parts_, "key", "part").agg(F.count("*").alias("invalid"))))
     return with_median(found, rows, "_area", name="mid").select("parts", "invalid", "low", "mid", "high")
 
 
 def cleaned(polygons: DataFrame, site: str, threshold: float) -> DataFrame:
-    """Polygons to crowns: parts as rows, empty and self-crossing ones and slivers left out, numbered within each site from 0."""
+    """Polygons to crowns: parts as rows, bad rings repaired, slivers left out, numbered within each site from 0."""
     from ..functions.crowns import size_class
+    from .repair import area, repaired
 
-    rows = polygons.select(site, "key", F.posexplode("parts").alias("part", "ring")).where(F.size("ring") > 0)
-    rows = rows.join(crossing(rows, "key", "part"), ["key", "part"], "left_anti").withColumn("area_m2", rings.area(F.col("ring"))).where(F.col("area_m2") >= threshold)
+    parts_ = polygons.select(site, "key", F.posexplode("parts").alias("part", "ring")).where(F.size("ring") > 0)
+    rows = repaired(parts_, "key", "part").withColumn("area_m2", area(F.col("rings"))).where(F.col("area_m2") >= threshold)
     number = F.col("number") - 1
-    return numbered_within(rows, [site], "key", "part").select(F.concat(F.col(site), F.lit("_"), number.cast("string")).alias("crown_id"), F.col(site).alias("site"), "area_m2", size_class(F.col("area_m2")).alias("size_class"), "ring")
+    return numbered_within(rows, [site], "key", "part", "piece").select(F.concat(F.col(site), F.lit("_"), number.cast("string")).alias("crown_id"), F.col(site).alias("site"), "area_m2", size_class(F.col("area_m2")).alias("size_class"), "rings")

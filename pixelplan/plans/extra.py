@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import augment, grids, vector
+from ..operators import augment, grids, repair, vector
 from ..registry import query
 from ..sources import projections as src
 from .maps import DOWNLOADS, PARTS
@@ -58,17 +58,27 @@ def pixel_subsample(spark, sf_dir):
     return ranked.where("rn <= 50").select("site_no", "raster_id", "r", "c", "v")
 
 
-@query(f"select count(*) parts, 0::bigint invalid, min(w * h) low, median(w * h) mid, max(w * h) high from {PARTS}")
+@query(f"select count(*) parts, count(*) filter (\"key\" % 4 in (1, 2)) invalid, min(a) low, median(a) mid, max(a) high from (select *, case when \"key\" % 4 = 1 then 0.0::double else w * h end a from {PARTS})")
 def inspect_polygons(spark, sf_dir):
-    return vector.inspect(vector.parts(src.polygons(spark, sf_dir)))
+    return vector.inspect(vector.parts(src.broken_polygons(spark, sf_dir)))
+
+
+_PIECES = f"(select \"key\", part, piece, case when \"key\" % 4 = 1 then w * h / 4 else w * h end area from {PARTS}, (select unnest([0, 1]) piece) where piece = 0 or \"key\" % 4 = 1)"
+
+
+@query(f"select \"key\", part, piece, round(area, 6) area from {_PIECES}")
+def repair_polygons(spark, sf_dir):
+    """Outlines that cross themselves become two, spikes and repeated points go."""
+    found = repair.repaired(vector.parts(src.broken_polygons(spark, sf_dir)), "key", "part")
+    return found.select("key", "part", "piece", F.round(repair.area(F.col("rings")), 6).alias("area"))
 
 
 @query(
-    f"select 'S' || (\"key\" % 4)::varchar || '_' || (row_number() over (partition by \"key\" % 4 order by \"key\", part) - 1)::varchar crown_id, 'S' || (\"key\" % 4)::varchar site, w * h area_m2, case when w * h <= 4.9 then 'small' when w * h <= 15.9 then 'medium' else 'large' end size_class from {PARTS} where w * h >= 3"
+    f"select 'S' || (\"key\" % 4)::varchar || '_' || (row_number() over (partition by \"key\" % 4 order by \"key\", part, piece) - 1)::varchar crown_id, 'S' || (\"key\" % 4)::varchar site, round(area, 6) area_m2, case when area <= 4.9 then 'small' when area <= 15.9 then 'medium' else 'large' end size_class from {_PIECES} where area >= 3"
 )
 def preprocess_crowns(spark, sf_dir):
-    polygons = src.polygons(spark, sf_dir).withColumn("site", F.concat(F.lit("S"), (F.col("key") % 4).cast("string")))
-    return vector.cleaned(polygons, "site", 3.0).drop("ring")
+    polygons = src.broken_polygons(spark, sf_dir).withColumn("site", F.concat(F.lit("S"), (F.col("key") % 4).cast("string")))
+    return vector.cleaned(polygons, "site", 3.0).drop("rings").withColumn("area_m2", F.round("area_m2", 6))
 
 
 @query(f"select id, col, ((row_number() over (partition by col order by id) - 1) // 20)::integer batch from {DOWNLOADS}")

@@ -99,3 +99,19 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     one, two = ring(F.col("x0")), ring(F.col("x0") + 60)
     return rows.select("key", F.when(F.col("p_size") % 5 == 0, F.array(one, two)).otherwise(F.array(one)).alias("parts"))
+
+
+def broken_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """polygons() of which a quarter each cross themselves in the middle, have a spike, and have points twice; a quarter is left."""
+    rows = polygons(spark, sf_dir)
+
+    def broken(ring: Column) -> Column:
+        p = [F.get(ring, F.lit(k)) for k in range(4)]
+        spike = F.struct((p[2]["x"] + 5).alias("x"), p[2]["y"].alias("y"))
+        kinds = ([p[0], p[2], p[1], p[3], p[0]], [p[0], p[1], p[2], spike, p[2], p[3], p[0]], [p[0], p[0], p[1], p[2], p[2], p[2], p[3], p[0]])
+        out = ring
+        for k, points in enumerate(kinds, 1):
+            out = F.when(F.col("key") % 4 == k, F.array(*points)).otherwise(out)
+        return out
+
+    return rows.withColumn("parts", F.transform("parts", broken))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelplan.functions import mercator
-from pixelplan.operators import raster, vector
+from pixelplan.operators import raster, repair, vector
 
 RINGS = "key int, part int, ring array<struct<x: double, y: double>>"
 
@@ -76,3 +76,43 @@ def test_sizes_must_agree_and_bare_rasters_count(spark):
     dtm = spark.createDataFrame([(1, 50.0), (1, 0.0)], "k int, dtm double")
     got = {x.k: (x.crown_pixels, x.low, x.coverage_pct) for x in raster.coverage(dtm, "k", 4, a).collect()}
     assert got == {1: (1, 50.0, 25.0), 2: (0, None, 0.0)}
+
+
+def turns(ring, x, y):
+    n = 0
+    for (px, py), (qx, qy) in zip(ring, ring[1:], strict=False):
+        if (py > y) != (qy > y) and x < (qx - px) * (y - py) / (qy - py) + px:
+            n += 1 if qy > py else -1
+    return n
+
+
+def test_repaired_rings_hold_what_they_turn_around():
+    r = random.Random(7)
+    for k in range(120):
+        grid = k % 2
+        ring = [(r.randint(0, 6), r.randint(0, 6)) if grid else (r.uniform(0, 6), r.uniform(0, 6)) for _ in range(r.randint(3, 9))]
+        ring.append(ring[0])
+        polygons = repair.polygons_of(ring)
+        for _ in range(200):
+            x, y = r.uniform(0, 6), r.uniform(0, 6)
+            held = sum(inside(p[0], x, y) and not any(inside(h, x, y) for h in p[1:]) for p in polygons)
+            assert held == (turns(ring, x, y) != 0), (ring, x, y)
+        for polygon in polygons:
+            for own in polygon:
+                assert own[0] == own[-1] and all(repair.polygons_of(own[:1] + own[1:])) and len({*own[:-1]}) == len(own) - 1
+
+
+def test_bow_tie_spike_repeated_points_and_holes(spark):
+    tie = [(0, 0), (4, 4), (4, 0), (0, 4), (0, 0)]
+    spike = [(0, 0), (4, 0), (4, 4), (9, 4), (4, 4), (0, 4), (0, 0)]
+    twice = [(0, 0), (0, 0), (4, 0), (4, 4), (4, 4), (0, 4), (0, 0)]
+    round_ = [(0, 0), (6, 0), (6, 6), (0, 6), (0, 0), (2, 2), (2, 4), (4, 4), (4, 2), (2, 2), (0, 0)]  # goes around a hole
+    flat = [(0, 0), (3, 0), (0, 0), (3, 0), (0, 0)]
+    rows = [(k, 0, ring) for k, ring in enumerate((tie, spike, twice, round_, flat, [(0, 0), (3, 0), (0, 3), (0, 0)]))]
+    df = table(spark, rows)
+    assert sorted(x.key for x in repair.invalid(df, "key").collect()) == [0, 1, 3, 4]
+    got = {}
+    for x in repair.repaired(df, "key", "part").withColumn("area", repair.area(F.col("rings"))).collect():
+        got.setdefault(x.key, []).append((x.piece, round(x.area, 9), len(x.rings)))
+    assert {k: sorted(v) for k, v in got.items()} == {0: [(0, 4, 1), (1, 4, 1)], 1: [(0, 16, 1)], 2: [(0, 16, 1)], 3: [(0, 32, 2)], 5: [(0, 4.5, 1)]}
+    assert repair.polygons_of([]) == repair.polygons_of([(1, 1)]) == []
