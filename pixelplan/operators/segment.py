@@ -309,3 +309,27 @@ def rings(edges: DataFrame, key: str) -> DataFrame:
 
     kind = edges.schema[key].dataType.simpleString()
     return edges.groupBy(key, "label").applyInPandas(stitch, f"{key} {kind}, label int, ring int, points array<struct<x: double, y: double>>")
+
+
+def outlines(rings_: DataFrame, key: str) -> DataFrame:
+    """One value a label of rings(): polygons, each an outline and its holes, by their first corners.
+
+    A ring's direction tells whether it is an outline or a hole. A hole belongs to the smallest outline of its label whose box
+    holds its box and that holds its first side's pixel; boxes are compared first, and labels without holes are not joined.
+    """
+    from ..functions import rings as ring
+
+    points, sized = F.col("points"), ring.signed_area(F.col("points"))
+    placed = rings_.select(key, "label", "points", sized.alias("_size"), *ring.bounds(points))
+    outer = placed.where("_size > 0").withColumn("_shell", F.monotonically_increasing_id())
+    outer = kept(outer)
+    first, second = F.get("points", F.lit(0)), F.get("points", F.lit(1))
+    # The pixel on the right of a hole's first side is the label's: its middle lies in the outline.
+    side = F.struct((second["x"] - first["x"]).alias("x"), (second["y"] - first["y"]).alias("y"))
+    holes = placed.where("_size < 0").withColumn("_s", side).withColumns({"_x": (first["x"] + second["x"]) / 2 - F.col("_s.y") / 2, "_y": (first["y"] + second["y"]) / 2 + F.col("_s.x") / 2})
+    holes = holes.select(key, "label", F.col("points").alias("hole"), "_x", "_y", *(F.col(c).alias(f"h_{c}") for c in ("min_x", "max_x", "min_y", "max_y"))).withColumn("_hole", F.monotonically_increasing_id())
+    near = F.expr("min_x <= h_min_x and max_x >= h_max_x and min_y <= h_min_y and max_y >= h_max_y")
+    found = kept(holes).join(outer, [key, "label"]).where(near).where(ring.contains(points, F.col("_x"), F.col("_y")))
+    own = found.groupBy("_hole").agg(F.min_by("_shell", "_size").alias("_shell"), F.first("hole").alias("hole")).groupBy("_shell").agg(F.array_sort(F.collect_list("hole")).alias("holes"))
+    whole = outer.join(own, "_shell", "left").select(key, "label", F.concat(F.array("points"), F.coalesce("holes", F.array().cast(placed.schema["points"].dataType.simpleString().join(("array<", ">"))))).alias("polygon"))
+    return whole.groupBy(key, "label").agg(F.array_sort(F.collect_list("polygon")).alias("polygons"))

@@ -379,6 +379,26 @@ def label_rings(spark, sf_dir):
     return segment.rings(raster.label_edges(src.masks(spark, sf_dir), "raster_id"), "raster_id")
 
 
+@query(
+    f"with recursive m as materialized (select raster_id, \"label\", r, c, r * 8 + c id from {MASKS}), e as materialized (select a.raster_id, a.\"label\", a.id a, b.id b from m a join m b using (raster_id, \"label\") where abs(a.r - b.r) + abs(a.c - b.c) = 1), "
+    "w as (select raster_id, \"label\", id, id root from m union select w.raster_id, w.\"label\", e.b, w.root from w join e on w.raster_id = e.raster_id and w.\"label\" = e.\"label\" and w.id = e.a), "
+    "p as (select raster_id, \"label\", count(distinct root) parts, count(*) area from (select raster_id, \"label\", id, min(root) root from w group by all) group by 1, 2), "
+    "pairs as (select raster_id, \"label\", count(*) // 2 n from e group by 1, 2), "
+    "squares as (select raster_id, \"label\", count(*) n from (select m.raster_id, m.\"label\", r + dy y, c + dx x from m, (values (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx) group by all having count(*) = 4) group by 1, 2) "
+    "select raster_id, \"label\", parts, parts - (area - coalesce(pairs.n, 0) + coalesce(squares.n, 0)) holes, area::double area from p left join pairs using (raster_id, \"label\") left join squares using (raster_id, \"label\")"
+)
+def label_outlines(spark, sf_dir):
+    """A label's parts and their holes as one value, written as binary and read back."""
+    from ..operators import repair
+    from ..sources import files
+
+    found = segment.outlines(segment.rings(raster.label_edges(src.masks(spark, sf_dir), "raster_id"), "raster_id"), "raster_id")
+    back = found.select("raster_id", "label", files.from_wkb_many(files.to_wkb_many(F.col("polygons"))).alias("polygons"))
+    holes = F.aggregate(F.transform("polygons", lambda p: F.size(p) - 1), F.lit(0), lambda a, b: a + b)
+    area = F.aggregate(F.transform("polygons", repair.area), F.lit(0.0), lambda a, b: a + b)
+    return back.select("raster_id", "label", F.size("polygons").cast("long").alias("parts"), holes.cast("long").alias("holes"), area.alias("area"))
+
+
 @query("select * from (select vec_id raster_id, (pos // 8)::integer r, (pos % 8)::integer c, round(greatest(0::float, least(100::float, (p::float + 0.5::float) * 100::float))::double, 4) v from (select vec_id, unnest(range(64)) pos, unnest(embedding) p from embeddings)) where r between 2 and 5 and c between 2 and 5")
 def predict_tiles(spark, sf_dir):
     from ..operators.predict import predict_chips

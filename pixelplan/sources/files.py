@@ -111,6 +111,8 @@ def read_settings(path: str | None) -> dict:
         return merged(json.loads(text))
     user = {}
     for line in text.splitlines():
+        if re.match(r"\s+\S|-\s", line) and not line.lstrip().startswith("#"):
+            raise ValueError(f"{path}: nested values need a JSON file: {line.strip()}")
         key, colon, value = line.partition(":")
         if colon and not line.lstrip().startswith("#"):
             value = re.sub(r"\s+#.*$", "", value).strip()
@@ -165,6 +167,59 @@ def from_wkb(value: Column) -> Column:
     return unpack(value)
 
 
+def to_wkb_many(polygons: Column) -> Column:
+    """An array of polygons, each an array of rings, as the well-known binary form of a multi-polygon; null stays null."""
+
+    @F.arrow_udf("binary")
+    def pack(column: pa.Array) -> pa.Array:
+        def one(parts):
+            if parts is None:
+                return None
+            out = struct.pack("<BII", 1, 6, len(parts))
+            for rings in parts:
+                out += struct.pack("<BII", 1, 3, len(rings))
+                for ring in rings:
+                    out += struct.pack("<I", len(ring)) + np.array([(p["x"], p["y"]) for p in ring], "<f8").reshape(-1, 2).tobytes()
+            return out
+
+        return pa.array([one(parts) for parts in column.to_pylist()], pa.binary())
+
+    return pack(polygons)
+
+
+def from_wkb_many(value: Column) -> Column:
+    """The polygons of a polygon or multi-polygon in the well-known binary form; null for null and for other shapes."""
+
+    @F.pandas_udf(f"array<array<{_POINTS}>>")
+    def unpack(column: pd.Series) -> pd.Series:
+        def polygon(raw, at):
+            order = "<" if raw[at] else ">"
+            (n,), at, out = struct.unpack_from(order + "I", raw, at + 5), at + 9, []
+            for _ in range(n):
+                (many,) = struct.unpack_from(order + "I", raw, at)
+                out.append([{"x": float(x), "y": float(y)} for x, y in np.frombuffer(raw, order + "f8", 2 * many, at + 4).reshape(-1, 2)])
+                at += 4 + 16 * many
+            return out, at
+
+        def one(raw):
+            if raw is None or len(raw) < 9:
+                return None
+            kind, n = struct.unpack_from(("<" if raw[0] else ">") + "II", raw, 1)
+            if kind == 3:
+                return [polygon(raw, 0)[0]]
+            if kind != 6:
+                return None
+            out, at = [], 9
+            for _ in range(n):
+                part, at = polygon(raw, at)
+                out.append(part)
+            return out
+
+        return column.map(one)
+
+    return unpack(value)
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A delimited file with a header, as the stated schema."""
     return spark.read.schema(schema).option("header", True).csv(path)
