@@ -33,19 +33,24 @@ ENDS = {
     "tfoot": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}),
 }
 #: Elements that never hold an article's text.
-DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video map nav aside footer form button select input textarea label fieldset dialog menu title".split())
+DROPPED = frozenset("head script style noscript template iframe object embed svg canvas audio video map nav aside footer form button select input textarea label fieldset dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
-#: Words of class and id names that mark what surrounds an article, alone or as a part of a name.
+#: Words of class and id names that mark what surrounds an article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adslot adsbygoogle breadcrumb breadcrumbs comments commentlist consent cookie cookies disqus gdpr masthead menu menus nav navbar navigation newsletter pager pagination paywall popup promo promoted sidebar sidebars signup sponsored subscribe toolbar".split())
-#: Words that mark so as a whole name; as a part of a name only with links or controls as evidence.
-UNSURE = frozenset("banner banners comment footer header modal notice notices notification promotion recommended related reply respond share sharing skip social sponsor widget widgets".split())
+#: Words that mark so as a whole name, or with words that only say where and how large a box is.
+UNSURE = frozenset("banner banners comment footer header modal notice notices notification promotion recommended related replies reply respond responses share sharing skip social sponsor widget widgets".split())
+#: Words that say where and how large a box is, or what kind of rows it has; a name of other words casts a doubt only.
+PLACES = frozenset("area bar block body bottom box buttons col column container fixed global group holder inner item items left legal link links list main outer page panel primary reader right row secondary section site slot sticky thread top unit user wrap wrapper".split())
+#: What a mark of the first kind may belong to; an article's own header or footer is not told by these.
+OWNERS = frozenset("article blog content entry post story".split())
 #: Elements that a doubtful word can mark, and those that no class or id marks.
 CONTAINERS = frozenset("address center details div dl fieldset figure hgroup ol section table ul".split())
 CONTROLS = frozenset("form button input select textarea".split())
 KEPT = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2".split())
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BETWEEN = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -86,9 +91,10 @@ def _marked(tag: str, raw: str, inside_article: bool) -> tuple[bool, bool, bool]
     if tag not in CONTAINERS:
         named = not MARKS.isdisjoint(whole)
         return named, named, False
-    parts = {x for name in names for x in _BETWEEN.split(_CAMEL.sub(" ", name).lower())}
-    named = not MARKS.isdisjoint(parts) or not UNSURE.isdisjoint(whole)
-    return named, named, not named and not UNSURE.isdisjoint(parts)
+    words = [{x for x in _BETWEEN.split(_CAMEL.sub(" ", name).lower()) if x and not x.isdigit()} for name in names]
+    telling = [w for w in words if not w.isdisjoint(MARKS | UNSURE)]
+    named = not whole.isdisjoint(MARKS | UNSURE) or any(w <= MARKS | UNSURE | PLACES | (frozenset() if w.isdisjoint(MARKS) else OWNERS) for w in telling)
+    return named, named, not named and bool(telling)
 
 
 def parse(page: str) -> Node:
@@ -114,8 +120,6 @@ def parse(page: str) -> Node:
             break
         at, name = m.end(), m[2]
         if not name:
-            if m[0].startswith("<![CDATA["):
-                now.parts.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = name.lower()
         if m[1]:
@@ -259,8 +263,18 @@ def select(root: Node) -> tuple[Node | None, float]:
 
 
 def _menu(node: Node, threshold: float) -> bool:
-    """A list of links within the article: links only, several of them, and thinner than the threshold."""
-    return node.tag in ("ul", "ol", "div", "section", "table", "p") and node.link_tags >= 3 and node.link_chars >= 0.8 * node.chars and node.density < threshold
+    """A list of links within the article: links only, several of them, thinner than the threshold, and not under a heading, as sources are."""
+    if node.tag not in ("ul", "ol", "div", "section", "table") or node.link_tags < 3 or node.link_chars < 0.8 * node.chars or node.density >= threshold:
+        return False
+    before = None
+    for x in node.parent.parts:
+        if x is node:
+            break
+        if isinstance(x, str):
+            before = x if x.strip() else before
+        elif not x.dropped:
+            before = x
+    return not (isinstance(before, Node) and before.tag in TITLES and before.chars)
 
 
 def blocks(node: Node, threshold: float) -> list[str]:

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from pixelplan.llm import html
+from pixelplan.llm.html import main_text
 
 ARTICLE = ["A title", "First paragraph with a link, some words and more words & signs.", "Tiny.", "Second block goes on over lines with emphasis.", "item one", "item two", "quoted text of some length, no more than that", "cell a", "cell b", "Last words"]
 INNER = """<h1>A title</h1><p>First paragraph with <a href="/x">a link</a>, some words
@@ -140,7 +141,7 @@ def test_references_end_with_their_text_and_quotes_with_their_tag():
     assert html.main_text("<p>&not<b>in;</b> &am<i>p;</i></p>") == "\u00acin; &amp;"
     assert html.main_text('<p class="x>bad') == "bad"
     assert html.main_text("<p>one</p><p title='a>b' class=\"x>two</p><p>three</p>") == "one\ntwo\nthree"
-    assert html.main_text("<p>a <![CDATA[&amp;]]> b") == "a &amp; b"
+    assert html.main_text("<p>a <![CDATA[&amp;]]> b") == "a b"  # a comment, as HTML reads it
 
 
 def test_rows(spark):
@@ -148,3 +149,30 @@ def test_rows(spark):
     got = html.extract(pages).collect()
     assert sorted((r.page_id or 0, r.url or "", r.n_chars) for r in got) == [(0, "u", 250001), (1, "u", len("\n".join(ARTICLE))), (1, "u", len("\n".join(ARTICLE))), (2, "", 0), (3, "u", 0)]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+LONG = "The old mill stood by the river for three hundred years, and every spring the water rose to its second step without harm. "
+
+
+def test_names_that_only_look_like_marks_and_marks_in_compounds():
+    kept = "<div class='ad-hoc-group'><p>A group met once.</p></div><div class='lunch-menu-text'><p>Soup and bread were served.</p></div><p>Energy is <math><mi>E</mi></math> here.</p>"
+    gone = "<div class='comment-body'><p>Nice read!</p></div><div class='legal-notice'><p>All rights reserved.</p></div><div class='share-bar'>Share this</div><![CDATA[hidden words]]>"
+    page = f"<html><body><div id='story'><h1>The mill</h1><p>{LONG * 4}</p>{kept}<p>{LONG * 4}</p>{gone}</div><div class='responses'><p>I was there too.</p></div></body></html>"
+    text = main_text(page)
+    assert all(x in text for x in ("A group met once.", "Soup and bread were served.", "Energy is E here.", "The mill"))
+    assert not any(x in text for x in ("Nice read!", "All rights", "Share this", "hidden words", "I was there"))
+
+
+def test_sources_under_a_heading_and_paragraphs_of_links_stay():
+    links = "".join(f"<li><a href='/{k}'>Source number {k}</a></li>" for k in range(5))
+    menu = "".join(f"<li><a href='/m{k}'>Go {k}</a></li>" for k in range(6))
+    page = f"<html><body><article><h1>T</h1><p>{LONG * 5}</p><ul>{menu}</ul><p>{LONG * 5}</p><p><a>Alpha</a>, <a>Beta</a>, <a>Gamma</a></p><h2>Sources</h2><ul>{links}</ul></article></body></html>"
+    lines = main_text(page).split("\n")
+    assert "Alpha, Beta, Gamma" in lines and lines[-6:] == ["Sources", *(f"Source number {k}" for k in range(5))] and "Go 1" not in lines
+
+
+def test_deep_and_very_long_pages():
+    deep = "<div>" * 3000 + f"<p>{LONG * 3}</p>" + "</div>" * 3000
+    assert main_text(f"<body>{deep}</body>") == (LONG * 3).strip()
+    long_ = "".join(f"<p>{LONG}{k}.</p>" for k in range(4000))
+    assert len(main_text(f"<body><article>{long_}</article></body>").split("\n")) == 4000
