@@ -110,16 +110,17 @@ def cluster(points: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learns from the rows of labelled that have a label and a text with a letter.
 
-    Of each label about `sample` rows are used, or all if it has fewer: those with the lowest hashes of id and
-    text, in proportion to the label's rows, so a label with many rows is no larger group. What comes back to
-    the driver are the centroids, one array of 8192 numbers each.
+    Of each label the texts of about `sample` rows are used, or all if it has fewer: those with the lowest hashes of the
+    text, in proportion to the label's rows, so a label with many rows is no larger group; a text that repeats under a
+    label is taken once. Nothing but text and label has a say. What comes back to the driver are the centroids, one
+    array of 8192 numbers each.
     """
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(id_col, text), F.lit(1 << 30)).alias("draw"))
+    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 30)).alias("draw"), F.xxhash64(F.lit("b"), text).alias("other"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64), np.zeros(0))
     shares = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, sample / n) * (1 << 30))))])
-    drawn = rows.where(F.col("draw") < F.element_at(shares, F.col("label")))
+    drawn = rows.where(F.col("draw") < F.element_at(shares, F.col("label"))).groupBy("label", "draw", "other").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -204,7 +205,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
 
 
 def held_out(id_col: str = "doc_id"):
-    """Rows that nothing is learned from."""
+    """Rows that nothing is learned from. A row without an id is not one of them, as it has no checksum."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
