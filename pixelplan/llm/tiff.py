@@ -17,6 +17,9 @@ from .text import slices
 # Fixed values of the TIFF 6.0 format: tags, field types with their sizes, and compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
+FILL_ORDER, FORMAT = 266, 339
+#: Bytes with their bits the other way round, as fill order 2 stores them.
+_MIRRORED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
@@ -170,6 +173,9 @@ def samples(raw: bytes, fields: dict[int, tuple]) -> np.ndarray:
     if depth not in (8, 16):
         raise ValueError(f"{depth} bits a sample are not handled")
     kind = np.dtype(np.uint8 if depth == 8 else one(0, "<") + "u2")
+    predictor, fill = one(PREDICTOR, 1), one(FILL_ORDER, 1)
+    if predictor not in (1, 2) or fill not in (1, 2) or one(FORMAT, 1) == 3:
+        raise ValueError(f"predictor {predictor}, fill order {fill} and sample format {one(FORMAT, 1)} are not handled together")
     planes = many if one(PLANAR, 1) == 2 else 1
     inner = many // planes
     out = np.zeros((planes, height, width, inner), kind)
@@ -181,8 +187,10 @@ def samples(raw: bytes, fields: dict[int, tuple]) -> np.ndarray:
         plane, rest = divmod(k, across * down)
         y, x = rest // across * h, rest % across * w
         rows = h if tiled else min(h, height - y)
-        block = np.frombuffer(unpack(raw[at : at + size], one(COMPRESSION, NONE)), kind, rows * w * inner).reshape(rows, w, inner)
-        if one(PREDICTOR, 1) == 2:
+        stored = raw[at : at + size] if fill == 1 else bytes(raw[at : at + size]).translate(_MIRRORED)
+        stored = unpack(stored, one(COMPRESSION, NONE))
+        block = np.frombuffer(stored, kind, rows * w * inner).reshape(rows, w, inner)
+        if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
         out[plane, y : y + rows, x : x + w] = block[: height - y, : width - x]
     return np.concatenate(list(out), axis=-1) if planes > 1 else out[0]

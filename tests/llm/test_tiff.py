@@ -100,3 +100,25 @@ def test_texts(spark):
         assert x.media_bytes == len(tiff.layout(raw)) and x.media_sha256 == hashlib.sha256(tiff.layout(raw)).hexdigest()
     assert got[len(texts)][1:] == got[len(texts) - 1][1:]
     assert tiff.stored_texts(tiff.texts_as_tiff(docs.limit(0))).count() == 0
+
+
+def with_tag(raw, tag, value):
+    """The same one-page file whose predictor entry is another tag of one short."""
+    import struct
+
+    at = struct.unpack_from("<I", raw, 4)[0]
+    for k in range(struct.unpack_from("<H", raw, at)[0]):
+        if struct.unpack_from("<H", raw, at + 2 + 12 * k)[0] == tiff.PREDICTOR:
+            return raw[: at + 2 + 12 * k] + struct.pack("<HHIHH", tag, 3, 1, value, 0) + raw[at + 14 + 12 * k :]
+    raise AssertionError
+
+
+def test_fill_order_is_undone_and_other_predictors_are_refused():
+    image = np.arange(48, dtype=np.uint8).reshape(6, 8)
+    raw = tiff.write([image], tiff.NONE, 1)
+    (page,) = tiff.pages(with_tag(raw, tiff.FILL_ORDER, 2))
+    assert tiff.samples(raw, page).ravel().tolist() == [int(f"{x:08b}"[::-1], 2) for x in range(48)]
+    for tag, value in ((tiff.PREDICTOR, 3), (tiff.FORMAT, 3), (tiff.FILL_ORDER, 7)):
+        (page,) = tiff.pages(with_tag(raw, tag, value))
+        with pytest.raises(ValueError, match="not handled"):
+            tiff.samples(raw, page)
