@@ -24,4 +24,4 @@ def query(oracle: str | None = None):
 
 def load() -> None:
     """Registers the queries of all modules of plans."""
-    from .plans import crowns, extra, maps, pixels, training  # noqa: F401
+    from .plans import crowns, extra, maps, pixels, stores, training  # noqa: F401
