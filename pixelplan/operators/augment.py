@@ -75,3 +75,95 @@ def moved(pixels: DataFrame, key: str, n: int, degrees: float = 0.0, scale: floa
     values = [c for c in pixels.columns if c not in ("r", "c")]
     from_ = pixels.select(*values, F.col("r").alias("_r"), F.col("c").alias("_c"))
     return from_.join(F.broadcast(places), ["_r", "_c"]).select(*values, "r", "c")
+
+
+# The multiplier and the modulus of a linear congruential generator.
+_MULTIPLIER, _MODULUS = 48271, 2147483647
+
+
+def drawn(key: Column, place: Column, seed: int) -> Column:
+    """A number of -1 to 1 that depends on the key, the place and the seed alone."""
+    first = F.pmod(F.pmod(key.cast("long"), F.lit(_MODULUS)) * _MULTIPLIER + F.lit(seed * 40503), F.lit(_MODULUS))
+    second = F.pmod(first * _MULTIPLIER + place.cast("long") + 1, F.lit(_MODULUS))
+    return F.pmod(second * _MULTIPLIER, F.lit(_MODULUS)) / F.lit(float(_MODULUS)) * 2 - 1
+
+
+def _mirrored(i: Column, n: int) -> Column:
+    """The place of 0 to n - 1 that any place shows, mirrored at both ends as often as needed."""
+    turn = F.pmod(i, F.lit(max(1, 2 * (n - 1))))
+    return F.least(turn, F.lit(2 * (n - 1)) - turn).cast("int")
+
+
+def gathered(pixels: DataFrame, sources: DataFrame, key: str, n: int) -> DataFrame:
+    """key, r, c, v: for each of sources (key, r, c, y, x) the value of chips of n x n at (y, x), weighed from the four pixels around.
+
+    The four places and their weights are rows that meet the pixels by equality; places outside are mirrored.
+    """
+    y0, x0 = F.floor("y"), F.floor("x")
+    down, right = F.col("y") - y0, F.col("x") - x0
+    four = [(y0 + a, x0 + b, (down if a else 1 - down) * (right if b else 1 - right)) for a in (0, 1) for b in (0, 1)]
+    near = F.explode(F.array(*(F.struct(_mirrored(y, n).alias("r"), _mirrored(x, n).alias("c"), w.alias("w")) for y, x, w in four)))
+    sent = sources.select(key, F.col("r").alias("_r"), F.col("c").alias("_c"), near.alias("p")).select(key, "_r", "_c", "p.*").where("w > 0")
+    found = sent.join(pixels.select(key, "r", "c", "v"), [key, "r", "c"])
+    return found.groupBy(key, F.col("_r").alias("r"), F.col("_c").alias("c")).agg(F.floor(F.sum(F.col("v") * F.col("w")) + F.lit(0.5)).cast("int").alias("v"))
+
+
+def _every_place(pixels: DataFrame, key: str, n: int) -> DataFrame:
+    place = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("_at")
+    return pixels.select(key).distinct().select(key, place).select(key, F.expr(f"cast(_at div {n} as int)").alias("r"), (F.col("_at") % n).cast("int").alias("c"), "_at")
+
+
+def elastic(pixels: DataFrame, key: str, n: int, alpha: float = 50.0, sigma: float = 5.0, seed: int = 42) -> DataFrame:
+    """Chips of n x n bent by a smooth random field: each place takes the value at its own place plus alpha times the field.
+
+    The field is drawn for each chip and place and smoothed by a Gaussian of sigma, along rows and then along columns, with
+    mirrored borders. Each number is sent to the places around it with its weight, and sums combine before the shuffle.
+    """
+    import math
+
+    reach = max(1, int(3 * sigma + 0.5))
+    weights = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
+    weights = [w / sum(weights) for w in weights]
+    places = _every_place(pixels, key, n).withColumns({"y": drawn(F.col(key), F.col("_at"), seed), "x": drawn(F.col(key), F.col("_at"), seed + 1)})
+
+    def smoothed(rows: DataFrame, along: str) -> DataFrame:
+        # A place mirrored into the kernel's reach adds to the weight of its image.
+        kernel = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in zip(range(-reach, reach + 1), weights, strict=True)))
+        table = [[0.0] * n for _ in range(n)]
+        for to in range(n):
+            for d, w in zip(range(-reach, reach + 1), weights, strict=True):
+                turn = (to + d) % max(1, 2 * (n - 1))
+                table[min(turn, 2 * (n - 1) - turn)][to] += w
+        if n <= 64:
+            sent = F.explode(F.get(F.array(*(F.array(*(F.struct(F.lit(to).alias("to"), F.lit(w).alias("w")) for to, w in enumerate(row) if w)) for row in table)), F.col(along)))
+            moved_ = rows.select(key, "r", "c", "y", "x", sent.alias("k")).withColumn(along, F.col("k.to"))
+        else:
+            # Large chips: a place and its images within reach of an edge, each sent along the kernel.
+            at = F.col(along)
+            shown = F.filter(F.array(at, F.when((at > 0) & (at <= reach), -at), F.when((at < n - 1) & (at >= n - 1 - reach), 2 * (n - 1) - at)), lambda i: i.isNotNull())
+            moved_ = rows.select(key, "r", "c", "y", "x", F.explode(shown).alias("_i")).select("*", F.explode(kernel).alias("k")).withColumn(along, F.col("_i") + F.col("k.d")).where(F.col(along).between(0, n - 1))
+        return moved_.groupBy(key, "r", "c").agg(F.sum(F.col("y") * F.col("k.w")).alias("y"), F.sum(F.col("x") * F.col("k.w")).alias("x"))
+
+    field = smoothed(smoothed(places.select(key, "r", "c", "y", "x"), "c"), "r")
+    return gathered(pixels, field.select(key, "r", "c", (F.col("r") + F.col("y") * F.lit(alpha)).alias("y"), (F.col("c") + F.col("x") * F.lit(alpha)).alias("x")), key, n)
+
+
+def grid_distorted(pixels: DataFrame, key: str, n: int, steps: int = 5, limit: float = 0.3, seed: int = 42) -> DataFrame:
+    """Chips of n x n whose rows and columns are stretched and squeezed in steps: n // steps pixels each, by factors of 1 - limit to 1 + limit.
+
+    Within a step places are spread evenly from where the step before ended to where it ends; a step that is cut off
+    by the far edge ends there.
+    """
+    size = n // steps
+    cells = -(-n // size)
+
+    def along(at: Column, which: int) -> Column:
+        factors = F.array(*(1 + F.lit(limit) * drawn(F.col(key), F.lit(k), seed + 2 + which) for k in range(cells)))
+        cell = F.floor(at / F.lit(size)).cast("int")
+        begin = F.aggregate(F.slice(factors, F.lit(1), cell), F.lit(0.0), lambda s, f: s + f * size)
+        whole = (cell + 1) * size <= n
+        end, count = F.when(whole, begin + F.get(factors, cell) * size).otherwise(F.lit(float(n))), F.when(whole, F.lit(size)).otherwise(F.lit(n) - cell * size)
+        return F.when(count > 1, begin + (end - begin) * (at - cell * size) / (count - 1)).otherwise(begin)
+
+    places = _every_place(pixels, key, n)
+    return gathered(pixels, places.select(key, "r", "c", along(F.col("r"), 0).alias("y"), along(F.col("c"), 1).alias("x")), key, n)

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import augment, grids, repair, vector
+from ..storage import folder
+from ..streaming import retries
 from ..registry import query
 from ..sources import projections as src
 from .maps import DOWNLOADS, PARTS
@@ -92,3 +94,67 @@ def parameter_count(spark, sf_dir):
     shape = F.array(F.col("p_size").cast("int"), (F.col("p_size") % 7 + 1).cast("int"), F.lit(7), F.lit(7))
     rows = src.table(spark, sf_dir, "part").select(F.col("p_type").alias("group"), F.aggregate(shape, F.lit(1).cast("long"), lambda n, x: n * x).alias("numel"))
     return rows.groupBy("group").agg(F.count("*").alias("tensors"), F.sum("numel").alias("numel"))
+
+
+_DRAW = "(({h} * 48271 + {place} + 1) % 2147483647 * 48271 % 2147483647 / 2147483647.0::double * 2 - 1)"
+_HASH = "((raster_id % 2147483647 * 48271 + {seed} * 40503) % 2147483647)"
+
+
+def _draw(place: str, seed: int) -> str:
+    return _DRAW.format(h=_HASH.format(seed=seed), place=place)
+
+
+def _show(i: str) -> str:
+    return f"least((({i}) % 14 + 14) % 14, 14 - (({i}) % 14 + 14) % 14)"
+
+
+def _bilinear(sources: str) -> str:
+    """SQL for the values of chips of 8 x 8 at sources (raster_id, r, c, y, x)."""
+    return (
+        f"select raster_id, r, c, floor(sum(v * w) + 0.5)::integer v from (select s.raster_id, s.r, s.c, {_show('floor(y)::bigint + a')} sr, {_show('floor(x)::bigint + b')} sc, (case a when 1 then y - floor(y) else 1 - (y - floor(y)) end) * (case b when 1 then x - floor(x) else 1 - (x - floor(x)) end) w "
+        f"from {sources} s, (values (0, 0), (0, 1), (1, 0), (1, 1)) q(a, b)) join (select raster_id, r sr, c sc, v from {PIXELS}) using (raster_id, sr, sc) where w > 0 group by raster_id, r, c"
+    )
+
+
+_PLACES = "(select vec_id raster_id, (i // 8)::integer r, (i % 8)::integer c, i from embeddings, (select unnest(range(64)) i))"
+
+
+@query(
+    f"with n as materialized (select raster_id, r, c, {_draw('i', 42)} y, {_draw('i', 43)} x from {_PLACES}), k as (select d, exp(-d * d / 2.0::double) / sum(exp(-d * d / 2.0::double)) over () w from (select unnest(range(-3, 4)) d)), "
+    f"h as materialized (select g.raster_id, g.r, g.c, sum(n.y * w) y, sum(n.x * w) x from {_PLACES} g, k, n where n.raster_id = g.raster_id and n.r = g.r and n.c = {_show('g.c + d')} group by 1, 2, 3), "
+    f"f as (select g.raster_id, g.r, g.c, g.r + 2 * sum(h.y * w) y, g.c + 2 * sum(h.x * w) x from {_PLACES} g, k, h where h.raster_id = g.raster_id and h.c = g.c and h.r = {_show('g.r + d')} group by 1, 2, 3) " + _bilinear("f")
+)
+def augment_elastic(spark, sf_dir):
+    """Chips bent by a smooth random field."""
+    return augment.elastic(src.pixels(spark, sf_dir), "raster_id", 8, alpha=2.0, sigma=1.0)
+
+
+def _stretch(at: str, which: int) -> str:
+    factors = ", ".join(f"1 + 0.3::double * {_draw(str(k), 44 + which)}" for k in range(2))
+    return f"(select b + f[k + 1] * 4 * ({at} - k * 4) / 3 from (select {at} // 4 k, [{factors}] f), lateral (select coalesce(list_sum(f[1:k]), 0) * 4 b))"
+
+
+@query(f"with f as (select raster_id, r, c, {_stretch('r', 0)} y, {_stretch('c', 1)} x from {_PLACES}) " + _bilinear("f"))
+def augment_grid(spark, sf_dir):
+    """Chips stretched and squeezed in two steps of four pixels."""
+    return augment.grid_distorted(src.pixels(spark, sf_dir), "raster_id", 8, steps=2, limit=0.3)
+
+
+@query(
+    f"with recursive a as materialized (select id // 20 tile, id % 20 n, case when status = 500 and id % 3 = 0 then null when status = 200 and id % 4 > 0 then 503 else status end status, id % 5 <> 0 image from {DOWNLOADS}), "
+    "w as (select tile, 0::bigint n, 0 tries, 0 retries, 0.0::double waited, null::varchar outcome from (select distinct tile from a) union all "
+    "select tile, n + 1, case when again then tries when bad then tries + 1 else tries end, case when again then retries + 1 when bad then 0 else retries end, waited + case when again then case when retries > 0 then 0.5::double * pow(2, retries) else 0 end when bad then 1 else 0 end, "
+    "case when again then null when bad then case when tries = 2 then 'missing' end when status = 200 and image then 'tile' else 'missing' end "
+    "from (select w.*, status, image, coalesce(status in (429, 500, 502, 503, 504), false) and retries < 5 again, status is null or status in (429, 500, 502, 503, 504) bad from w join a on a.tile = w.tile and a.n = w.n where outcome is null)) "
+    "select tile, outcome, n::integer answers, waited from w where outcome is not null"
+)
+def download_retries(spark, sf_dir):
+    """Twenty events in a row stand for the answers to a tile's requests; they come as a stream of files."""
+    status = F.when((F.col("status") == 500) & (F.col("id") % 3 == 0), F.lit(None)).when((F.col("status") == 200) & (F.col("id") % 4 > 0), 503).otherwise(F.col("status"))
+    answers = src.downloads(spark, sf_dir).select(F.expr("id div 20").alias("tile"), (F.col("id") % 20).cast("int").alias("n"), status.cast("int").alias("status"), (F.col("id") % 5 != 0).alias("image"))
+    place = folder(spark, "answers")
+    answers.write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(retries.ANSWERS).parquet(f"{place}/in")
+    settled = retries.outcomes(stream, timeout=1e6).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
+    retries.replayed(settled)
+    return spark.read.schema(retries.OUTCOMES).parquet(f"{place}/out")
