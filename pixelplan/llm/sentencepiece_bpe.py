@@ -109,8 +109,9 @@ class Vocabulary:
         if not words:
             return
         size = np.fromiter(map(len, words), np.int64, len(words))
-        runs = np.fromiter((SPACE + SPACE in w for w in words), np.bool_, len(words))
-        done, counts, flat = self._merge_short(words, np.flatnonzero((size <= MERGED_TOGETHER) & ~runs))
+        blanks = SPACE + SPACE
+        runs = np.fromiter((blanks in w for w in words), np.bool_, len(words)) if blanks in "".join(words) else np.zeros(len(words), np.bool_)
+        done, counts, flat = self._merge_short(words, np.flatnonzero((size <= MERGED_TOGETHER) & ~runs), size)
         rest = np.setdiff1d(np.arange(len(words)), done)
         long = [self.merge(words[k]) for k in rest]
         counts = np.concatenate([counts, np.array([len(x) for x in long], np.int64)])
@@ -134,7 +135,7 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_values[at], _NEVER)
 
-    def _merge_short(self, words: list[str], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _merge_short(self, words: list[str], chosen: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the chosen words which are done, how many ids each has, and the ids: each word has its agenda in a row of a table.
 
         Words of one length merge the least entry of their rows together, so all rows stay equally long; a row
@@ -142,7 +143,7 @@ class Vocabulary:
         """
         none = np.zeros(0, np.int64)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, none.astype(np.int32))]
-        size = np.fromiter((len(words[k]) for k in chosen), np.int64, len(chosen))
+        size = size[chosen]
         for n in np.unique(size).tolist():
             names = chosen[size == n]
             symbols = self.char_ids[np.frombuffer("".join([words[k] for k in names]).encode("utf-32-le"), np.uint32)].reshape(len(names), n)
