@@ -275,6 +275,56 @@ def chunked_crowns(dtm: DataFrame, height: int, width: int, chunk: int, border:
     return found.where(F.col("chunk") == F.concat_ws(",", owner(F.col("centre_r"), chunk), owner(F.col("centre_c"), chunk)))
 
 
+#: Sides of a pixel in the order of their walk, with the pixel on the right: how far their first corner lies from the pixel's place.
+_WALK = (("top", 0, 0), ("right", 0, 1), ("bottom", 1, 1), ("left", 1, 0))
+
+
+def corners(edges: DataFrame, key: str) -> DataFrame:
+    """The outlines of labels corner by corner, from their sides: key, label, ring, at (from 0), x, y.
+
+    A side is followed by the next side of its pixel, else by the same side of the pixel ahead, else by the side before of the one
+    beyond: whichever there is, in this order, so pixels that touch at a corner only stay apart. Rings are found by doubling:
+    each side looks twice as far in each round, first for the least side of its ring, which names it, then for how far it is
+    from there. Rounds are about the logarithm of the longest ring, and no label or ring is a group. ring is the number of
+    its least side, r * 2 ** 33 + c * 4 + side (top, right, bottom, left: 0 to 3).
+    """
+    number = lambda r, c, side: r.cast("long") * (1 << 33) + c.cast("long") * 4 + side
+    r, c = F.col("r"), F.col("c")
+    # For each side: the pixels of its three ways on, same, ahead and beyond, and their sides.
+    ahead, beyond = ((0, 1), (1, 0), (0, -1), (-1, 0)), ((-1, 1), (1, 1), (1, -1), (-1, -1))
+    rows = None
+    for k, (name, y, x) in enumerate(_WALK):
+        ways = F.array(*(F.struct(F.lit(n).alias("n"), number(r + dy, c + dx, side).alias("to")) for n, (dy, dx, side) in enumerate(((0, 0, (k + 1) % 4), (*ahead[k], k), (*beyond[k], (k + 3) % 4)))))
+        own = edges.where(F.col("side") == name).select(key, "label", number(r, c, F.lit(k)).alias("id"), (r + y).alias("y"), (c + x).alias("x"), ways.alias("ways"))
+        rows = own if rows is None else rows.unionByName(own)
+    rows = kept(rows)
+    tried = rows.select(key, "label", "id", F.explode("ways").alias("w")).select(key, "label", "id", "w.n", F.col("w.to").alias("to"))
+    there = rows.select(key, "label", F.col("id").alias("to"))
+    follow = tried.join(there, [key, "label", "to"]).groupBy(key, "label", "id").agg(F.min_by("to", "n").alias("to"))
+
+    def ahead_of(now: DataFrame, *columns: str) -> DataFrame:
+        """now with what the side it points to says."""
+        other = now.select(key, "label", F.col("id").alias("to"), *(F.col(x).alias(f"_{x}") for x in ("to", *columns)))
+        return now.join(other, [key, "label", "to"])
+
+    now = follow = kept(follow)
+    now = now.withColumn("low", F.least("id", "to"))
+    while True:
+        now = kept(ahead_of(now, "low").select(key, "label", "id", F.col("_to").alias("to"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved")))
+        if now.where("moved").isEmpty():
+            break
+    ring = now.select(key, "label", "id", F.col("low").alias("ring"))
+    first = F.col("id") == F.col("ring")
+    now = follow.join(ring, [key, "label", "id"]).select(key, "label", "id", "ring", F.when(first, F.col("id")).otherwise(F.col("to")).alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("far"))
+    while True:
+        now = kept(ahead_of(now, "far").select(key, "label", "id", "ring", F.col("_to").alias("to"), (F.col("far") + F.col("_far")).alias("far")))
+        if now.where("to <> ring").isEmpty():
+            break
+    size = now.groupBy(key, "label", "ring").agg(F.count("*").alias("n"))
+    placed = now.join(size, [key, "label", "ring"]).select(key, "label", "id", "ring", ((F.col("n") - F.col("far")) % F.col("n")).alias("at"))
+    return placed.join(rows, [key, "label", "id"]).select(key, "label", "ring", "at", "x", "y")
+
+
 def rings(edges: DataFrame, key: str) -> DataFrame:
     """The outlines of labels as closed rings of pixel corners, from their edges: key, label, ring (from 0), points.
 

@@ -48,3 +48,27 @@ def test_components_of_random_masks_equal_those_of_one_chunk(spark):
     rows = spark.createDataFrame([*some(r, 9, 50, 50, 0.55)], "r int, c int")
     whole, cut = (sorted(tuple(x) for x in segment.components_across(rows, 50, chunk).collect()) for chunk in (64, 6))
     assert whole == cut
+
+
+def test_corners_walk_the_same_rings(spark):
+    from pyspark.sql import functions as F
+
+    from pixelplan.operators import raster
+
+    r = random.Random(9)
+    rows = [(k, 1 + (y * x) % 2, y, x) for k in range(12) for y in range(9) for x in range(9) if r.random() < 0.6]
+    edges = raster.label_edges(spark.createDataFrame(rows, "chip int, label int, r int, c int"), "chip")
+    rings = {}
+    for x in segment.corners(edges, "chip").collect():
+        rings.setdefault((x.chip, x.label, x.ring), {})[x.at] = (x.x, x.y)
+    got = {}
+    for (chip, label, _), own in rings.items():
+        walk = [own[k] for k in range(len(own))]
+        k = walk.index(min(walk)) if walk.count(min(walk)) == 1 else None
+        got.setdefault((chip, label), []).append(sorted(walk) if k is None else walk[k:] + walk[:k])
+    want = {}
+    for x in segment.rings(edges, "chip").withColumn("points", F.col("points")).collect():
+        walk = [(int(p.x), int(p.y)) for p in x.points[:-1]]
+        k = walk.index(min(walk)) if walk.count(min(walk)) == 1 else None
+        want.setdefault((x.chip, x.label), []).append(sorted(walk) if k is None else walk[k:] + walk[:k])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
