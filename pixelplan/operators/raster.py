@@ -23,6 +23,18 @@ def normalised(value: Column, mean: Column, std: Column) -> Column:
     return (value / 255 - mean) / std
 
 
+def to_planes(samples: Column, rows: int, columns: int, bands: int) -> Column:
+    """An array of samples pixel by pixel as one band after another."""
+    n = rows * columns
+    return F.transform(F.sequence(F.lit(0), F.lit(n * bands - 1)), lambda i: F.get(samples, ((i % n) * bands + F.floor(i / F.lit(n))).cast("int")))
+
+
+def to_pixels(samples: Column, rows: int, columns: int, bands: int) -> Column:
+    """An array of samples band by band as one pixel after another."""
+    n = rows * columns
+    return F.transform(F.sequence(F.lit(0), F.lit(n * bands - 1)), lambda i: F.get(samples, ((i % bands) * n + F.floor(i / F.lit(bands))).cast("int")))
+
+
 def keep_bright(pixels: DataFrame, key: str, least: float = 10.0) -> DataFrame:
     """Chips whose mean over all pixels is no less."""
     return pixels.groupBy(key).agg(F.avg("v").alias("mean")).where(F.col("mean") >= least)

@@ -47,6 +47,14 @@ def normalise_pixels(spark, sf_dir):
     return rows.join(F.broadcast(bands), "band").select("raster_id", "r", "c", "band", F.round(raster.normalised(F.col("v"), F.col("m"), F.col("s")), 8).alias("x"))
 
 
+@query("select vec_id raster_id, i::integer i, embedding[(i % 16) * 4 + i // 16 + 1]::double planar, embedding[i + 1]::double back from embeddings, (select unnest(range(64)) i)")
+def band_layouts(spark, sf_dir):
+    """Chips of 4 x 4 pixels with four bands, pixel by pixel, as bands and back."""
+    planar = src.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("raster_id"), raster.to_planes(F.col("embedding"), 4, 4, 4).alias("p"))
+    both = planar.select("raster_id", F.posexplode(F.arrays_zip("p", raster.to_pixels(F.col("p"), 4, 4, 4).alias("b"))).alias("i", "x"))
+    return both.select("raster_id", "i", F.col("x.p").cast("double").alias("planar"), F.col("x.b").cast("double").alias("back"))
+
+
 @query(f"select raster_id, round(avg(v), 6) mean from {PIXELS} where r between 2 and 5 and c between 2 and 5 group by 1 having avg(v) > 10")
 def centre_validation(spark, sf_dir):
     centre = src.pixels_of(spark, sf_dir, 2, 2, 4, 4).groupBy("raster_id").agg(F.avg("v").alias("m"))

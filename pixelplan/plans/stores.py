@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import rings
+from ..functions.crowns import diameter, size_class
 from ..operators import raster, tables, vector
 from ..registry import query
 from ..sources import files, formats, sinks
@@ -100,3 +101,18 @@ def pending_rows(spark, sf_dir):
     done = spark.read.parquet(path)
     sinks.write_pending(rows, done, "key", path)
     return spark.read.parquet(path)
+
+
+@query(f"select 'S' || (\"key\" % 4)::varchar || '_' || \"key\"::varchar crown_id, round(sum(w * h), 4) area_m2, round(2 * sqrt(sum(w * h) / 3.14159::double), 2) diameter_m, count(*) rings, round(sum(w * h), 4) ring_area from {PARTS} group by \"key\"")
+def crown_packages(spark, sf_dir):
+    """Crowns appended to a folder of GeoPackages in two runs and read back."""
+    formats.register(spark)
+    path = folder(spark, "crowns")
+    area = F.aggregate(F.transform("parts", rings.area), F.lit(0.0), lambda a, b: a + b)
+    crowns = src.polygons(spark, sf_dir).withColumn("area_m2", area)
+    crowns = crowns.select(F.concat(F.lit("S"), (F.col("key") % 4).cast("string"), F.lit("_"), F.col("key").cast("string")).alias("crown_id"), "area_m2", diameter(F.col("area_m2")).alias("diameter_m"), size_class(F.col("area_m2")).alias("size_class"), F.col("parts").alias("rings"))
+    for part in ("area_m2 < 100", "area_m2 >= 100"):
+        crowns.where(part).write.format("crown_packages").mode("append").save(path)
+    back = spark.read.format("crown_packages").load(path)
+    ring_area = F.aggregate(F.transform("rings", rings.area), F.lit(0.0), lambda a, b: a + b)
+    return back.select("crown_id", F.round("area_m2", 4).alias("area_m2"), "diameter_m", F.size("rings").cast("long").alias("rings"), F.round(ring_area, 4).alias("ring_area"))

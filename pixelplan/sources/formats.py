@@ -1,9 +1,10 @@
-"""File formats as Spark data sources: pixels of TIFF images (read and written strip by strip) and polygons of Shapefiles.
+"""File formats as Spark data sources: pixels of TIFF images (read and written strip by strip), polygons of Shapefiles, crowns in GeoPackages.
 
     sources.formats.register(spark)
     spark.read.format("pixels").load(folder).where("r between 1000 and 1999 and band = 0")
     strips.write.format("pixels").mode("append").save(folder)
     spark.read.format("shapes").load(folder)
+    crowns.write.format("crown_packages").mode("append").save(folder)
 """
 
 from __future__ import annotations
@@ -414,8 +415,133 @@ def shape_files(keys: list[int], rings: list[list]) -> dict[str, bytes]:
     return {".shp": head(at) + b"".join(body), ".shx": head(100 + 8 * len(index)) + b"".join(index), ".dbf": table}
 
 
+CROWNS = "crown_id string, area_m2 double, diameter_m double, size_class string, rings array<array<struct<x: double, y: double>>>"
+FEATURES = f"path string, fid long, {CROWNS}"
+
+# Fixed values of the GeoPackage format: its application id and version, and the tables that every file has.
+_GPKG_ID, _GPKG_VERSION = 0x47504B47, 10300
+_GPKG_TABLES = """
+create table gpkg_spatial_ref_sys (srs_name text not null, srs_id integer primary key, organization text not null, organization_coordsys_id integer not null, definition text not null, description text);
+create table gpkg_contents (table_name text primary key, data_type text not null, identifier text unique, description text default '', last_change datetime not null default (strftime('%Y-%m-%dT%H:%M:%fZ', 'now')), min_x double, min_y double, max_x double, max_y double, srs_id integer);
+create table gpkg_geometry_columns (table_name text not null, column_name text not null, geometry_type_name text not null, srs_id integer not null, z tinyint not null, m tinyint not null, primary key (table_name, column_name));
+create table crowns (fid integer primary key autoincrement, geom blob, crown_id text, area_m2 real, diameter_m real, size_class text);
+insert into gpkg_spatial_ref_sys values ('undefined cartesian', -1, 'NONE', -1, 'undefined', null), ('undefined geographic', 0, 'NONE', 0, 'undefined', null), ('WGS 84', 4326, 'EPSG', 4326, 'undefined', null);
+"""
+
+
+def _polygon(rings: list, epsg: int) -> bytes:
+    """A polygon as GeoPackage keeps it: a header with the coordinate system, then the well-known binary form."""
+    body = b"".join(struct.pack("<I", len(r)) + np.array([(p["x"], p["y"]) for p in r], "<f8").reshape(-1, 2).tobytes() for r in rings)
+    return struct.pack("<2sBBi", b"GP", 0, 1 | (0 if rings else 16), epsg) + struct.pack("<BII", 1, 3, len(rings)) + body
+
+
+def _unpolygon(raw: bytes | None) -> list | None:
+    """The rings of a stored polygon; null for none and for other shapes."""
+    if raw is None or raw[:2] != b"GP":
+        return None
+    at = 8 + (0, 32, 48, 48, 64)[raw[3] >> 1 & 7]  # the header may hold a box
+    order = "<" if raw[at] else ">"
+    kind, n = struct.unpack_from(order + "II", raw, at + 1)
+    if kind != 3:
+        return None
+    out, at = [], at + 9
+    for _ in range(n):
+        (many,) = struct.unpack_from(order + "I", raw, at)
+        out.append([(x, y) for x, y in np.frombuffer(raw, order + "f8", 2 * many, at + 4).reshape(-1, 2).tolist()])
+        at += 4 + 16 * many
+    return out
+
+
+def package_file(rows: list[dict], epsg: int) -> bytes:
+    """A GeoPackage of one layer, crowns."""
+    import sqlite3
+
+    with sqlite3.connect(":memory:") as con:
+        con.executescript(f"pragma application_id = {_GPKG_ID}; pragma user_version = {_GPKG_VERSION}; {_GPKG_TABLES}")
+        con.execute("insert or ignore into gpkg_spatial_ref_sys values (?, ?, 'EPSG', ?, 'undefined', null)", (f"EPSG:{epsg}", epsg, epsg))
+        points = np.array([(p["x"], p["y"]) for r in rows for ring in r["rings"] or [] for p in ring], float).reshape(-1, 2)
+        box = [*points.min(axis=0).tolist(), *points.max(axis=0).tolist()] if len(points) else [None] * 4
+        con.execute("insert into gpkg_contents (table_name, data_type, identifier, min_x, min_y, max_x, max_y, srs_id) values ('crowns', 'features', 'crowns', ?, ?, ?, ?, ?)", (*box, epsg))
+        con.execute("insert into gpkg_geometry_columns values ('crowns', 'geom', 'POLYGON', ?, 0, 0)", (epsg,))
+        con.executemany("insert into crowns (geom, crown_id, area_m2, diameter_m, size_class) values (?, ?, ?, ?, ?)", [(None if r["rings"] is None else _polygon(r["rings"], epsg), r["crown_id"], r["area_m2"], r["diameter_m"], r["size_class"]) for r in rows])
+        con.commit()
+        return con.serialize()
+
+
+class Packages(DataSource):
+    """Crowns in GeoPackage files of a folder: read file by file, appended as one file for each batch of a task.
+
+    Option: epsg (of what is written, 3857). A file is read into memory as a whole, as its pages
+    refer to one another; so a layer is best kept as many files, which is how it is written.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "crown_packages"
+
+    def schema(self) -> str:
+        return FEATURES
+
+    def reader(self, schema) -> PackageReader:
+        return PackageReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> PackageWriter:
+        if overwrite:
+            raise ValueError("crowns are added to a folder: write with mode append")
+        return PackageWriter(self.options)
+
+
+class PackageReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.only = options["path"], None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("path",):
+                self.only = f.value
+            else:
+                yield f
+
+    def partitions(self) -> list[Rows]:
+        return [Rows(path, 0, 0) for path in listed(self.path, ".gpkg") if self.only in (None, path)] or [Rows("", 0, 0)]
+
+    def read(self, partition: Rows) -> Iterator[tuple]:
+        import sqlite3
+
+        if not partition.path:
+            return
+        system, place = opened(partition.path)
+        with system.open_input_file(place) as file:
+            raw = file.read()
+        with sqlite3.connect(":memory:") as con:
+            con.deserialize(raw)
+            for fid, geom, *rest in con.execute("select fid, geom, crown_id, area_m2, diameter_m, size_class from crowns order by fid"):
+                yield partition.path, fid, *rest, _unpolygon(geom)
+
+
+class PackageWriter(StripWriter):
+    """Files are staged, and put in place by the commit, as strips are."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.epsg = int(options.get("epsg", 3857))
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, place = opened(self.staged)
+        system.create_dir(place, recursive=True)
+        names = []
+        for batch in iterator:
+            if batch.num_rows:
+                own = uuid.uuid4().hex
+                mine = f"crowns-{own}.gpkg.{own}"
+                with system.open_output_stream(f"{place}/{mine}") as out:
+                    out.write(package_file(batch.to_pylist(), self.epsg))
+                names.append(mine)
+        return Written(names)
+
+
 def register(spark: SparkSession) -> None:
     """Makes the formats known to a session and lets filters reach them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
-    for source in (Pixels, Shapes):
+    for source in (Pixels, Shapes, Packages):
         spark.dataSource.register(source)

@@ -142,3 +142,28 @@ def test_shapes(spark, tmp_path):
     got = found.select("record", F.col("attributes")["KEY"].alias("key"), F.transform("rings", rings.area).alias("areas")).orderBy("record").collect()
     assert [tuple(x) for x in got] == [(0, "7", [4.0]), (1, "8", [1.0, 9.0]), (2, "9", [])]
     assert [x.record for x in found.where("record >= 1 and record < 2").collect()] == [1]
+
+
+def test_crown_packages(spark, tmp_path):
+    import sqlite3
+
+    formats.register(spark)
+    ring = [{"x": 1.0, "y": 2.0}, {"x": 3.0, "y": 2.0}, {"x": 3.0, "y": 5.0}, {"x": 1.0, "y": 2.0}]
+    rows = [("A_0", 3.0, 1.95, "small", [ring, ring]), ("A_1", None, None, None, None)]
+    out = str(tmp_path / "crowns")
+    for k in range(2):
+        spark.createDataFrame(rows[k : k + 1], formats.CROWNS).write.format("crown_packages").mode("append").save(out)
+    got = {x.crown_id: x for x in spark.read.format("crown_packages").load(out).collect()}
+    assert got["A_0"].rings == [[tuple(p.values()) for p in ring]] * 2 and got["A_0"].area_m2 == 3.0 and got["A_1"].rings is None
+    names = sorted(p for p in (tmp_path / "crowns").iterdir())
+    assert len(names) == 2 and all(p.suffix == ".gpkg" for p in names)
+    found = set()
+    for p in names:
+        con = sqlite3.connect(p)
+        assert con.execute("pragma application_id").fetchone()[0] == 0x47504B47
+        found |= {*con.execute("select min_x, max_y, srs_id from gpkg_contents").fetchall()}
+    assert found == {(1.0, 5.0, 3857), (None, None, 3857)}
+    bad = spark.createDataFrame(rows, formats.CROWNS).withColumn("crown_id", F.raise_error(F.lit("no crown")))
+    with pytest.raises(Exception, match="no crown"):
+        bad.write.format("crown_packages").mode("append").save(out)
+    assert sorted(p for p in (tmp_path / "crowns").iterdir()) == names
