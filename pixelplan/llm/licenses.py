@@ -31,6 +31,47 @@ TEMPLATES = [
     ("reserved", "all rights reserved", ["all rights reserved"]),
 ]
 
+# Further notices of public licences, in the same form.
+NOTICES = [
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose", ["without any express or implied warranty", "permission is granted to anyone to use this software for any purpose"]),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", ["covered by this license the software to use reproduce display distribute"]),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at", ["under the terms of the eclipse public license"]),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see", ["you should have received a copy of the gnu general public license"]),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", ["you should have received a copy of the gnu lesser general public license"]),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program", ["you should have received a copy of the gnu affero general public license"]),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived from this software"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["shall be included in all copies or substantial portions of the software"]),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1", ["sil open font license"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["licensed under a creative commons attribution sharealike"]),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["licensed under a creative commons attribution 4 0"]),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["licensed under a creative commons attribution noncommercial"]),
+]
+
+# Titles of public licences and the identifiers of the software package data exchange, with their labels.
+TITLES = [
+    ("mpl", "mozilla public license version 2 0"), ("mpl", "mozilla public license version 1 1"), ("mpl", "mozilla public license 2 0"),
+    ("epl", "eclipse public license version 1 0"), ("epl", "eclipse public license v 1 0"), ("epl", "eclipse public license v 2 0"), ("epl", "eclipse public license 2 0"),
+    ("bsl", "boost software license version 1 0"), ("zlib", "zlib license"), ("isc", "isc license"), ("bsd", "bsd 2 clause license"), ("bsd", "bsd 3 clause license"), ("unlicense", "the unlicense"),
+    ("lgpl", "gnu lesser general public license version 2 1"), ("lgpl", "gnu lesser general public license version 3"), ("agpl", "gnu affero general public license version 3"), ("gfdl", "gnu free documentation license"), ("artistic", "artistic license 2 0"),
+    ("cddl", "common development and distribution license"), ("eupl", "european union public licence"), ("busl", "business source license 1 1"), ("sspl", "server side public license"),
+    ("psf", "python software foundation license"), ("afl", "academic free license"), ("postgresql", "postgresql license"), ("ofl", "sil open font license"),
+    ("cc0", "creative commons zero"), ("cc0", "cc0 1 0 universal"), ("cc-by", "creative commons attribution 4 0"), ("cc-by-sa", "creative commons attribution sharealike 4 0"), ("cc-by-sa", "creative commons attribution sharealike 3 0"),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0"), ("cc-by-nd", "creative commons attribution noderivatives 4 0"),
+]
+IDENTIFIERS = "0BSD AFL-3.0 AGPL-3.0 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 BUSL-1.1 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.3 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0 MIT MPL-1.1 MPL-2.0 OFL-1.1 PostgreSQL PSF-2.0 SSPL-1.0 Unlicense WTFPL Zlib".split()
+
+
+def _identified() -> list[tuple[str, str, list[str]]]:
+    """A template for each identifier after its tag, labelled as the identifier without its version."""
+    out = []
+    for name in IDENTIFIERS:
+        words = name.lower().replace("-", " ").replace(".", " ")
+        label = "-".join(w for w in name.lower().split("-") if not w[0].isdigit() or w == "0bsd").removesuffix("-clause")
+        phrase = f"spdx license identifier {words}"
+        out.append((label, phrase, [phrase]))
+    return out
+
 #: Words that a passage may have gained or lost on the way to a mandatory phrase.
 SLACK = 6
 #: Share of a template that must stand in order, in runs of so many words at least: by rarity and by mere words.
@@ -48,7 +89,7 @@ class Template:
 
 def templates() -> list[Template]:
     """Each base phrase is a template of its own that must stand exactly."""
-    return [Template(label, phrase.split(), [phrase.split()], True) for phrase, label in BASE.items()] + [Template(label, text.split(), [k.split() for k in keys], False) for label, text, keys in TEMPLATES]
+    return [Template(label, phrase.split(), [phrase.split()], True) for phrase, label in BASE.items()] + [Template(label, text.split(), [k.split() for k in keys], False) for label, text, keys in [*TEMPLATES, *NOTICES, *((label, text, [text]) for label, text in TITLES), *_identified()]]
 
 
 def _hashes(words: list[str]) -> np.ndarray:

@@ -117,3 +117,24 @@ def test_labels_equal_brute_force(spark):
                 assert brute(text)[1] > 0
             elif got.get(k) != 1.0 or k not in PHRASES.values():
                 assert abs(got[k] - want[k]) < 1e-9, (text, k)
+
+
+def test_notices_titles_and_identifiers_in_hundreds_of_texts(spark):
+    r = random.Random(8)
+    known = licenses.templates()
+    pool = sorted({w for t in known for w in t.words})
+    texts = []
+    for k in range(400):
+        own = [r.choices(pool, k=r.randint(0, 30))]
+        for t in r.sample(known, r.randint(0, 3)):
+            own += [t.words, r.choices(pool, k=r.randint(1, 30))]
+        sep = r.choice([" ", "\n", ", ", "-"])
+        texts.append(sep.join(w.upper() if k % 3 == 0 else w for part in own for w in part))
+    texts += ["SPDX-License-Identifier: MIT", "Mozilla Public License, version 2.0", "(Creative Commons Attribution-ShareAlike 4.0)", "// SPDX-License-Identifier: GPL-2.0-or-later", "Boost Software License - Version 1.0", "Eclipse Public License v 2.0", "zlib License", "SPDX identifiers, MIT", "a license of Eclipse, public"]
+    got = {x.doc_id: x.labels.split(",") for x in licenses.digest(licenses.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4))).collect()}
+    for i, text in enumerate(texts[:400]):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        stands = lambda p: any(words[k : k + len(p)] == p for k in range(len(words) - len(p) + 1))
+        assert {t.label for t in known if stands(t.words)} <= {*got[i]}, text
+        assert {*got[i]} - {""} <= {t.label for t in known if all(stands(key) for key in t.keys)}, text
+    assert [got[400 + k] for k in range(9)] == [["mit"], ["mpl"], ["cc-by-sa"], ["gpl"], ["bsl"], ["epl"], ["zlib"], [""], [""]]
