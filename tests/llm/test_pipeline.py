@@ -88,3 +88,47 @@ def test_no_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, place).count() == 0
     assert corpus_pipeline.run(spark, place).count() == 0
+
+
+def test_all_stages_in_a_chain_equal_plain_versions(spark):
+    """The smallest given tables: near copies, repeats, contamination and ids by plain loops, after the language stage's own choice."""
+    import hashlib
+    from collections import Counter
+
+    from tests.llm.test_decontaminate import brute as contaminated
+    from tests.llm.test_minhash import brute as classes
+
+    place = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{place}/documents.parquet")
+    left = sorted((r.doc_id, r.text) for r in corpus_pipeline.identify_language(spark, docs, place).collect())
+    assert len(left) > 100
+    left = [row for row, (first, _) in zip(left, classes(left), strict=True) if row[0] == first]
+    raws = [t.encode() for _, t in left]
+    seen = Counter(raw[i : i + 200] for raw in raws for i in range(len(raw) - 199))
+    cut = []
+    for (doc, text), raw in zip(left, raws, strict=True):
+        gone = {k for i in range(len(raw) - 199) if seen[raw[i : i + 200]] > 1 for k in range(i, i + 200)}
+        kept = bytes(b for k, b in enumerate(raw) if k not in gone).decode("utf-8", "ignore")
+        if not gone or kept.strip():
+            cut.append((doc, kept if gone else text))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{place}/benchmark.parquet").collect()]
+    clean = [row for row, found in zip(cut, contaminated([t for _, t in cut], items), strict=True) if not found[4]]
+    library = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.public_tokenizers.path("piece_bpe_32k.model"))
+    want = {}
+    for doc, text in clean:
+        ids = library.encode(text, add_eos=True)
+        want[doc] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+    got = corpus_pipeline.run(spark, place).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+
+
+def test_null_texts_and_a_benchmark_without_rows(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(1, None), (2, None), (3, ""), *((10 + i, prose(r, "en", 80)) for i in range(12))]
+    spark.createDataFrame([(*x, "en", None, None) for x in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {10 + i for i in range(12)}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert docs.count() == 15
