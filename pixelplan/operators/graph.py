@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..storage import kept
 
+#: Parts that lookups of one node are dealt to.
+SALT = 16
+
 
 def connected(links: DataFrame, most: int = 60) -> DataFrame:
     """node and root (the smallest node it is connected with) of all nodes of links (a, b).
@@ -25,7 +28,9 @@ def connected(links: DataFrame, most: int = 60) -> DataFrame:
             return both.unionByName(single).groupBy("node").agg(F.min("root").alias("root"))
         before = state
         low = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("low"))
-        up = now.join(low, "b", "left").select("a", F.coalesce("low", "b").alias("b")).distinct()
+        # Very many nodes may hang on one: it is looked up with a salt.
+        dealt = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        up = now.withColumn("_salt", F.pmod(F.hash("a"), F.lit(SALT))).join(dealt, ["b", "_salt"], "left").select("a", F.coalesce("low", "b").alias("b")).distinct()
         least = up.groupBy("a").agg(F.min("b").alias("low"))
         down = up.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x"))
         now = kept(down.select("x.a", "x.b").where("a <> b").distinct())

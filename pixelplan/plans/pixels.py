@@ -430,6 +430,23 @@ def predict_tiles(spark, sf_dir):
     return predict_chips(src.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("raster_id"), "embedding"), "raster_id", "embedding")
 
 
+@query(
+    f"with s as materialized (select g.r, g.c, coalesce(v, 0) v, h from (select unnest(range({_EXTENT}))::integer r, {_EXTENT} h) g0, lateral (select g0.r, unnest(range(512))::integer c) g left join {_SIDE} p on p.r = g.r and p.c = g.c), n as (select a.r, a.c, case when a.r + y < 0 then 1 when a.r + y >= h then h - 2 else a.r + y end sr, case when a.c + x < 0 then 1 when a.c + x >= 512 then 510 else a.c + x end sc from s a, (select unnest([-1, 0, 1]) y), (select unnest([-1, 0, 1]) x)) "
+    "select n.r, n.c, least(1400.0::double, greatest(0.0::double, sum(s.v)::double)) v from n join s on s.r = n.sr and s.c = n.sc group by n.r, n.c"
+)
+def infer_image(spark, sf_dir):
+    """All chips side by side as one image, predicted by overlapping windows of 16 x 16, of which the inner 8 x 8 count."""
+    from ..operators.predict import box_sum, infer
+
+    height = _height(spark, sf_dir)
+    chips = src.table(spark, sf_dir, "embeddings").agg((F.expr("max(vec_id) div 64 + 1") * 64).cast("int")).first()[0] or 0
+    # Places that the last row of chips does not fill are black.
+    spine = spark.range(chips).select(F.col("id").alias("raster_id"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
+    place = spine.select((F.expr("raster_id div 64") * 8 + F.expr("pos div 8")).cast("int").alias("r"), ((F.col("raster_id") % 64) * 8 + F.col("pos") % 8).cast("int").alias("c"))
+    rows = place.join(_side_by_side(spark, sf_dir), ["r", "c"], "left").select("r", "c", F.coalesce("v", F.lit(0)).alias("v"))
+    return infer(rows, height, 512, box_sum(16), tile=16, stride=8, low=0.0, high=1400.0)
+
+
 @query(f"select batch, round(avg(e), 6) mae from (select raster_id // 30 batch, raster_id, avg(abs(v - lut)) e from {PIXELS} join {_LUT} using (site_no, v) group by 1, 2) group by 1")
 def validation_mae(spark, sf_dir):
     matched = raster.apply_table(src.pixels(spark, sf_dir), _lut(spark, sf_dir), "site_no")
