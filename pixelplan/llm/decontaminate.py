@@ -227,7 +227,11 @@ def contaminated():
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text is not contaminated; null texts stay. Columns may have any names."""
+    """The rows of docs, all columns as they are, whose text is not contaminated; null texts stay.
+
+    Repeated rows stay or go each; a benchmark without rows or words drops nothing, an empty table gives none. Columns may have
+    any names.
+    """
     columns = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")).withColumns(_named(F.col(f"row.`{text}`")))
     known = rows.select("h1", "h2", F.col(f"row.`{text}`").alias("text")).where("text is not null")

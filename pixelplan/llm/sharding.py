@@ -43,7 +43,8 @@ def number_rows(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
 
     The rows are dealt by ranges of the order, which a tie-breaker makes unique, so that equal keys can lie in
     several ranges; they are kept there once, and each then has its range's offset plus its place in it. Only
-    the ranges' sizes go through the driver. Rows equal in all of the order are numbered in any way.
+    the ranges' sizes go through the driver. Rows equal in all of the order are numbered in any way, nulls
+    come first, an empty table has no rows and n is 0. Names that begin with an underscore are for this function: df must have none.
     """
     dealt = df.withColumn("_tie", F.monotonically_increasing_id())
     dealt = dealt.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")

@@ -318,7 +318,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, span
 
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with what remove_repeats keeps as their text, and n_removed; halves of characters at an edge are left out. Null stays null."""
+    """docs with what remove_repeats keeps as their text, and n_removed; halves of characters at an edge are left out.
+
+    Null and empty texts stay as they are. Of rows with one text all lose the same, so a long text that repeats is emptied in all
+    its rows. Columns may have any names but those of the result; an empty table gives none.
+    """
     cleaned = remove_repeats(docs, text)
     whole = F.col("kept").cast("string")
     valid = F.when(F.is_valid_utf8(whole), whole).otherwise(F.translate(F.make_valid_utf8(whole), "\ufffd", ""))

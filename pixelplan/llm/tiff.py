@@ -294,7 +294,11 @@ def layout(raw: bytes) -> bytes:
 
 
 def texts_as_tiff(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: its id, n_bytes (of the text), content (the file). Null counts as empty."""
+    """One row for each row of docs: its id, n_bytes (of the text), content (the file).
+
+    Null counts as empty. Repeated rows get equal files; ids may be null or repeat. Only the two columns are read, so others may
+    have any names; an empty table gives none.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ def read_blocks(spark, path: str, block: int = BLOCK, width: int = 2) -> DataFra
     """Flat files of little-endian ids of `width` bytes as blocks: file, block (from 0), ids (binary).
 
     Spark lists the files; each block is a range of bytes that some task seeks and reads, so a file may have any
-    size. Empty files give none.
+    size. Empty files give none, and so does a folder without files; equal files are told apart by their names.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     size = block * width
@@ -101,7 +101,9 @@ def write_files(docs: DataFrame, ranks_path: str, place: str, id_col: str = "doc
     """Writes docs as flat files of 2-byte token ids to a folder that the tasks share, one for each partition, with nothing but end ids between documents.
 
     Returns where each document went: file (its name), document (from 0), id. The files are complete once these
-    rows are; a task that runs again writes its file anew under another name and then puts it in place.
+    rows are; a task that runs again writes its file anew under another name and then puts it in place. Null texts are empty
+    documents, repeated rows are documents each, ids may be null or repeat; other columns are not read, and an
+    empty table gives no rows.
     """
     import public_tokenizers
 
