@@ -87,8 +87,12 @@ def covered_area(parts_: DataFrame, *keys: str, cell: float = 64.0) -> DataFrame
     pieces = cut.select(*own, "way", F.explode(F.filter(made, lambda p: p["lo"] < p["hi"])).alias("p")).groupBy(*own, "p.lo", "p.hi", "p.u", "p.v").agg(F.sum("way").alias("way")).where("way <> 0")
     pieces = kept(pieces.toDF(*own, "lo", "hi", "u", "v", "way"))
     # Crossings: over the heights that two pieces share, the one that is left at the bottom is right at the top.
-    a, b = (pieces.select(*own, *(F.col(c).alias(f"{c}_{s}") for c in ("lo", "hi", "u", "v"))) for s in ("a", "b"))
-    both = a.join(b, own).where("lo_a < hi_b and lo_b < hi_a and least(u_a, v_a) <= greatest(u_b, v_b) and least(u_b, v_b) <= greatest(u_a, v_a) and struct(lo_a, hi_a, u_a, v_a) < struct(lo_b, hi_b, u_b, v_b)")
+    # They are looked for in eighths of a cell, so that only pieces near each other meet.
+    part = cell / 8
+    fine = lambda low, high: F.explode(F.sequence(F.floor(low / F.lit(part)), F.floor(high / F.lit(part))))
+    near = pieces.withColumn("_y", fine(F.col("lo"), F.col("hi"))).withColumn("_x", fine(F.least("u", "v"), F.greatest("u", "v")))
+    a, b = (near.select(*own, "_y", "_x", *(F.col(c).alias(f"{c}_{s}") for c in ("lo", "hi", "u", "v"))) for s in ("a", "b"))
+    both = a.join(b, [*own, "_y", "_x"]).where("lo_a < hi_b and lo_b < hi_a and least(u_a, v_a) <= greatest(u_b, v_b) and least(u_b, v_b) <= greatest(u_a, v_a) and struct(lo_a, hi_a, u_a, v_a) < struct(lo_b, hi_b, u_b, v_b)")
     both = both.withColumns({"l": F.greatest("lo_a", "lo_b"), "h": F.least("hi_a", "hi_b")})
     gap = lambda y: f"(u_a + ({y} - lo_a) * (v_a - u_a) / (hi_a - lo_a)) - (u_b + ({y} - lo_b) * (v_b - u_b) / (hi_b - lo_b))"
     met = both.withColumns({"g": F.expr(gap("l")), "k": F.expr(gap("h"))}).where("g * k < 0").select(*own, F.expr("l + g / (g - k) * (h - l)").alias("y"))
