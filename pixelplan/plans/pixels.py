@@ -382,15 +382,10 @@ def label_ring_area(spark, sf_dir):
     return rings_.groupBy("raster_id", "label").agg(F.abs(F.sum("a")).alias("area"), *((F.min if c.startswith("min") else F.max)(c).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")))
 
 
-@query()
-def label_rings(spark, sf_dir):
-    return segment.rings(raster.label_edges(src.masks(spark, sf_dir), "raster_id"), "raster_id")
-
-
 _EDGES = f"(select a.raster_id, a.\"label\", a.r, a.c, k from {MASKS} a, (values (0, -1, 0), (1, 0, 1), (2, 1, 0), (3, 0, -1)) s(k, dr, dc) where not exists (select 1 from {MASKS} b where b.raster_id = a.raster_id and b.\"label\" = a.\"label\" and b.r = a.r + dr and b.c = a.c + dc))"
 
 
-@query(
+_CORNERS = (
     f"with recursive e as materialized (select raster_id, \"label\", r, c, k, r::bigint * 8589934592 + c * 4 + k id, r + case when k in (2, 3) then 1 else 0 end y, c + case when k in (1, 2) then 1 else 0 end x from {_EDGES}), "
     "ways as (select e.raster_id, e.\"label\", id, n, (r + [0, [0, 1, 0, -1][k + 1], [-1, 1, 1, -1][k + 1]][n + 1])::bigint * 8589934592 + (c + [0, [1, 0, -1, 0][k + 1], [1, 1, -1, -1][k + 1]][n + 1]) * 4 + [(k + 1) % 4, k, (k + 3) % 4][n + 1] nxt from e, (select unnest([0, 1, 2]) n)), "
     "f as materialized (select w.raster_id, w.\"label\", w.id, arg_min(w.nxt, w.n) nxt from ways w join e on e.raster_id = w.raster_id and e.\"label\" = w.\"label\" and e.id = w.nxt group by 1, 2, 3), "
@@ -398,11 +393,26 @@ _EDGES = f"(select a.raster_id, a.\"label\", a.r, a.c, k from {MASKS} a, (values
     "whole as (select w.raster_id, w.\"label\", w.ring from walk w join f on f.raster_id = w.raster_id and f.\"label\" = w.\"label\" and f.id = w.now where f.nxt = w.ring) "
     "select raster_id, \"label\", ring, p as \"at\", x::integer x, y::integer y from walk join whole using (raster_id, \"label\", ring) join e using (raster_id, \"label\") where e.id = walk.now"
 )
+
+
+@query(_CORNERS)
 def label_corners(spark, sf_dir):
     """The outlines of labels corner by corner, found by doubling."""
     return segment.corners(raster.label_edges(src.masks(spark, sf_dir), "raster_id"), "raster_id")
 
 
+@query(f"select raster_id, \"label\", row_number() over (partition by raster_id, \"label\" order by ring) - 1 ring, xs, ys from (select raster_id, \"label\", ring, list_append(list(x order by \"at\"), arg_min(x, \"at\")) xs, list_append(list(y order by \"at\"), arg_min(y, \"at\")) ys from ({_CORNERS}) group by 1, 2, 3)")
+def label_rings(spark, sf_dir):
+    """The outlines of labels as closed rings, numbered within a label by their least sides."""
+    from pyspark.sql import Window
+
+    found = segment.corners(raster.label_edges(src.masks(spark, sf_dir), "raster_id"), "raster_id")
+    rows = found.groupBy("raster_id", "label", "ring").agg(F.array_sort(F.collect_list(F.struct("at", "x", "y"))).alias("p"))
+    number = F.row_number().over(Window.partitionBy("raster_id", "label").orderBy("ring")).cast("long") - 1
+    closed = lambda c: F.concat(F.transform("p", lambda q: q[c]), F.array(F.col("p")[0][c])).alias(f"{c}s")
+    return rows.select("raster_id", "label", number.alias("ring"), closed("x"), closed("y"))
+
+
 @query(
     f"with recursive m as materialized (select raster_id, \"label\", r, c, r * 8 + c id from {MASKS}), e as materialized (select a.raster_id, a.\"label\", a.id a, b.id b from m a join m b using (raster_id, \"label\") where abs(a.r - b.r) + abs(a.c - b.c) = 1), "
     "w as (select raster_id, \"label\", id, id root from m union select w.raster_id, w.\"label\", e.b, w.root from w join e on w.raster_id = e.raster_id and w.\"label\" = e.\"label\" and w.id = e.a), "
