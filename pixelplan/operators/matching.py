@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,28 +64,27 @@ def greedy_matches(pairs: DataFrame, threshold: float, tile: str = "tile") -> Da
     """One-to-one matches: true crowns in order of label, each takes the free prediction of the largest IoU (the
     smallest label of equals) if that is no less than the threshold; a prediction not taken stays free.
 
-    Where no two true crowns of a tile want the same prediction each has its best, which needs no order. Only the
-    other tiles are groups that are gone through in turn. Pairs below the threshold are left out at once, which
+    A tile's pairs are in one partition, one after another in this order, and partitions are gone through once: what is
+    remembered is the predictions that the tile at hand has taken. Pairs below the threshold are left out at once, which
     changes nothing, as a smaller IoU is never accepted.
     """
-    good = pairs.where(F.col("iou") >= threshold).select(tile, "gt", "pred", "iou")
-    best = best_match(good, tile)
-    torn = best.groupBy(tile, "pred").agg(F.count("*").alias("n")).where("n > 1").select(tile).distinct()
-
-    def match(table: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((table["pred"], -table["iou"], table["gt"]))
-        taken, served, rows = set(), None, []
-        for gt, pred, iou in zip(*(table[c].to_numpy()[order].tolist() for c in ("gt", "pred", "iou")), strict=True):
-            if gt != served and pred not in taken:
-                taken.add(pred)
-                served = gt
-                rows.append((gt, pred, iou))
-        gt, pred, iou = zip(*rows, strict=True)
-        return pd.DataFrame({tile: [table[tile].iloc[0]] * len(rows), "gt": gt, "pred": pred, "iou": iou})
-
-    kind = pairs.schema[tile].dataType.simpleString()
-    settled = best.join(torn, tile, "left_anti").select(tile, F.col("gt").cast("int").alias("gt"), F.col("pred").cast("int").alias("pred"), "iou")
-    return settled.unionByName(good.join(torn, tile, "left_semi").groupBy(tile).applyInPandas(match, f"{tile} {kind}, gt int, pred int, iou double"))
+    good = pairs.where(F.col("iou") >= threshold).where(F.col(tile).isNotNull()).select(tile, F.col("gt").cast("int").alias("gt"), F.col("pred").cast("int").alias("pred"), F.col("iou").cast("double").alias("iou"))
+    ordered = good.repartition(tile).sortWithinPartitions(tile, "gt", F.desc("iou"), "pred")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, served, taken = None, None, set()
+        for batch in batches:
+            picked = []
+            for k, (own, gt, pred) in enumerate(zip(*(batch[c].to_pylist() for c in (tile, "gt", "pred")), strict=True)):
+                if own != at:
+                    at, served, taken = own, None, set()
+                if gt != served and pred not in taken:
+                    taken.add(pred)
+                    served = gt
+                    picked.append(k)
+            yield batch.take(pa.array(picked, pa.int64()))
+
+    return ordered.mapInArrow(match, ordered.schema)
 
 
 def outcomes(found: DataFrame, matches: DataFrame, tile: str = "tile") -> DataFrame:

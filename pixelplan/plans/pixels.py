@@ -211,7 +211,7 @@ def match_gt_half(spark, sf_dir):
 
 @query(f"select tile, gt, pred, round(iou, 6) iou from {PAIRS} where iou >= 0.5")
 def match_greedy(spark, sf_dir):
-    return matching.greedy_matches(kept(_pairs(spark, sf_dir)), 0.5).withColumn("iou", F.round("iou", 6))
+    return matching.greedy_matches(_pairs(spark, sf_dir), 0.5).withColumn("iou", F.round("iou", 6))
 
 
 _TORN = "(select l_orderkey tile, l_linenumber::integer gt, (l_partkey % 3)::integer pred, max(round(0.45 + l_quantity / 100.0::double, 2)) iou from lineitem group by 1, 2, 3)"
@@ -228,7 +228,7 @@ def match_greedy_torn(spark, sf_dir):
     """Greedy matches where several true crowns want one prediction: lines of orders stand for crowns, parts modulo 3 for predictions."""
     iou = F.max(F.round(F.lit(0.45) + F.col("l_quantity") / F.lit(100.0), 2)).alias("iou")
     pairs = src.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tile"), F.col("l_linenumber").cast("int").alias("gt"), (F.col("l_partkey") % 3).cast("int").alias("pred")).agg(iou)
-    return matching.greedy_matches(kept(pairs), 0.5)
+    return matching.greedy_matches(pairs, 0.5)
 
 
 _KINDS = (

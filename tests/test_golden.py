@@ -115,6 +115,13 @@ def test_greedy_matching_equals_the_loop_and_collisions(spark):
         assert sorted((x.tile, x.gt, x.pred) for x in got.collect()) == sorted((t, *m) for t, own in enumerate(table) for m in loop_greedy(own, threshold))
 
 
+def test_greedy_matching_has_no_group_for_each_tile(spark):
+    pairs = spark.createDataFrame([(None, 1, 1, 0.9), *((t, g, p, 0.5 + 0.1 * p) for t in range(300) for g in (2, 1) for p in (1, 2))], "tile long, gt int, pred int, iou double").repartition(3)
+    found = matching.greedy_matches(pairs, 0.5)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert sorted((x.tile, x.gt, x.pred) for x in found.collect()) == sorted((t, g, 3 - g) for t in range(300) for g in (1, 2))
+
+
 def test_outcomes_add_up(spark):
     mask = lambda seed: spark.createDataFrame([(t, 1 + (y // 4) * 2 + x // 4, y, x) for t in range(6) for y in range(8) for x in range(8) if random.Random(seed * 1000 + t * 64 + y * 8 + x).random() < 0.7], "tile long, label int, r int, c int")
     predicted, true = mask(1), mask(2)
