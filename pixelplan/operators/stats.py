@@ -63,10 +63,25 @@ def canopy_cover(crowns: DataFrame, key: str, area_m2: float) -> DataFrame:
     return crowns.groupBy(key).agg(F.round(total * 100 / area_m2, 6).alias("cover_pct"), F.round(total / 1e4, 6).alias("canopy_ha"), F.round(total / 2.59e6, 8).alias("canopy_sq_mi"))
 
 
+def _plain(value: Column) -> Column:
+    """A number as text without an exponent, whatever its size: Spark writes doubles from ten million on, and below a thousandth, with one."""
+    digits = value.cast("string").try_cast("decimal(38, 17)").cast("string")
+    whole = F.regexp_replace(F.regexp_replace(digits, "0+$", ""), r"\.$", ".0")
+    far = (F.abs(value) >= 1e7) | (F.abs(value) < 1e-3) & (value != 0)
+    return F.when(far, F.coalesce(whole, value.cast("string"))).otherwise(value.cast("string"))
+
+
+def _bare(text: Column) -> Column:
+    """A JSON text whose values are all numbers written as texts, with the quotes around these values taken off."""
+    return F.regexp_replace(text, '":"(-?[0-9][-+.0-9E]*)"', '":$1')
+
+
 def document(crowns: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Crown totals, classes and tiles by site as one JSON text; sites are keys, so they are a map."""
-    total = totals(crowns).select(F.struct("*").alias("crowns"))
-    classes = class_percent(crowns).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("size_class", F.struct("crowns", "percent").alias("v"))))).alias("classes"))
-    sites = tiles.groupBy("site").agg(F.count("*").alias("tiles")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("site", "tiles")))).alias("tiles"))
+    """Crown totals, classes and tiles by site as one JSON text; sites are keys, so they are a map. Numbers have no exponents."""
+    total = totals(crowns)
+    total = total.select(_bare(F.to_json(F.struct(*(_plain(F.col(c)).alias(c) for c in total.columns)))).alias("crowns"))
+    shares = F.struct(F.col("crowns").cast("string").alias("crowns"), _plain(F.col("percent")).alias("percent"))
+    classes = class_percent(crowns).agg(_bare(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("size_class", shares.alias("v"))))))).alias("classes"))
+    sites = tiles.groupBy("site").agg(F.count("*").alias("tiles")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("site", "tiles"))))).alias("tiles"))
     joined = total.crossJoin(F.broadcast(classes)).crossJoin(F.broadcast(sites))
-    return joined.select(F.to_json(F.struct("crowns", "classes", "tiles")).alias("document"))
+    return joined.select(F.concat(F.lit('{"crowns":'), "crowns", F.lit(',"classes":'), "classes", F.lit(',"tiles":'), "tiles", F.lit("}")).alias("document"))

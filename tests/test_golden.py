@@ -1,5 +1,6 @@
 """Fixed cases whose results were derived by hand from the semantics."""
 
+import json
 import math
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelplan import config
 from pixelplan.functions import crowns, mercator, rings
-from pixelplan.operators import grids, matching, raster, segment, tables, training, vector
+from pixelplan.operators import grids, matching, raster, segment, stats, tables, training, vector
 
 
 def one(spark, *columns):
@@ -122,6 +123,15 @@ def test_greedy_matching_has_no_group_for_each_tile(spark):
     assert sorted((x.tile, x.gt, x.pred) for x in found.collect()) == sorted((t, g, 3 - g) for t in range(300) for g in (1, 2))
 
 
+def test_document_of_many_and_of_tiny_numbers_has_no_exponents(spark):
+    area = F.when(F.col("id") == 0, 1e-4).otherwise(12345678.0)
+    crowns = spark.range(300000).select(area.alias("area_m2"), F.when(F.col("id") == 0, "small").otherwise("large").alias("size_class"))
+    text = stats.document(crowns, spark.createDataFrame([("a\":\"1",), ("b",)], "site string")).first().document
+    found = json.loads(text)
+    assert "E" not in text and '"canopy_ha":370369105.4322,' in text and '"median_m2":12345678.0,' in text and '"percent":0.0003}' in text
+    assert found["crowns"]["total_crowns"] == 300000 and found["classes"]["small"] == {"crowns": 1, "percent": 0.0003} and found["tiles"] == {'a":"1': 1, "b": 1}
+
+
 def test_outcomes_add_up(spark):
     mask = lambda seed: spark.createDataFrame([(t, 1 + (y // 4) * 2 + x // 4, y, x) for t in range(6) for y in range(8) for x in range(8) if random.Random(seed * 1000 + t * 64 + y * 8 + x).random() < 0.7], "tile long, label int, r int, c int")
     predicted, true = mask(1), mask(2)
