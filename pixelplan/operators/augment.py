@@ -1,7 +1,12 @@
-"""Augmentation of square chips: places are mapped and values are expressions; only smoothing shuffles."""
+"""Augmentation of square chips: places are mapped and values are expressions; only smoothing and bending shuffle."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,13 +103,14 @@ def gathered(pixels: DataFrame, sources: DataFrame, key: str, n: int) -> DataFra
     """key, r, c, v: for each of sources (key, r, c, y, x) the value of chips of n x n at (y, x), weighed from the four pixels around.
 
     The four places and their weights are rows that meet the pixels by equality; places outside are mirrored.
+    The size of sent rows is far from what is guessed from the files, so neither side is broadcast.
     """
     y0, x0 = F.floor("y"), F.floor("x")
     down, right = F.col("y") - y0, F.col("x") - x0
     four = [(y0 + a, x0 + b, (down if a else 1 - down) * (right if b else 1 - right)) for a in (0, 1) for b in (0, 1)]
     near = F.explode(F.array(*(F.struct(_mirrored(y, n).alias("r"), _mirrored(x, n).alias("c"), w.alias("w")) for y, x, w in four)))
     sent = sources.select(key, F.col("r").alias("_r"), F.col("c").alias("_c"), near.alias("p")).select(key, "_r", "_c", "p.*").where("w > 0")
-    found = sent.join(pixels.select(key, "r", "c", "v"), [key, "r", "c"])
+    found = sent.hint("merge").join(pixels.select(key, "r", "c", "v"), [key, "r", "c"])
     return found.groupBy(key, F.col("_r").alias("r"), F.col("_c").alias("c")).agg(F.floor(F.sum(F.col("v") * F.col("w")) + F.lit(0.5)).cast("int").alias("v"))
 
 
@@ -113,38 +119,116 @@ def _every_place(pixels: DataFrame, key: str, n: int) -> DataFrame:
     return pixels.select(key).distinct().select(key, place).select(key, F.expr(f"cast(_at div {n} as int)").alias("r"), (F.col("_at") % n).cast("int").alias("c"), "_at")
 
 
+#: Edge of the largest chips of which each is read within a task; larger ones meet their places by joins.
+CHIP = 512
+_BLOCK = 1 << 20  # places that a task bends at once, at least a chip's
+
+
+def _drawn(key: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """drawn() for arrays of whole numbers."""
+    first = (key % _MODULUS * _MULTIPLIER + seed * 40503) % _MODULUS
+    return (first * _MULTIPLIER + place + 1) % _MODULUS * _MULTIPLIER % _MODULUS / _MODULUS * 2 - 1
+
+
+def _read(grid: np.ndarray, there: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of chips (chip, row, column) the values at (y, x), weighed from the four pixels around, and whether any of these is there."""
+    n = grid.shape[1]
+    chip, y0, x0 = np.arange(len(grid))[:, None, None], np.floor(y), np.floor(x)
+    value, any_ = np.zeros(y.shape), np.zeros(y.shape, np.bool_)
+    for a in (0, 1):
+        for b in (0, 1):
+            w = (y - y0 if a else 1 - (y - y0)) * (x - x0 if b else 1 - (x - x0))
+            r, c = ((i.astype(np.int64) % max(1, 2 * (n - 1))) for i in (y0 + a, x0 + b))
+            r, c = np.minimum(r, 2 * (n - 1) - r), np.minimum(c, 2 * (n - 1) - c)
+            value += np.where(w > 0, grid[chip, r, c] * w, 0.0)
+            any_ |= there[chip, r, c] & (w > 0)
+    return value, any_
+
+
+def _bent(pixels: DataFrame, key: str, n: int, places: Callable) -> DataFrame:
+    """key, r, c, v: chips of n x n read at the places (y, x) that places(keys) gives, arrays by chip, row and column.
+
+    A chip's pixels are in one partition, one after another; a task holds one batch of rows and the chip at hand. Places
+    that show no pixel have no row, and repeated pixels add up, as in gathered().
+    """
+    own = pixels.where(F.col(key).isNotNull() & F.col("r").between(0, n - 1) & F.col("c").between(0, n - 1))
+    own = own.select(key, F.col(key).cast("long").alias("_k"), (F.col("r") * n + F.col("c")).cast("int").alias("_at"), F.col("v").cast("double").alias("v"))
+    kind = pixels.schema[key].dataType.simpleString()
+
+    def chips(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        chip = rows[key].combine_chunks().dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(np.diff(chip, prepend=-1))
+        ends = np.append(first, len(chip))
+        at, k = rows["_at"].to_numpy(), rows["_k"].to_numpy()[first]
+        v = rows["v"].to_numpy(zero_copy_only=False)
+        many = max(1, _BLOCK // (n * n))
+        for i in range(0, len(first), many):
+            low, high, m = ends[i], ends[min(i + many, len(first))], min(many, len(first) - i)
+            to, values = (chip[low:high] - i) * (n * n) + at[low:high], v[low:high]
+            known = ~np.isnan(values)
+            count = lambda of, w=None: np.bincount(of, w, m * n * n).reshape(m, n, n)
+            y, x = (np.broadcast_to(p, (m, n, n)) for p in places(k[i : i + m]))
+            grid = count(to[known], values[known])
+            value, there = _read(grid, count(to) > 0, y, x)
+            valued = there if known.all() else _read(grid, count(to[known]) > 0, y, x)[1]
+            of, r, c = np.nonzero(there)
+            out = pa.array(np.floor(value[there] + 0.5).astype(np.int32), mask=~valued[there])
+            yield pa.RecordBatch.from_arrays([rows[key].combine_chunks().take(pa.array(first[i + of])), pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), out], [key, "r", "c", "v"])
+
+    def bend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chip = batch[key].dictionary_encode().indices.to_numpy()
+            cut = int(np.searchsorted(chip, chip[-1]))
+            if held and (cut or held[-1][key][-1] != batch[key][0]):
+                yield from chips(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from chips(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from chips(pa.Table.from_batches(held))
+
+    return own.repartition(key).sortWithinPartitions(key).mapInArrow(bend, f"{key} {kind}, r int, c int, v int")
+
+
 def elastic(pixels: DataFrame, key: str, n: int, alpha: float = 50.0, sigma: float = 5.0, seed: int = 42) -> DataFrame:
     """Chips of n x n bent by a smooth random field: each place takes the value at its own place plus alpha times the field.
 
     The field is drawn for each chip and place and smoothed by a Gaussian of sigma, along rows and then along columns, with
-    mirrored borders. Each number is sent to the places around it with its weight, and sums combine before the shuffle.
+    mirrored borders. In chips up to CHIP a place mirrored into the kernel's reach adds to the weight of its image; in larger
+    ones each number is sent to the places around it with its weight, and sums combine before the shuffle.
     """
-    import math
-
     reach = max(1, int(3 * sigma + 0.5))
     weights = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
     weights = [w / sum(weights) for w in weights]
-    places = _every_place(pixels, key, n).withColumns({"y": drawn(F.col(key), F.col("_at"), seed), "x": drawn(F.col(key), F.col("_at"), seed + 1)})
-
-    def smoothed(rows: DataFrame, along: str) -> DataFrame:
-        # A place mirrored into the kernel's reach adds to the weight of its image.
-        kernel = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in zip(range(-reach, reach + 1), weights, strict=True)))
-        table = [[0.0] * n for _ in range(n)]
+    if n <= CHIP:
+        table = np.zeros((n, n))  # weight of each place (row) in each smoothed place (column)
         for to in range(n):
             for d, w in zip(range(-reach, reach + 1), weights, strict=True):
                 turn = (to + d) % max(1, 2 * (n - 1))
-                table[min(turn, 2 * (n - 1) - turn)][to] += w
-        if n <= 64:
-            sent = F.explode(F.get(F.array(*(F.array(*(F.struct(F.lit(to).alias("to"), F.lit(w).alias("w")) for to, w in enumerate(row) if w)) for row in table)), F.col(along)))
-            moved_ = rows.select(key, "r", "c", "y", "x", sent.alias("k")).withColumn(along, F.col("k.to"))
-        else:
-            # Large chips: a place and its images within reach of an edge, each sent along the kernel.
-            at = F.col(along)
-            shown = F.filter(F.array(at, F.when((at > 0) & (at <= reach), -at), F.when((at < n - 1) & (at >= n - 1 - reach), 2 * (n - 1) - at)), lambda i: i.isNotNull())
-            moved_ = rows.select(key, "r", "c", "y", "x", F.explode(shown).alias("_i")).select("*", F.explode(kernel).alias("k")).withColumn(along, F.col("_i") + F.col("k.d")).where(F.col(along).between(0, n - 1))
+                table[min(turn, 2 * (n - 1) - turn), to] += w
+
+        def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.arange(n * n).reshape(1, n, n)
+            field = [table.T @ (_drawn(keys[:, None, None], at, seed + k) @ table) for k in (0, 1)]
+            return np.arange(n)[:, None] + alpha * field[0], np.arange(n) + alpha * field[1]
+
+        return _bent(pixels, key, n, places)
+    drawn_ = _every_place(pixels, key, n).withColumns({"y": drawn(F.col(key), F.col("_at"), seed), "x": drawn(F.col(key), F.col("_at"), seed + 1)})
+
+    def smoothed(rows: DataFrame, along: str) -> DataFrame:
+        # A place and its images within reach of an edge, each sent along the kernel.
+        kernel = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in zip(range(-reach, reach + 1), weights, strict=True)))
+        at = F.col(along)
+        shown = F.filter(F.array(at, F.when((at > 0) & (at <= reach), -at), F.when((at < n - 1) & (at >= n - 1 - reach), 2 * (n - 1) - at)), lambda i: i.isNotNull())
+        moved_ = rows.select(key, "r", "c", "y", "x", F.explode(shown).alias("_i")).select("*", F.explode(kernel).alias("k")).withColumn(along, F.col("_i") + F.col("k.d")).where(F.col(along).between(0, n - 1))
         return moved_.groupBy(key, "r", "c").agg(F.sum(F.col("y") * F.col("k.w")).alias("y"), F.sum(F.col("x") * F.col("k.w")).alias("x"))
 
-    field = smoothed(smoothed(places.select(key, "r", "c", "y", "x"), "c"), "r")
+    field = smoothed(smoothed(drawn_.select(key, "r", "c", "y", "x"), "c"), "r")
     return gathered(pixels, field.select(key, "r", "c", (F.col("r") + F.col("y") * F.lit(alpha)).alias("y"), (F.col("c") + F.col("x") * F.lit(alpha)).alias("x")), key, n)
 
 

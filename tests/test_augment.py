@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelplan.operators import augment
 
@@ -66,3 +67,22 @@ def test_grid(spark):
     assert len(got) == 2 * n * n
     for (k, y, x), v in got.items():
         assert abs(v - bilinear(own[k], along(k, y, 0), along(k, x, 1))) <= 0.5 + 1e-6
+
+
+@pytest.mark.parametrize("bend", [lambda rows: augment.elastic(rows, "chip", 9, 3.0, 1.5)])
+def test_chips_within_tasks_equal_those_by_joins(spark, monkeypatch, bend):
+    _, rows = chips(spark, 9, range(150))
+    holes = rows.where("chip % 3 > 0 or r <> 4").where("chip % 5 > 0 or r > 6 and c > 6").withColumn("v", F.when(F.expr("chip % 7 > 0 or r > 2"), F.col("v")))
+    odd = spark.createDataFrame([(None, 1, 1, 9), (1, -1, 3, 9), (1, 2, 9, 9), (2, 3, 3, 50)], rows.schema)  # without a chip, outside, twice
+    rows = holes.unionByName(odd).repartition(5)
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)  # chips of 81 rows reach over batches
+    try:
+        inside = bend(rows)
+        assert "Join" not in inside._jdf.queryExecution().toString()
+        inside = sorted(map(tuple, inside.collect()), key=str)
+    finally:
+        rows.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(augment, "CHIP", 0)
+    joined = bend(rows)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert inside == sorted(map(tuple, joined.collect()), key=str)
