@@ -241,6 +241,20 @@ def grid_distorted(pixels: DataFrame, key: str, n: int, steps: int = 5, limit: f
     size = n // steps
     cells = -(-n // size)
 
+    if n <= CHIP:
+
+        def spread(keys: np.ndarray, which: int) -> np.ndarray:
+            factors = 1 + limit * _drawn(keys[:, None], np.arange(cells), seed + 2 + which)
+            begins = np.cumsum(np.column_stack([np.zeros(len(keys)), factors * size]), axis=1)
+            at = np.arange(n)
+            cell = at // size
+            whole = (cell + 1) * size <= n
+            begin, end = begins[:, cell], np.where(whole, begins[:, cell] + factors[:, cell] * size, float(n))
+            count = np.where(whole, size, n - cell * size)
+            return np.where(count > 1, begin + (end - begin) * (at - cell * size) / np.maximum(1, count - 1), begin)
+
+        return _bent(pixels, key, n, lambda keys: (spread(keys, 0)[:, :, None], spread(keys, 1)[:, None, :]))
+
     def along(at: Column, which: int) -> Column:
         factors = F.array(*(1 + F.lit(limit) * drawn(F.col(key), F.lit(k), seed + 2 + which) for k in range(cells)))
         cell = F.floor(at / F.lit(size)).cast("int")

@@ -69,7 +69,7 @@ def test_grid(spark):
         assert abs(v - bilinear(own[k], along(k, y, 0), along(k, x, 1))) <= 0.5 + 1e-6
 
 
-@pytest.mark.parametrize("bend", [lambda rows: augment.elastic(rows, "chip", 9, 3.0, 1.5)])
+@pytest.mark.parametrize("bend", [lambda rows: augment.elastic(rows, "chip", 9, 3.0, 1.5), lambda rows: augment.grid_distorted(rows, "chip", 9, 2)])
 def test_chips_within_tasks_equal_those_by_joins(spark, monkeypatch, bend):
     _, rows = chips(spark, 9, range(150))
     holes = rows.where("chip % 3 > 0 or r <> 4").where("chip % 5 > 0 or r > 6 and c > 6").withColumn("v", F.when(F.expr("chip % 7 > 0 or r > 2"), F.col("v")))
