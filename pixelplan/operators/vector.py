@@ -57,22 +57,64 @@ def union_area(parts_: DataFrame) -> DataFrame:
     return cut.select(fresh.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("area"))
 
 
+#: Rings of a cell that are swept; a cell with more is quartered, but for the smallest, of 1 / 2 ** HALVINGS of the first edge.
+FEW_RINGS, HALVINGS = 8, 10
+
+
+def _cells(parts_: DataFrame, keys: tuple[str, ...], cell: float) -> tuple[DataFrame, DataFrame]:
+    """Cells that must be swept, as rows of keys, i, j, s (edge) and ring for each ring that has a side in the cell; and keys
+    and area of the cells that some ring holds as a whole.
+
+    Cells with many rings are quartered in rounds. What one ring holds needs no sweep whatever else is there, so where rings lie in
+    many layers only the cells along the rim of what they cover go on. Equal rings are one.
+    """
+    own = [*keys, "i", "j"]
+    low, high = (lambda x, f=f: F.floor(f(F.transform("ring", lambda p: p[x])) / F.lit(cell)).cast("long") for f in (F.array_min, F.array_max))
+    rings_ = parts_.where(F.size("ring") > 3).select(*keys, "ring").dropna(subset=list(keys)).distinct()
+    rows = rings_.select("*", F.explode(F.sequence(low("x"), high("x"))).alias("i")).select("*", F.explode(F.sequence(low("y"), high("y"))).alias("j"))
+    swept, whole = None, None
+    for level in range(HALVINGS + 1):
+        size = cell / 2**level
+        x0, y0, x1, y1 = (F.col("i") * F.lit(size), F.col("j") * F.lit(size), (F.col("i") + 1) * F.lit(size), (F.col("j") + 1) * F.lit(size))
+        rows = rows.withColumns({"_x0": x0, "_y0": y0, "_x1": x1, "_y1": y1})
+        between = lambda p, q, c: (F.least(p[c], q[c]) < F.col(f"_{c}1")) & (F.greatest(p[c], q[c]) > F.col(f"_{c}0"))
+        turn = lambda p, q, x, y: (q["x"] - p["x"]) * (F.col(y) - p["y"]) - (q["y"] - p["y"]) * (F.col(x) - p["x"])
+        sides = lambda p, q: [turn(p, q, x, y) for x in ("_x0", "_x1") for y in ("_y0", "_y1")]
+        met = lambda p, q: between(p, q, "x") & between(p, q, "y") & (F.least(*sides(p, q)) < 0) & (F.greatest(*sides(p, q)) > 0)
+        n = F.size("ring") - 1
+        part = F.exists(F.zip_with(F.slice("ring", 1, n), F.slice("ring", 2, n), met), lambda m: m)
+        placed = rows.withColumn("_part", part).withColumn("_full", ~F.col("_part") & rings.contains(F.col("ring"), (F.col("_x0") + F.col("_x1")) / 2, (F.col("_y0") + F.col("_y1")) / 2))
+        placed = kept(placed.where("_part or _full").select(*own, "ring", "_full"))
+        held = placed.groupBy(*own).agg(F.bool_or("_full").alias("_held"), F.count("*").alias("_n"))
+        areas = held.where("_held").select(*keys, F.lit(size * size).alias("area"))
+        open_ = placed.join(held.where("not _held").hint("merge"), own)
+        few = (open_ if level == HALVINGS else open_.where(F.col("_n") <= FEW_RINGS)).select(*own, F.lit(size).alias("s"), "ring")
+        swept, whole = (few, areas) if swept is None else (swept.unionByName(few), whole.unionByName(areas))
+        many = open_.where(F.col("_n") > FEW_RINGS)
+        if level == HALVINGS or held.where(~F.col("_held") & (F.col("_n") > FEW_RINGS)).isEmpty():
+            break
+        half = lambda x: F.explode(F.array(F.col(x) * 2, F.col(x) * 2 + 1)).alias(x)
+        rows = many.select(*keys, half("i"), "j", "ring").select(*keys, "i", half("j"), "ring")
+    return swept, whole
+
+
 def covered_area(parts_: DataFrame, *keys: str, cell: float = 64.0) -> DataFrame:
     """area that the rings of equal keys cover together, for rings anywhere: each place counts once, however many cover it.
 
-    A sweep in cells of the plane. In a cell a ring's edges are cut to it; what lies to its left is moved to its left side,
+    A sweep in cells of the plane, which are quartered where many rings meet and count as a whole where one ring holds
+    them. In a cell a ring's edges are cut to it; what lies to its left is moved to its left side,
     which leaves as they are the turns of the ring around places inside, and equal pieces are added up. The pieces' ends
     and crossings cut the cell to strips in which no two pieces cross; from left to right the turns are summed up, and
     what lies between two pieces with turns is a trapezoid. Rings must not cross themselves (repair them first).
     """
     n, turn = F.greatest(F.size("ring") - 1, F.lit(0)), F.when(rings.signed_area(F.col("ring")) < 0, -1).otherwise(1)
     ends = F.zip_with(F.slice("ring", 1, n), F.slice("ring", 2, n), lambda p, q: F.struct(F.when(p["y"] < q["y"], p).otherwise(q).alias("a"), F.when(p["y"] < q["y"], q).otherwise(p).alias("b"), F.when(p["y"] < q["y"], F.lit(1)).otherwise(-1).alias("way")))
-    at = lambda x: F.floor(x / F.lit(cell)).cast("int")
-    each = parts_.select(*keys, turn.alias("turn"), at(F.array_max(F.transform("ring", lambda p: p["x"]))).alias("last"), F.explode(ends).alias("e")).where("e.a.y < e.b.y")
-    sent = each.select(*keys, "e", (F.col("e.way") * F.col("turn")).cast("int").alias("way"), F.explode(F.sequence(at(F.least("e.a.x", "e.b.x")), "last")).alias("i"), "last").select("*", F.explode(F.sequence(at(F.col("e.a.y")), at(F.col("e.b.y")))).alias("j"))
-    x0, x1 = F.col("i") * F.lit(cell), (F.col("i") + 1) * F.lit(cell)
-    lo, hi = F.greatest(F.col("e.a.y"), F.col("j") * F.lit(cell)), F.least(F.col("e.b.y"), (F.col("j") + 1) * F.lit(cell))
-    rows = sent.select(*keys, "i", "j", "way", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"), lo.alias("lo"), hi.alias("hi"), x0.alias("x0"), x1.alias("x1"))
+    cells, whole = _cells(parts_, keys, cell)
+    each = cells.select(*keys, "i", "j", "s", turn.alias("turn"), F.explode(ends).alias("e")).where("e.a.y < e.b.y")
+    x0, x1 = F.col("i") * F.col("s"), (F.col("i") + 1) * F.col("s")
+    lo, hi = F.greatest(F.col("e.a.y"), F.col("j") * F.col("s")), F.least(F.col("e.b.y"), (F.col("j") + 1) * F.col("s"))
+    sent = each.where((lo < hi) & (F.least("e.a.x", "e.b.x") < x1)).withColumn("way", (F.col("e.way") * F.col("turn")).cast("int"))
+    rows = sent.select(*keys, "i", "j", "s", "way", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"), lo.alias("lo"), hi.alias("hi"), x0.alias("x0"), x1.alias("x1"))
     y_at = lambda x: F.expr(f"ay + ({x} - ax) * (by - ay) / nullif(bx - ax, 0)")
     rows = rows.withColumns({"y0": y_at("x0"), "y1": y_at("x1")})
     x_at = lambda y: f"ax + ({y} - ay) * (bx - ax) / (by - ay)"
@@ -83,26 +125,27 @@ def covered_area(parts_: DataFrame, *keys: str, cell: float = 64.0) -> DataFrame
     cut = rows.withColumns({"ll": left_lo, "lh": left_hi, "ml": mid_lo, "mh": mid_hi})
     piece = lambda a, b, u, v: F.struct(a.alias("lo"), b.alias("hi"), u.alias("u"), v.alias("v"))
     made = F.array(piece(F.col("ll"), F.col("lh"), F.col("x0"), F.col("x0")), piece(F.col("ml"), F.col("mh"), F.expr(x_at("ml")), F.expr(x_at("mh"))))
-    own = [*keys, "i", "j"]
+    own = [*keys, "i", "j", "s"]
     pieces = cut.select(*own, "way", F.explode(F.filter(made, lambda p: p["lo"] < p["hi"])).alias("p")).groupBy(*own, "p.lo", "p.hi", "p.u", "p.v").agg(F.sum("way").alias("way")).where("way <> 0")
     pieces = kept(pieces.toDF(*own, "lo", "hi", "u", "v", "way"))
     # Crossings: over the heights that two pieces share, the one that is left at the bottom is right at the top.
-    # They are looked for in eighths of a cell, so that only pieces near each other meet.
-    part = cell / 8
-    fine = lambda low, high: F.explode(F.sequence(F.floor(low / F.lit(part)), F.floor(high / F.lit(part))))
+    # They are looked for in eighths of a cell, so that only pieces near each other meet. Tables here are far larger than
+    # what is guessed from the files, so none is broadcast.
+    fine = lambda low, high: F.explode(F.sequence(F.floor(low * 8 / F.col("s")), F.floor(high * 8 / F.col("s"))))
     near = pieces.withColumn("_y", fine(F.col("lo"), F.col("hi"))).withColumn("_x", fine(F.least("u", "v"), F.greatest("u", "v")))
     a, b = (near.select(*own, "_y", "_x", *(F.col(c).alias(f"{c}_{s}") for c in ("lo", "hi", "u", "v"))) for s in ("a", "b"))
-    both = a.join(b, [*own, "_y", "_x"]).where("lo_a < hi_b and lo_b < hi_a and least(u_a, v_a) <= greatest(u_b, v_b) and least(u_b, v_b) <= greatest(u_a, v_a) and struct(lo_a, hi_a, u_a, v_a) < struct(lo_b, hi_b, u_b, v_b)")
+    both = a.hint("merge").join(b, [*own, "_y", "_x"]).where("lo_a < hi_b and lo_b < hi_a and least(u_a, v_a) <= greatest(u_b, v_b) and least(u_b, v_b) <= greatest(u_a, v_a) and struct(lo_a, hi_a, u_a, v_a) < struct(lo_b, hi_b, u_b, v_b)")
     both = both.withColumns({"l": F.greatest("lo_a", "lo_b"), "h": F.least("hi_a", "hi_b")})
     gap = lambda y: f"(u_a + ({y} - lo_a) * (v_a - u_a) / (hi_a - lo_a)) - (u_b + ({y} - lo_b) * (v_b - u_b) / (hi_b - lo_b))"
     met = both.withColumns({"g": F.expr(gap("l")), "k": F.expr(gap("h"))}).where("g * k < 0").select(*own, F.expr("l + g / (g - k) * (h - l)").alias("y"))
     heights = pieces.select(*own, F.explode(F.array("lo", "hi")).alias("y")).unionByName(met).groupBy(*own).agg(F.array_sort(F.collect_set("y")).alias("ys"))
     steps = F.filter(F.arrays_zip(F.slice("ys", 1, F.size("ys") - 1).alias("s"), F.slice("ys", 2, F.size("ys") - 1).alias("t")), lambda z: (z["s"] >= F.col("lo")) & (z["t"] <= F.col("hi")))
-    strips = pieces.join(heights, own).select(*own, "lo", "hi", "u", "v", "way", F.explode(steps).alias("z"))
-    placed = strips.select(*own, F.col("z.s").alias("s"), (F.col("z.t") - F.col("z.s")).alias("t"), "way", F.expr("u + ((z.s + z.t) / 2 - lo) * (v - u) / (hi - lo)").alias("x"))
-    line = Window.partitionBy(*own, "s").orderBy("x")
-    open_ = placed.withColumns({"turns": F.sum("way").over(line.rowsBetween(Window.unboundedPreceding, 0)), "next": F.coalesce(F.lead("x").over(line), (F.col("i") + 1) * F.lit(cell))})
-    return open_.where("turns <> 0").groupBy(*keys).agg(F.sum((F.col("next") - F.col("x")) * F.col("t")).alias("area"))
+    strips = pieces.hint("merge").join(heights, own).select(*own, "lo", "hi", "u", "v", "way", F.explode(steps).alias("z"))
+    placed = strips.select(*own, F.col("z.s").alias("_s"), (F.col("z.t") - F.col("z.s")).alias("t"), "way", F.expr("u + ((z.s + z.t) / 2 - lo) * (v - u) / (hi - lo)").alias("x"))
+    line = Window.partitionBy(*own, "_s").orderBy("x")
+    open_ = placed.withColumns({"turns": F.sum("way").over(line.rowsBetween(Window.unboundedPreceding, 0)), "next": F.coalesce(F.lead("x").over(line), (F.col("i") + 1) * F.col("s"))})
+    found = open_.where("turns <> 0").select(*keys, ((F.col("next") - F.col("x")) * F.col("t")).alias("area")).unionByName(whole)
+    return found.groupBy(*keys).agg(F.sum("area").alias("area"))
 
 
 def painted(pixels: DataFrame, order: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,18 @@ def test_bow_tie_spike_repeated_points_and_holes(spark):
         got.setdefault(x.key, []).append((x.piece, round(x.area, 9), len(x.rings)))
     assert {k: sorted(v) for k, v in got.items()} == {0: [(0, 4, 1), (1, 4, 1)], 1: [(0, 16, 1)], 2: [(0, 16, 1)], 3: [(0, 32, 2)], 5: [(0, 4.5, 1)]}
     assert repair.polygons_of([]) == repair.polygons_of([(1, 1)]) == []
+
+
+def test_rings_in_many_layers_are_swept_along_the_rim_only(spark):
+    r = np.random.default_rng(8)
+    boxes = [(*r.integers(0, 40, 2).tolist(), *r.integers(60, 100, 2).tolist()) for _ in range(300)]
+    rows = [(1, [(float(x), float(y)) for x, y in ((a, b), (c, b), (c, d), (a, d), (a, b))]) for a, b, c, d in boxes]
+    parts_ = spark.createDataFrame([*rows, *rows[:50], (None, rows[0][1])], "site int, ring array<struct<x: double, y: double>>")
+    covered = np.zeros((100, 100), np.bool_)
+    for a, b, c, d in boxes:
+        covered[b:d, a:c] = True
+    found = vector.covered_area(parts_, "site", cell=32.0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(x.site, round(x.area, 6)) for x in found.collect()] == [(1, float(covered.sum()))]
+    cells, whole = vector._cells(parts_, ("site",), 32.0)
+    assert whole.groupBy().sum("area").first()[0] > 0.8 * covered.sum() and cells.groupBy("i", "j", "s").count().agg({"count": "max"}).first()[0] <= vector.FEW_RINGS
