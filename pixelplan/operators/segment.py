@@ -6,11 +6,12 @@ Chips, or chunks with a border, are the groups: each has a bounded number of pix
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -325,28 +326,25 @@ def corners(edges: DataFrame, key: str) -> DataFrame:
     return placed.join(rows, [key, "label", "id"]).select(key, "label", "ring", "at", "x", "y")
 
 
-def rings(edges: DataFrame, key: str) -> DataFrame:
-    """The outlines of labels as closed rings of pixel corners, from their edges: key, label, ring (from 0), points.
+#: Way of a label's side from corner to corner, with the label on the right: y and x of both ends from the pixel's place.
+_WAYS = {"top": (0, 0, 0, 1), "right": (0, 1, 1, 1), "bottom": (1, 1, 1, 0), "left": (1, 0, 0, 0)}
 
-    Sides are directed with the label on the right, so each corner's way on is another side; a label's sides
-    are one group. Outer rings and holes are told apart by the sign of their area.
-    """
 
-    def stitch(table: pd.DataFrame) -> pd.DataFrame:
-        way = {"top": (0, 0, 0, 1), "right": (0, 1, 1, 1), "bottom": (1, 1, 1, 0), "left": (1, 0, 0, 0)}
-        out: dict[tuple, list] = {}
-        for r, c, side in zip(table["r"], table["c"], table["side"], strict=True):
-            a, b, y, x = way[side]
-            out.setdefault((r + a, c + b), []).append((r + y, c + x))
-        rows = []
-        while out:
-            start = at = min(out)
-            ring, last = [start], None
+def _stitched(sides: list[tuple[int, int, str]]) -> list[list[tuple[int, int]]]:
+    """The closed rings of a label's sides (r, c, side), by their least corners (y, x)."""
+    out: dict[tuple[int, int], list] = {}
+    for r, c, side in sides:
+        a, b, y, x = _WAYS[side]
+        out.setdefault((r + a, c + b), []).append((r + y, c + x))
+    found = []
+    for start in sorted(out):
+        while start in out:
+            at, ring, last = start, [start], None
             while True:
                 ways = out[at]
                 if len(ways) > 1 and last:  # where two pixels touch at a corner: turn right, to stay with the same pixel
                     dy, dx = at[0] - last[0], at[1] - last[1]
-                    ways.sort(key=lambda p: (p[0] - at[0], p[1] - at[1]) != (dx, -dy))
+                    ways.sort(key=lambda p: (p[0] - at[0], p[1] - at[1]) != (dx, -dy))  # noqa: B023
                 to = ways.pop(0)
                 if not ways:
                     del out[at]
@@ -354,11 +352,46 @@ def rings(edges: DataFrame, key: str) -> DataFrame:
                 ring.append(at)
                 if at == start:
                     break
-            rows.append([{"x": float(x), "y": float(y)} for y, x in ring])
-        return pd.DataFrame({key: table[key].iloc[0], "label": table["label"].iloc[0], "ring": range(len(rows)), "points": rows})
+            found.append(ring)
+    return found
+
+
+def rings(edges: DataFrame, key: str) -> DataFrame:
+    """The outlines of labels as closed rings of pixel corners, from their edges: key, label, ring (from 0), points.
+
+    Sides are directed with the label on the right, so each corner's way on is another side. A label's sides are in one
+    partition, one after another, and a task holds those of the label at hand. Outer rings and holes are told apart by the
+    sign of their area.
+    """
+    rows = edges.select(key, F.col("label").cast("int").alias("label"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "side")
+    ordered = rows.repartition(key, "label").sortWithinPartitions(key, "label")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            done = []
+            for own, label, *side in zip(*(batch[c].to_pylist() for c in (key, "label", "r", "c", "side")), strict=True):
+                if (own, label) != at:
+                    if held:
+                        done.append((at, _stitched(held)))
+                    at, held = (own, label), []
+                held.append(side)
+            if done:
+                yield table(done, batch.schema.field(key).type)
+        if held:
+            yield table([(at, _stitched(held))], batch.schema.field(key).type)
+
+    def table(done: list, kind: pa.DataType) -> pa.RecordBatch:
+        own = [(*at, k) for at, found in done for k in range(len(found))]
+        each = [ring for _, found in done for ring in found]
+        points = np.array([p for ring in each for p in ring], np.float64).reshape(-1, 2)
+        places = pa.StructArray.from_arrays([pa.array(points[:, 1]), pa.array(points[:, 0])], ["x", "y"])
+        ends = pa.array(np.cumsum([0, *map(len, each)]), pa.int32())
+        names = [pa.array([row[i] for row in own], t) for i, t in enumerate((kind, pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*names, pa.ListArray.from_arrays(ends, places)], [key, "label", "ring", "points"])
 
     kind = edges.schema[key].dataType.simpleString()
-    return edges.groupBy(key, "label").applyInPandas(stitch, f"{key} {kind}, label int, ring int, points array<struct<x: double, y: double>>")
+    return ordered.mapInArrow(walk, f"{key} {kind}, label int, ring int, points array<struct<x: double, y: double>>")
 
 
 def outlines(rings_: DataFrame, key: str) -> DataFrame:

@@ -72,3 +72,17 @@ def test_corners_walk_the_same_rings(spark):
         k = walk.index(min(walk)) if walk.count(min(walk)) == 1 else None
         want.setdefault((x.chip, x.label), []).append(sorted(walk) if k is None else walk[k:] + walk[:k])
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_rings_have_no_group_for_each_label(spark):
+    rows = [(k, 1, y, x) for k in (None, *range(40)) for y in range(3) for x in range(3) if (y, x) != (1, 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a label's 16 sides reach over batches
+    try:
+        edges = spark.createDataFrame([(k, label, y, x, side) for k, label, y, x in rows for side in (["top"] * (y == 0) + ["bottom"] * (y == 2) + ["left"] * (x == 0) + ["right"] * (x == 2) + ["bottom"] * ((y, x) == (0, 1)) + ["top"] * ((y, x) == (2, 1)) + ["right"] * ((y, x) == (1, 0)) + ["left"] * ((y, x) == (1, 2)))], "chip int, label int, r int, c int, side string").repartition(3)
+        found = segment.rings(edges, "chip")
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+        got = {(x.chip, x.ring): [(p.x, p.y) for p in x.points] for x in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 2 * 41 and {k for k, _ in got} == {None, *range(40)}
+    assert all(len(walk) == (13 if ring == 0 else 5) and walk[0] == walk[-1] == ((0, 0) if ring == 0 else (1, 1)) for (_, ring), walk in got.items())
