@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rings
-from .vector import crossing
+from .vector import FEW_POINTS, crossing
 
 _RINGS = "array<array<array<struct<x: double, y: double>>>>"
 
@@ -168,13 +168,19 @@ def repaired(parts_: DataFrame, *keys: str) -> DataFrame:
     """All columns of parts_, piece (from 0) and rings (an outline and its holes) in place of ring, which keys name.
 
     Rings that cross or touch themselves become the polygons of what they turn around, none if they have no area; the others
-    stay as they are. Only bad rings leave the JVM, one row each.
+    stay as they are. Only bad rings leave the JVM, one row each. Rings of few points are judged in their rows, in
+    one pass without a shuffle; longer ones meet what crossing() finds by their keys.
     """
-    bad = invalid(parts_, *keys)
     rest = [c for c in parts_.columns if c != "ring"]
-    good = parts_.join(bad, list(keys), "left_anti").select(*rest, F.lit(0).alias("piece"), F.array("ring").alias("rings"))
-    mended = parts_.join(bad, list(keys), "left_semi").select(*rest, F.posexplode(_polygons(F.col("ring"))).alias("piece", "rings"))
-    return good.unionByName(mended)
+    whole = F.array(F.array("ring"))
+    long_ = F.coalesce(F.size("ring") > FEW_POINTS, F.lit(False))
+    few = parts_.where(~long_).withColumn("_bad", F.coalesce(rings.self_crossing(F.col("ring")) | touching(F.col("ring")), F.lit(False)))
+    few = few.select(*rest, F.posexplode(F.when(F.col("_bad"), _polygons(F.when(F.col("_bad"), F.col("ring")))).otherwise(whole)).alias("piece", "rings"))
+    many = parts_.where(long_)
+    bad = invalid(many, *keys)
+    good = many.join(bad, list(keys), "left_anti").select(*rest, F.lit(0).alias("piece"), F.array("ring").alias("rings"))
+    mended = many.join(bad, list(keys), "left_semi").select(*rest, F.posexplode(_polygons(F.col("ring"))).alias("piece", "rings"))
+    return few.unionByName(good).unionByName(mended)
 
 
 def area(polygon: Column) -> Column:

@@ -132,3 +132,11 @@ def test_rings_in_many_layers_are_swept_along_the_rim_only(spark):
     assert [(x.site, round(x.area, 6)) for x in found.collect()] == [(1, float(covered.sum()))]
     cells, whole = vector._cells(parts_, ("site",), 32.0)
     assert whole.groupBy().sum("area").first()[0] > 0.8 * covered.sum() and cells.groupBy("i", "j", "s").count().agg({"count": "max"}).first()[0] <= vector.FEW_RINGS
+
+
+def test_short_rings_are_repaired_in_their_rows(spark):
+    bow, square = [(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0), (0.0, 0.0)], [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    df = spark.createDataFrame([(None, 0, bow), (1, 0, bow), (2, 0, square)], RINGS)
+    found = repair.repaired(df, "key", "part")
+    got = sorted(((x.key, x.piece, x.area) for x in found.withColumn("area", repair.area(F.col("rings"))).collect()), key=str)
+    assert got == [(1, 0, 1.0), (1, 1, 1.0), (2, 0, 4.0), (None, 0, 1.0), (None, 1, 1.0)]
