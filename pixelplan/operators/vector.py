@@ -185,6 +185,13 @@ def mosaic(pixels: DataFrame, tiles: int, edge: int) -> DataFrame:
     return spine.join(placed, ["strip", "y", "x"], "left").select("strip", "y", "x", F.coalesce("v", F.lit(0)).alias("v"))
 
 
+def mosaic_cells(pixels: DataFrame, tiles: int, edge: int) -> DataFrame:
+    """strip, y, x, v as mosaic() has them, without the places that no tile has; a pixel that is cut off has no x, so that its strip is known."""
+    x = F.col("slot") * edge + F.col("c")
+    inside = F.col("r").between(0, edge - 1) & (F.col("c") < edge) & x.between(0, tiles * edge - 1)
+    return pixels.select("strip", F.when(inside, F.col("r")).otherwise(0).alias("y"), F.when(inside, x).cast("int").alias("x"), "v")
+
+
 def strip_layout(rows: DataFrame, tiles: int, batch: int = 20) -> DataFrame:
     """Every slot of every strip: its left edge, whether a tile came, and the batch it is fetched in."""
     came = rows.groupBy("strip", "slot").agg(F.bool_or("got").alias("got"))

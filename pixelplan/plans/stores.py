@@ -27,7 +27,7 @@ def _mosaic(spark, sf_dir):
     """Strips of a mosaic as files: the folder."""
     formats.register(spark)
     rows = src.pixels(spark, sf_dir).where("raster_id % 7 <> 0").select(F.expr("raster_id div 10").alias("strip"), (F.col("raster_id") % 10).alias("slot"), "r", "c", "v")
-    placed = vector.mosaic(rows, tiles=10, edge=6).select(F.lit("city").alias("name"), (F.col("strip") * 6 + F.col("y")).cast("int").alias("r"), F.col("x").alias("c"), "v")
+    placed = vector.mosaic_cells(rows, tiles=10, edge=6).select(F.lit("city").alias("name"), (F.col("strip") * 6 + F.col("y")).cast("int").alias("r"), F.col("x").alias("c"), "v")
     path = folder(spark, "mosaic")
     sinks.as_strips(placed, "name", 60, 6).write.format("pixels").mode("append").save(path)
     return path

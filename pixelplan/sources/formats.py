@@ -14,6 +14,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,14 @@ BATCH = 1 << 18
 ROWS = 4096
 RECORDS = 4096
 
+#: Files that are opened to plan a read; of more than these, whole files of so many bytes together, or so many files, are a partition.
+OPENED = 64
+PACK_BYTES = 1 << 22
+PACK_FILES = 512
+
+#: Moves of a commit at a time.
+MOVERS = 16
+
 # Fixed values of the TIFF format: tags, and the sample types that are read and written.
 _TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 266: "fill", 273: "strips", 277: "bands", 278: "strip_rows", 279: "strip_bytes", 284: "planar", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tiles", 325: "tile_bytes", 339: "format"}
 _KINDS = {1: "B", 3: "H", 4: "I", 16: "Q"}
@@ -43,20 +52,25 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", path)) if re.match(r"\w+:/", path) else (fs.LocalFileSystem(), path)
 
 
-def listed(path: str, ending: str) -> list[str]:
-    """The files of that ending in a folder, or the file itself, in order of names; raises if there is none."""
+def sizes(path: str, ending: str) -> list[tuple[str, int]]:
+    """The files of that ending in a folder, or the file itself, in order of names, and their bytes; raises if there is none."""
     system, place = opened(path)
     prefix = path[: len(path) - len(place)] if path.endswith(place) else ""
     info = system.get_file_info(place)
     if info.type == fs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     found = system.get_file_info(fs.FileSelector(place, recursive=True)) if info.type == fs.FileType.Directory else []
-    names = sorted(prefix + x.path for x in found if x.type == fs.FileType.File and x.path.lower().endswith(ending) and not any(p.startswith(("_", ".")) for p in x.path[len(place) :].split("/")))
+    names = sorted((prefix + x.path, x.size) for x in found if x.type == fs.FileType.File and x.path.lower().endswith(ending) and not any(p.startswith(("_", ".")) for p in x.path[len(place) :].split("/")))
     if not names:
         raise FileNotFoundError(f"no *{ending} in {path}")
     return names
 
 
+def listed(path: str, ending: str) -> list[str]:
+    """The files of that ending in a folder, or the file itself, in order of names; raises if there is none."""
+    return [name for name, _ in sizes(path, ending)]
+
+
 def unlzw(raw: bytes) -> bytes:
     """LZW of TIFF: codes of 9 to 12 bits, the high bit first, 256 starts anew and 257 ends."""
     table: list[bytes] = []
@@ -149,6 +163,11 @@ class Rows(InputPartition):
     end: int
 
 
+@dataclass
+class Files(InputPartition):
+    paths: list[str]
+
+
 class Pixels(DataSource):
     """Long pixels of TIFF images, with the rows and columns that a filter names read only; writes strips (STRIPS).
 
@@ -173,7 +192,10 @@ class Pixels(DataSource):
 
 
 class PixelReader(DataSourceReader):
-    """A partition is a range of rows of one file; files and strips beyond the filters are not opened."""
+    """A partition is a range of rows of one file, or of many files some whole ones; files and strips beyond the filters are not read.
+
+    The driver opens few files: the first OPENED if there are no more, else those larger than a partition.
+    """
 
     def __init__(self, options):
         self.path, self.rows, self.placed = options["path"], int(options.get("rows", ROWS)), str(options.get("placed", "false")).lower() == "true"
@@ -194,41 +216,63 @@ class PixelReader(DataSourceReader):
             else:
                 yield f
 
-    def _shift(self, path: str) -> tuple[int, int]:
-        """Where the file's first pixel lies."""
-        if not self.placed:
-            return 0, 0
-        system, place = opened(path)
-        with system.open_input_file(place) as file:
-            head = tiff_header(file)
-        return (round(-head["top"] / head["pixel_y"]), round(head["left"] / head["pixel_x"])) if "top" in head else (0, 0)
-
-    def partitions(self) -> list[Rows]:
-        out = []
-        for path in listed(self.path, ".tif"):
-            if self.only not in (None, path):
+    def _shift(self, head: dict) -> tuple[int, int]:
+        """Where the first pixel of a file with this header lies."""
+        return (round(-head["top"] / head["pixel_y"]), round(head["left"] / head["pixel_x"])) if self.placed and "top" in head else (0, 0)
+
+    def _wanted(self, head: dict) -> tuple[int, int]:
+        """The rows of a file with this header that the filters leave: the first and their end."""
+        down = self._shift(head)[0]
+        return max(0, self.low["r"] - down), min(head["height"], self.high["r"] - down)
+
+    def partitions(self) -> list[Rows | Files]:
+        found = [(path, size) for path, size in sizes(self.path, ".tif") if self.only in (None, path)]
+        out, pack, held = [], [], 0
+        for path, size in found:
+            if len(found) > OPENED and size <= PACK_BYTES:
+                if pack and (held + size > PACK_BYTES or len(pack) == PACK_FILES):
+                    out.append(Files(pack))
+                    pack, held = [], 0
+                pack.append(path)
+                held += size
                 continue
             system, place = opened(path)
             with system.open_input_file(place) as file:
-                head = tiff_header(file)
-            down = self._shift(path)[0]
-            first, end = max(0, self.low["r"] - down), min(head["height"], self.high["r"] - down)
+                first, end = self._wanted(tiff_header(file))
             out += [Rows(path, k, min(end, k + self.rows)) for k in range(first, end, self.rows)]
-        return out or [Rows("", 0, 0)]
-
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        down, aside = self._shift(partition.path)
-        system, place = opened(partition.path)
+        return out + [Files(pack)] * bool(pack) or [Files([])]
+
+    def read(self, partition: Rows | Files) -> Iterator[pa.RecordBatch]:
+        parts = [(partition.path, partition.first, partition.end)] if isinstance(partition, Rows) else [(path, None, None) for path in partition.paths]
+        held, n = [], 0
+        for part in parts:
+            for batch in self._pixels(*part):
+                if n and n + batch.num_rows > BATCH:
+                    yield pa.concat_batches(held)
+                    held, n = [], 0
+                held.append(batch)
+                n += batch.num_rows
+        if n:
+            yield pa.concat_batches(held)
+
+    def _pixels(self, path: str, first: int | None, end: int | None) -> Iterator[pa.RecordBatch]:
+        """The pixels of a file's rows that the filters leave, of all rows where no range is given."""
+        system, place = opened(path)
         with system.open_input_file(place) as file:
+            head = tiff_header(file)
+            down, aside = self._shift(head)
+            if first is None:
+                first, end = self._wanted(head)
+            left, right = max(0, self.low["c"] - aside), min(head["width"], self.high["c"] - aside)
+            if first >= end or left >= right:
+                return
+            file.seek(0)
             d = directory(file)
             across, rows_of = -(-d["width"] // d["w"]), -(-d["height"] // d["h"])
-            left, right = max(0, self.low["c"] - aside), min(d["width"], self.high["c"] - aside)
             for k in range(len(d["at"])):
                 plane, rest = divmod(k, across * rows_of)
                 top, side = rest // across * d["h"], rest % across * d["w"]
-                r0, r1, c0, c1 = max(top, partition.first), min(top + d["h"], partition.end, d["height"]), max(side, left), min(side + d["w"], right)
+                r0, r1, c0, c1 = max(top, first), min(top + d["h"], end, d["height"]), max(side, left), min(side + d["w"], right)
                 if r0 >= r1 or c0 >= c1:
                     continue
                 block = block_samples(file, d, k)
@@ -241,7 +285,7 @@ class PixelReader(DataSourceReader):
                         part = block[y - top : min(y + step, r1) - top, c0 - side : c1 - side, inner]
                         n = part.size
                         r, c = np.divmod(np.arange(n), part.shape[1])
-                        yield pa.RecordBatch.from_arrays([pa.array([partition.path]).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, band, np.int32)), pa.array((r + y + down).astype(np.int32)), pa.array((c + c0 + aside).astype(np.int32)), pa.array(part.ravel().astype(np.float64))], ["path", "band", "r", "c", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array([path]).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, band, np.int32)), pa.array((r + y + down).astype(np.int32)), pa.array((c + c0 + aside).astype(np.int32)), pa.array(part.ravel().astype(np.float64))], ["path", "band", "r", "c", "v"])
 
 
 @dataclass
@@ -289,9 +333,10 @@ class StripWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         system, place = opened(self.staged)
-        for message in messages:
-            for mine in message.names if message else []:
-                system.move(f"{place}/{mine}", f"{place.rsplit('/', 1)[0]}/{mine.rsplit('.', 1)[0]}")
+        names = [mine for message in messages if message for mine in message.names]
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for _ in pool.map(lambda mine: system.move(f"{place}/{mine}", f"{place.rsplit('/', 1)[0]}/{mine.rsplit('.', 1)[0]}"), names):
+                pass
         self.abort([])
 
     def abort(self, messages: list[Written | None]) -> None:

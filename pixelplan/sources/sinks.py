@@ -45,7 +45,8 @@ def write_pending(rows: DataFrame, done: DataFrame, key: str, path: str) -> None
 def as_strips(pixels: DataFrame, name: str, width: int, rows: int, dtype: str = "u1", fill: float = 0, height: int | None = None) -> DataFrame:
     """Pixels (name, r, c, v) of one band as strips of so many rows, the form that the format `pixels` writes; what no pixel has is fill.
 
-    A group is a strip, of rows x width pixels. The last strip of a known height is as short as it must be.
+    A group is a strip, of rows x width pixels. The last strip of a known height is as short as it must be. A row without a column
+    only makes its strip be there.
     """
 
     @F.arrow_udf("binary")
@@ -59,7 +60,7 @@ def as_strips(pixels: DataFrame, name: str, width: int, rows: int, dtype: str =
         return pa.array(out, pa.binary())
 
     first = (F.floor(F.col("r") / F.lit(rows)) * rows).cast("int")
-    cells = F.collect_list(F.struct(((F.col("r") - F.col("first_row")) * width + F.col("c")).cast("int").alias("at"), F.col("v").cast("double").alias("v")))
+    cells = F.collect_list(F.when(F.col("c").isNotNull() & F.col("v").isNotNull(), F.struct(((F.col("r") - F.col("first_row")) * width + F.col("c")).cast("int").alias("at"), F.col("v").cast("double").alias("v"))))
     groups = pixels.withColumn("first_row", first).groupBy(F.col(name).cast("string").alias("name"), "first_row").agg(cells.alias("cells"))
     high = F.lit(rows) if height is None else F.least(F.lit(rows), F.lit(height) - F.col("first_row"))
     return groups.select("name", "first_row", F.lit(width).alias("width"), F.lit(1).alias("bands"), F.lit(dtype).alias("dtype"), packed("cells", high.cast("int")).alias("data"))

@@ -114,6 +114,42 @@ def test_files_beyond_the_filters_are_not_opened(spark, tmp_path):
         formats.PixelReader({"path": str(tmp_path / "none")}).partitions()
 
 
+def test_many_small_files_share_partitions(spark, tmp_path, monkeypatch):
+    formats.register(spark)
+    image = np.random.default_rng(4).integers(0, 255, (600, 7, 1)).astype(np.uint8)
+    spark.createDataFrame([("city", y, 7, 1, "u1", bytearray(image[y : y + 4].tobytes())) for y in range(0, 600, 4)], formats.STRIPS).write.format("pixels").mode("append").save(str(tmp_path))
+    whole = spark.read.format("pixels").option("placed", True).load(str(tmp_path))
+    assert whole.rdd.getNumPartitions() == 1
+    assert sorted((x.r, x.c, x.v) for x in whole.collect()) == [(y, x, float(image[y, x, 0])) for y in range(600) for x in range(7)]
+    window = whole.where("r between 30 and 441 and c >= 5")
+    assert sorted((x.r, x.c, x.v) for x in window.collect()) == [(y, x, float(image[y, x, 0])) for y in range(30, 442) for x in (5, 6)]
+    assert whole.where("r > 600").count() == 0
+    # Large ones among them are still cut by rows, and no others are opened to plan.
+    big = tmp_path / "big.tif"
+    big.write_bytes(tiff(np.random.default_rng(5).integers(0, 255, (100, 90, 1)).astype(np.uint8), strip_rows=10))
+    monkeypatch.setattr(formats, "PACK_BYTES", 5000)
+    seen = []
+    monkeypatch.setattr(formats, "opened", lambda path, real=formats.opened: (seen.append(path), real(path))[1])
+    parts = formats.PixelReader({"path": str(tmp_path), "rows": "60"}).partitions()
+    assert [(p.first, p.end) for p in parts if isinstance(p, formats.Rows)] == [(0, 60), (60, 100)]
+    packs = [p.paths for p in parts if isinstance(p, formats.Files)]
+    assert sum(map(len, packs)) == 150 and max(map(len, packs)) < 30 and seen == [str(tmp_path), str(big)]
+
+
+def test_strips_of_a_mosaic_need_no_places_without_a_tile(spark):
+    from pixelplan.operators import vector
+    from pixelplan.sources import sinks
+
+    r = np.random.default_rng(6)
+    rows = [(strip, slot, y, x, int(r.integers(1, 255)) if (y, x) != (1, 1) else None) for strip in range(3) for slot in range(-1, 4) for y in range(4) for x in range(4) if r.random() < 0.7]
+    rows += [(7, 0, 3, 3, 9), (7, 1, 3, 0, 9)]  # all beyond the edge: the strip is there, and black
+    tiles = spark.createDataFrame(rows, "strip int, slot int, r int, c int, v int")
+    strips = lambda placed: {x.first_row: bytes(x.data) for x in sinks.as_strips(placed.select(F.lit("city").alias("name"), (F.col("strip") * 3 + F.col("y")).alias("r"), F.col("x").alias("c"), "v"), "name", 9, 3).collect()}
+    want, cells = strips(vector.mosaic(tiles, 3, 3)), vector.mosaic_cells(tiles, 3, 3)
+    assert strips(cells) == want and set(want) == {0, 3, 6, 21} and want[21] == bytes(27)
+    assert "Join" not in cells._jdf.queryExecution().toString()
+
+
 def test_strips_are_in_place_after_the_commit_only(spark, tmp_path):
     formats.register(spark)
     image = np.random.default_rng(3).integers(0, 255, (50, 12, 3)).astype(np.uint8)
