@@ -176,8 +176,15 @@ def focal_max(pixels: DataFrame, key: str, radius: int, value: str = "v") -> Dat
 
 
 def label_edges(masks: DataFrame, key: str) -> DataFrame:
-    """The sides of labelled pixels beyond which the same label does not go on: key, label, r, c, side."""
-    sides = F.array(*(F.struct(F.lit(n).alias("side"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for n, dr, dc in (("top", -1, 0), ("bottom", 1, 0), ("left", 0, -1), ("right", 0, 1))))
-    each = masks.select(key, "label", "r", "c", F.explode(sides).alias("s")).select(key, "label", "r", "c", "s.side", (F.col("r") + F.col("s.dr")).alias("nr"), (F.col("c") + F.col("s.dc")).alias("nc"))
-    beyond = masks.select(key, "label", F.col("r").alias("nr"), F.col("c").alias("nc"))
-    return each.join(beyond, [key, "label", "nr", "nc"], "left_anti").select(key, "label", "r", "c", "side")
+    """The sides of labelled pixels beyond which the same label does not go on: key, label, r, c, side.
+
+    Pixels next to one another are looked for along the lines of a label, rows first and then columns, so a pixel is moved twice.
+    """
+    along = lambda line, at, step: F.count(F.lit(1)).over(Window.partitionBy(key, "label", line).orderBy(at).rangeBetween(step, step)) == 0
+    unknown = F.greatest(*(F.col(x).isNull() for x in (key, "label", "r", "c")))  # what is not known is next to nothing
+    ways = (("left", "r", "c", -1), ("right", "r", "c", 1), ("top", "c", "r", -1), ("bottom", "c", "r", 1))
+    found = masks.select(key, "label", "r", "c")
+    for line in ("r", "c"):
+        found = found.select("*", *(along(by, at, step).alias(f"_{name}") for name, by, at, step in ways if by == line))
+    sides = F.array(*(F.when(unknown | F.col(f"_{name}"), F.lit(name)) for name, *_ in ways))
+    return found.select(key, "label", "r", "c", F.explode(F.array_compact(sides)).alias("side"))

@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -280,22 +281,160 @@ def chunked_crowns(dtm: DataFrame, height: int, width: int, chunk: int, border:
 _WALK = (("top", 0, 0), ("right", 0, 1), ("bottom", 1, 1), ("left", 1, 0))
 
 
+#: Labels are walked in blocks of so many rows and columns, a power of two, which bounds what a task holds.
+BLOCK_BITS = 9
+
+# For each side: the pixels of its three ways on, same, ahead and beyond, and their sides.
+_AHEAD, _BEYOND = ((0, 1), (1, 0), (0, -1), (-1, 0)), ((-1, 1), (1, 1), (1, -1), (-1, -1))
+_ON = tuple(((0, 0, (k + 1) % 4), (*_AHEAD[k], k), (*_BEYOND[k], (k + 3) % 4)) for k in range(4))
+
+
+def _ways_on(block: np.ndarray, r: np.ndarray, c: np.ndarray, k: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For different sides in order of block, row, column and side: each one's way on, and whether it is not known in its block (it is its own then)."""
+    code = lambda r, c, k: ((block << bits | r & (1 << bits) - 1) << bits | c & (1 << bits) - 1) << 2 | k
+    own, ways = code(r, c, k), np.array(_ON)
+    to, left = np.arange(len(own)), np.ones(len(own), np.bool_)
+    open_ = np.zeros(len(own), np.bool_)
+    for n in range(3):
+        dr, dc, side = ways[k, n].T
+        within = ((r + dr) >> bits == r >> bits) & ((c + dc) >> bits == c >> bits)
+        want = code(r + dr, c + dc, side)
+        at = np.minimum(np.searchsorted(own, want), len(own) - 1)
+        there = left & within & (own[at] == want)
+        to[there] = at[there]
+        open_ |= left & ~within
+        left &= within & ~there
+    return to, open_ | left
+
+
+def _rounds(to: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By doubling: the least side of each side's ring, how far it is ahead, and whether the walk is open."""
+    low, now = np.arange(len(to)), to
+    while True:
+        least, ends = np.minimum(low, low[now]), open_ | open_[now]
+        if (least == low).all() and (ends == open_).all():
+            break
+        low, open_, now = least, ends, now[now]
+    still = open_ | (low == np.arange(len(to)))
+    now, far = np.where(still, np.arange(len(to)), to), np.where(still, 0, 1)
+    while (now != low)[~open_].any():
+        far, now = far + far[now], now[now]
+    return low, far, open_
+
+
+def _walked(edges: DataFrame, key: str) -> DataFrame:
+    """The rings of labels that lie within a block: key, label, ring, at, x, y, the last three as arrays in order of at. Kept.
+
+    Sides are dealt out by label and block and come to a task in order; it walks all rings of the blocks at hand together. The
+    sides of rings that leave their block are rows without a ring, a block's in one: at is the side, x and y the pixel's place.
+    """
+    bits, kind = BLOCK_BITS, {x: edges.schema[x].dataType.simpleString() for x in (key, "label", "r", "c")}
+    side = F.array_position(F.array(*(F.lit(name) for name, *_ in _WALK)), F.col("side")).cast("int") - 1
+    rows = edges.select(key, "label", "r", "c", side.alias("side")).dropna().where("side >= 0")
+    order = [key, "label", F.shiftright("r", bits), F.shiftright("c", bits)]
+    names = ["ring", "at", "x", "y"]
+
+    def places(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [batch[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("r", "c", "side")]
+
+    def fresh(batch: pa.RecordBatch) -> np.ndarray:
+        """Whether a row is of another block than the row before."""
+        r, c, _ = places(batch)
+        new = (np.diff(r >> bits) != 0) | (np.diff(c >> bits) != 0)
+        for x in (key, "label"):
+            new |= pc.not_equal(batch[x][1:], batch[x][:-1]).to_numpy(zero_copy_only=False)
+        return np.concatenate([[True], new])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                joint = pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch]) if held else batch
+                last = int(np.flatnonzero(fresh(joint))[-1]) - bool(held)
+                if last >= 0 and held:
+                    yield from walked(pa.concat_batches([*held, batch.slice(0, last)]))
+                    held = []
+                elif last > 0:
+                    yield from walked(batch.slice(0, last))
+                held.append(batch.slice(max(0, last)))
+        if held:
+            yield from walked(pa.concat_batches(held))
+
+    def walked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        r, c, k = places(batch)
+        block = np.cumsum(fresh(batch)) - 1
+        # Repeated sides are walked once; what stands for them is repeated.
+        by = np.lexsort((k, c, r, block))
+        new = np.concatenate([[True], np.logical_or.reduce([np.diff(x[by]) != 0 for x in (block, r, c, k)])])
+        one, times = by[new], np.diff(np.append(np.flatnonzero(new), len(by)))
+        r, c, k, block = r[one], c[one], k[one], block[one]
+        low, far, open_ = _rounds(*_ways_on(block, r, c, k, bits))
+        n = np.bincount(low[~open_], minlength=len(low))
+        at = (n[low] - far) % np.maximum(n[low], 1)
+        step = np.array([(y, x) for _, y, x in _WALK])[k]
+        place = np.empty(n.sum(), np.int64)
+        place[((np.cumsum(n) - n)[low] + at)[~open_]] = np.flatnonzero(~open_)
+        firsts = np.flatnonzero(n)
+        yield from table(batch, one[firsts], r[firsts] * (1 << 33) + c[firsts] * 4 + k[firsts], low, place, times, (at, c + step[:, 1], r + step[:, 0]))
+        rest = np.flatnonzero(open_)
+        yield from table(batch, one[rest[np.concatenate([[True], np.diff(block[rest]) != 0])]] if len(rest) else one[:0], None, block, rest, times, (k, c, r))
+
+    def table(batch: pa.RecordBatch, first: np.ndarray, ring: np.ndarray | None, group: np.ndarray, place: np.ndarray, times: np.ndarray, values: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        """A row for each of the groups, whose members are at places one after another."""
+        if not len(first):
+            return
+        each = np.repeat(place, times[place])
+        ends = np.append(np.flatnonzero(np.concatenate([[True], np.diff(group[each]) != 0])), len(each)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v[each]).cast(t)) for v, t in zip(values, (pa.int32(), batch.schema.field("c").type, batch.schema.field("r").type), strict=True)]
+        number = pa.nulls(len(first), pa.int64()) if ring is None else pa.array(ring)
+        yield pa.RecordBatch.from_arrays([*(batch[x].take(pa.array(first)) for x in (key, "label")), number, *lists], [key, "label", *names])
+
+    ordered = rows.repartition(*order).sortWithinPartitions(*order)
+    return kept(ordered.mapInArrow(walk, f"{key} {kind[key]}, label {kind['label']}, ring long, at array<int>, x array<{kind['c']}>, y array<{kind['r']}>"))
+
+
+def _open_sides(walked: DataFrame, key: str) -> DataFrame:
+    """The sides that _walked() leaves, as edges."""
+    each = walked.where("ring is null").select(key, "label", F.inline(F.arrays_zip("at", "x", "y")))
+    return each.select(key, "label", F.col("y").alias("r"), F.col("x").alias("c"), F.array(*(F.lit(name) for name, *_ in _WALK))[F.col("at")].alias("side"))
+
+
 def corners(edges: DataFrame, key: str) -> DataFrame:
     """The outlines of labels corner by corner, from their sides: key, label, ring, at (from 0), x, y.
 
     A side is followed by the next side of its pixel, else by the same side of the pixel ahead, else by the side before of the one
-    beyond: whichever there is, in this order, so pixels that touch at a corner only stay apart. Rings are found by doubling:
-    each side looks twice as far in each round, first for the least side of its ring, which names it, then for how far it is
-    from there. Rounds are about the logarithm of the longest ring, and no label or ring is a group. ring is the number of
-    its least side, r * 2 ** 33 + c * 4 + side (top, right, bottom, left: 0 to 3).
+    beyond: whichever there is, in this order, so pixels that touch at a corner only stay apart. Rings within a block are walked
+    by tasks, longer ones by joins. ring is the number of its least side, r * 2 ** 33 + c * 4 + side (top, right, bottom,
+    left: 0 to 3).
+    """
+    walked = _walked(edges, key)
+    own = walked.where("ring is not null").select(key, "label", "ring", F.inline(F.arrays_zip("at", "x", "y"))).withColumn("at", F.col("at").cast("long"))
+    rest = _open_sides(walked, key)
+    return own if rest.isEmpty() else own.unionByName(_doubled(rest, key))
+
+
+def whole_rings(edges: DataFrame, key: str) -> DataFrame:
+    """The outlines of corners() with a row for each: key, label, ring, x, y, of all corners in order."""
+    walked = _walked(edges, key)
+    own = walked.where("ring is not null").select(key, "label", "ring", "x", "y")
+    rest = _open_sides(walked, key)
+    if rest.isEmpty():
+        return own
+    long = _doubled(rest, key).groupBy(key, "label", "ring").agg(F.array_sort(F.collect_list(F.struct("at", "x", "y"))).alias("p"))
+    return own.unionByName(long.select(key, "label", "ring", F.col("p.x").alias("x"), F.col("p.y").alias("y")))
+
+
+def _doubled(edges: DataFrame, key: str) -> DataFrame:
+    """corners() of rings of any length, by joins.
+
+    Rings are found by doubling: each side looks twice as far in each round, first for the least side of its ring, which names
+    it, then for how far it is from there. Rounds are about the logarithm of the longest ring, and no label or ring is a group.
     """
     number = lambda r, c, side: r.cast("long") * (1 << 33) + c.cast("long") * 4 + side
     r, c = F.col("r"), F.col("c")
-    # For each side: the pixels of its three ways on, same, ahead and beyond, and their sides.
-    ahead, beyond = ((0, 1), (1, 0), (0, -1), (-1, 0)), ((-1, 1), (1, 1), (1, -1), (-1, -1))
     rows = None
     for k, (name, y, x) in enumerate(_WALK):
-        ways = F.array(*(F.struct(F.lit(n).alias("n"), number(r + dy, c + dx, side).alias("to")) for n, (dy, dx, side) in enumerate(((0, 0, (k + 1) % 4), (*ahead[k], k), (*beyond[k], (k + 3) % 4)))))
+        ways = F.array(*(F.struct(F.lit(n).alias("n"), number(r + dy, c + dx, side).alias("to")) for n, (dy, dx, side) in enumerate(_ON[k])))
         own = edges.where(F.col("side") == name).select(key, "label", number(r, c, F.lit(k)).alias("id"), (r + y).alias("y"), (c + x).alias("x"), ways.alias("ways"))
         rows = own if rows is None else rows.unionByName(own)
     rows = kept(rows)

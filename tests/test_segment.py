@@ -74,6 +74,55 @@ def test_corners_walk_the_same_rings(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_edges_are_found_along_lines(spark):
+    from pixelplan.operators import raster
+
+    r = random.Random(10)
+    rows = [(k, label, y, x) for k in ("a", "b", None) for label in (1, 2, None) for y in range(-2, 6) for x in range(-2, 6) if r.random() < 0.6]
+    rows += r.sample(rows, 60)
+    edges = raster.label_edges(spark.createDataFrame(rows, "chip string, label int, r int, c int").repartition(4), "chip")
+    ways = (("top", -1, 0), ("bottom", 1, 0), ("left", 0, -1), ("right", 0, 1))
+    there = {x for x in rows if None not in x}
+    want = [(k, label, y, x, name) for k, label, y, x in rows for name, dy, dx in ways if (k, label, y + dy, x + dx) not in there or None in (k, label)]
+    assert sorted(map(tuple, edges.collect()), key=repr) == sorted(want, key=repr)
+    assert "Join" not in edges._jdf.queryExecution().toString()
+
+
+def test_rings_within_blocks_are_walked_by_tasks_and_others_by_joins(spark, monkeypatch):
+    from pixelplan.operators import raster
+
+    r = random.Random(11)
+    rows = [(k, 1 + (y * x) % 2, y, x) for k in "abcdef" for y in range(-7, 9) for x in range(-7, 9) if r.random() < 0.6]
+    rows += [x for x in rows if x[0] == "b" and r.random() < 0.3] + [(None, 1, 0, 0)]  # pixels that are repeated
+    edges = raster.label_edges(spark.createDataFrame(rows, "chip string, label int, r int, c int"), "chip").persist()
+    want = sorted(map(tuple, segment._doubled(edges, "chip").collect()))
+    assert want
+    for bits, size in ((9, 10_000), (3, 7), (1, 50), (5, 13)):
+        monkeypatch.setattr(segment, "BLOCK_BITS", bits)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)  # blocks reach over batches
+        try:
+            got = sorted(map(tuple, segment.corners(edges, "chip").collect()))
+            whole = segment.whole_rings(edges, "chip").collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want
+        each = {}
+        for chip, label, ring, _, x, y in want:
+            each.setdefault((chip, label, ring), []).append((x, y))
+        assert {(x.chip, x.label, x.ring): list(zip(x.x, x.y, strict=True)) for x in whole} == each and len(whole) == len(each)
+
+
+def test_short_rings_need_no_rounds(spark, monkeypatch):
+    from pixelplan.operators import raster
+
+    calls = []
+    monkeypatch.setattr(segment, "kept", lambda df, real=segment.kept: (calls.append(1), real(df))[1])
+    edges = raster.label_edges(spark.createDataFrame([(k, 1, y, x) for k in range(30) for y in range(5) for x in range(5)], "chip int, label int, r int, c int"), "chip")
+    assert segment.corners(edges, "chip").count() == 30 * 20 and len(calls) == 1
+    nothing = edges.where("chip < 0")
+    assert segment.corners(nothing, "chip").count() == segment.whole_rings(nothing, "chip").count() == 0
+
+
 def test_rings_have_no_group_for_each_label(spark):
     rows = [(k, 1, y, x) for k in (None, *range(40)) for y in range(3) for x in range(3) if (y, x) != (1, 1)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a label's 16 sides reach over batches
