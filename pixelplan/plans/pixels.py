@@ -397,7 +397,7 @@ _CORNERS = (
 
 @query(_CORNERS)
 def label_corners(spark, sf_dir):
-    """The outlines of labels corner by corner, found by doubling."""
+    """The outlines of labels corner by corner."""
     return segment.corners(raster.label_edges(src.masks(spark, sf_dir), "raster_id"), "raster_id")
 
 
@@ -406,11 +406,10 @@ def label_rings(spark, sf_dir):
     """The outlines of labels as closed rings, numbered within a label by their least sides."""
     from pyspark.sql import Window
 
-    found = segment.corners(raster.label_edges(src.masks(spark, sf_dir), "raster_id"), "raster_id")
-    rows = found.groupBy("raster_id", "label", "ring").agg(F.array_sort(F.collect_list(F.struct("at", "x", "y"))).alias("p"))
+    found = segment.whole_rings(raster.label_edges(src.masks(spark, sf_dir), "raster_id"), "raster_id")
     number = F.row_number().over(Window.partitionBy("raster_id", "label").orderBy("ring")).cast("long") - 1
-    closed = lambda c: F.concat(F.transform("p", lambda q: q[c]), F.array(F.col("p")[0][c])).alias(f"{c}s")
-    return rows.select("raster_id", "label", number.alias("ring"), closed("x"), closed("y"))
+    closed = lambda c: F.concat(c, F.array(F.col(c)[0])).alias(f"{c}s")
+    return found.select("raster_id", "label", number.alias("ring"), closed("x"), closed("y"))
 
 
 @query(

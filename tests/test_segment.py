@@ -135,3 +135,11 @@ def test_rings_have_no_group_for_each_label(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == 2 * 41 and {k for k, _ in got} == {None, *range(40)}
     assert all(len(walk) == (13 if ring == 0 else 5) and walk[0] == walk[-1] == ((0, 0) if ring == 0 else (1, 1)) for (_, ring), walk in got.items())
+
+
+def test_label_rings_are_moved_whole(spark):
+    from pixelplan import registry
+
+    registry.load()
+    plan = registry.QUERIES["label_rings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
