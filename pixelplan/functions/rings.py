@@ -17,7 +17,8 @@ def _sum(edges: Column, of) -> Column:
 
 
 def signed_area(ring: Column) -> Column:
-    return _sum(_edges(ring), lambda e: e["c"]) / 2
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.aggregate(F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda s, c: s + c) / 2
 
 
 def area(ring: Column) -> Column:

@@ -53,14 +53,25 @@ def _keyed(keys: list[str]) -> list[Column]:
     return [F.col(key).alias(f"_k{k}") for k, key in enumerate(keys)]
 
 
+#: Keys whose starts are sent to all executors; more meet the rows by a shuffle with a salt.
+SENT_KEYS = 1 << 16
+SALT = 16
+
+
 def numbered_within(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """rows with number, from 1, in this order within each key, and size, the key's rows.
 
-    Numbers of the whole table less those of the keys before, so a key with a third of all rows is no large task.
+    Numbers of the whole table less those of the keys before, so a key with a third of all rows is no large task: the rows of
+    a key stay where they are, or are dealt with a salt if keys are many.
     """
     placed = numbered(rows, *keys, *order)
     starts = kept(placed.groupBy(*_keyed(keys)).agg((F.min("number") - 1).alias("_start"), F.count("*").alias("size")))
-    return placed.join(starts, _same(keys)).withColumn("number", F.col("number") - F.col("_start")).drop("_start", *(f"_k{k}" for k in range(len(keys))))
+    if starts.count() <= SENT_KEYS:
+        met = placed.join(F.broadcast(starts), _same(keys))
+    else:
+        dealt = starts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = placed.join(dealt, _same(keys) & (F.pmod(F.col("number"), F.lit(SALT)) == F.col("_salt"))).drop("_salt")
+    return met.withColumn("number", F.col("number") - F.col("_start")).drop("_start", *(f"_k{k}" for k in range(len(keys))))
 
 
 def median(rows: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -13,7 +13,12 @@ from .tables import numbered_within
 
 def parts(polygons: DataFrame) -> DataFrame:
     """One row for each part that has points: key, part (from 0), ring."""
-    return polygons.select("key", F.posexplode("parts").alias("part", "ring")).where(F.size("ring") > 0)
+    return _parts(polygons, "key")
+
+
+def _parts(polygons: DataFrame, *keys: str) -> DataFrame:
+    # Outer, as posexplode() has Spark ask for the size of parts as early as the read, where few tasks would work them all out.
+    return polygons.select(*keys, F.posexplode_outer("parts").alias("part", "ring")).where(F.size("ring") > 0)
 
 
 def total_bounds(parts_: DataFrame) -> DataFrame:
@@ -236,12 +241,17 @@ def inspect(parts_: DataFrame) -> DataFrame:
     return with_median(found, rows, "_area", name="mid").select("parts", "invalid", "low", "mid", "high")
 
 
-def cleaned(polygons: DataFrame, site: str, threshold: float) -> DataFrame:
-    """Polygons to crowns: parts as rows, bad rings repaired, slivers left out, numbered within each site from 0."""
+def cleaned(polygons: DataFrame, site: str, threshold: float, outlines: bool = True) -> DataFrame:
+    """Polygons to crowns: parts as rows, bad rings repaired, slivers left out, numbered within each site from 0.
+
+    Areas are kept before the rows are numbered, so that dealing by ranges, which reads its input twice, does not work them
+    out again. Where outlines are not wanted there is no column rings, and none is moved.
+    """
     from ..functions.crowns import size_class
     from .repair import area, repaired
 
-    parts_ = polygons.select(site, "key", F.posexplode("parts").alias("part", "ring")).where(F.size("ring") > 0)
-    rows = repaired(parts_, "key", "part").withColumn("area_m2", area(F.col("rings"))).where(F.col("area_m2") >= threshold)
+    more = ["rings"] if outlines else []
+    rows = kept(repaired(_parts(polygons, site, "key"), "key", "part").select(site, "key", "part", "piece", area(F.col("rings")).alias("area_m2"), *more))
     number = F.col("number") - 1
-    return numbered_within(rows, [site], "key", "part", "piece").select(F.concat(F.col(site), F.lit("_"), number.cast("string")).alias("crown_id"), F.col(site).alias("site"), "area_m2", size_class(F.col("area_m2")).alias("size_class"), "rings")
+    numbers = numbered_within(rows.where(F.col("area_m2") >= threshold), [site], "key", "part", "piece")
+    return numbers.select(F.concat(F.col(site), F.lit("_"), number.cast("string")).alias("crown_id"), F.col(site).alias("site"), "area_m2", size_class(F.col("area_m2")).alias("size_class"), *more)

@@ -80,7 +80,7 @@ def repair_polygons(spark, sf_dir):
 )
 def preprocess_crowns(spark, sf_dir):
     polygons = src.broken_polygons(spark, sf_dir).withColumn("site", F.concat(F.lit("S"), (F.col("key") % 4).cast("string")))
-    return vector.cleaned(polygons, "site", 3.0).drop("rings").withColumn("area_m2", F.round("area_m2", 6))
+    return vector.cleaned(polygons, "site", 3.0, outlines=False).withColumn("area_m2", F.round("area_m2", 6))
 
 
 @query(f"select id, col, ((row_number() over (partition by col order by id) - 1) // 20)::integer batch from {DOWNLOADS}")

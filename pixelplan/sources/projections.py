@@ -88,9 +88,18 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("col"), status.cast("int").alias("status"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt anew to as many tasks as shuffles have: a small file is read in few splits, however much work its rows will be."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns)
+
+
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, parts: arrays of closed rectangular rings; every fifth has a second part."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), ((F.col("p_partkey") % 100) * 120).cast("double").alias("x0"), F.expr("cast((p_partkey div 100) * 120 as double)").alias("y0"), F.col("p_size").cast("double").alias("w"), ((F.col("p_size") % 7) + 1).cast("double").alias("h"), F.col("p_size"))
+    return _polygons(table(spark, sf_dir, "part"))
+
+
+def _polygons(part: DataFrame) -> DataFrame:
+    rows = part.select(F.col("p_partkey").alias("key"), ((F.col("p_partkey") % 100) * 120).cast("double").alias("x0"), F.expr("cast((p_partkey div 100) * 120 as double)").alias("y0"), F.col("p_size").cast("double").alias("w"), ((F.col("p_size") % 7) + 1).cast("double").alias("h"), F.col("p_size"))
 
     def ring(x):
         point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
@@ -103,7 +112,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def broken_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """polygons() of which a quarter each cross themselves in the middle, have a spike, and have points twice; a quarter is left."""
-    rows = polygons(spark, sf_dir)
+    rows = _polygons(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")))
 
     def broken(ring: Column) -> Column:
         p = [F.get(ring, F.lit(k)) for k in range(4)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelplan.functions import mercator
 from pixelplan.operators import raster, repair, vector
+from pixelplan.sources import projections as src
 
 RINGS = "key int, part int, ring array<struct<x: double, y: double>>"
 
@@ -140,3 +141,58 @@ def test_short_rings_are_repaired_in_their_rows(spark):
     found = repair.repaired(df, "key", "part")
     got = sorted(((x.key, x.piece, x.area) for x in found.withColumn("area", repair.area(F.col("rings"))).collect()), key=str)
     assert got == [(1, 0, 1.0), (1, 1, 1.0), (2, 0, 4.0), (None, 0, 1.0), (None, 1, 1.0)]
+
+
+def some_rings(r, n):
+    """Closed rings of few points on a coarse grid or anywhere, far from the origin too; many cross, touch or repeat themselves."""
+    for k in range(n):
+        off, wide = r.choice([0, 0, 500000]), r.choice([2, 6])
+        one = (lambda: r.randint(0, wide) + off) if k % 2 else (lambda: r.uniform(0, wide) + off)
+        ring = [(one(), one()) for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6, 8, 12, 20]))]
+        yield ring + ring[:1]
+
+
+def nested(polygons, rings_, points, corners):
+    """What polygons_of_each() tells as polygons_of() would of each ring."""
+    corners, points, rings_ = iter(map(tuple, corners.tolist())), iter(points.tolist()), iter(rings_.tolist())
+    return [[[[next(corners) for _ in range(next(points))] for _ in range(next(rings_))] for _ in range(n)] for n in polygons.tolist()]
+
+
+def test_rings_repaired_together_are_as_repaired_one_by_one():
+    around_a_hole = [(0, 0), (6, 0), (6, 6), (0, 6), (0, 0), (2, 2), (2, 4), (4, 4), (4, 2), (2, 2), (0, 0)]
+    touching_hole = [(0, 0), (6, 0), (6, 6), (0, 6), (0, 0), (2, 4), (4, 4), (4, 2), (0, 0)]
+    long_ = [(math.cos(k * 2.4), math.sin(k * 2.4)) for k in range(90)]
+    own = [around_a_hole, *some_rings(random.Random(11), 1500), touching_hole, long_ + long_[:1], [(0, 0), (math.nan, 1), (2, 2), (2, 0), (0, 2), (0, 0)], []]
+    p, size = np.array([q for ring in own for q in ring], float), np.array([len(ring) for ring in own])
+    one_by_one = repair._outlines(p, np.repeat(np.arange(len(own)), size), len(own))[3]
+    assert one_by_one[0] and one_by_one[-4:].tolist() == [True, True, False, False] and one_by_one.mean() < 0.1
+    for ring, got in zip(own, nested(*repair.polygons_of_each(p, size)), strict=True):
+        want = repair.polygons_of(ring)
+        assert [[len(r) for r in polygon] for polygon in got] == [[len(r) for r in polygon] for polygon in want], ring
+        assert all(np.allclose(g, w, rtol=0, atol=1e-9) for a, b in zip(got, want, strict=True) for g, w in zip(a, b, strict=True)), ring
+
+
+def test_rings_judged_together_are_as_judged_in_their_rows(spark):
+    own = [*some_rings(random.Random(12), 1500), [(0, 0), (math.nan, 1), (2, 2), (2, 0), (0, 2), (0, 0)], [(0, 0), (math.nan, 1), (1, 1), (math.nan, 1), (0, 0)], [(0.0, 0.0), (1, 0), (-0.0, 0.0), (0, 1), (0, 0)]]
+    found = {x.key for x in repair.invalid(table(spark, [(k, 0, ring) for k, ring in enumerate(own)]), "key").collect()}
+    bad = repair.faulty(np.array([q for ring in own for q in ring], float), np.array([len(ring) for ring in own]))
+    assert set(np.flatnonzero(bad).tolist()) == found and 100 < len(found) < 1400
+
+
+def test_crowns_are_repaired_once(spark):
+    bow, square = [(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)], [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
+    far = [(math.cos(k * math.pi / 50), math.sin(k * math.pi / 50)) for k in range(100)]  # long rings meet what crossing() finds
+    crossed = [*far[:30], far[31], far[30], *far[32:]]
+    rows = [(k % 2, k, [bow if k % 3 else square]) for k in range(30)] + [(0, 30, [far + far[:1]]), (1, 31, [crossed + crossed[:1], []]), (1, 32, None), (None, 33, [square])]
+    polygons = spark.createDataFrame(rows, "site int, key int, parts array<array<struct<x: double, y: double>>>")
+    parts_ = polygons.select("site", "key", F.posexplode("parts").alias("part", "ring"))
+    assert "EvalPython" not in repair.repaired(parts_.where("size(ring) <= 64"), "key", "part")._jdf.queryExecution().executedPlan().toString()
+    got = vector.cleaned(polygons, "site", 3.0).collect()
+    assert sorted(repr(x[:4]) for x in got) == sorted(repr(x[:]) for x in vector.cleaned(polygons, "site", 3.0, outlines=False).collect())
+    areas = [round(x.area_m2, 6) for x in got]
+    assert areas.count(4.0) == 40 and areas.count(16.0) == 11 and areas.count(round(50 * math.sin(math.pi / 50), 6)) == 1 and len(got) == 53
+    assert sorted(int(x.crown_id.split("_")[1]) for x in got if x.site == 0) == list(range(26))
+
+
+def test_rings_of_a_small_file_are_many_tasks(spark):
+    assert src.broken_polygons(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
