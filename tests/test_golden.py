@@ -293,6 +293,24 @@ def test_numbers_and_medians_of_any_keys(spark):
     assert tables.numbered_within(table.where("k > 999"), ["site"], "k").count() == 0
 
 
+@pytest.mark.parametrize("most", [tables.SENT_KEYS, 0])
+def test_rows_of_a_large_key_are_not_gathered_to_be_numbered(spark, monkeypatch, most):
+    monkeypatch.setattr(tables, "SENT_KEYS", most)
+    rows = [(("a", None, "b")[k % 7 % 3], k) for k in range(500)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = tables.numbered_within(spark.createDataFrame(rows, "site string, k int").repartition(4), ["site"], "k")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "_salt" in plan if not most else "SortMergeJoin" not in plan
+    for site in ("a", None, "b"):
+        own = [k for s, k in rows if s == site]
+        assert sorted((x.number, x.k, x["size"]) for x in got if x.site == site) == [(i + 1, k, len(own)) for i, k in enumerate(own)]
+
+
 def test_tries_of_a_tile(spark):
     cases = {"ok": [(200, True)], "no image": [(200, False), (200, True)], "gone": [(404, False), (200, True)], "slow": [(429, False), (None, False), (200, True)], "never": [(429, False)] * 5}
     rows = [(key, k, status, image) for key, own in cases.items() for k, (status, image) in enumerate(own)]
